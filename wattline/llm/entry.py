@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, html_extract, itq, jaccard_join, suffix_dedup, toxicity, url_filter, warc
+from .text import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +29,45 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.col("repeat_n_words").alias("n_words"), removed.alias("n_removed"), F.col("repeat_spans").alias("spans"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_extract.extract(spark, table(spark, sf_dir, "pages"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.records(spark, table(spark, sf_dir, "pages"), least=0)
+    path = warc.write_archives(spark, rows, f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}")
+    back = warc.read_archives(spark, path)
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
+    return back.select(
+        page("record_id").alias("page_id"),
+        F.coalesce(F.length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to"),
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(spark, table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark, table(spark, sf_dir, "conversations"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def ranks() -> dict[bytes, int]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -58,8 +92,13 @@ def queries():
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_html_extract": op3_html_extract,
+        "op4_warc": op4_warc,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_chat_format": op6_chat_format,
         "op7_toxicity": op7_toxicity,
+        "op8_url_filter": op8_url_filter,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 

@@ -51,11 +51,18 @@ def _slices(offsets: np.ndarray, most: int):
         lo = hi
 
 
-def hashed_words(column: pa.Array, lower: bool = True):
-    """For slices of a column of texts (binary): (first row, starts, ends, bounds, hashes) of the words between ASCII white space.
+#: Bytes that stand in words: all but ASCII white space.
+NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+#: Lower-case ASCII letters and all bytes of other characters.
+LETTERS = np.array([b >= 128 or 97 <= b <= 122 for b in range(256)])
+
+
+def hashed_words(column: pa.Array, lower: bool = True, word_bytes: np.ndarray = NOT_SPACE, heads: tuple[int, ...] = ()):
+    """For slices of a column of texts (binary): (first row, starts, ends, bounds, hashes, places) of the runs of word_bytes.
 
     starts and ends are byte places in the slice's texts one after the other, whose own places are in the last value;
-    words of row r are bounds[r] : bounds[r + 1]. Null is an empty text.
+    words of row r are bounds[r] : bounds[r + 1]. Null is an empty text. With heads, a list follows: for each of these
+    lengths the hash of so many first bytes of each word, 0 for words that are not longer.
     """
     column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -63,7 +70,7 @@ def hashed_words(column: pa.Array, lower: bool = True):
     for lo, hi in _slices(offsets, 1 << 20):
         raw = data[offsets[lo] : offsets[hi]]
         at = offsets[lo : hi + 1] - offsets[lo]
-        word = (raw != 32) & ((raw < 9) | (raw > 13))
+        word = word_bytes[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[1:-1] = word[1:] != word[:-1] if len(raw) > 1 else False
         if len(raw):
@@ -73,19 +80,27 @@ def hashed_words(column: pa.Array, lower: bool = True):
         both = both[word[both - 1] & word[both]]
         marks = np.sort(np.concatenate([np.flatnonzero(edge), np.unique(both), np.unique(both)]))
         starts, ends = marks[0::2], marks[1::2]
+        first = [np.zeros(len(starts), np.uint64) for _ in heads]
+        hashes = np.zeros(len(starts), np.uint64)
         if len(starts):
             size = ends - starts
+            begin = np.cumsum(size) - size
             inside = raw[word]
-            j = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+            j = np.arange(len(inside)) - np.repeat(begin, size)
             with np.errstate(over="ignore"):
                 power = np.cumprod(np.full(int(size.max()) + 1, GOLDEN, np.uint64))
                 table = _KNOWN.copy()
                 if lower:
                     table[65:91] = table[97:123]
-                hashes = mix(np.add.reduceat(table[inside] * power[j], np.cumsum(size) - size) + size.astype(np.uint64))
-        else:
-            hashes = np.zeros(0, np.uint64)
-        yield lo, starts, ends, np.searchsorted(starts, at), hashes, at
+                parts = table[inside] * power[j]
+                hashes = mix(np.add.reduceat(parts, begin) + size.astype(np.uint64))
+                if heads:
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts)])
+                    for k, out in zip(heads, first):
+                        long = np.flatnonzero(size > k)
+                        out[long] = mix(sums[begin[long] + k] - sums[begin[long]] + np.uint64(k << 32))
+        found = lo, starts, ends, np.searchsorted(starts, at), hashes, at
+        yield (*found, first) if heads else found
 
 
 def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:

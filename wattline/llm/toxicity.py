@@ -8,10 +8,6 @@ as they are on new texts; for scoring, both halves are mined together.
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,106 +17,127 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import kept
+from .text import LETTERS, hashed_words, kept
 
 #: Second person in the languages of the corpus.
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tus su sus ti"
-_YOU = set(YOU.split())
-_LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": "", ".": "", "-": "", "_": ""})
-_WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*._-]+[^\W\d_]+)+")
-#: Lengths of the word beginnings in the lexicon; a whole word has length 0.
-HEADS = (3, 4, 5, 7)
-FEATURES = 16
+#: Lengths in bytes of the word beginnings that are terms beside whole words.
+HEADS = (4, 5, 6, 7)
+FEATURES = 15
+_UPPER = np.array([65 <= b <= 90 for b in range(256)])
+_MASK = np.isin(np.arange(256), list(b"0123456789@$!|*._-"))
+_PUNCT = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
+_LOUD = np.isin(np.arange(256), list(b"!?"))
 
 
-def terms_of(words: set[str]) -> set[tuple[int, str]]:
-    return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in HEADS if len(w) > k}
+def _terms(column: pa.Array):
+    """For slices of lower-cased texts: (first row, word bounds of the rows, row of each word, [hashes of words, of their heads])."""
+    for lo, _, _, bounds, hashes, _, heads in hashed_words(column, False, LETTERS, HEADS):
+        yield lo, bounds, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), [hashes, *heads]
 
 
-def _count(batches):
-    """(half, toxic, text) to counts of documents for each term, summed up within the task."""
-    counts = {}
-    for batch in batches:
-        for half, toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
-            own = counts.setdefault((half, toxic), Counter())
-            own.update(terms_of(set(_WORD.findall((text or "").lower()))))
-            own[(-1, "")] += 1
-    for (half, toxic), own in counts.items():
-        keys = list(own)
-        n = len(keys)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([half] * n, pa.int32()), pa.array([toxic] * n, pa.int32()), pa.array([k[0] for k in keys], pa.int32()),
-             pa.array([k[1] for k in keys]), pa.array([own[k] for k in keys], pa.int64())],
-            ["half", "toxic", "kind", "term", "n"],
-        )
+def _you() -> np.ndarray:
+    return next(iter(_terms(pa.array([YOU.encode()], pa.binary()))))[3][0]
 
 
-def lexicon(counts: DataFrame, halves: tuple[int, ...], most: int) -> dict[tuple[int, str], float]:
-    """The log-odds of up to ``most`` terms that mark the label, from the counts of some halves of the rows."""
+def _count(batches):
+    """(half, toxic, lower-cased text) to the documents that have each term, summed up within the batch; term 0 counts documents."""
+    for batch in batches:
+        cell = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+        kinds = [(cell, np.zeros(len(cell), np.uint64))]
+        for lo, _, row, terms in _terms(batch.column(2)):
+            for h in terms:
+                own = pd.DataFrame({"row": row[h != 0], "term": h[h != 0]}).drop_duplicates()
+                kinds.append((cell[lo + own["row"].to_numpy()], own["term"].to_numpy()))
+        where, term = (np.concatenate(x) for x in zip(*kinds))
+        n = pd.DataFrame({"cell": where, "term": term.view(np.int64)}).groupby(["cell", "term"], sort=False).size().reset_index(name="n")
+        half, toxic = (n["cell"] // 2).to_numpy(np.int32), (n["cell"] % 2).to_numpy(np.int32)
+        arrays = [pa.array(half), pa.array(toxic), pa.array(n["term"].to_numpy()), pa.array(n["n"].to_numpy(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, ["half", "toxic", "term", "n"])
+
+
+def lexicon(counts: DataFrame, halves: tuple[int, ...], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log-odds of up to ``most`` terms that mark the label, from the counts of some halves of the rows."""
+    none = np.zeros(0, np.uint64), np.zeros(0)
     c = counts.where(F.col("half").isin(list(halves)))
-    c = c.groupBy("kind", "term").agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg"))
-    total = {r.kind: r for r in c.where("kind = -1").collect()}.get(-1)
+    c = c.groupBy("term").agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg"))
+    total = c.where("term = 0").first()
     if total is None or not total.pos or not total.neg:
-        return {}
+        return none
     odds = F.log(((F.col("pos") + 0.25) / total.pos) / ((F.col("neg") + 0.25) / total.neg))
-    c = c.where("kind >= 0").withColumn("odds", odds).where("pos >= 3 and odds >= 2")
-    # Evidence: how far the count is above what the base rate would give.
-    c = c.withColumn("weight", F.col("pos") * F.col("odds"))
-    rows = c.orderBy(F.desc("weight"), "kind", "term").limit(most).collect()
-    return {(r.kind, r.term): float(r.odds) for r in rows}
-
-
-def features(text: str | None, lex: dict[tuple[int, str], float]) -> list[float]:
-    """Dense features of a whole text; null and empty texts have zeros alone."""
-    if not text:
-        return [0.0] * FEATURES
-    lower = text.lower()
-    words = _WORD.findall(lower)
-    n, chars = max(1, len(words)), len(text)
-    cache, hits, heads, whole_at, best = {}, 0, 0, [], 0.0
-    whole = total = 0.0
-    distinct = set()
-    for i, w in enumerate(words):
-        if w not in cache:
-            cache[w] = (lex.get((0, w), 0.0), max((lex.get((k, w[:k]), 0.0) for k in HEADS if len(w) > k), default=0.0))
-        a, b = cache[w]
-        if a:
-            hits += 1
-            whole += a
-            distinct.add(w)
-        if b:
-            heads += 1
-            total += b
-            distinct.add(w)
-        if a or b:
-            whole_at.append(i)
-            best = max(best, a, b)
-    you = np.array([i for i, w in enumerate(words) if w in _YOU])
-    near = 0
-    if len(you) and whole_at:
-        at = np.array(whole_at)
-        j = np.searchsorted(you, at)
-        gap = np.minimum(np.abs(you[np.minimum(j, len(you) - 1)] - at), np.abs(you[np.maximum(j - 1, 0)] - at))
-        near = int((gap <= 5).sum())
-    masked = _MASKED.findall(lower)
-    unmasked = sum(1 for m in masked if (0, m.translate(_LEET)) in lex)
-    return [
-        hits / n, math.log1p(hits), whole / n, heads / n, math.log1p(heads), total / n, best, float(len(distinct)), near / n, math.log1p(near),
-        sum(map(str.isupper, text)) / chars, (chars - sum(map(str.isalnum, text)) - text.count(" ")) / chars,
-        (text.count("!") + text.count("?")) / chars, len(masked) / n, math.log1p(unmasked), math.log1p(n),
-    ]
+    c = c.where("term <> 0").withColumn("odds", odds).where("pos >= 3 and odds >= 2")
+    rows = c.orderBy(F.desc(F.col("pos") * F.col("odds")), "term").limit(most).collect()
+    if not rows:
+        return none
+    terms = np.array([r.term for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    return terms[order], np.array([r.odds for r in rows], float)[order]
+
+
+def _look(lex, h: np.ndarray) -> np.ndarray:
+    terms, odds = lex
+    if not len(terms):
+        return np.zeros(len(h))
+    i = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    return np.where(terms[i] == h, odds[i], 0.0)
+
+
+def _rates(column: pa.Array) -> np.ndarray:
+    """Bytes, capitals, punctuation, shouts and masked letters of each text."""
+    column = column.fill_null(b"")
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    letter = LETTERS[raw] | _UPPER[raw]
+    masked = np.zeros(len(raw), bool)
+    masked[1:-1] = letter[:-2] & _MASK[raw[1:-1]] & letter[2:] if len(raw) > 2 else False
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+    return np.stack([np.diff(at), sums(_UPPER[raw]), sums(_PUNCT[raw]), sums(_LOUD[raw]), sums(masked)], 1).astype(float)
+
+
+def features(text: pa.Array, lower: pa.Array, lexes, which: np.ndarray) -> np.ndarray:
+    """Dense features of each whole text (bytes, and lower-cased bytes), by the lexicon of number ``which``; zeros for empty texts."""
+    out = np.zeros((len(text), FEATURES))
+    you = _you()
+    for lo, bounds, row, terms in _terms(lower):
+        rows = len(bounds) - 1
+        n = np.maximum(np.diff(bounds), 1)
+        odds = np.zeros((2, len(row)))
+        for i, lex in enumerate(lexes):
+            at = which[lo + row] == i
+            odds[0, at] = _look(lex, terms[0][at])
+            odds[1, at] = np.max([_look(lex, h[at]) for h in terms[1:]], axis=0)
+        count = lambda weights: np.bincount(row, weights, rows)
+        whole, heads = count(odds[0] > 0), count(odds[1] > 0)
+        hit = np.flatnonzero(odds.max(0))
+        best = np.zeros(rows)
+        np.maximum.at(best, row[hit], odds[:, hit].max(0))
+        kinds = pd.DataFrame({"row": row[hit], "term": terms[0][hit]}).drop_duplicates()["row"].to_numpy()
+        place = np.arange(len(row)) + row * 100  # texts stand apart
+        second = place[np.isin(terms[0], you)]
+        near = np.zeros(rows)
+        if len(second) and len(hit):
+            j = np.searchsorted(second, place[hit])
+            gap = np.minimum(np.abs(second[np.minimum(j, len(second) - 1)] - place[hit]), np.abs(second[np.maximum(j - 1, 0)] - place[hit]))
+            near = np.bincount(row[hit], gap <= 5, rows)
+        out[lo : lo + rows, :11] = np.stack(
+            [whole / n, np.log1p(whole), count(odds[0]) / n, heads / n, np.log1p(heads), count(odds[1]) / n, best,
+             np.bincount(kinds, minlength=rows), near / n, np.log1p(near), np.log1p(np.diff(bounds))], 1
+        )
+    rates = _rates(text)
+    out[:, 11:15] = rates[:, 1:] / np.maximum(rates[:, :1], 1)
+    return out
 
 
 def _features(lexes, column, which=None):
     """A column of features by the lexicon of number ``which`` (a column), or by the only one."""
 
-    @F.pandas_udf("array<double>")
-    def of(text: pd.Series, nr: pd.Series) -> pd.Series:
-        own = lexes.value
-        return pd.Series([features(t, own[i]) for t, i in zip(text, nr)])
+    @F.arrow_udf("array<double>")
+    def of(text: pa.Array, lower: pa.Array, nr: pa.Array) -> pa.Array:
+        x = features(text, lower, lexes.value, nr.to_numpy())
+        return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
 
-    return of(column, F.lit(0) if which is None else which)
+    return of(column.cast("binary"), F.lower(column).cast("binary"), F.lit(0) if which is None else which)
 
 
 def score(
@@ -154,8 +171,8 @@ def score(
     # At most ``sample`` narrow rows are broadcast.
     rows = texts.join(F.broadcast(known), "_id").select((F.col("_fold") % 2).cast("int").alias("half"), "_fold", "_toxic", "_text")
     rows = kept(spark, rows, "labelled")
-    counts = rows.select("half", "_toxic", "_text").mapInArrow(_count, "half int, toxic int, kind int, term string, n long")
-    counts = kept(spark, counts.groupBy("half", "toxic", "kind", "term").agg(F.sum("n").alias("n")), "terms")
+    counts = rows.select("half", "_toxic", F.lower("_text").cast("binary")).mapInArrow(_count, "half int, toxic int, term long, n long")
+    counts = kept(spark, counts.groupBy("half", "toxic", "term").agg(F.sum("n").alias("n")), "terms")
     cross = spark.sparkContext.broadcast([lexicon(counts, (1,), terms), lexicon(counts, (0,), terms)])  # by the half of the row
     both = spark.sparkContext.broadcast([lexicon(counts, (0, 1), terms)])
     train = rows.select("_fold", F.col("_toxic").cast("double").alias("label"), _features(cross, F.col("_text"), F.col("half")).alias("x"))
@@ -164,7 +181,7 @@ def score(
     out = docs.withColumn("_x", _features(both, F.col(text_col)))
     if seen.get((False, 1.0), 0) and seen.get((False, 0.0), 0):
         train = train.select("_fold", "label", array_to_vector("x").alias("features")).repartition(4).cache()
-        trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, seed=7).fit(train.where("_fold <> 1"))
+        trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.25, minInstancesPerNode=5, seed=7).fit(train.where("_fold <> 1"))
         margin = vector_to_array("rawPrediction")[1]
         held = trees.transform(train).where("_fold = 1").select("label", margin.alias("margin"))
         train.unpersist()
