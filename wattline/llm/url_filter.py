@@ -64,12 +64,12 @@ def longest_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 def grams(host: Column, path: Column, sizes=(3, 4, 5)) -> Column:
     """Character n-grams of host and path, each marked with where it is from."""
-    parts = []
-    for mark, text in (("h", F.concat(F.lit("."), host, F.lit("."))), ("p", F.lower(path))):
-        for n in sizes:
-            places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(places, lambda i, t=text, n=n, m=mark: F.concat(F.lit(m), F.substring(t, i, F.lit(n)))))
-    return F.concat(*parts)
+    def pieces(mark: str, text: Column, n: int) -> Column:
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+
+    sides = ("h", F.concat(F.lit("."), host, F.lit("."))), ("p", F.lower(path))
+    return F.concat(*[pieces(mark, text, n) for mark, text in sides for n in sizes])
 
 
 def train(spark: SparkSession, labelled: DataFrame, features: int = 1 << 14):
