@@ -2,10 +2,741 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import evaluate as E
+from ..operators import models as M
+from ..operators import profile as P
+from ..operators import series as S
+from ..sources import tables as T
+
+#: Parts of the SQL twins, in order; each may use those before it.
+PARTS = {
+    "readings": "SELECT CAST(event_type AS VARCHAR) AS series_id, date_trunc('minute', ts) AS ts, avg(value) AS v FROM events GROUP BY 1, 2",
+    "users": "SELECT CAST(user_id AS VARCHAR) AS series_id, date_trunc('minute', ts) AS ts, avg(value) AS v FROM events GROUP BY 1, 2",
+    "gaps": """SELECT * FROM (SELECT series_id, ts, v AS lo, lead(ts) OVER w AS next_ts, lead(v) OVER w AS hi, date_diff('minute', ts, lead(ts) OVER w) - 1 AS length
+        FROM readings WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE length > 0""",
+    "ugaps": """SELECT * FROM (SELECT series_id, ts, date_diff('minute', ts, lead(ts) OVER w) - 1 AS length
+        FROM users WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE length > 0""",
+    "fills": "SELECT *, unnest(range(1, length + 1)) AS i FROM gaps WHERE length <= 1440",
+    "minute": """SELECT series_id, ts, v, 0 AS impute_flag FROM readings UNION ALL SELECT series_id, ts + to_minutes(CAST(i AS INTEGER)),
+        CASE WHEN length <= 119 THEN lo + (hi - lo) * i / (length + 1) ELSE lo END, CASE WHEN length <= 119 THEN 1 ELSE 2 END FROM fills""",
+    "hours": """SELECT series_id, date_trunc('hour', ts) AS ts, avg(v) AS kw, sum(v) / 60 AS kwh, max(impute_flag) AS impute_flag, count(v) AS n
+        FROM minute GROUP BY 1, 2""",
+    "spine": "SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM hours GROUP BY series_id",
+    "hourly": """SELECT s.series_id, s.ts, CASE WHEN n = 60 THEN kw END AS kw, CASE WHEN n = 60 THEN kwh END AS kwh,
+        CASE WHEN n = 60 THEN impute_flag END AS impute_flag, coalesce(n, 0) AS n_valid_min FROM spine s LEFT JOIN hours h ON s.series_id = h.series_id AND s.ts = h.ts""",
+    "days": """SELECT series_id, unnest(generate_series(min(date_trunc('day', ts)), max(date_trunc('day', ts)), INTERVAL 1 DAY)) AS ts FROM hourly GROUP BY series_id""",
+    "daily": """SELECT d.series_id, d.ts, avg(h.kw) AS kw FROM days d LEFT JOIN hourly h ON d.series_id = h.series_id AND date_trunc('day', h.ts) = d.ts GROUP BY 1, 2""",
+    "marked": """SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR date_diff('hour', lag(ts) OVER w, ts) > 1 THEN 1 ELSE 0 END AS fresh
+        FROM hourly WHERE kw IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY ts)""",
+    "segs": "SELECT series_id, ts, kw, CAST(sum(fresh) OVER (PARTITION BY series_id ORDER BY ts) AS BIGINT) AS segment_id FROM marked",
+    "stats": """SELECT series_id, segment_id, min(ts) AS start, max(ts) AS "end", count(*) AS length_hours, greatest(0, count(*) - 191) AS n_windows
+        FROM segs GROUP BY 1, 2""",
+    "placed": "SELECT *, row_number() OVER (PARTITION BY series_id, segment_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY series_id, segment_id) AS n FROM segs",
+    "origins": "SELECT series_id, segment_id, ts AS origin_ts FROM placed WHERE rn >= 168 AND rn <= n - 24",
+    "daycount": "SELECT series_id, date_trunc('day', origin_ts) AS day, count(*) AS n FROM origins GROUP BY 1, 2",
+    "ordered": "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS total FROM origins",
+    "cuts": """SELECT series_id, date_trunc('day', min(CASE WHEN idx = floor(round(total * 0.70, 6)) THEN origin_ts END)) AS cut_val,
+        date_trunc('day', min(CASE WHEN idx = floor(round(total * 0.85, 6)) THEN origin_ts END)) AS cut_test FROM ordered GROUP BY 1""",
+    "split": """SELECT o.series_id, o.segment_id, o.origin_ts, c.cut_val, c.cut_test,
+        CASE WHEN origin_ts < cut_val THEN 'train' WHEN origin_ts < cut_test THEN 'val' ELSE 'test' END AS split FROM origins o JOIN cuts c ON o.series_id = c.series_id""",
+    "evals": "SELECT * FROM split WHERE split <> 'train'",
+    "blocks": """SELECT *, min(origin_ts) OVER (PARTITION BY series_id, block) AS block_start FROM (SELECT *,
+        CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id), origin_ts) / 24.0) AS BIGINT) AS block FROM evals)""",
+    "targets": """SELECT series_id, segment_id, ts, kw AS y, lag(kw, 24) OVER (PARTITION BY series_id, segment_id ORDER BY ts) AS seasonal_naive,
+        sum(kw) OVER (PARTITION BY series_id, segment_id, hour(ts) ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) / 7 AS same_hour_mean FROM segs""",
+    "ahead": """SELECT o.series_id, o.segment_id, o.origin_ts, s.kw AS persistence, unnest(range(1, 25)) AS horizon
+        FROM origins o JOIN segs s ON s.series_id = o.series_id AND s.ts = o.origin_ts""",
+    "aimed": "SELECT *, origin_ts + to_hours(CAST(horizon AS INTEGER)) AS target_ts FROM ahead",
+    "truth": """SELECT a.*, t.y, t.seasonal_naive, t.same_hour_mean FROM aimed a JOIN targets t ON t.series_id = a.series_id AND t.ts = a.target_ts""",
+    "pred": """SELECT series_id, segment_id, origin_ts, 'persistence' AS model, horizon, y, persistence AS y_hat FROM truth
+        UNION ALL SELECT series_id, segment_id, origin_ts, 'seasonal_naive', horizon, y, seasonal_naive FROM truth
+        UNION ALL SELECT series_id, segment_id, origin_ts, 'same_hour_mean', horizon, y, same_hour_mean FROM truth""",
+    "pooled": """SELECT model, count(*) AS n, avg(abs(y_hat - y)) AS mae, sqrt(avg((y_hat - y) * (y_hat - y))) AS rmse,
+        avg(CASE WHEN abs(y) + abs(y_hat) > 1e-8 THEN 2 * abs(y_hat - y) / (abs(y) + abs(y_hat)) END) AS smape,
+        1 - sum((y_hat - y) * (y_hat - y)) / (var_pop(y) * count(y)) AS r2 FROM pred GROUP BY 1""",
+    "byh": """SELECT model, horizon, count(*) AS n, avg(abs(y_hat - y)) AS mae, sqrt(avg((y_hat - y) * (y_hat - y))) AS rmse,
+        avg(CASE WHEN abs(y) + abs(y_hat) > 1e-8 THEN 2 * abs(y_hat - y) / (abs(y) + abs(y_hat)) END) AS smape,
+        1 - sum((y_hat - y) * (y_hat - y)) / (var_pop(y) * count(y)) AS r2 FROM pred GROUP BY 1, 2""",
+}
+
+
+#: Added before rounding to four places on both sides, so that values halfway between two roundings fall alike.
+NUDGE = 3.14159265e-06
+
+
+def _uses(sql: str) -> list[str]:
+    import re
+
+    return [p for p in PARTS if re.search(rf"\b{p}\b", sql)]
+
+
+def sql(body: str) -> str:
+    """body with the parts that it uses, and theirs, as common table expressions."""
+    need, todo = set(), _uses(body)
+    while todo:
+        p = todo.pop()
+        if p not in need:
+            need.add(p)
+            todo += [q for q in _uses(PARTS[p]) if q != p]
+    parts = [f"{p} AS MATERIALIZED ({PARTS[p]})" for p in PARTS if p in need]
+    body = body.replace(", 4) AS", f" + {NUDGE!r}, 4) AS").replace(", 4) END", f" + {NUDGE!r}, 4) END")
+    return f"WITH {', '.join(parts)} {body}" if parts else body
+
+
+QUERIES, SQL = {}, {}
+
+
+def query(name: str, body: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        f.__name__ = name
+        if body:
+            SQL[name] = sql(body)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[F.round(F.col(c) + F.lit(NUDGE if digits == 4 else 0.0), digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return T.read_table(spark, f"{d}/{name}.parquet")
+
+
+def minutes(spark, d, key="event_type"):
+    return T.readings(table(spark, d, "events"), key)
+
+
+def hourly(spark, d):
+    return S.resample_hourly(S.impute(minutes(spark, d)))
+
+
+def segments(spark, d):
+    return S.assign_segments(hourly(spark, d))
+
+
+def windowed(spark, d):
+    return S.windows(segments(spark, d))
+
+
+def origins(spark, d):
+    return S.window_origins(segments(spark, d))
+
+
+def split(spark, d):
+    return E.time_split(origins(spark, d))
+
+
+def predictions(spark, d):
+    return E.predict_baselines(windowed(spark, d))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for what a query writes and reads again, in the shared place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/wattline-{uuid.uuid4().hex}"
+
+
+R4 = lambda *cols: ", ".join(f"round({c}, 4) AS {c}" for c in cols)
+
+
+# --- A: sources and sinks
+
+
+@query("a1_read_readings")
+def _(spark, d):
+    path = scratch(spark)
+    rows = minutes(spark, d).select(F.date_format("ts", "d/M/yyyy").alias("Date"), F.date_format("ts", "H:mm:ss").alias("Time"), F.when(F.col("v") > 1, F.round("v", 3)).alias("v"), "series_id")
+    rows.select("Date", "Time", "v").write.csv(path, sep=";", header=True, nullValue="?")
+    return T.parse_ts(T.read_readings(spark, path, ["v"])).select("ts", "v")
+
+
+SQL["a1_read_readings"] = sql("SELECT ts, CASE WHEN v > 1 THEN round(v, 3) END AS v FROM readings")
+
+
+@query("a2_parse_ts", "SELECT ts, count(*) AS n FROM readings GROUP BY 1")
+def _(spark, d):
+    text = minutes(spark, d).select(F.date_format("ts", "d/M/yyyy").alias("Date"), F.date_format("ts", "H:mm:ss").alias("Time"))
+    return T.parse_ts(text).groupBy("ts").agg(F.count("*").alias("n"))
+
+
+@query("a3_read_table", "SELECT event_id, ts, value FROM events")
+def _(spark, d):
+    return T.read_table(spark, f"{d}/events.parquet", ["event_id", "ts", "value"])
+
+
+@query("a4_write_table", "SELECT series_id, count(*) AS n FROM readings GROUP BY 1")
+def _(spark, d):
+    path = scratch(spark)
+    T.write_table(minutes(spark, d).withColumn("day", F.to_date("ts")), path, ["day"])
+    return T.read_table(spark, path).groupBy("series_id").agg(F.count("*").alias("n"))
+
+
+@query("a5_report", "SELECT series_id, segment_id, length_hours, n_windows FROM stats")
+def _(spark, d):
+    path = scratch(spark)
+    T.write_report(S.segment_stats(segments(spark, d)).select("series_id", "segment_id", "length_hours", "n_windows"), path)
+    return T.read_report(spark, path, "series_id string, segment_id long, length_hours long, n_windows long")
+
+
+@query("a6_prediction_store", "SELECT model AS run_id, count(*) AS n FROM pred WHERE model <> 'seasonal_naive' GROUP BY 1")
+def _(spark, d):
+    path, pred = scratch(spark), predictions(spark, d)
+    for run in ("persistence", "same_hour_mean"):
+        T.save_predictions(pred.where(F.col("model") == run), path, run, "test")
+    T.save_predictions(pred.where("model = 'seasonal_naive'"), path, "seasonal_naive", "val")
+    return T.load_predictions(spark, path, "test").groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query("a7_run_summary", "SELECT model, n FROM pooled")
+def _(spark, d):
+    path = scratch(spark)
+    T.append_run_summary(E.metrics_pooled(predictions(spark, d)), path)
+    return spark.read.schema("model string, n long").json(path)
+
+
+# --- B: projections and predicates
+
+
+@query("b1_calendar", "SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS dow, CAST(isodow(ts) >= 6 AS BIGINT) AS is_weekend FROM events")
+def _(spark, d):
+    return C.calendar_features(table(spark, d, "events")).select("event_id", "hour", "dow", "is_weekend")
+
+
+@query("b2_power_factor", """SELECT l_orderkey, l_linenumber, round(l_discount / sqrt(l_discount * l_discount + l_tax * l_tax), 6) AS pf FROM lineitem WHERE l_discount > 0.01""")
+def _(spark, d):
+    rows = C.power_factor(table(spark, d, "lineitem"), "l_discount", "l_tax")
+    return rows.select("l_orderkey", "l_linenumber", F.round("pf", 6).alias("pf"))
+
+
+@query("b3_units", "SELECT series_id, round(sum(v) / 60, 4) AS kwh, round(avg(v) * 60 * 24 / 1000, 4) AS wh_day, round(avg(v) * 24, 4) AS kw_day FROM readings GROUP BY 1")
+def _(spark, d):
+    v = F.avg("v")
+    return rounded(minutes(spark, d).groupBy("series_id").agg(C.kwh_of_minutes(F.sum("v")).alias("kwh"), C.kwh_per_day_of_wh(v).alias("wh_day"), C.kwh_per_day_of_kw(v).alias("kw_day")))
+
+
+@query("b4_mask_agreement", """SELECT count(*) AS n_rows, CAST(count(*) FILTER ((kw IS NULL) <> (kwh IS NULL) OR (kw IS NULL) <> (impute_flag IS NULL)) AS BIGINT) AS n_disagree,
+    count(*) FILTER ((kw IS NULL) <> (kwh IS NULL) OR (kw IS NULL) <> (impute_flag IS NULL)) = 0 AS ok FROM hourly""")
+def _(spark, d):
+    return P.check_mask_agreement(hourly(spark, d), ["kw", "kwh", "impute_flag"])
+
+
+@query("b5_date_range", "SELECT event_id, ts FROM events WHERE ts BETWEEN (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY FROM events) AND (SELECT date_trunc('day', min(ts)) + INTERVAL 4 DAY FROM events)")
+def _(spark, d):
+    e = table(spark, d, "events")
+    lo = e.agg(C.floor_day(F.min("ts")).alias("lo"))
+    return e.crossJoin(F.broadcast(lo)).where(F.col("ts").between(C.plus_hours(F.col("lo"), 24), C.plus_hours(F.col("lo"), 96))).select("event_id", "ts")
+
+
+# --- C: joins
+
+
+@query("c1_dense_spine", "SELECT series_id, ts FROM spine")
+def _(spark, d):
+    return S.dense_spine(S.impute(minutes(spark, d)))
+
+
+@query("c2_assign_interval", """SELECT h.series_id, h.ts, s.segment_id FROM hourly h LEFT JOIN stats s ON h.series_id = s.series_id AND h.ts BETWEEN s.start AND s."end" """)
+def _(spark, d):
+    h = hourly(spark, d)
+    return E.assign_interval(h.select("series_id", "ts"), S.segment_stats(S.assign_segments(h)))
+
+
+@query("c3_attach_truth", "SELECT model, count(*) AS n, count(y) AS matched FROM pred GROUP BY 1")
+def _(spark, d):
+    rows = E.attach_truth(predictions(spark, d), hourly(spark, d))
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("y")).alias("matched"))
+
+
+@query("c4_restrict_to", """SELECT p.model, count(*) AS n FROM pred p JOIN evals e ON p.series_id = e.series_id AND p.origin_ts = e.origin_ts GROUP BY 1""")
+def _(spark, d):
+    return E.restrict_to(predictions(spark, d), split(spark, d).where("split <> 'train'")).groupBy("model").agg(F.count("*").alias("n"))
+
+
+@query("c5_train_before_block", """SELECT b.series_id, b.block, count(*) AS n_train FROM (SELECT DISTINCT series_id, block, block_start FROM blocks) b
+    JOIN origins o ON o.series_id = b.series_id AND o.origin_ts < b.block_start - INTERVAL 24 HOUR GROUP BY 1, 2""")
+def _(spark, d):
+    s = split(spark, d)
+    b = E.rolling_blocks(s.where("split <> 'train'"), hours=24).select("series_id", "block", "block_start").distinct()
+    return E.train_before_block(s, b).groupBy("series_id", "block").agg(F.count("*").alias("n_train"))
+
+
+@query("c6_delta_vs", f"SELECT p.model, {R4('p.mae').replace('AS p.mae', 'AS mae')}, round(p.mae - b.mae, 4) AS delta_mae FROM pooled p, pooled b WHERE b.model = 'persistence'")
+def _(spark, d):
+    return rounded(E.delta_vs(E.metrics_pooled(predictions(spark, d)), "persistence"))
+
+
+@query("c7_reconcile", "SELECT model, unnest(['mae', 'rmse', 'smape', 'r2']) AS metric, true AS ok FROM pooled")
+def _(spark, d):
+    pred = predictions(spark, d)
+    pred.createOrReplaceTempView("predictions_for_reconcile")
+    other = spark.sql("""SELECT model, avg(abs(y_hat - y)) AS mae, sqrt(avg(power(y_hat - y, 2))) AS rmse, avg(CASE WHEN abs(y) + abs(y_hat) > 1e-8
+        THEN 2 * abs(y_hat - y) / (abs(y) + abs(y_hat)) END) AS smape, 1 - try_divide(sum(power(y_hat - y, 2)), sum(y * y) - sum(y) * sum(y) / count(y)) AS r2
+        FROM predictions_for_reconcile GROUP BY model""")
+    return E.reconcile(E.metrics_pooled(pred), other, ["model"], ["mae", "rmse", "smape", "r2"]).select("model", "metric", "ok")
+
+
+# --- D: aggregations
+
+LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM lineitem" for c in LI)
+
+
+@query("d1_profile_columns", f"""SELECT col, count(*) - count(value) AS missing, (count(*) - count(value)) / count(*) AS missing_rate, count(DISTINCT value) AS n_distinct,
+    count(*) FILTER (value = 0) AS zeros, round(count(*) FILTER (value = 0) / count(*), 4) AS zero_rate, round(avg(value), 4) AS mean, round(median(value), 4) AS median,
+    round(max(value), 4) AS max FROM ({_LONG}) GROUP BY 1""")
+def _(spark, d):
+    return rounded(P.profile_columns(table(spark, d, "lineitem"), LI))
+
+
+@query("d2_quantiles", f"""SELECT col, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS q,
+    round(unnest(quantile_cont(value, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])), 4) AS value FROM ({_LONG}) GROUP BY col""")
+def _(spark, d):
+    return rounded(P.profile_quantiles(table(spark, d, "lineitem"), LI))
+
+
+@query("d3_top_values", f"""SELECT col, rank, value, n FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS rank FROM
+    (SELECT col, value, count(*) AS n FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 3""")
+def _(spark, d):
+    return rounded(P.top_values(table(spark, d, "lineitem"), LI), 6)
+
+
+@query("d4_profile_time", """SELECT series_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, count(*) - count(DISTINCT ts) AS n_dup, count(*) FILTER (bad) = 0 AS increasing,
+    date_diff('minute', min(ts), max(ts)) + 1 AS expected, date_diff('minute', min(ts), max(ts)) + 1 - count(DISTINCT ts) AS absent
+    FROM (SELECT series_id, ts, ts <= lag(ts) OVER (PARTITION BY series_id ORDER BY event_id) AS bad FROM
+    (SELECT event_type AS series_id, event_id, date_trunc('minute', ts) AS ts FROM events)) GROUP BY 1""")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("series_id"), "event_id", C.trunc("MINUTE", "ts").alias("ts"))
+    return P.profile_time(e, "event_id")
+
+
+@query("d5_gap_buckets", """SELECT g.series_id, bucket, count(*) AS n, round(sum(length) / any_value(total), 4) AS share FROM (SELECT *, CASE WHEN length >= 1440 THEN '24h+'
+    WHEN length >= 120 THEN '2-24h' WHEN length >= 60 THEN '1-2h' END AS bucket FROM ugaps) g JOIN (SELECT series_id, sum(length) AS total FROM ugaps GROUP BY 1) t
+    ON g.series_id = t.series_id WHERE bucket IS NOT NULL GROUP BY 1, 2""")
+def _(spark, d):
+    return rounded(P.gap_buckets(S.gaps(minutes(spark, d, "user_id"))))
+
+
+@query("d5_gap_summary", """SELECT series_id, count(*) AS n, max(length) AS longest, min(length) AS shortest, count(*) FILTER (length > 1440) AS n_over_day,
+    round(coalesce(sum(length) FILTER (length > 1440), 0) / sum(length), 4) AS share_over_day FROM ugaps GROUP BY 1""")
+def _(spark, d):
+    return rounded(P.gap_summary(S.gaps(minutes(spark, d, "user_id"))))
+
+
+_BINS = " ".join(f"WHEN length > {a * 60} AND length <= {b * 60} THEN '({a},{b}]'" for a, b in zip(P.HOUR_BINS[:-1], P.HOUR_BINS[1:]))
+
+
+@query("d6_gap_histogram", f"SELECT bin, count(*) AS n FROM (SELECT CASE {_BINS} END AS bin FROM ugaps) WHERE bin IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return P.gap_histogram(S.gaps(minutes(spark, d, "user_id")))
+
+
+@query("d7_resample_hourly", f"SELECT series_id, ts, {R4('kw', 'kwh')}, CAST(impute_flag AS BIGINT) AS impute_flag, n_valid_min FROM hourly")
+def _(spark, d):
+    return rounded(hourly(spark, d))
+
+
+@query("d8_resample_daily", f"SELECT series_id, ts, {R4('kw')} FROM daily")
+def _(spark, d):
+    return rounded(S.resample_daily(hourly(spark, d)))
+
+
+@query("d9_hour_profile", """SELECT hour(ts) AS hour, round(avg(kw), 4) AS all_days, round(avg(kw) FILTER (isodow(ts) < 6), 4) AS weekday,
+    round(avg(kw) FILTER (isodow(ts) >= 6), 4) AS weekend FROM hourly GROUP BY 1""")
+def _(spark, d):
+    return rounded(P.hour_profile(hourly(spark, d)))
+
+
+@query("d10_year_profile", "SELECT year(o_orderdate) AS year, round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS median FROM orders GROUP BY 1")
+def _(spark, d):
+    return rounded(P.year_profile(table(spark, d, "orders"), "o_totalprice", "o_orderdate"), 2)
+
+
+_PF = "(SELECT l_discount / sqrt(l_discount * l_discount + l_tax * l_tax) AS pf FROM lineitem WHERE l_discount > 0.01)"
+
+
+@query("d11_power_factor_stats", f"""SELECT round(quantile_cont(pf, 0.5), 4) AS median, round(quantile_cont(pf, 0.001), 4) AS p0_1, round(quantile_cont(pf, 0.01), 4) AS p1,
+    round(quantile_cont(pf, 0.99), 4) AS p99, round(avg(CAST(pf < 0.9 AS DOUBLE)), 4) AS share_low, count(*) AS n FROM {_PF}""")
+def _(spark, d):
+    return rounded(P.power_factor_stats(C.power_factor(table(spark, d, "lineitem"), "l_discount", "l_tax")))
+
+
+@query("d11_power_factor_hist", f"""SELECT bin, count(*) AS n FROM (SELECT CASE WHEN pf = 1 THEN 80 WHEN pf >= 0.85 AND pf < 1 THEN CAST(floor((pf - 0.85) / ((1.0::DOUBLE - 0.85::DOUBLE) / 80)) AS BIGINT) + 1 END AS bin
+    FROM {_PF}) WHERE bin IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    return P.power_factor_hist(C.power_factor(table(spark, d, "lineitem"), "l_discount", "l_tax"))
+
+
+@query("d12_submeter_share", """SELECT col, round(avg(value) * 60 * 24 / 1000, 3) AS kwh_day, round(round(avg(value) * 60 * 24 / 1000, 3) / (SELECT avg(l_quantity) * 24 FROM lineitem), 4) AS share
+    FROM (SELECT 'l_tax' AS col, l_tax AS value FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem) GROUP BY 1""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    return rounded(P.submeter_share(li, li.agg(F.avg("l_quantity").alias("mean_kw")), ["l_tax", "l_discount"]))
+
+
+@query("d13_segment_stats", """SELECT series_id, segment_id, start, "end", length_hours, n_windows, round(n_windows / nullif(sum(n_windows) OVER (PARTITION BY series_id), 0), 4) AS window_share FROM stats""")
+def _(spark, d):
+    return rounded(S.segment_stats(segments(spark, d)))
+
+
+SCORES = R4("mae", "rmse", "smape", "r2")
+
+
+@query("d14_metrics_pooled", f"SELECT model, n, {SCORES} FROM pooled")
+def _(spark, d):
+    return rounded(E.metrics_pooled(predictions(spark, d)))
+
+
+@query("d15_metrics_by_horizon", f"SELECT model, horizon, n, {SCORES} FROM byh")
+def _(spark, d):
+    return rounded(E.metrics_by_horizon(predictions(spark, d)))
+
+
+@query("d15_horizon_mean", "SELECT model, round(avg(mae), 4) AS mae, round(avg(rmse), 4) AS rmse, round(avg(smape), 4) AS smape, round(avg(r2), 4) AS r2 FROM byh GROUP BY 1")
+def _(spark, d):
+    return rounded(E.metrics_horizon_mean(predictions(spark, d)))
+
+
+_SLICES = """SELECT model, abs(y_hat - y) AS e, y, origin_ts, origin_ts + to_hours(CAST(horizon AS INTEGER)) AS t FROM pred"""
+_SLICE = "count(*) AS n, round(avg(e), 4) AS mae, round(avg(y), 4) AS mean_y, round(avg(e) / avg(y), 4) AS nmae"
+
+
+@query("d16_error_attribution", f"""SELECT model, 'overall' AS dimension, 'all' AS slice, {_SLICE} FROM ({_SLICES}) GROUP BY model
+    UNION ALL SELECT model, 'time_of_day', CASE WHEN hour(t) <= 6 THEN 'night' WHEN hour(t) <= 17 THEN 'day' ELSE 'evening' END AS s, {_SLICE} FROM ({_SLICES}) GROUP BY model, s
+    UNION ALL SELECT model, 'kind_of_day', CASE WHEN isodow(t) >= 6 THEN 'weekend' ELSE 'weekday' END AS s, {_SLICE} FROM ({_SLICES}) GROUP BY model, s
+    UNION ALL SELECT model, 'quarter', 'Q' || quarter(origin_ts) AS s, {_SLICE} FROM ({_SLICES}) GROUP BY model, s""")
+def _(spark, d):
+    return rounded(E.error_attribution(predictions(spark, d)))
+
+
+@query("d17_granularity_bridge", """SELECT model, count(*) AS daily_n_days, round(avg(abs(p - y)), 4) AS daily_mae, round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)), 4) AS daily_r2
+    FROM (SELECT model, series_id, origin_ts, avg(y) AS y, avg(y_hat) AS p FROM pred WHERE hour(origin_ts) = 23 GROUP BY 1, 2, 3) GROUP BY 1""")
+def _(spark, d):
+    return rounded(E.granularity_bridge(predictions(spark, d)))
+
+
+_VAR = "(SELECT s.split, var_pop(y) AS variance, count(*) AS n FROM split s JOIN truth t ON s.series_id = t.series_id AND s.origin_ts = t.origin_ts GROUP BY 1)"
+
+
+@query("d18_target_variance", f"SELECT v.split, v.n, round(v.variance, 4) AS variance, round(v.variance / b.variance, 4) AS ratio_to_val FROM {_VAR} v, (SELECT variance FROM {_VAR} WHERE split = 'val') b")
+def _(spark, d):
+    pred = predictions(spark, d).where("model = 'persistence'")
+    return rounded(E.target_variance(pred.join(split(spark, d).select("series_id", "origin_ts", "split"), ["series_id", "origin_ts"])))
+
+
+@query("d19_coverage", """SELECT series_id, segment_id, CAST(sum(n) AS BIGINT) AS origins, CAST(sum(c) AS BIGINT) AS covered, CAST(sum(n - c) AS BIGINT) AS skipped, count(*) AS blocks,
+    count(*) FILTER (c = 0) AS skipped_blocks FROM (SELECT series_id, segment_id, block, count(*) AS n, count(*) FILTER (hour(origin_ts) < 12) AS c FROM blocks GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def _(spark, d):
+    s = split(spark, d).where("split <> 'train'")
+    return E.coverage_report(E.rolling_blocks(s, hours=24), s.where(F.hour("origin_ts") < 12))
+
+
+@query("d20_cv_summary", "SELECT model, count(*) AS folds, round(avg(mae), 4) AS mean_mae, round(stddev_pop(mae), 4) AS std_mae FROM byh GROUP BY 1")
+def _(spark, d):
+    return rounded(E.cv_summary(E.metrics_by_horizon(predictions(spark, d))))
+
+
+@query("d22_energy", """SELECT h.series_id, round(sum(m.e), 4) AS minute_kwh, round(sum(h.kwh), 4) AS hour_kwh, round(abs(sum(m.e) - sum(h.kwh)) / sum(m.e), 4) AS deviation, true AS ok
+    FROM hourly h JOIN (SELECT series_id, date_trunc('hour', ts) AS ts, sum(v) / 60 AS e FROM minute GROUP BY 1, 2) m ON h.series_id = m.series_id AND h.ts = m.ts
+    WHERE h.kwh IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    m = S.impute(minutes(spark, d))
+    return rounded(P.energy_conservation(m, S.resample_hourly(m)))
+
+
+CHECKS = ["raw_keys_unique", "raw_values_present", "minute_keys_unique", "originals_kept", "fills_present", "flags_known", "full_hours_valid", "partial_hours_null",
+          "minutes_in_range", "kw_equals_kwh", "segments_cover_valid_hours", "windows_not_negative", "segments_ordered"]
+
+
+@query("d23_invariants", f"""SELECT unnest({CHECKS}) AS "check", (SELECT count(*) FROM hourly WHERE (n_valid_min = 60) <> (kw IS NOT NULL)) = 0 AS ok""")
+def _(spark, d):
+    raw = minutes(spark, d)
+    m = S.impute(raw)
+    h = S.resample_hourly(m)
+    return E.run_invariants(raw, m, h, S.segment_stats(S.assign_segments(h)))
+
+
+# --- E: windows
+
+
+@query("e1_null_runs", """SELECT series_id, min(ts) AS start, max(ts) AS "end", count(*) AS length FROM (SELECT series_id, ts, kw, row_number() OVER (PARTITION BY series_id ORDER BY ts)
+    - row_number() OVER (PARTITION BY series_id, kw IS NULL ORDER BY ts) AS g FROM hourly) WHERE kw IS NULL GROUP BY series_id, g""")
+def _(spark, d):
+    return S.null_runs(hourly(spark, d), "kw")
+
+
+@query("e2_absent_runs", "SELECT series_id, ts, next_ts, length AS missing FROM gaps")
+def _(spark, d):
+    return S.absent_runs(minutes(spark, d))
+
+
+@query("e3_classify_gaps", """SELECT series_id, CASE WHEN length <= 119 THEN 'short' WHEN length <= 1440 THEN 'mid' ELSE 'long' END AS class, count(*) AS n_gaps, CAST(sum(length) AS BIGINT) AS minutes
+    FROM ugaps GROUP BY 1, 2""")
+def _(spark, d):
+    return S.classify_gaps(S.gaps(minutes(spark, d, "user_id")))
+
+
+@query("e4_interpolate_short", "SELECT series_id, ts + to_minutes(CAST(i AS INTEGER)) AS ts, round(lo + (hi - lo) * i / (length + 1), 4) AS v, CAST(1 AS BIGINT) AS impute_flag FROM fills WHERE length <= 119")
+def _(spark, d):
+    return rounded(S.interpolate_short(minutes(spark, d)))
+
+
+@query("e5_ffill_mid", "SELECT series_id, ts + to_minutes(CAST(i AS INTEGER)) AS ts, round(lo, 4) AS v, CAST(2 AS BIGINT) AS impute_flag FROM fills WHERE length > 119")
+def _(spark, d):
+    return rounded(S.ffill_mid(minutes(spark, d)))
+
+
+@query("e6_impute", "SELECT series_id, ts, round(v, 4) AS v, CAST(impute_flag AS BIGINT) AS impute_flag FROM minute")
+def _(spark, d):
+    return rounded(S.impute(minutes(spark, d)))
+
+
+@query("e7_segments", f"SELECT series_id, ts, segment_id, {R4('kw')} FROM segs")
+def _(spark, d):
+    return rounded(segments(spark, d).select("series_id", "ts", "segment_id", "kw"))
+
+
+@query("e8_window_origins", "SELECT * FROM origins")
+def _(spark, d):
+    return origins(spark, d)
+
+
+@query("e9_lag_features", "SELECT series_id, segment_id, ts AS origin_ts, " + ", ".join(
+    f"round(lag(kw, {k - 1}) OVER w, 4) AS lag_{k}h" for k in S.LAGS) + " FROM segs WINDOW w AS (PARTITION BY series_id, segment_id ORDER BY ts)")
+def _(spark, d):
+    return rounded(S.lag_features(segments(spark, d)))
+
+
+_W = "OVER (PARTITION BY series_id, segment_id ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+@query("e10_rolling_features", f"""SELECT series_id, segment_id, ts AS origin_ts, CASE WHEN count(*) {_W.format(23)} = 24 THEN round(avg(kw) {_W.format(23)}, 4) END AS roll_mean_24h,
+    CASE WHEN count(*) {_W.format(23)} = 24 THEN round(stddev_samp(kw) {_W.format(23)}, 4) END AS roll_std_24h,
+    CASE WHEN count(*) {_W.format(167)} = 168 THEN round(avg(kw) {_W.format(167)}, 4) END AS roll_mean_168h FROM segs""")
+def _(spark, d):
+    return rounded(S.rolling_features(segments(spark, d)))
+
+
+@query("e11_targets", "SELECT series_id, origin_ts, horizon, round(y, 4) AS y FROM truth")
+def _(spark, d):
+    rows = windowed(spark, d).select("series_id", "origin_ts", F.posexplode("y").alias("h", "y"))
+    return rounded(rows.select("series_id", "origin_ts", (F.col("h") + 1).cast("long").alias("horizon"), "y"))
+
+
+@query("e12_rolling_daily", """SELECT series_id, ts, round(kw, 4) AS kw, CASE WHEN count(kw) OVER w >= 15 THEN round(avg(kw) OVER w, 4) END AS roll FROM daily
+    WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+def _(spark, d):
+    return rounded(S.rolling_daily(S.resample_daily(hourly(spark, d))))
+
+
+@query("e13_rank_models", "SELECT horizon, model, rank() OVER (PARTITION BY horizon ORDER BY round(mae, 9)) AS rank FROM byh")
+def _(spark, d):
+    return E.rank_models(E.metrics_by_horizon(predictions(spark, d)), "horizon").select("horizon", "model", "rank")
+
+
+@query("e13_rank_flips", """SELECT a.model, a.rank AS rank_a, b.rank AS rank_b, a.rank <> b.rank AS flip FROM (SELECT model, rank() OVER (ORDER BY round(mae, 9)) AS rank FROM byh WHERE horizon = 1) a
+    JOIN (SELECT model, rank() OVER (ORDER BY round(mae, 9)) AS rank FROM byh WHERE horizon = 24) b ON a.model = b.model""")
+def _(spark, d):
+    r = E.rank_models(E.metrics_by_horizon(predictions(spark, d)), "horizon")
+    return E.rank_flips(r.where("horizon = 1"), r.where("horizon = 24"))
+
+
+@query("e14_horizon_growth", "SELECT model, round(max(mae) FILTER (horizon = 24) / max(mae) FILTER (horizon = 1) - 1, 4) AS growth FROM byh GROUP BY 1")
+def _(spark, d):
+    return rounded(E.horizon_growth(E.metrics_by_horizon(predictions(spark, d))))
+
+
+# --- F, G: order and sets
+
+
+@query("f1_leaderboard", f"SELECT model, n, {SCORES} FROM pooled")
+def _(spark, d):
+    return rounded(E.leaderboard(E.metrics_pooled(predictions(spark, d)), 12))
+
+
+QUERIES["leaderboard"], SQL["leaderboard"] = QUERIES["f1_leaderboard"], SQL["f1_leaderboard"]
+
+
+@query("f2_worst_hours", "SELECT series_id, ts, 0.0::DOUBLE AS off FROM hourly WHERE kwh IS NOT NULL ORDER BY series_id, ts LIMIT 5")
+def _(spark, d):
+    m = S.impute(minutes(spark, d))
+    return P.worst_hours(S.resample_hourly(m), m)
+
+
+@query("f3_cap_per_group", """SELECT series_id, origin_ts FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY origin_ts DESC) AS r FROM origins) WHERE r <= 100""")
+def _(spark, d):
+    return S.cap_per_group(origins(spark, d), ["series_id"], "origin_ts", 100, "last").select("series_id", "origin_ts")
+
+
+@query("g1_common_origins", "SELECT series_id, origin_ts FROM origins WHERE hour(origin_ts) < 20")
+def _(spark, d):
+    pred = predictions(spark, d).where((F.col("model") != "persistence") | (F.hour("origin_ts") < 20))
+    return E.common_origins(pred, 3)
+
+
+@query("g2_assemble", "SELECT model, n, round(mae, 4) AS mae, NULL::BIGINT AS horizon FROM pooled UNION ALL SELECT model, n, round(mae, 4), horizon FROM byh")
+def _(spark, d):
+    pred = predictions(spark, d)
+    parts = E.metrics_pooled(pred).select("model", "n", "mae"), E.metrics_by_horizon(pred).select("model", "n", "mae", "horizon")
+    return rounded(E.assemble_results(*parts))
+
+
+# --- H: functions
+
+
+@query("h1_smape_term", "SELECT l_orderkey, l_linenumber, round(CASE WHEN abs(l_tax) + abs(l_discount) > 1e-8 THEN 2 * abs(l_discount - l_tax) / (abs(l_tax) + abs(l_discount)) END, 6) AS term FROM lineitem")
+def _(spark, d):
+    term = C.smape_term(F.col("l_tax"), F.col("l_discount"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(term, 6).alias("term"))
+
+
+@query("h2_dates", """SELECT event_id, date_trunc('day', ts) AS day, date_diff('minute', date_trunc('day', ts), ts) // 60 AS hours, CAST(floor((date_diff('minute', date_trunc('day', ts), ts) // 60) / 6.0) AS BIGINT) AS block,
+    year(ts) AS year, quarter(ts) AS quarter FROM events""")
+def _(spark, d):
+    day = C.floor_day("ts")
+    return table(spark, d, "events").select(
+        "event_id", day.alias("day"), C.hours_between(day, "ts").alias("hours"), C.block_no("ts", day, 6).alias("block"), F.year("ts").cast("long").alias("year"),
+        F.quarter("ts").cast("long").alias("quarter"),
+    )
+
+
+@query("h3_pack_unpack", "SELECT series_id, origin_ts, model, horizon, round(y_hat, 4) AS y_hat FROM pred")
+def _(spark, d):
+    keys = ["series_id", "origin_ts", "model"]
+    packed = C.pack_horizons(predictions(spark, d), keys)
+    return rounded(C.unpack_horizons(packed, keys))
+
+
+@query("h4_patchify", """SELECT vec_id, p AS patch, round(list_sum(list_transform(range(0, 16), lambda j: CAST(x[least(p * 8 + j, 63) + 1] AS DOUBLE))), 4) AS total
+    FROM (SELECT vec_id, embedding AS x, unnest(range(0, 8)) AS p FROM embeddings)""")
+def _(spark, d):
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(C.patchify(x, 64, 16, 8)).alias("patch", "v"))
+    return rounded(rows.select("vec_id", F.col("patch").cast("long").alias("patch"), F.aggregate("v", F.lit(0.0), lambda s, y: s + y).alias("total")))
+
+
+@query("h5_instance_norm", """SELECT vec_id, round(list_avg(x), 4) AS mu, round(list_stddev_pop(x), 4) AS sigma, round((x[1] - list_avg(x)) / list_stddev_pop(x), 4) AS z1, round(x[64], 4) AS back64
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)""")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", C.instance_norm(F.col("embedding").cast("array<double>")).alias("n"))
+    return rounded(rows.select("vec_id", "n.mu", "n.sigma", F.col("n.z")[0].alias("z1"), F.element_at(C.instance_denorm(F.col("n")), 64).alias("back64")))
+
+
+@query("h6_scaler", """SELECT l_orderkey, l_linenumber, round((l_quantity - m) / s, 4) AS l_quantity FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    stats = E.fit_scaler(li.where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")), ["l_quantity"])
+    return rounded(E.apply_scaler(li, stats, ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity"))
+
+
+# --- I: protocol
+
+
+@query("i1_time_split", "SELECT series_id, origin_ts, cut_val, cut_test, split FROM split")
+def _(spark, d):
+    return split(spark, d).select("series_id", "origin_ts", "cut_val", "cut_test", "split")
+
+
+@query("i2_cv_folds", """SELECT series_id, fold, count(*) AS n_val, min(origin_ts) AS first_val, any_value(n_train) AS n_train FROM (SELECT *, min(rn) OVER (PARTITION BY series_id, fold) AS n_train,
+    row_number() OVER (PARTITION BY series_id, fold ORDER BY origin_ts) AS place FROM (SELECT series_id, origin_ts, row_number() OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS rn,
+    ntile(4) OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS fold FROM split WHERE origin_ts < cut_test)) WHERE fold > 0 AND place <= 100 AND n_train >= 50 GROUP BY 1, 2 HAVING count(*) >= 20""")
+def _(spark, d):
+    folds = E.rolling_origin_folds(split(spark, d), cap=100, min_train=50, min_val=20)
+    return folds.groupBy("series_id", "fold").agg(F.count("*").alias("n_val"), F.min("origin_ts").alias("first_val"), F.max("n_train").cast("long").alias("n_train"))
+
+
+@query("i3_rolling_blocks", "SELECT series_id, origin_ts, block, block_start FROM blocks")
+def _(spark, d):
+    return E.rolling_blocks(split(spark, d).where("split <> 'train'"), hours=24).select("series_id", "origin_ts", "block", "block_start")
+
+
+@query("i4_block_plan", """SELECT b.series_id, b.segment_id, b.block, b.block_start, date_diff('hour', s.start, b.block_start) AS history, date_diff('hour', s.start, b.block_start) < 168 AS skip,
+    CASE WHEN date_diff('hour', s.start, b.block_start) - 168 >= 24 THEN least((date_diff('hour', s.start, b.block_start) - 168) // 4, 720) ELSE 0 END AS val_size
+    FROM (SELECT DISTINCT series_id, segment_id, block, min(origin_ts) OVER (PARTITION BY series_id, segment_id, block) AS block_start FROM (SELECT *,
+    CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id, segment_id), origin_ts) / 24.0) AS BIGINT) AS block FROM evals)) b
+    JOIN stats s ON s.series_id = b.series_id AND s.segment_id = b.segment_id""")
+def _(spark, d):
+    blocks = E.rolling_blocks(split(spark, d).where("split <> 'train'"), hours=24, anchor=("series_id", "segment_id"))
+    return E.block_plan(blocks, S.segment_stats(segments(spark, d)))
+
+
+@query("i5_alignment", """SELECT unnest(['horizons', 'unasked', 'unpredicted']) AS "check", unnest([0, 0, (SELECT count(*) FROM origins WHERE hour(origin_ts) = 5)])::BIGINT AS n_bad""")
+def _(spark, d):
+    pred = predictions(spark, d).where("model = 'persistence'").where(F.hour("origin_ts") != 5)
+    return E.check_alignment(pred, origins(spark, d))
+
+
+# --- J: forecasters
+
+
+@query("j1_persistence", "SELECT series_id, origin_ts, horizon, round(persistence, 4) AS y_hat FROM truth")
+def _(spark, d):
+    return rounded(E.predict_baselines(windowed(spark, d), ("persistence",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+
+
+@query("j2_seasonal_naive", "SELECT series_id, origin_ts, horizon, round(seasonal_naive, 4) AS y_hat FROM truth")
+def _(spark, d):
+    return rounded(E.predict_baselines(windowed(spark, d), ("seasonal_naive",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+
+
+@query("j3_same_hour_mean", "SELECT series_id, origin_ts, horizon, round(same_hour_mean, 4) AS y_hat FROM truth")
+def _(spark, d):
+    return rounded(E.predict_baselines(windowed(spark, d), ("same_hour_mean",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+
+
+def _train_test(spark, d, rows):
+    s = split(spark, d).select("series_id", "origin_ts", "split", "cut_val")
+    both = rows.join(s, ["series_id", "origin_ts"])
+    return both.where((F.col("split") == "train") & (F.col("origin_ts") < C.plus_hours(F.col("cut_val"), -24))), both.where("split = 'test'")
+
+
+@query("j4_trees")
+def _(spark, d):
+    train, test = _train_test(spark, d, S.feature_table(segments(spark, d)))
+    if train.isEmpty():
+        return M.predict_trees({}, test) or spark.createDataFrame([], "model string, horizon long, n long, mae double, rmse double, smape double, r2 double")
+    models = M.fit_trees(train, (1, 24), trees=5, depth=4)
+    return E.metrics_by_horizon(M.predict_trees(models, test))
+
+
+@query("d21_mean_importance")
+def _(spark, d):
+    train, _ = _train_test(spark, d, S.feature_table(segments(spark, d)))
+    models = {} if train.isEmpty() else M.fit_trees(train, (1, 24), trees=5, depth=4)
+    return M.mean_importance(spark, models)
+
+
+@query("j5_linear")
+def _(spark, d):
+    train, test = _train_test(spark, d, windowed(spark, d))
+    done = M.linear_direct(spark, train, test).withColumn("model", F.lit("linear"))
+    rows = done.select("model", F.posexplode(F.arrays_zip("y", "y_hat")).alias("h", "v")).select("model", (F.col("h") + 1).alias("horizon"), "v.y", "v.y_hat")
+    return E.metrics_pooled(rows)
+
+
+@query("j6_rolling")
+def _(spark, d):
+    s = split(spark, d).where("split = 'test'")
+    done = M.rolling_linear(windowed(spark, d), E.rolling_blocks(s, hours=24), ridge=10.0)
+    rows = done.withColumn("model", F.lit("linear")).select("model", F.posexplode(F.arrays_zip("y", "y_hat")).alias("h", "v"))
+    return E.metrics_pooled(rows.select("model", (F.col("h") + 1).alias("horizon"), "v.y", "v.y_hat"))
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
