@@ -88,7 +88,7 @@ def solve(cells: np.ndarray, width: int, ridge: float) -> np.ndarray:
 
 def linear_direct(spark: SparkSession, train: DataFrame, evals: DataFrame, back: int = 168, ridge: float = 1.0, scale: bool = True) -> DataFrame:
     """(series_id, origin_ts, y, y_hat) of one ridge model from windows() rows; only the summed Gram matrix comes to the driver."""
-    cells = grams(train.withColumn("one", F.lit(1)), ["one"], scale).select("i", "value").collect()  # (back + 1) * (back + 1 + ahead) numbers
+    cells = grams(train.withColumn("one", F.lit(1).cast("long")), ["one"], scale).select("i", "value").collect()  # (back + 1) * (back + 1 + ahead) numbers
     flat = np.zeros(len(cells))
     flat[[r.i for r in cells]] = [r.value for r in cells]
     weights = spark.sparkContext.broadcast(solve(flat, back + 1, ridge) if len(flat) else None)

@@ -86,7 +86,7 @@ def sql(body: str) -> str:
             need.add(p)
             todo += [q for q in _uses(PARTS[p]) if q != p]
     parts = [f"{p} AS MATERIALIZED ({PARTS[p]})" for p in PARTS if p in need]
-    body = body.replace(", 4) AS", f" + {NUDGE!r}, 4) AS").replace(", 4) END", f" + {NUDGE!r}, 4) END")
+    body = body.replace(", 4) AS", f" + {NUDGE!r}, 4) + 0.0 AS").replace(", 4) END", f" + {NUDGE!r}, 4) + 0.0 END")
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
