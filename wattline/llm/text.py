@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _KNOWN = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _slices(offsets: np.ndarray, most: int):
+def slices(offsets: np.ndarray, most: int):
     """Ranges of texts of about ``most`` bytes together."""
     lo = 0
     while lo < len(offsets) - 1:
@@ -67,7 +67,7 @@ def hashed_words(column: pa.Array, lower: bool = True, word_bytes: np.ndarray =
     column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    for lo, hi in _slices(offsets, 1 << 20):
+    for lo, hi in slices(offsets, 1 << 20):
         raw = data[offsets[lo] : offsets[hi]]
         at = offsets[lo : hi + 1] - offsets[lo]
         word = word_bytes[raw]

@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import LETTERS, hashed_words, kept
+from .text import LETTERS, hashed_words, kept, slices
 
 #: Second person in the languages of the corpus.
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tus su sus ti"
@@ -41,19 +41,28 @@ def _you() -> np.ndarray:
 
 
 def _count(batches):
-    """(half, toxic, lower-cased text) to the documents that have each term, summed up within the batch; term 0 counts documents."""
+    """(half, toxic, lower-cased text) to the documents that have each term, summed up within some texts; term 0 counts documents."""
+
+    def summed(kinds):
+        where, term = (np.concatenate(x) for x in zip(*kinds))
+        n = pd.DataFrame({"cell": where, "term": term.view(np.int64)}).groupby(["cell", "term"], sort=False).size().reset_index(name="n")
+        half, toxic = (n["cell"] // 2).to_numpy(np.int32), (n["cell"] % 2).to_numpy(np.int32)
+        arrays = [pa.array(half), pa.array(toxic), pa.array(n["term"].to_numpy()), pa.array(n["n"].to_numpy(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, ["half", "toxic", "term", "n"])
+
     for batch in batches:
         cell = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
-        kinds = [(cell, np.zeros(len(cell), np.uint64))]
+        kinds, held = [(cell, np.zeros(len(cell), np.uint64))], 0
         for lo, _, row, terms in _terms(batch.column(2)):
             for h in terms:
                 own = pd.DataFrame({"row": row[h != 0], "term": h[h != 0]}).drop_duplicates()
                 kinds.append((cell[lo + own["row"].to_numpy()], own["term"].to_numpy()))
-        where, term = (np.concatenate(x) for x in zip(*kinds))
-        n = pd.DataFrame({"cell": where, "term": term.view(np.int64)}).groupby(["cell", "term"], sort=False).size().reset_index(name="n")
-        half, toxic = (n["cell"] // 2).to_numpy(np.int32), (n["cell"] % 2).to_numpy(np.int32)
-        arrays = [pa.array(half), pa.array(toxic), pa.array(n["term"].to_numpy()), pa.array(n["n"].to_numpy(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, ["half", "toxic", "term", "n"])
+                held += len(own)
+            if held > 2_000_000:
+                yield summed(kinds)
+                kinds, held = [], 0
+        if kinds:
+            yield summed(kinds)
 
 
 def lexicon(counts: DataFrame, halves: tuple[int, ...], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +94,18 @@ def _look(lex, h: np.ndarray) -> np.ndarray:
 def _rates(column: pa.Array) -> np.ndarray:
     """Bytes, capitals, punctuation, shouts and masked letters of each text."""
     column = column.fill_null(b"")
-    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    letter = LETTERS[raw] | _UPPER[raw]
-    masked = np.zeros(len(raw), bool)
-    masked[1:-1] = letter[:-2] & _MASK[raw[1:-1]] & letter[2:] if len(raw) > 2 else False
-    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
-    return np.stack([np.diff(at), sums(_UPPER[raw]), sums(_PUNCT[raw]), sums(_LOUD[raw]), sums(masked)], 1).astype(float)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    out = np.zeros((len(column), 5))
+    for lo, hi in slices(offsets, 1 << 20):  # so that what is held for each byte stays small
+        raw = data[offsets[lo] : offsets[hi]]
+        at = offsets[lo : hi + 1] - offsets[lo]
+        letter = LETTERS[raw] | _UPPER[raw]
+        masked = np.zeros(len(raw), bool)
+        masked[1:-1] = letter[:-2] & _MASK[raw[1:-1]] & letter[2:] if len(raw) > 2 else False
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])  # noqa: B023, E731
+        out[lo:hi] = np.stack([np.diff(at), sums(_UPPER[raw]), sums(_PUNCT[raw]), sums(_LOUD[raw]), sums(masked)], 1)
+    return out
 
 
 def features(text: pa.Array, lower: pa.Array, lexes, which: np.ndarray) -> np.ndarray:
