@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import kept
+from .text import bounded_batches, kept
 
 #: Boundaries this close to a chunk's end may look beyond it.
 MARGIN = 8
@@ -140,6 +140,7 @@ def encode(
     has no common boundary (a pre-token longer than it) the chunks beside it are one piece. Repeated ids and
     null ids keep their rows. Extra columns are ignored.
     """
+    bounded_batches(spark)
     known = spark.sparkContext.broadcast(ranks)  # the vocabulary: its size is that of the rank file
     rows = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).select("row", F.lit(0).alias("chunk"), "text")

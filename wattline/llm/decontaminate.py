@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import alnum_words, kept
+from .text import alnum_words, bounded_batches, kept
 
 INDEX = "doc_id long, n_words int, terms array<int>, counts array<int>, positions array<int>"
 MATCHES = "doc_id long, n_words int, starts array<int>, ends array<int>, items array<long>"
@@ -179,6 +179,7 @@ def find_matches(
     matches; items without words or without id never match; repeated items count once; repeated
     documents give a row each (with several blocks, rows of one id are united). Extra columns are ignored.
     """
+    bounded_batches(spark)
     windows = kept(spark, item_windows(items, item_id, item_text, width), "windows")
     n = windows.count()
     blocks = max(1, -(-n // block))

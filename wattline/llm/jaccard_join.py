@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import hashed_words, kept, mix, ngram_hashes, sized, whole_groups
+from .text import bounded_batches, hashed_words, kept, mix, ngram_hashes, sized, whole_groups
 
 #: Beyond so many blocks, so many of them are keys. A block of two sets at the largest difference is equal
 #: with a chance of 1 / e, so all 64 differ with a chance below (1 - 1 / e) ** 64 = 2e-13 a pair.
@@ -265,6 +265,7 @@ def jaccard_classes(
     Very long texts are one set each. Extra columns are ignored. Sets count as equal when their sizes and
     64-bit hashes of all shingles agree.
     """
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     made = kept(spark, rows.mapInArrow(_sets(percent, words), "kind byte, a long, b long, c long"), "sets")
     sets = made.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("c").alias("n"))

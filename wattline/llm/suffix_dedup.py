@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import hashed_words, kept, ngram_hashes, sized
+from .text import bounded_batches, hashed_words, kept, ngram_hashes, sized
 
 
 
@@ -174,6 +174,7 @@ def remove_repeats(
     without words; empty, short and unique texts stay as they are; a copied text becomes empty, its row
     stays; rows without id are neither sources nor cut. Rows that repeat an id count as one document.
     """
+    bounded_batches(spark)
     window = least - gram + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).where("doc is not null")
     suffixes = kept(spark, rows.mapInArrow(_suffixes(gram, window), "key long, doc long, pos int"), "suffixes")

@@ -116,6 +116,14 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mix(out + np.uint64(k))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Arrow batches of at most so many rows and bytes from here on: what a task holds then doesn't depend on the texts' lengths."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import LETTERS, hashed_words, kept, slices
+from .text import bounded_batches, hashed_words, kept, slices, LETTERS
 
 #: Second person in the languages of the corpus.
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tus su sus ti"
@@ -175,6 +175,7 @@ def score(
     is). Where no label or only one kind is left to learn from, the score is the share of label 1 (0 without
     labels). Rows without id are scored and not held out.
     """
+    bounded_batches(spark)
     name = F.col(id_col)
     fold = F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(5))
     known = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull())
