@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -39,6 +41,13 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Returns what freed arrays held to the system; an idle worker should not keep it from the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _KNOWN = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,7 +76,7 @@ def hashed_words(column: pa.Array, lower: bool = True, word_bytes: np.ndarray =
     column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    for lo, hi in slices(offsets, 1 << 20):
+    for lo, hi in slices(offsets, 1 << 18):
         raw = data[offsets[lo] : offsets[hi]]
         at = offsets[lo : hi + 1] - offsets[lo]
         word = word_bytes[raw]
@@ -101,6 +110,7 @@ def hashed_words(column: pa.Array, lower: bool = True, word_bytes: np.ndarray =
                         out[long] = mix(sums[begin[long] + k] - sums[begin[long]] + np.uint64(k << 32))
         found = lo, starts, ends, np.searchsorted(starts, at), hashes, at
         yield (*found, first) if heads else found
+    give_back()
 
 
 def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -116,7 +126,7 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mix(out + np.uint64(k))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Arrow batches of at most so many rows and bytes from here on: what a task holds then doesn't depend on the texts' lengths."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:

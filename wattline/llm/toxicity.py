@@ -97,7 +97,7 @@ def _rates(column: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     out = np.zeros((len(column), 5))
-    for lo, hi in slices(offsets, 1 << 20):  # so that what is held for each byte stays small
+    for lo, hi in slices(offsets, 1 << 18):  # so that what is held for each byte stays small
         raw = data[offsets[lo] : offsets[hi]]
         at = offsets[lo : hi + 1] - offsets[lo]
         letter = LETTERS[raw] | _UPPER[raw]
