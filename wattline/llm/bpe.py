@@ -12,13 +12,12 @@ import base64
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import bounded_batches, kept
+from .text import bounded_batches, give_back, kept
 
 #: Boundaries this close to a chunk's end may look beyond it.
 MARGIN = 8
@@ -65,7 +64,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceCache(dict):
     """Ids of pre-tokens as bytes of int32; emptied when it has grown to ``most``."""
 
-    most = 300_000
+    most = 100_000
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
@@ -118,6 +117,7 @@ def _encode(pattern: str, ranks):
             ids = pa.array(np.frombuffer(b"".join(parts), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["row", "chunk", "ids"])
+            give_back()
 
     return run
 
@@ -178,9 +178,9 @@ def decode(spark: SparkSession, coded: DataFrame, ranks: dict[bytes, int], *, id
         table[i] = token
     known = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("binary")
-    def join(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def join(ids: pa.Array) -> pa.Array:
         look = known.value.__getitem__
-        return ids.map(lambda x: None if x is None else b"".join(map(look, x.tolist())))
+        return pa.array([None if x is None else b"".join(map(look, x)) for x in ids.to_pylist()], pa.binary())
 
     return coded.withColumn("decoded", join(F.col(ids_col)))
