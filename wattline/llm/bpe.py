@@ -92,7 +92,8 @@ def _bounds(pattern: str, size: int, overlap: int):
         for batch in batches:
             heads, tails = [], []
             for chunk, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                at = np.array([m.end() for m in split.finditer(text)], np.int64)
+                # What is white space before a cut could match otherwise, not seeing what follows; so no cut after any.
+                at = np.array([m.end() for m in split.finditer(text) if not m[0][-1].isspace()], np.int64)
                 at = at[at <= len(text) - MARGIN] if len(text) == size + overlap else at
                 heads.append(at[at < overlap] + chunk * size)
                 tails.append(at[at >= size] + chunk * size)

@@ -20,8 +20,8 @@ from .text import kept
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = 50, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) of unit vectors x: principal axes turned so that signs lose least (bits is at most the dimension)."""
     mean = x.mean(0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
-    axes = axes[:bits].T
+    _, axes = np.linalg.eigh(np.cov(x - mean, rowvar=False, bias=True).reshape(x.shape[1], x.shape[1]))
+    axes = axes[:, ::-1][:, :bits]
     v = (x - mean) @ axes
     r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
     for _ in range(rounds):
@@ -66,8 +66,8 @@ def near_duplicates(
 
     learned = {}
     for dim in sorted(r.dim for r in classes.select("dim").distinct().collect()):  # one model for each dimension that occurs
-        some = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").collect()
-        x = np.array([r.v for r in some])
+        some = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow()
+        x = some.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         learned[dim] = learn_rotation(x, min(64, dim), seed=11)
     model = spark.sparkContext.broadcast(learned)
 
