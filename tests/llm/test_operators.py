@@ -66,6 +66,8 @@ def test_bpe_round_trip_and_chunks(spark, docs):
     texts = [None, "", "it's we'll  x\n\n y", "é漢😀" * 50, "a" * 3000 + " " * 500 + "b", LONG[:5000]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in bpe.decode(spark, bpe.encode(spark, df, ranks, P.PATTERN, chunk=200, overlap=40), ranks).collect()}
+    once = {r.doc_id: r for r in bpe.encode(spark, df, ranks, P.PATTERN, decoded=True, chunk=200, overlap=40).collect()}
+    assert got == once
     for i, t in enumerate(texts):
         assert list(got[i].ids) == own.encode_ordinary(t or "") and bytes(got[i].decoded).decode() == (t or "")
 

@@ -123,12 +123,34 @@ def _encode(pattern: str, ranks):
     return run
 
 
+def _decode(table):
+    """Batches with a column ids to batches with the column decoded (binary) after the others."""
+
+    def run(batches):
+        look = table.value.__getitem__
+        for batch in batches:
+            ids = batch.column(batch.schema.names.index("ids"))
+            decoded = pa.array([b"".join(map(look, x.values.to_numpy().tolist())) if x.is_valid else None for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
+
+    return run
+
+
+def _tokens(spark: SparkSession, ranks: dict[bytes, int]):
+    """The bytes of each id, broadcast: as large as the rank file."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return spark.sparkContext.broadcast(table)
+
+
 def encode(
     spark: SparkSession,
     docs: DataFrame,
     ranks: dict[bytes, int],
     pattern: str,
     *,
+    decoded: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
     chunk: int = 1 << 16,
@@ -139,7 +161,8 @@ def encode(
     Texts of at most ``chunk`` characters are one piece and never shuffled. Of longer ones only boundary
     places meet per document; their pieces are encoded apart and put in order by document. Where an overlap
     has no common boundary (a pre-token longer than it) the chunks beside it are one piece. Repeated ids and
-    null ids keep their rows. Extra columns are ignored.
+    null ids keep their rows. Extra columns are ignored. With ``decoded`` a column of that name has the bytes
+    the ids decode to; a batch of short texts is decoded by the Python worker that has encoded it.
     """
     bounded_batches(spark)
     known = spark.sparkContext.broadcast(ranks)  # the vocabulary: its size is that of the rank file
@@ -147,7 +170,12 @@ def encode(
     short = rows.where(F.length("text") <= chunk).select("row", F.lit(0).alias("chunk"), "text")
     ids = "chunk int, ids array<int>"
     kind = docs.schema[id_col].dataType.simpleString()
-    done = short.mapInArrow(_encode(pattern, known), f"row {kind}, {ids}").select(F.col("row").alias("doc_id"), "ids")
+    if decoded:
+        code, back = _encode(pattern, known), _decode(_tokens(spark, ranks))
+        done = short.mapInArrow(lambda batches: back(code(batches)), f"row {kind}, {ids}, decoded binary")
+        done = done.select(F.col("row").alias("doc_id"), "ids", "decoded")
+    else:
+        done = short.mapInArrow(_encode(pattern, known), f"row {kind}, {ids}").select(F.col("row").alias("doc_id"), "ids")
 
     long = rows.where(F.length("text") > chunk).withColumn("place", F.struct("row", F.expr("uuid()").alias("nr")))
     long = kept(spark, long.select("place", "text"), "long_texts")  # a key of its own for each row, fixed by writing it
@@ -169,19 +197,16 @@ def encode(
     coded = pieces.mapInArrow(_encode(pattern, known), f"row string, {ids}")
     whole = coded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias("ids"))
     whole = whole.join(named.select("row", "place"), "row").select(F.col("place.row").alias("doc_id"), "ids")
-    return done.unionByName(whole)
+    return done.unionByName(decode(spark, whole, ranks) if decoded else whole)
 
 
 def decode(spark: SparkSession, coded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids") -> DataFrame:
     """coded with the column decoded (binary): the bytes of the ids, one after the other. Null ids give null; unknown ids fail."""
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        table[i] = token
-    known = spark.sparkContext.broadcast(table)
+    known = _tokens(spark, ranks)
 
     @F.arrow_udf("binary")
     def join(ids: pa.Array) -> pa.Array:
         look = known.value.__getitem__
-        return pa.array([None if x is None else b"".join(map(look, x)) for x in ids.to_pylist()], pa.binary())
+        return pa.array([b"".join(map(look, x.values.to_numpy().tolist())) if x.is_valid else None for x in ids], pa.binary())
 
     return coded.withColumn("decoded", join(F.col(ids_col)))

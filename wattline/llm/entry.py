@@ -74,8 +74,7 @@ def ranks() -> dict[bytes, int]:
 
 def coded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document: the number of its ids, and digests of the ids and of the bytes they decode to."""
-    known = ranks()
-    done = bpe.decode(spark, bpe.encode(spark, docs, known, public_tokenizers.PATTERN), known)
+    done = bpe.encode(spark, docs, ranks(), public_tokenizers.PATTERN, decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
