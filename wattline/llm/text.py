@@ -126,7 +126,7 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mix(out + np.uint64(k))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Arrow batches of at most so many rows and bytes from here on: what a task holds then doesn't depend on the texts' lengths."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
