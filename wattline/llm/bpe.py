@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 
 from .text import bounded_batches, give_back, kept
 
+#: Pieces of at most so many bytes are merged by plain search.
+SHORT = 48
+#: Stands for a pair that is no token; above all ranks.
+NONE = 1 << 62
 #: Boundaries this close to a chunk's end may look beyond it.
 MARGIN = 8
 
@@ -31,11 +36,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the adjacent pair of the lowest rank is merged, the leftmost of equals, until none is left.
 
-    A heap of pairs over a linked list of parts takes n log n steps for a piece of n bytes.
+    In short pieces the lowest rank is looked for anew each time. In long ones a heap of pairs over a linked list
+    of parts takes n log n steps for a piece of n bytes.
     """
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return _merge_short(piece, n, ranks)
     end = list(range(1, n + 1))  # part at i is piece[i : end[i]]
     back = list(range(-1, n - 1))
     live = [True] * n
@@ -61,24 +69,60 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _merge_short(piece: bytes, n: int, ranks: dict[bytes, int]) -> list[int]:
+    look = ranks.get
+    parts = [piece[i : i + 1] for i in range(n)]
+    pairs = [look(piece[i : i + 2], NONE) for i in range(n - 1)]
+    while pairs and (least := min(pairs)) != NONE:
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i:
+            pairs[i - 1] = look(parts[i - 1] + parts[i], NONE)
+        if i < len(pairs):
+            pairs[i] = look(parts[i] + parts[i + 1], NONE)
+    return [ranks[p] for p in parts]
+
+
 class PieceCache(dict):
-    """Ids of pre-tokens as bytes of int32; emptied when it has grown to ``most``."""
+    """Ids of pre-tokens as bytes of int32; when it has grown to ``most``, only pieces that are used again stay."""
 
-    most = 100_000
+    most = 150_000
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
         self.ranks = ranks
+        self.whole = {}
+        for token, i in ranks.items():
+            try:
+                self.whole[token.decode()] = np.array([i], np.int32).tobytes()
+            except UnicodeDecodeError:  # part of a character: no piece of a text
+                continue
+        self.old = {}
+        super().__init__(self.whole)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
+            self.update(self.whole)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
 
+#: The cache of the last vocabulary that this Python worker has used, for its next task.
+_caches: list[PieceCache] = []
+
+
+def _cache(ranks: dict[bytes, int]) -> PieceCache:
+    if not _caches or _caches[0].ranks is not ranks:
+        _caches[:] = [PieceCache(ranks)]
+    return _caches[0]
+
+
 def compiled(pattern: str) -> regex.Pattern:
     """The pattern with white space as Unicode has it, which is what rank files' users split by (0x1C-0x1F are none)."""
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
@@ -109,7 +153,7 @@ def _encode(pattern: str, ranks):
     """(row, chunk, text) to (row, chunk, ids)."""
 
     def run(batches):
-        split, cache = compiled(pattern).findall, PieceCache(ranks.value)
+        split, cache = compiled(pattern).findall, _cache(ranks.value)
         for batch in batches:
             parts, ends = [], [0]
             for text in batch.column(2).to_pylist():
