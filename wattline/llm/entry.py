@@ -102,5 +102,49 @@ def queries():
     }
 
 
+def _lowered(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_ALNUM, _SPACED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
+DECONTAMINATE_SQL = f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_lowered("text")}, '{_ALNUM}') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all({_lowered("text")}, '{_ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+    FROM item, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(i) WHERE len(w) > 0
+),
+place AS (
+    SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+    FROM doc, (SELECT DISTINCT k FROM win) AS ks, unnest(range(1, len(w) - k + 2)) AS t(i)
+),
+hit AS (SELECT doc_id, k, i, item_id FROM place JOIN win USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + k)) AS t(p) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+    sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_lowered("text")}, '{_SPACED}') AS w FROM documents),
+sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+    FROM doc
+),
+shingle AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+link AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT x, b FROM reach JOIN link ON y = a),
+least_of AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least_of USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": DECONTAMINATE_SQL, "op5_jaccard_join": JACCARD_SQL}
