@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from .text import bounded_batches, hashed_words, kept, ngram_hashes, sized
 
 
-
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over every run of ``width`` values, by doubling."""
     done, out = 1, x
@@ -178,12 +177,10 @@ def remove_repeats(
     window = least - gram + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).where("doc is not null")
     suffixes = kept(spark, rows.mapInArrow(_suffixes(gram, window), "key long, doc long, pos int"), "suffixes")
-    first = suffixes.groupBy("key").agg(F.min("doc").alias("src"), F.max("doc").alias("top")).where("src < top")
-    first = kept(spark, first.select("key", "src"), "first")
-    matches = kept(spark, suffixes.join(first, "key"), "matches")
-    source = matches.where("doc = src").groupBy("key").agg(F.min("pos").alias("src_pos"))
-    source = kept(spark, source, "sources")
-    again = matches.where("doc > src").join(source, "key").groupBy("doc")
+    # The least (doc, pos) is the first place of the first document that has the key: the source of all later ones.
+    first = suffixes.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max("doc").alias("top")).where("least.doc < top")
+    first = kept(spark, first.select("key", F.col("least.doc").alias("src"), F.col("least.pos").alias("src_pos")), "first")
+    again = suffixes.join(first, "key").where("doc > src").groupBy("doc")
     again = again.agg(F.collect_set(F.struct("pos", "src", "src_pos")).alias("matches"))  # bounded by the document's length
     runs = kept(spark, again.mapInArrow(_runs(gram), "doc long, start int, stop int, src long, src_start int, src_stop int"), "runs")
     # Beyond the outermost common suffix of a run fewer than ``window`` words can be common.
