@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import pytest
 
@@ -45,6 +46,43 @@ def test_suffix_dedup_edges(spark, docs):
     assert suffix_dedup.remove_repeats(spark, docs.limit(0)).count() == 0
 
 
+def _passages_by_brute_force(rows, least=50):
+    """The words (by row) that stand in a run of ``least`` words that a smaller id has too."""
+    words = [(i, (t or "").split()) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for a in range(len(w) - least + 1):
+            p = tuple(w[a : a + least])
+            first[p] = min(i, first.get(p, i))
+    out = []
+    for i, w in words:
+        out.append({a + j for a in range(len(w) - least + 1) if first[tuple(w[a : a + least])] < i for j in range(least)})
+    return out
+
+
+def test_suffix_dedup_finds_passages_around_frequent_lines(spark):
+    rng = random.Random(1)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    lines, rows = [new(n) for n in (30, 35, 40, 45, 49, 49)], []
+    parts = [new(rng.randrange(1, 40)) for _ in range(40)]
+    for i in range(60):
+        seq = []
+        for _ in range(rng.randrange(2, 9)):
+            seq += rng.choice(lines) if rng.random() < 0.6 else rng.choice(parts) if rng.random() < 0.7 else new(rng.randrange(1, 60))
+        rows.append((i, " ".join(seq)))
+    a, line, b = new(30), lines[2], new(30)
+    rows += [(100, " ".join(new(5) + line + new(30) + a + line + b)), (101, " ".join(new(9) + a + line + b + new(9)))]  # the source has the line twice
+    rows += [(102, "a " * 120), (103, "b " + "a " * 90)]
+    want = dict(zip([i for i, _ in rows], _passages_by_brute_force(rows)))
+    shuffled = rng.sample(rows, len(rows))
+    got = suffix_dedup.remove_repeats(spark, spark.createDataFrame(shuffled, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    assert len(want[101]) == 100 and sum(map(bool, want.values())) > 10
+    for r in got:
+        assert {j for s in r.repeat_spans for j in range(s.start, s.stop)} == want[r.doc_id], r.doc_id
+        assert r.text.split() == [w for j, w in enumerate(texts[r.doc_id].split()) if j not in want[r.doc_id]]
+
+
 def test_decontamination_edges(spark, docs):
     items = spark.createDataFrame([(1, " ".join(f"P{i}" for i in range(5, 20))), (2, None), (3, ""), (4, "ONE"), (5, "no such")], "item_id long, text string")
     by = {r.doc_id: r for r in decontaminate.contamination(spark, docs, items).collect()}
