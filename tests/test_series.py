@@ -3,8 +3,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as library
 from wattline.functions import columns as C
 from wattline.operators import evaluate as E
+from wattline.operators import models as M
 from wattline.operators import series as S
 
 T0 = datetime(2024, 1, 1)
@@ -142,3 +144,17 @@ def test_rolling_linear_equals_refits(spark):
         todo = w.join(blocks.where(F.col("block") == b.block), ["series_id", "origin_ts"], "left_semi")
         for r in M.linear_direct(spark, w.where(F.col("origin_ts") < b.block_start - timedelta(hours=2)), todo, back=6).collect():
             assert np.allclose(r.y_hat, got[r.origin_ts])
+
+
+@pytest.mark.parametrize("name", ["j4_trees", "d21_mean_importance"])
+def test_tree_queries_fit_every_horizon_in_full(spark, monkeypatch, name):
+    asked = []
+
+    def fit(train, horizons, **settings):
+        asked.append((list(horizons), settings))
+        return real(train, (1,), trees=1, depth=1)
+
+    real = M.fit_trees
+    monkeypatch.setattr(M, "fit_trees", fit)
+    assert library.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert asked == [(list(range(1, 25)), {})]

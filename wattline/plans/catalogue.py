@@ -707,14 +707,14 @@ def _(spark, d):
     train, test = _train_test(spark, d, S.feature_table(segments(spark, d)))
     if train.isEmpty():
         return M.predict_trees({}, test) or spark.createDataFrame([], "model string, horizon long, n long, mae double, rmse double, smape double, r2 double")
-    models = M.fit_trees(train, (1, 24), trees=5, depth=4)
+    models = M.fit_trees(train, range(1, 25))
     return E.metrics_by_horizon(M.predict_trees(models, test))
 
 
 @query("d21_mean_importance")
 def _(spark, d):
     train, _ = _train_test(spark, d, S.feature_table(segments(spark, d)))
-    models = {} if train.isEmpty() else M.fit_trees(train, (1, 24), trees=5, depth=4)
+    models = {} if train.isEmpty() else M.fit_trees(train, range(1, 25))
     return M.mean_importance(spark, models)
 
 
