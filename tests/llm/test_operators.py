@@ -123,6 +123,18 @@ def test_html_edges(spark):
     assert html_extract.extract(spark, df.limit(0)).count() == 0
 
 
+def test_html_drops_only_runs_that_other_pages_have(spark):
+    new = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    phrase, run, article = new("p", 5), new("r", 8), new("m", 40)
+    rows = [
+        (1, "http://a.org/1", f"<p>one two {phrase} three"), (2, "http://a.org/2", f"<p>{new('x', 20)} {phrase} {new('y', 20)}"),  # five words are no run of eight
+        (3, "http://b.org/3", f"<p>{article}</p>"), (4, "http://b.org/4", f"<p>{article}</p>"),  # copies are no other page
+        (5, "http://c.org/5", f"<p>{run} a</p><p>own five"), (6, "http://c.org/6", f"<p>b {run}</p><p>own six"), (7, "http://d.org/7", f"<p>{run}"),
+    ]
+    got = {r.page_id: r.text for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"one two {phrase} three", 2: rows[1][2][3:], 3: article, 4: article, 5: "own five", 6: "own six", 7: run}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/%0d\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 100_000), (None, "u", "same")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

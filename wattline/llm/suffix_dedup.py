@@ -30,18 +30,6 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def minimisers(hashes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and k-gram hashes that are the smallest of any ``window`` consecutive ones; all of equal ones."""
-    h = ngram_hashes(hashes, gram)
-    if len(hashes) < gram or len(h) < window:
-        return np.zeros(0, np.int64), h[:0]
-    least = _slide(h, window, np.minimum)
-    edge = np.zeros(window - 1, np.uint64)
-    best = _slide(np.concatenate([edge, least, edge]), window, np.maximum)
-    at = np.flatnonzero(h == best)
-    return at, h[at]
-
-
 _INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
 
 
