@@ -158,3 +158,13 @@ def test_tree_queries_fit_every_horizon_in_full(spark, monkeypatch, name):
     monkeypatch.setattr(M, "fit_trees", fit)
     assert library.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
     assert asked == [(list(range(1, 25)), {})]
+
+
+def test_rolling_query_retrains_each_week(spark, monkeypatch):
+    seen = []
+    real = M.rolling_linear
+    monkeypatch.setattr(M, "rolling_linear", lambda rows, blocks, **settings: seen.append(blocks) or real(rows, blocks, **settings))
+    library.queries()["j6_rolling"](spark, "/root/testdata/sf0.01")
+    span = (F.max("origin_ts").cast("timestamp").cast("long") - F.min("origin_ts").cast("timestamp").cast("long")) / 3600
+    hours = [r.h for r in seen[0].groupBy("series_id", "block").agg(span.alias("h")).collect()]
+    assert 24 <= max(hours) < 168

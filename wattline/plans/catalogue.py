@@ -729,7 +729,7 @@ def _(spark, d):
 @query("j6_rolling")
 def _(spark, d):
     s = split(spark, d).where("split = 'test'")
-    done = M.rolling_linear(windowed(spark, d), E.rolling_blocks(s, hours=24), ridge=10.0)
+    done = M.rolling_linear(windowed(spark, d), E.rolling_blocks(s), ridge=10.0)
     rows = done.withColumn("model", F.lit("linear")).select("model", F.posexplode(F.arrays_zip("y", "y_hat")).alias("h", "v"))
     return E.metrics_pooled(rows.select("model", (F.col("h") + 1).alias("horizon"), "v.y", "v.y_hat"))
 
