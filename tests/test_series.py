@@ -168,3 +168,82 @@ def test_rolling_query_retrains_each_week(spark, monkeypatch):
     span = (F.max("origin_ts").cast("timestamp").cast("long") - F.min("origin_ts").cast("timestamp").cast("long")) / 3600
     hours = [r.h for r in seen[0].groupBy("series_id", "block").agg(span.alias("h")).collect()]
     assert 24 <= max(hours) < 168
+
+
+def test_chunks_change_nothing(spark):
+    seg = S.assign_segments(hours(spark, [(0, 700), (703, 1200), (1300, 1700)]))
+    assert [r.length_hours for r in S.segment_stats(seg).orderBy("segment_id").collect()] == [700, 497, 400]
+    for table in (S.windows, S.lag_features, S.rolling_features):
+        rows = lambda unit: sorted(map(str, table(seg, unit=unit).collect()))  # noqa: B023, E731
+        assert rows("WEEK") == rows("YEAR")
+
+
+def test_neighbours_and_running_sums_cross_empty_chunks(spark):
+    rows = [("a", T0 + timedelta(hours=h), None if h == 49 else float(h)) for h in (0, 1, 23, 49, 24 * 9, 24 * 9 + 1)] + [("b", T0, 5.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ahead = {(r.series_id, r.v): r.n for r in S.neighbour(df, {"n": "v"}).collect()}
+    assert ahead == {("a", 0.0): 1.0, ("a", 1.0): 23.0, ("a", 23.0): None, ("a", None): 216.0, ("a", 216.0): 217.0, ("a", 217.0): None, ("b", 5.0): None}
+    back = {(r.series_id, r.v): r.n for r in S.neighbour(df, {"n": "v"}, ahead=False).collect()}
+    assert back["a", None] == 23.0 and back["a", 216.0] is None and back["a", 0.0] is None
+    sums = {(r.series_id, r.ts): r.s for r in S.running_sum(df, F.lit(1), "s").collect()}
+    assert sorted(sums.values()) == [1, 1, 2, 3, 4, 5, 6]
+
+
+def test_null_runs_at_the_ends_and_over_chunks(spark):
+    rows = [("a", T0 + timedelta(hours=h), None if h < 2 or 20 <= h < 60 or h == 70 else 1.0) for h in range(71)]
+    got = sorted((r.start, r.length) for r in S.null_runs(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(T0, 2), (T0 + timedelta(hours=20), 40), (T0 + timedelta(hours=70), 1)]
+
+
+def test_several_measures_are_filled_by_the_same_gaps(spark):
+    df = spark.createDataFrame([("a", T0, 1.0, 10.0), ("a", T0 + timedelta(minutes=2), 3.0, 30.0)], "series_id string, ts timestamp_ntz, v double, u double")
+    assert [(r.v, r.u, r.impute_flag) for r in S.impute(df, cols=("v", "u")).orderBy("ts").collect()] == [(1.0, 10.0, 0), (2.0, 20.0, 1), (3.0, 30.0, 0)]
+
+
+def test_exact_quantiles_of_heavy_ties(spark):
+    import numpy as np
+
+    from wattline.operators import profile as P
+
+    rng = np.random.default_rng(3)
+    values = [*np.zeros(3000), *rng.normal(0, 1, 777).round(2), 1e9]
+    df = spark.createDataFrame([("x", float(v)) for v in values] + [("y", 2.0), ("y", None)], "k string, v double")
+    got = {r.k: r for r in P.exact_quantiles(df, ["k"], "v", [0.0, 0.01, 0.25, 0.9, 0.999, 1.0]).collect()}
+    assert np.allclose(got["x"].qs, np.quantile(values, [0.0, 0.01, 0.25, 0.9, 0.999, 1.0])) and got["x"].n_distinct == len(set(values))
+    assert got["y"].qs == [2.0] * 6 and P.exact_quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+def test_invariants_name_what_is_broken(spark):
+    raw = minutes(spark, [(i, float(i % 7)) for i in range(0, 300, 2)] + [(500, 1.0), (501, 2.0), (5000, 1.0)])
+    m = S.impute(raw)
+    h = S.resample_hourly(m)
+    stats = S.segment_stats(S.assign_segments(h))
+    failed = lambda *tables: {r.check for r in E.run_invariants(*tables, least_windows=0).where("not ok").collect()}
+    assert failed(raw, m, h, stats) == set() and E.run_invariants(raw, m, h, stats).count() == 15
+    assert failed(raw, m.union(m.limit(1)), h, stats) >= {"minute_keys_unique"}
+    assert failed(raw, m.withColumn("impute_flag", F.lit(0)), h, stats) >= {"rows_kept", "times_match_raw", "flags_match"}
+    assert failed(raw, m.withColumn("v", F.when(F.col("impute_flag") == 2, 9.0).otherwise(F.col("v"))), h, stats) >= {"mid_fills_constant"}
+    assert failed(raw, m, h.withColumn("kwh", F.col("kwh") * 1.5), stats) == {"kwh_is_sum", "energy_conserved"}
+    assert failed(raw, m, h, stats.withColumn("n_windows", F.lit(3))) == {"segments_match"}
+    with pytest.raises(ValueError, match="enough_windows"):
+        E.demand(E.run_invariants(raw, m, h, stats))
+
+
+def test_rolling_trees_see_only_what_is_before_the_block(spark):
+    seg = S.assign_segments(hours(spark, [(0, 460)]))
+    rows = S.feature_table(seg)
+    evals = rows.where(F.col("origin_ts") >= T0 + timedelta(hours=260)).select("series_id", "origin_ts")
+    blocks = E.rolling_blocks(evals, anchor=())
+    seen = []
+
+    def fitter(train):
+        last, n = train.agg(F.max("origin_ts"), F.count("*")).first()
+        seen.append((last, n))
+        return lambda todo: todo.select("series_id", "origin_ts", F.lit(n).alias("n"))
+
+    got = M.rolling_fit_predict(rows, blocks, fitter)
+    starts = sorted(r.block_start for r in blocks.select("block_start").distinct().collect())
+    assert len(starts) == 2 and [s[0] for s in seen] == [b - timedelta(hours=25) for b in starts]
+    assert got.count() == evals.count() and got.select("block").distinct().count() == 2
+    done = M.rolling_fit_predict(rows, blocks.where("block = 1"), M.trees_fitter(horizons=(1, 24), trees=2, depth=2))
+    assert {r.horizon for r in done.select("horizon").distinct().collect()} == {1, 24} and done.where("y_hat is null").isEmpty()

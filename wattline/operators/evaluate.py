@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import block_no, floor_day, hours_between, plus_hours, smape_term
+from ..functions.columns import block_no, floor_day, hours_between, minutes_between, plus_hours, smape_term, trunc
+from .series import neighbour, running_sum
 
 # --- stateless forecasters over windows(): arrays of the next hours
 
@@ -58,24 +59,26 @@ def time_split(origins: DataFrame, val: float = 0.15, test: float = 0.15) -> Dat
 
 def rolling_origin_folds(origins: DataFrame, k: int = 3, cap: int = 720, min_train: int = 500, min_val: int = 100) -> DataFrame:
     """(series_id, origin_ts, fold) of validation rows: origins before cut_test in k + 1 near-equal chunks; fold i validates on chunk i + 1."""
-    w = Window.partitionBy("series_id")
     rows = origins.where(F.col("origin_ts") < F.col("cut_test"))
-    rows = rows.withColumn("rn", F.row_number().over(w.orderBy("origin_ts")) - 1).withColumn("n", F.count("*").over(w))
+    total = rows.groupBy("series_id").agg(F.count("*").alias("n"))
+    rows = running_sum(rows, F.lit(1), "rn", order="origin_ts", unit="MONTH").withColumn("rn", F.col("rn") - 1).join(total, "series_id")
     size, extra = F.floor(F.col("n") / (k + 1)), F.pmod(F.col("n"), F.lit(k + 1))
     head = extra * (size + 1)
     chunk = F.when(F.col("rn") < head, F.floor(F.col("rn") / (size + 1))).otherwise(extra + F.floor(F.try_divide(F.col("rn") - head, size)))
     rows = rows.withColumn("fold", chunk.cast("long")).where("fold > 0")
-    f = Window.partitionBy("series_id", "fold")
-    rows = rows.withColumn("place", F.row_number().over(f.orderBy("origin_ts"))).withColumn("n_train", F.min("rn").over(f))
-    rows = rows.where(F.col("place") <= cap).withColumn("n_val", F.count("*").over(f))
-    return rows.where((F.col("n_train") >= min_train) & (F.col("n_val") >= min_val)).select("series_id", "origin_ts", "fold", "n_train", "n_val")
+    folds = rows.groupBy("series_id", "fold").agg(F.min("rn").alias("n_train"), F.least(F.count("*"), F.lit(cap)).alias("n_val"))
+    folds = folds.where((F.col("n_train") >= min_train) & (F.col("n_val") >= min_val))  # k rows for each series
+    rows = rows.join(folds, ["series_id", "fold"]).where(F.col("rn") < F.col("n_train") + cap)
+    return rows.select("series_id", "origin_ts", "fold", F.col("n_train").cast("long").alias("n_train"), F.col("n_val").cast("long").alias("n_val"))
 
 
 def rolling_blocks(evals: DataFrame, hours: int = 168, anchor: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """evals with block and block_start, the first origin present in the block; anchored at the first of ``anchor``."""
-    first = F.min("origin_ts").over(Window.partitionBy(*anchor))
-    rows = evals.withColumn("t0", first).withColumn("block", block_no(F.col("origin_ts"), F.col("t0"), hours).cast("long")).drop("t0")
-    return rows.withColumn("block_start", F.min("origin_ts").over(Window.partitionBy(*anchor, "block")))
+    """evals with block and block_start, the first origin present in the block; anchored at the first of ``anchor``, or of all if it is empty."""
+    first = evals.groupBy(*anchor).agg(F.min("origin_ts").alias("t0"))
+    rows = evals.join(first, list(anchor)) if anchor else evals.crossJoin(F.broadcast(first))  # one row
+    rows = rows.withColumn("block", block_no(F.col("origin_ts"), F.col("t0"), hours).cast("long")).drop("t0")
+    starts = rows.groupBy(*anchor, "block").agg(F.min("origin_ts").alias("block_start"))  # one row for each week of an anchor
+    return rows.join(starts, [*anchor, "block"])
 
 
 def block_plan(blocks: DataFrame, stats: DataFrame, back: int = 168) -> DataFrame:
@@ -94,15 +97,33 @@ def train_before_block(rows: DataFrame, starts: DataFrame, embargo_hours: int =
     return rows.join(b, "series_id").where(F.col("origin_ts") < plus_hours(F.col("block_start"), -embargo_hours))
 
 
-def check_alignment(pred: DataFrame, origins: DataFrame, ahead: int = 24) -> DataFrame:
-    """(check, n_bad): origins without exactly ``ahead`` distinct horizons, predicted but not asked for, asked for but not predicted."""
+def train_counts(rows: DataFrame, starts: DataFrame, embargo_hours: int = 24) -> DataFrame:
+    """(series_id, block, n_train): how many rows train_before_block() gives each block, by running counts instead of copies."""
+    nothing = F.lit(None).cast("long")
+    each = rows.select("series_id", F.col("origin_ts").alias("ts"), F.lit(1).alias("n"), nothing.alias("block"))
+    cuts = starts.select("series_id", plus_hours(F.col("block_start"), -embargo_hours).alias("ts"), F.lit(0).alias("n"), F.col("block").cast("long").alias("block"))
+    upto = running_sum(each.union(cuts), F.col("n"), "n_train", unit="MONTH", then="n")  # at one time the cut comes first
+    return upto.where("block is not null").select("series_id", "block", F.col("n_train").cast("long").alias("n_train"))
+
+
+def check_alignment(pred: DataFrame, origins: DataFrame, ahead: int = 24, hourly: DataFrame | None = None) -> DataFrame:
+    """(check, n_bad): origins without exactly ``ahead`` distinct horizons, predicted but not asked for, asked for but not predicted.
+
+    With hourly (series_id, segment_id, ts), also the segments in which the hours from the first origin to ``ahead``
+    after the last one are not as many as its origins and ``ahead`` more.
+    """
     keys = ["series_id", "origin_ts"]
     per = pred.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("horizon").alias("d"), F.min("horizon").alias("lo"), F.max("horizon").alias("hi"))
     bad = per.where((F.col("n") != ahead) | (F.col("d") != ahead) | (F.col("lo") != 1) | (F.col("hi") != ahead))
     count = lambda df, name: df.agg(F.count("*").alias("n_bad")).select(F.lit(name).alias("check"), "n_bad")
-    return (
-        count(bad, "horizons").union(count(per.join(origins, keys, "left_anti"), "unasked")).union(count(origins.join(per, keys, "left_anti"), "unpredicted"))
-    )
+    found = count(bad, "horizons").union(count(per.join(origins, keys, "left_anti"), "unasked")).union(count(origins.join(per, keys, "left_anti"), "unpredicted"))
+    if hourly is None:
+        return found
+    segment = ["series_id", "segment_id"]
+    ends = origins.groupBy(*segment).agg(F.min("origin_ts").alias("lo"), F.max("origin_ts").alias("hi"), F.count("*").alias("n"))
+    inside = hourly.select(*segment, "ts").join(ends, segment).where((F.col("ts") >= F.col("lo")) & (F.col("ts") <= plus_hours(F.col("hi"), ahead)))
+    spans = inside.groupBy(*segment, "n").agg(F.count("*").alias("hours")).where(F.col("hours") != F.col("n") + ahead)
+    return found.union(count(spans, "span"))
 
 
 # --- joins
@@ -130,8 +151,10 @@ def common_origins(pred: DataFrame, n_models: int) -> DataFrame:
     return rows.where(F.col("n") == n_models).drop("n")
 
 
-def assemble_results(*parts: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def assemble_results(*parts: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """The rows of all parts, and of anchors (results from elsewhere), with ``place``: the order of the parts; missing columns are NULL."""
+    every = [*parts, *([] if anchors is None else [anchors])]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("place", F.lit(i).cast("long")) for i, p in enumerate(every)])
 
 
 # --- scores
@@ -192,10 +215,13 @@ def granularity_bridge(pred: DataFrame) -> DataFrame:
     return metrics_pooled(days).select("model", F.col("n").alias("daily_n_days"), F.col("mae").alias("daily_mae"), F.col("r2").alias("daily_r2"))
 
 
-def target_variance(pred: DataFrame) -> DataFrame:
-    rows = pred.groupBy("split").agg(F.var_pop("y").alias("variance"), F.count("*").alias("n"))
-    val = rows.where("split = 'val'").select(F.col("variance").alias("base"))
-    return rows.crossJoin(F.broadcast(val)).select("split", "n", "variance", F.try_divide("variance", "base").alias("ratio_to_val"))
+def target_variance(pred: DataFrame, period: Column | None = None) -> DataFrame:
+    """Variance of the targets of each split, and its ratio to that of val; with period, of each split and period."""
+    keys = ["split", *([] if period is None else ["period"])]
+    rows = pred if period is None else pred.withColumn("period", period)
+    rows = rows.groupBy(*keys).agg(F.var_pop("y").alias("variance"), F.count("*").alias("n"))
+    val = pred.where("split = 'val'").agg(F.var_pop("y").alias("base"))  # one row
+    return rows.crossJoin(F.broadcast(val)).select(*keys, "n", "variance", F.try_divide("variance", "base").alias("ratio_to_val"))
 
 
 def coverage_report(evals: DataFrame, pred: DataFrame) -> DataFrame:
@@ -251,26 +277,84 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select(*scaled)
 
 
-def run_invariants(raw: DataFrame, minute: DataFrame, hourly: DataFrame, stats: DataFrame) -> DataFrame:
-    """(check, ok, detail): invariants of the chain from readings to segments, one aggregate for each input."""
-    r = raw.agg(F.count("*").alias("rows"), F.count_distinct("series_id", "ts").alias("keys"), F.expr("count_if(v is null)").alias("nulls"))
-    m = minute.agg(
-        F.count("*").alias("rows"), F.count_distinct("series_id", "ts").alias("keys"), F.expr("count_if(impute_flag = 0)").alias("originals"),
-        F.expr("count_if(v is null)").alias("nulls"), F.expr("count_if(impute_flag not in (0, 1, 2))").alias("flags"),
+CHECKS = (
+    "rows_kept", "minute_keys_unique", "times_match_raw", "gap_classes_filled", "long_gaps_empty", "short_fills_between", "mid_fills_constant", "flags_match", "full_hours_valid",
+    "kw_is_mean", "kwh_is_sum", "energy_conserved", "lags_match", "segments_match", "enough_windows",
+)
+
+
+def run_invariants(
+    raw: DataFrame, minute: DataFrame, hourly: DataFrame, stats: DataFrame, *, short: int = 119, mid: int = 1440, back: int = 168, ahead: int = 24, least_windows: int = 30_000, tol: float = 0.005
+) -> DataFrame:
+    """(check, ok, n_bad, n, detail) of 15 invariants of the chain from readings (series_id, ts, v) to segments.
+
+    n_bad of n rows break a check. Everything is worked out anew from the readings and the table before; each table
+    gives one aggregate. Use demand() to make a job fail on any of them.
+    """
+    keys = ["series_id", "ts"]
+    bad = lambda c: F.count_if(F.coalesce(c, F.lit(True)))  # noqa: E731  what can't be told is bad
+    n = F.count("*")
+
+    # Each minute with the reading at or before it, and how far that one's next is.
+    ahead_of = neighbour(raw.select("series_id", "ts", F.col("v").alias("_lo")), {"_next": "ts", "_hi": "_lo"})
+    ahead_of = ahead_of.select(*keys, F.struct("_lo", "_hi", F.coalesce(minutes_between("ts", "_next") - 1, F.lit(0)).alias("_gap")).alias("_raw"))
+    own = minute.select(*keys, "v", "impute_flag").join(ahead_of, keys, "full_outer")
+    fresh = running_sum(own, F.col("_raw").isNotNull().cast("int"), "_place")
+    held = F.max("_raw").over(Window.partitionBy("series_id", "_place"))  # one reading and what follows up to the next
+    m = fresh.select("v", "impute_flag", F.col("_raw").isNotNull().cast("int").alias("is_raw"), held.alias("r"))
+    lo, hi, gap = F.col("r._lo"), F.col("r._hi"), F.col("r._gap")
+    here = F.col("impute_flag").isNotNull()
+    first = F.col("is_raw") == 1
+    between = F.col("v").between(F.least(lo, hi) - 1e-6, F.greatest(lo, hi) + 1e-6)
+    filled = lambda flag: F.count_if(here & (F.col("impute_flag") == flag))
+    due = lambda a, b: F.sum(F.when(first & (gap > a) & (gap <= b), gap).otherwise(0))
+    flag = F.when(first, 0).when(gap <= short, 1).when(gap <= mid, 2)
+    ms = m.agg(
+        F.abs(filled(0) - F.count_if(first)).alias("rows_kept"), bad(first != (here & (F.col("impute_flag") == 0))).alias("times_match_raw"),
+        (F.abs(filled(1) - due(0, short)) + F.abs(filled(2) - due(short, mid))).alias("gap_classes_filled"), F.count_if(here & ~first & (gap > mid)).alias("long_gaps_empty"),
+        F.count_if((F.col("impute_flag") == 1) & ~F.coalesce(between, F.lit(False))).alias("short_fills_between"),
+        F.count_if((F.col("impute_flag") == 2) & ~F.coalesce(F.abs(F.col("v") - lo) <= 1e-6, F.lit(False))).alias("mid_fills_constant"),
+        F.count_if(here & ~F.coalesce(F.col("impute_flag") == flag, F.lit(False))).alias("flags_match"), n.alias("m_n"),
+    )
+    twice = minute.groupBy(*keys).agg(n.alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("minute_keys_unique"))
+
+    mine = minute.groupBy("series_id", trunc("HOUR", "ts").alias("ts")).agg(F.count("v").alias("_n"), F.avg("v").alias("_kw"), (F.sum("v") / 60).alias("_kwh"))
+    h = hourly.join(mine, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    far = lambda a, b: F.col("kw").isNotNull() & ~F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1e-3, F.lit(False))
+    e = F.when(F.col("kwh").isNotNull(), F.col("_kwh"))
+    off = F.abs(F.sum(e) - F.sum("kwh")) > tol * F.sum(e)
+    hs = h.agg(
+        bad((F.col("n_valid_min") != F.col("_n")) | (F.col("kw").isNotNull() != (F.col("_n") == 60))).alias("full_hours_valid"), F.count_if(far("kw", "_kw")).alias("kw_is_mean"),
+        F.count_if(far("kwh", "_kwh")).alias("kwh_is_sum"), F.coalesce(off, F.lit(False)).cast("long").alias("energy_conserved"), n.alias("h_n"),
     )
-    h = hourly.agg(
-        F.expr("count_if(n_valid_min = 60)").alias("full"), F.count("kw").alias("valid"), F.expr("count_if(n_valid_min < 60 and kw is not null)").alias("partial"),
-        F.expr("count_if(n_valid_min > 60 or n_valid_min < 0)").alias("range"), F.expr("count_if(abs(kw - kwh) > 1e-6 * greatest(abs(kw), 1))").alias("unit"),
+
+    # Lag 1, lag 24 and the mean of three hours: by place in the series, and by time.
+    by_time = hourly.select("series_id", "ts", "kw")
+    placed = neighbour(neighbour(by_time, {"b1": "kw"}, ahead=False, unit="MONTH"), {"b2": "b1"}, ahead=False, unit="MONTH")
+    at = lambda k: by_time.select("series_id", plus_hours(F.col("ts"), k).alias("ts"), F.col("kw").alias(f"t{k}"))
+    both = placed.join(at(1), keys, "left").join(at(2), keys, "left")
+    mean = lambda a, b: (F.col("kw") + F.col(a) + F.col(b)) / 3
+    ls = both.agg(F.count_if(~F.col("b1").eqNullSafe(F.col("t1")) | ~F.coalesce(F.abs(mean("b1", "b2") - mean("t1", "t2")) <= 1e-6, mean("b1", "b2").eqNullSafe(mean("t1", "t2")))).alias("lags_match"))
+
+    seen = h.where("kw is not null").select("series_id", "ts").join(stats.select("series_id", "segment_id", F.col("start").alias("_a"), F.col("end").alias("_b")), "series_id")
+    seen = seen.where(F.col("ts").between(F.col("_a"), F.col("_b"))).groupBy("series_id", "segment_id").agg(n.alias("_hours"))
+    s = stats.join(seen, ["series_id", "segment_id"], "left")
+    due_windows = F.greatest(F.lit(0), F.col("_hours") - (back + ahead) + 1)
+    ss = s.agg(
+        bad((F.col("_hours") != F.col("length_hours")) | (F.col("n_windows") != due_windows)).alias("segments_match"),
+        (F.coalesce(F.sum("n_windows"), F.lit(0)) < least_windows).cast("long").alias("enough_windows"), n.alias("s_n"),
     )
-    s = stats.agg(F.sum("length_hours").alias("hours"), F.expr("count_if(n_windows < 0)").alias("negative"), F.expr("count_if(start > end)").alias("order"))
-    pre = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    one = pre(r, "r").crossJoin(pre(m, "m")).crossJoin(pre(h, "h")).crossJoin(pre(s, "s"))  # four rows of one each
-    checks = {
-        "raw_keys_unique": F.col("r_rows") == F.col("r_keys"), "raw_values_present": F.col("r_nulls") == 0, "minute_keys_unique": F.col("m_rows") == F.col("m_keys"),
-        "originals_kept": F.col("m_originals") == F.col("r_rows"), "fills_present": F.col("m_nulls") == 0, "flags_known": F.col("m_flags") == 0,
-        "full_hours_valid": F.col("h_full") == F.col("h_valid"), "partial_hours_null": F.col("h_partial") == 0, "minutes_in_range": F.col("h_range") == 0,
-        "kw_equals_kwh": F.col("h_unit") == 0, "segments_cover_valid_hours": F.coalesce(F.col("s_hours"), F.lit(0)) == F.col("h_valid"),
-        "windows_not_negative": F.col("s_negative") == 0, "segments_ordered": F.col("s_order") == 0,
-    }
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("ok")) for k, v in checks.items()])).alias("x")
-    return one.select(pairs).select("x.check", "x.ok")
+    one = reduce(lambda a, b: a.crossJoin(b), [ms, twice, hs, ls, ss])  # rows of one each
+    size = {"rows_kept": "m_n", "minute_keys_unique": "m_n", "times_match_raw": "m_n", "gap_classes_filled": "m_n", "long_gaps_empty": "m_n", "short_fills_between": "m_n", "mid_fills_constant": "m_n",
+            "flags_match": "m_n", "full_hours_valid": "h_n", "kw_is_mean": "h_n", "kwh_is_sum": "h_n", "energy_conserved": "h_n", "lags_match": "h_n"}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("n_bad"), F.col(size.get(c, "s_n")).alias("n")) for c in CHECKS])).alias("x")
+    rows = one.select(pairs).select("x.*")
+    return rows.select("check", (F.col("n_bad") == 0).alias("ok"), "n_bad", "n", F.concat(F.col("n_bad").cast("string"), F.lit(" of "), F.col("n").cast("string")).alias("detail"))
+
+
+def demand(checks: DataFrame) -> DataFrame:
+    """checks, if all are ok; else the job fails with the names and details of those that are not."""
+    failed = [f"{r.check} ({r.detail})" for r in checks.where("not ok").collect()]  # at most a row for each check
+    if failed:
+        raise ValueError(f"{len(failed)} checks failed: {', '.join(failed)}")
+    return checks

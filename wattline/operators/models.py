@@ -1,13 +1,16 @@
-"""Fitted forecasters: boosted trees per horizon (MLlib), ridge regression by Gram matrices, rolling re-training."""
+"""Fitted forecasters: boosted trees per horizon (MLlib), ridge regression by Gram matrices, rolling re-training with any fitter."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import plus_hours
@@ -15,26 +18,37 @@ from ..functions.columns import plus_hours
 FEATURES = ["hour", "dow", "is_weekend", *[f"lag_{k}h" for k in (1, 2, 3, 6, 12, 24, 48, 72, 96, 120, 144, 168)], "roll_mean_24h", "roll_std_24h", "roll_mean_168h"]
 
 
-def fit_trees(train: DataFrame, horizons, features=FEATURES, trees: int = 300, rate: float = 0.05, depth: int = 6, rows: float = 0.8, cols: str = "0.8", seed: int = 42):
-    """{horizon: model}: one boosted model for each horizon, on feature_table() rows."""
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(train).select("features", "y").cache()
-    models = {}
-    for h in horizons:
+def fit_trees(
+    train: DataFrame, horizons, features=FEATURES, trees: int = 300, rate: float = 0.05, depth: int = 6, rows: float = 0.8, cols: str = "0.8", seed: int = 42, task_rows: int = 50_000, at_once: int = 8
+):
+    """{horizon: model}: one boosted model for each horizon, on feature_table() rows.
+
+    The features are kept once for all horizons, in partitions of about ``task_rows`` rows (a tree is many short jobs,
+    so small tables want few tasks); ``at_once`` horizons are fitted side by side.
+    """
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(train).select("features", "y").persist()
+    many = max(1, -(-data.count() // task_rows))
+    data, wide = data.repartition(many).persist(), data
+    data.count()
+    wide.unpersist()
+
+    def fit(h):
         gbt = GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, subsamplingRate=rows, featureSubsetStrategy=cols, seed=seed, labelCol="target")
-        models[h] = gbt.fit(data.select("features", F.element_at("y", h).alias("target")))
+        return h, gbt.fit(data.select("features", F.element_at("y", h).alias("target")))
+
+    with ThreadPool(at_once) as pool:
+        models = dict(pool.map(fit, list(horizons), chunksize=1))
     data.unpersist()
     return models
 
 
 def predict_trees(models: dict, rows: DataFrame, features=FEATURES) -> DataFrame:
-    """Long predictions of each horizon's model."""
+    """Long predictions of all horizons' models, from one pass over the rows."""
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-    out = None
     for h, model in models.items():
-        part = model.setPredictionCol("y_hat").transform(data)
-        part = part.select("series_id", "origin_ts", F.lit("trees").alias("model"), F.lit(h).cast("long").alias("horizon"), F.element_at("y", h).alias("y"), "y_hat")
-        out = part if out is None else out.unionByName(part)
-    return out
+        data = model.setPredictionCol(f"_h{h}").transform(data)
+    each = F.array(*[F.struct(F.lit(h).cast("long").alias("horizon"), F.element_at("y", h).alias("y"), F.col(f"_h{h}").alias("y_hat")) for h in models])
+    return data.select("series_id", "origin_ts", F.lit("trees").alias("model"), F.explode(each).alias("x")).select("series_id", "origin_ts", "model", "x.*")
 
 
 def mean_importance(spark: SparkSession, models: dict, features=FEATURES) -> DataFrame:
@@ -44,10 +58,15 @@ def mean_importance(spark: SparkSession, models: dict, features=FEATURES) -> Dat
     return long.groupBy("feature").agg(F.avg("value").alias("value")).orderBy(F.desc("value"), "feature")
 
 
+#: Cells of a Gram matrix that travel as one array.
+SLICE = 512
+
+
 def grams(windowed: DataFrame, keys: list[str], scale: bool = True) -> DataFrame:
-    """(keys, i, value): cells of [X'X | X'Y] of the rows of each key; X is the history (and a one), Y the targets.
+    """(keys, part, cells): [X'X | X'Y] of the rows of each key in slices of cells, one row from each task; sum them up.
 
-    With scale, history and targets are less the history's mean and over its population deviation. Tasks send sums only.
+    X is the history (and a one), Y the targets. With scale, history and targets are less the history's mean and over
+    its population deviation. Tasks send sums only.
     """
     types = [windowed.schema[k] for k in keys]
 
@@ -63,13 +82,13 @@ def grams(windowed: DataFrame, keys: list[str], scale: bool = True) -> DataFrame
                 cell = x[at].T @ np.hstack([x[at], y[at]])
                 sums[key] = sums[key] + cell if key in sums else cell
         for key, cell in sums.items():
-            n = cell.size
-            columns = [pa.array([k] * n) for k in key] + [pa.array(np.arange(n)), pa.array(cell.ravel())]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, "i", "value"])
+            parts = [cell.ravel()[i : i + SLICE] for i in range(0, cell.size, SLICE)]
+            n = len(parts)
+            columns = [pa.array([k] * n, pa.string() if isinstance(k, str) else None) for k in key] + [pa.array(range(n), pa.int32()), pa.array(parts, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "part", "cells"])
 
     schema = ", ".join(f"{t.name} {t.dataType.simpleString()}" for t in types)
-    cells = windowed.select(*keys, "hist", "y").mapInArrow(run, f"{schema}, i long, value double")
-    return cells.groupBy(*keys, "i").agg(F.sum("value").alias("value"))
+    return windowed.select(*keys, "hist", "y").mapInArrow(run, f"{schema}, part int, cells array<double>")
 
 
 def _arrays(batch, at: int, scale: bool):
@@ -88,9 +107,10 @@ def solve(cells: np.ndarray, width: int, ridge: float) -> np.ndarray:
 
 def linear_direct(spark: SparkSession, train: DataFrame, evals: DataFrame, back: int = 168, ridge: float = 1.0, scale: bool = True) -> DataFrame:
     """(series_id, origin_ts, y, y_hat) of one ridge model from windows() rows; only the summed Gram matrix comes to the driver."""
-    cells = grams(train.withColumn("one", F.lit(1).cast("long")), ["one"], scale).select("i", "value").collect()  # (back + 1) * (back + 1 + ahead) numbers
+    cells = grams(train.withColumn("one", F.lit(1).cast("long")), ["one"], scale).select("part", F.posexplode("cells").alias("at", "cell"))
+    cells = cells.groupBy("part", "at").agg(F.sum("cell").alias("cell")).collect()  # (back + 1) * (back + 1 + ahead) numbers
     flat = np.zeros(len(cells))
-    flat[[r.i for r in cells]] = [r.value for r in cells]
+    flat[[r.part * SLICE + r["at"] for r in cells]] = [r.cell for r in cells]
     weights = spark.sparkContext.broadcast(solve(flat, back + 1, ridge) if len(flat) else None)
 
     def run(batches):
@@ -107,30 +127,38 @@ def linear_direct(spark: SparkSession, train: DataFrame, evals: DataFrame, back:
 def rolling_linear(windowed: DataFrame, blocks: DataFrame, back: int = 168, ridge: float = 1.0, embargo_hours: int = 24, scale: bool = True) -> DataFrame:
     """Re-trains before each block on all earlier rows and predicts the block's rows, without copying rows per block.
 
-    Rows are summed to one Gram matrix for each span between training cut-offs; running sums over the spans are the
-    expanding training sets. blocks: (series_id, origin_ts, block, block_start) of the rows to predict.
+    Each row belongs to the first block whose training set has it, by a look at its series' list of cut-offs; rows are
+    summed to one Gram matrix for each block, and running sums over the blocks are the expanding training sets.
+    blocks: (series_id, origin_ts, block, block_start) of the rows to predict.
     """
-    starts = blocks.select("series_id", "block", "block_start").distinct()
+    starts = blocks.groupBy("series_id", "block").agg(F.min("block_start").alias("block_start"))
     cut = plus_hours(F.col("block_start"), -embargo_hours)
-    w = Window.partitionBy("series_id").orderBy("cut")
-    spans = starts.withColumn("cut", cut).withColumn("before", F.lag("cut").over(w)).select("series_id", "block", "cut", "before")
-    on = (F.col("r.series_id") == F.col("s.series_id")) & (F.col("r.origin_ts") < F.col("s.cut")) & (F.col("s.before").isNull() | (F.col("r.origin_ts") >= F.col("s.before")))
-    rows = windowed.alias("r").join(spans.alias("s"), on).select("s.series_id", "s.block", "r.hist", "r.y")
-    cells = grams(rows, ["series_id", "block"], scale)
-    # A block may add no rows: fill its cells with zeros before summing up.
-    size = cells.select("i").distinct()
-    full = starts.select("series_id", "block").crossJoin(F.broadcast(size)).join(cells, ["series_id", "block", "i"], "left")
-    upto = F.sum(F.coalesce("value", F.lit(0.0))).over(Window.partitionBy("series_id", "i").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    plan = starts.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(cut.alias("cut"), F.col("block").cast("long").alias("block")))).alias("cuts"))  # a place for each block of a series
+    found = F.filter("cuts", lambda c: c.cut > F.col("origin_ts"))
+    rows = windowed.join(plan, "series_id").withColumn("block", F.try_element_at(found, F.lit(1))["block"])
+    cells = grams(rows.where("block is not null"), ["series_id", "block"], scale)
+
+    def running(key, cell: pd.DataFrame) -> pd.DataFrame:
+        """Running sums over a series' blocks of one slice of the cells: as many short arrays as the series has blocks."""
+        out, total, own = [], 0.0, {b: np.sum(np.stack(c.tolist()), 0) for b, c in cell.groupby("block")["cells"]}
+        for c in cell["cuts"].iloc[0]:
+            total = total + own.get(c["block"], 0.0)
+            if not np.isscalar(total):
+                out.append((key[0], c["block"], key[1], total))
+        return pd.DataFrame(out, columns=["series_id", "block", "part", "cells"])
+
+    full = cells.join(plan, "series_id").groupBy("series_id", "part").applyInPandas(running, "series_id string, block long, part int, cells array<double>")
     fresh = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  both sides stem from one table
-    full = fresh(full.select("series_id", "block", "i", upto.alias("value")), "series_id", "block", "i", "value")
-    todo = windowed.join(blocks.select("series_id", "origin_ts", "block"), ["series_id", "origin_ts"])
+    full = fresh(full, "series_id", "block", "part", "cells")
+    todo = windowed.join(blocks.select("series_id", "origin_ts", F.col("block").cast("long").alias("block")), ["series_id", "origin_ts"])
     todo = fresh(todo, "series_id", "block", "origin_ts", "hist", "y")
 
     def fit(key, cell: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"series_id": [], "block": [], "origin_ts": [], "y": [], "y_hat": []})
-        if not len(rows) or not len(cell) or not cell["value"].any():
+        flat = np.concatenate(cell.sort_values("part")["cells"].tolist()) if len(cell) else np.zeros(0)
+        if not len(rows) or not flat.any():
             return out
-        weights = solve(cell.sort_values("i")["value"].to_numpy(), back + 1, ridge)
+        weights = solve(flat, back + 1, ridge)
         batch = pa.RecordBatch.from_arrays([pa.array(rows["hist"].tolist()), pa.array(rows["y"].tolist())], ["hist", "y"])
         x, _, mu, sd = _arrays(batch, 0, scale)
         return rows[["series_id", "block", "origin_ts", "y"]].assign(y_hat=list(x @ weights * sd + mu))
@@ -138,3 +166,31 @@ def rolling_linear(windowed: DataFrame, blocks: DataFrame, back: int = 168, ridg
     # One group is a block of one series: bounded by the block's hours.
     both = full.groupBy("series_id", "block").cogroup(todo.groupBy("series_id", "block"))
     return both.applyInPandas(fit, "series_id string, block long, origin_ts timestamp_ntz, y array<double>, y_hat array<double>")
+
+
+def rolling_fit_predict(rows: DataFrame, blocks: DataFrame, fitter: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], embargo_hours: int = 24) -> DataFrame:
+    """For each block, fitter(the rows before its start, less the embargo) gives a predictor, which predicts the block's rows.
+
+    blocks: (series_id, origin_ts, block, block_start), anchored over all series, so that one model serves them all; the
+    driver goes over the weeks to predict, each fit is a Spark job of its own. Blocks without earlier rows are skipped.
+    """
+    starts = blocks.groupBy("block").agg(F.min("block_start").alias("start")).orderBy("block").collect()  # a row for each week
+    out = None
+    for b in starts:
+        train = rows.where(F.col("origin_ts") < plus_hours(F.lit(b.start).cast("timestamp_ntz"), -embargo_hours))
+        if train.isEmpty():
+            continue
+        todo = rows.join(blocks.where(F.col("block") == b.block).select("series_id", "origin_ts"), ["series_id", "origin_ts"], "left_semi")
+        part = fitter(train)(todo).withColumn("block", F.lit(b.block).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def trees_fitter(horizons=range(1, 25), **settings) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
+    """A fitter of boosted trees for rolling_fit_predict(), over feature_table() rows."""
+
+    def fit(train: DataFrame):
+        models = fit_trees(train, horizons, **settings)
+        return lambda rows: predict_trees(models, rows)
+
+    return fit

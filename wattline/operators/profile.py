@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import kwh_per_day_of_kw, kwh_per_day_of_wh, minutes_between, trunc
+from .series import neighbour
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 HOUR_BINS = (0, 1, 2, 6, 24, 48, 72, 96, 125)
@@ -16,6 +17,33 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.selectExpr(f"stack({len(cols)}, {pairs}) as (col, value)")
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs, parts: int = 100) -> DataFrame:
+    """(keys, n_distinct, qs): exact quantiles of each key by linear interpolation, nulls ignored, without a key's rows in one task.
+
+    Values are counted first; approximate bounds cut each key's values into ``parts`` buckets, running counts of these
+    tell which buckets hold the wanted ranks, and only their values are put in order. Keys are few (columns, years).
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    bounds = counts.groupBy(*keys).agg(F.approx_percentile("_v", [i / parts for i in range(1, parts)]).alias("_bounds"))
+    bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
+    placed = counts.join(F.broadcast(bounds), keys).select(*keys, "_v", "_n", bucket.alias("_bucket"))  # one row of ``parts`` numbers for each key
+    w = Window.partitionBy(*keys)
+    cells = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_m"), F.count("*").alias("_d"))  # at most ``parts`` rows for each key
+    cells = cells.withColumn("_upto", F.sum("_m").over(w.orderBy("_bucket"))).withColumn("_total", F.sum("_m").over(w)).withColumn("n_distinct", F.sum("_d").over(w))
+    spots = F.array(*[F.lit(float(q)) * (F.col("_total") - 1) for q in qs])
+    cells = cells.withColumn("_spots", spots)
+    ranks = F.array_distinct(F.flatten(F.transform("_spots", lambda r: F.array(F.floor(r), F.ceil(r)))))
+    cells = cells.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_upto") - F.col("_m")) & (r < F.col("_upto"))))
+    cells = cells.where(F.size("_ranks") > 0).select(*keys, "_bucket", "n_distinct", "_spots", "_ranks", (F.col("_upto") - F.col("_m")).alias("_before"))
+    inside = placed.join(F.broadcast(cells), [*keys, "_bucket"])  # at most two buckets for each quantile and key
+    end = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy("_v"))
+    found = inside.withColumn("_end", end).withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end"))))
+    found = found.select(*keys, "n_distinct", "_spots", F.explode("_ranks").alias("_rank"), "_v")
+    at = found.groupBy(*keys).agg(F.first("n_distinct").alias("n_distinct"), F.first("_spots").alias("_spots"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    low, high = lambda r: F.element_at("_at", F.floor(r)), lambda r: F.element_at("_at", F.ceil(r))
+    return at.select(*keys, "n_distinct", F.transform("_spots", lambda r: low(r) + (high(r) - low(r)) * (r - F.floor(r))).alias("qs"))
+
+
 def check_mask_agreement(df: DataFrame, measures: list[str]) -> DataFrame:
     """(n_rows, n_disagree, ok): rows in which some but not all measures are missing."""
     first, *rest = measures
@@ -28,19 +56,27 @@ def check_mask_agreement(df: DataFrame, measures: list[str]) -> DataFrame:
 
 def profile_columns(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """One row per column: missing, missing_rate, n_distinct, zeros, zero_rate (over all rows), mean, median, max."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    median = (lambda c: F.approx_percentile(c, 0.5)) if approx else F.median
     v = F.col("value")
     n = F.count("*")
-    return _long(df, cols).groupBy("col").agg(
-        (n - F.count(v)).alias("missing"), ((n - F.count(v)) / n).alias("missing_rate"), distinct(v).alias("n_distinct"),
-        F.count_if(v == 0).alias("zeros"), (F.count_if(v == 0) / n).alias("zero_rate"), F.avg(v).alias("mean"), median(v).alias("median"), F.max(v).alias("max"),
-    )
+    base = [
+        (n - F.count(v)).alias("missing"), ((n - F.count(v)) / n).alias("missing_rate"), F.count_if(v == 0).alias("zeros"), (F.count_if(v == 0) / n).alias("zero_rate"),
+        F.avg(v).alias("mean"), F.max(v).alias("max"),
+    ]
+    names = ["col", "missing", "missing_rate", "n_distinct", "zeros", "zero_rate", "mean", "median", "max"]
+    long = _long(df, cols)
+    if approx:
+        return long.groupBy("col").agg(*base, F.approx_count_distinct(v).alias("n_distinct"), F.approx_percentile(v, 0.5).alias("median")).select(*names)
+    ordered = exact_quantiles(long, ["col"], "value", [0.5]).select("col", "n_distinct", F.col("qs")[0].alias("median"))
+    rows = long.groupBy("col").agg(*base).join(F.broadcast(ordered), "col", "left")  # a row for each column
+    return rows.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0))).select(*names)
 
 
 def profile_quantiles(df: DataFrame, cols: list[str], qs=QUANTILES, approx: bool = False) -> DataFrame:
-    f = F.approx_percentile if approx else F.percentile
-    rows = _long(df, cols).groupBy("col").agg(f(F.col("value"), [float(q) for q in qs]).alias("qs"))
+    long = _long(df, cols)
+    if approx:
+        rows = long.groupBy("col").agg(F.approx_percentile("value", [float(q) for q in qs]).alias("qs"))
+    else:
+        rows = exact_quantiles(long, ["col"], "value", qs)
     return rows.select("col", F.posexplode("qs").alias("i", "value")).select("col", F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1).alias("q"), "value")
 
 
@@ -51,9 +87,9 @@ def top_values(df: DataFrame, cols: list[str], n: int = 3) -> DataFrame:
 
 
 def profile_time(df: DataFrame, seq: str, ts: str = "ts") -> DataFrame:
-    """First and last minute, repeated timestamps, order by the sequence column, expected, actual and absent minutes for each series."""
-    back = F.lag(ts).over(Window.partitionBy("series_id").orderBy(seq))
-    rows = df.select("series_id", ts, (F.col(ts) <= back).alias("bad"))
+    """First and last minute, repeated timestamps, order by the (whole-numbered) sequence column, expected, actual and absent minutes for each series."""
+    rows = neighbour(df.select("series_id", ts, seq), {"_back": ts}, ahead=False, order=seq, unit=1 << 16)
+    rows = rows.select("series_id", ts, (F.col(ts) <= F.col("_back")).alias("bad"))
     out = rows.groupBy("series_id").agg(
         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n_rows"), F.count_distinct(ts).alias("n_ts"), F.expr("count_if(bad)").alias("n_bad")
     )
@@ -74,13 +110,22 @@ def gap_buckets(runs: DataFrame) -> DataFrame:
     return rows.join(total, "series_id").select("series_id", "bucket", "n", (F.col("minutes") / F.col("total")).alias("share"))
 
 
-def gap_summary(runs: DataFrame) -> DataFrame:
-    """Longest, shortest and number of gaps, and those of more than 24 hours."""
+def gap_summary(runs: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """Longest, shortest and number of gaps, those of more than 24 hours, and, with spans (series_id, span), the missing share of all minutes."""
     over = F.col("length") > 1440
-    return runs.groupBy("series_id").agg(
+    rows = runs.groupBy("series_id").agg(
         F.count("*").alias("n"), F.max("length").alias("longest"), F.min("length").alias("shortest"), F.count_if(over).alias("n_over_day"),
-        (F.sum(F.when(over, F.col("length")).otherwise(0)) / F.sum("length")).alias("share_over_day"),
+        (F.sum(F.when(over, F.col("length")).otherwise(0)) / F.sum("length")).alias("share_over_day"), F.sum("length").alias("total"),
     )
+    if spans is not None:
+        rows = rows.join(spans, "series_id").withColumn("share_of_span", F.try_divide("total", "span")).drop("span")
+    return rows.drop("total")
+
+
+def long_gaps(runs: DataFrame, least: int = 1440) -> DataFrame:
+    """The gaps of more than 24 hours, longest first."""
+    rows = runs.where(F.col("length") > least).select("series_id", "ts", (F.col("length") / 60).alias("hours"))
+    return rows.orderBy(F.desc("hours"), "series_id", "ts")
 
 
 def gap_histogram(runs: DataFrame, bins=HOUR_BINS) -> DataFrame:
@@ -99,13 +144,22 @@ def hour_profile(hourly: DataFrame) -> DataFrame:
 
 
 def year_profile(df: DataFrame, value: str, ts: str = "ts") -> DataFrame:
-    return df.groupBy(F.year(ts).cast("long").alias("year")).agg(F.avg(value).alias("mean"), F.median(value).alias("median"))
-
-
-def power_factor_stats(pf: DataFrame, n_all: int | None = None) -> DataFrame:
-    q = F.percentile("pf", [0.001, 0.01, 0.5, 0.99])
-    out = pf.agg(q.alias("q"), F.avg((F.col("pf") < 0.9).cast("double")).alias("share_low"), F.count("*").alias("n"))
-    return out.select(F.col("q")[2].alias("median"), F.col("q")[0].alias("p0_1"), F.col("q")[1].alias("p1"), F.col("q")[3].alias("p99"), "share_low", "n")
+    rows = df.select(F.year(ts).cast("long").alias("year"), F.col(value).cast("double").alias("value"))
+    median = exact_quantiles(rows, ["year"], "value", [0.5]).select("year", F.col("qs")[0].alias("median"))
+    return rows.groupBy("year").agg(F.avg("value").alias("mean")).join(median, "year", "left")
+
+
+def power_factor_stats(pf: DataFrame, qs=(0.5, 0.001, 0.01, 0.99), all_rows: DataFrame | None = None) -> DataFrame:
+    """One row: quantiles p_<q in percent>, the share below 0.9, n, and with all_rows the share of them that pf is."""
+    one = pf.select(F.lit(1).alias("one"), "pf")
+    q = exact_quantiles(one, ["one"], "pf", qs)
+    out = one.groupBy("one").agg(F.avg((F.col("pf") < 0.9).cast("double")).alias("share_low"), F.count("*").alias("n")).join(F.broadcast(q), "one")
+    names = [f"p{q * 100:g}".replace(".", "_") for q in qs]
+    rows = out.select(*[F.col("qs")[i].alias(n) for i, n in enumerate(names)], "share_low", "n")
+    if all_rows is not None:
+        total = all_rows.agg(F.count("*").alias("_total"))
+        rows = rows.crossJoin(F.broadcast(total)).withColumn("share_of_all", F.try_divide("n", "_total")).drop("_total")  # one row by one row
+    return rows
 
 
 def power_factor_hist(pf: DataFrame, lo: float = 0.85, hi: float = 1.0, bins: int = 80) -> DataFrame:

@@ -14,6 +14,41 @@ def by_series(*extra: str):
     return Window.partitionBy("series_id", *extra).orderBy("ts")
 
 
+# --- windows over a whole series, in chunks: no task holds more than a chunk's rows, or one row for each chunk
+
+
+def _chunked(df: DataFrame, order: str, unit: str | int, keys: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    chunk = F.floor(F.col(order) / unit) if isinstance(unit, int) else trunc(unit, order)
+    return df.withColumn("_chunk", chunk), [*keys, "_chunk"]
+
+
+def neighbour(df: DataFrame, cols: dict[str, str], ahead: bool = True, order: str = "ts", unit: str | int = "DAY", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """df with the values {new name: column} of the next row (or the one before) of its keys in the order of a column.
+
+    Lead or lag inside chunks of that column (a unit of time, or so many numbers); a chunk's last row looks at the first
+    one of the next chunk, which is found on one row for each chunk. Ties of the order fall as they come.
+    """
+    rows, inner = _chunked(df, order, unit, keys)
+    step, edge = (F.lead, F.min) if ahead else (F.lag, F.max)
+    value = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
+    own = rows.withColumn("_near", step(value).over(Window.partitionBy(*inner).orderBy(order)))
+    edges = rows.groupBy(*inner).agg(edge(F.struct(F.col(order).alias("_o"), value.alias("_v")))["_v"].alias("_edge"))
+    edges = edges.select(*inner, step("_edge").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_far"))
+    both = own.join(edges, inner)
+    return both.select(*df.columns, *[F.coalesce(F.col("_near")[n], F.when(F.col("_near").isNull(), F.col("_far")[n])).alias(n) for n in cols])
+
+
+def running_sum(df: DataFrame, value: Column, name: str, order: str = "ts", unit: str | int = "DAY", keys: tuple[str, ...] = ("series_id",), then: str | None = None) -> DataFrame:
+    """df with the sum of value up to each row: sums inside chunks, and before them the sums of all earlier chunks. ``then`` orders ties."""
+    rows, inner = _chunked(df.withColumn("_value", value), order, unit, keys)
+    upto = Window.unboundedPreceding, Window.currentRow
+    ordering = [order, *([then] if then else [])]
+    own = rows.withColumn("_own", F.sum("_value").over(Window.partitionBy(*inner).orderBy(*ordering).rowsBetween(*upto)))
+    sums = rows.groupBy(*inner).agg(F.sum("_value").alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(sums.select(*inner, before.alias("_before")), inner).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def dense_spine(df: DataFrame, unit: str = "HOUR", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """(keys, ts): every step from the first to the last one of each key."""
     step = F.expr(f"INTERVAL 1 {unit}")
@@ -27,25 +62,21 @@ def with_spine(df: DataFrame, unit: str = "HOUR") -> DataFrame:
 
 def null_runs(df: DataFrame, col: str = "v") -> DataFrame:
     """Maximal runs of rows without a value, also at either end: (series_id, start, end, length)."""
-    w = by_series()
-    missing = F.col(col).isNull()
-    flagged = df.select("series_id", "ts", missing.alias("m"))
-    new = F.when(F.col("m") != F.coalesce(F.lag("m").over(w), ~F.col("m")), 1).otherwise(0)
-    island = flagged.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = island.where("m").groupBy("series_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("length"))
+    flagged = df.select("series_id", "ts", F.col(col).isNotNull().cast("int").alias("has"))
+    placed = running_sum(flagged, F.col("has"), "run")  # rows without a value after the same number of values are one run
+    runs = placed.where("has = 0").groupBy("series_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("length"))
     return runs.drop("run")
 
 
 def absent_runs(df: DataFrame) -> DataFrame:
     """Missing minutes between neighbouring rows more than a minute apart."""
-    ahead = df.select("series_id", "ts", F.lead("ts").over(by_series()).alias("next_ts"))
+    ahead = neighbour(df.select("series_id", "ts"), {"next_ts": "ts"})
     return ahead.withColumn("missing", minutes_between("ts", "next_ts") - 1).where("missing > 0")
 
 
 def gaps(valid: DataFrame) -> DataFrame:
     """Gaps between valid rows with the values beside them; never any at the edges, where a side is unknown."""
-    w = by_series()
-    ahead = valid.select("series_id", "ts", F.col("v").alias("lo"), F.lead("ts").over(w).alias("next_ts"), F.lead("v").over(w).alias("hi"))
+    ahead = neighbour(valid.select("series_id", "ts", F.col("v").alias("lo")), {"next_ts": "ts", "hi": "lo"})
     return ahead.withColumn("length", minutes_between("ts", "next_ts") - 1).where("length > 0")
 
 
@@ -73,18 +104,21 @@ def ffill_mid(valid: DataFrame, least: int = 119, most: int = 1440) -> DataFrame
     return g.select("series_id", plus_minutes(F.col("ts"), F.col("i")).alias("ts"), F.col("lo").alias("v"), F.lit(2).alias("impute_flag"))
 
 
-def impute(valid: DataFrame, short: int = 119, mid: int = 1440) -> DataFrame:
-    """Valid rows with flag 0, short gaps on a line (1), mid gaps carried forward (2), from one pass over neighbours; long gaps stay out."""
-    w = by_series()
-    ahead = valid.select("series_id", "ts", F.col("v").alias("lo"), F.lead("ts").over(w).alias("next_ts"), F.lead("v").over(w).alias("hi"))
+def impute(valid: DataFrame, short: int = 119, mid: int = 1440, cols: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Valid rows with flag 0, short gaps on a line (1), mid gaps carried forward (2), from one pass over neighbours; long gaps stay out.
+
+    All of ``cols`` are filled by the same gaps: readings miss all measures of a row or none.
+    """
+    ahead = neighbour(valid.select("series_id", "ts", *cols), {"next_ts": "ts"} | {f"_next_{c}": c for c in cols})
     n = F.coalesce(minutes_between("ts", "next_ts") - 1, F.lit(0))
     rows = ahead.withColumn("length", F.when(n <= mid, n).otherwise(0))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("length").cast("int"))).alias("i"))
-    line = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (F.col("length") + 1)
+    held = (F.col("i") == 0) | (F.col("length") > short)
+    line = lambda c: F.col(c) + (F.col(f"_next_{c}") - F.col(c)) * F.col("i") / (F.col("length") + 1)
     return rows.select(
         "series_id",
         plus_minutes(F.col("ts"), F.col("i")).alias("ts"),
-        F.when((F.col("i") == 0) | (F.col("length") > short), F.col("lo")).otherwise(line).alias("v"),
+        *[F.when(held, F.col(c)).otherwise(line(c)).alias(c) for c in cols],
         F.when(F.col("i") == 0, 0).when(F.col("length") <= short, 1).otherwise(2).alias("impute_flag"),
     )
 
@@ -107,13 +141,12 @@ def resample_daily(hourly: DataFrame) -> DataFrame:
 
 def assign_segments(hourly: DataFrame, min_len: int | None = None) -> DataFrame:
     """The valid hours with segment_id 1..n: maximal runs without a missing hour; runs below min_len go."""
-    w = by_series()
-    valid = hourly.where("kw is not null").withColumn("before", F.lag("ts").over(w))
+    valid = neighbour(hourly.where("kw is not null"), {"before": "ts"}, ahead=False, unit="MONTH")
     new = F.when(F.col("before").isNull() | (F.timestamp_diff("HOUR", F.col("before"), F.col("ts")) > 1), 1).otherwise(0)
-    rows = valid.withColumn("new", new).withColumn("segment_id", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("before", "new")
+    rows = running_sum(valid, new, "segment_id", unit="MONTH").drop("before")
     if min_len:
-        size = F.count("*").over(Window.partitionBy("series_id", "segment_id"))
-        rows = rows.withColumn("size", size).where(F.col("size") >= min_len).drop("size")
+        long = rows.groupBy("series_id", "segment_id").agg(F.count("*").alias("size")).where(F.col("size") >= min_len).select("series_id", "segment_id")
+        rows = rows.join(long, ["series_id", "segment_id"], "left_semi")
     return rows
 
 
@@ -124,39 +157,46 @@ def segment_stats(segmented: DataFrame, back: int = 168, ahead: int = 24) -> Dat
     return rows.withColumn("window_share", F.try_divide(F.col("n_windows"), total))
 
 
-def windows(segmented: DataFrame, back: int = 168, ahead: int = 24) -> DataFrame:
+def windows(segmented: DataFrame, back: int = 168, ahead: int = 24, unit: str = "MONTH") -> DataFrame:
     """A row for each origin: (series_id, segment_id, origin_ts, hist: the last ``back`` hours, y: the next ``ahead``).
 
-    One window specification for the history, the targets and the place in the segment, so one sort.
+    One window specification for the history and the targets, so one sort; chunks of time with a halo, so that a long
+    segment is many tasks.
     """
-    w = by_series("segment_id")
-    rows = segmented.select(
+    w = by_series("segment_id", "chunk")
+    rows = with_halo(segmented, unit, back, ahead).select(
+        "own",
         "series_id",
         "segment_id",
         F.col("ts").alias("origin_ts"),
         F.collect_list("kw").over(w.rowsBetween(1 - back, 0)).alias("hist"),
         F.collect_list("kw").over(w.rowsBetween(1, ahead)).alias("y"),
     )
-    return rows.where((F.size("hist") == back) & (F.size("y") == ahead))
+    return rows.where(F.col("own") & (F.size("hist") == back) & (F.size("y") == ahead)).drop("own")
 
 
 def window_origins(segmented: DataFrame, back: int = 168, ahead: int = 24) -> DataFrame:
-    key = Window.partitionBy("series_id", "segment_id")
-    rows = segmented.select("*", F.row_number().over(key.orderBy("ts")).alias("rn"), F.count("*").over(key).alias("n"))
-    return rows.where((F.col("rn") >= back) & (F.col("rn") <= F.col("n") - ahead)).select("series_id", "segment_id", F.col("ts").alias("origin_ts"))
+    """Origins with a full window on either side. A segment has every hour, so its ends alone tell: nothing is sorted."""
+    ends = segmented.groupBy("series_id", "segment_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    rows = segmented.join(ends, ["series_id", "segment_id"])
+    rows = rows.where((F.col("ts") >= plus_hours(F.col("lo"), back - 1)) & (F.col("ts") <= plus_hours(F.col("hi"), -ahead)))
+    return rows.select("series_id", "segment_id", F.col("ts").alias("origin_ts"))
 
 
-def lag_features(segmented: DataFrame, lags=LAGS) -> DataFrame:
+def lag_features(segmented: DataFrame, lags=LAGS, unit: str = "MONTH") -> DataFrame:
     """lag_kh = the value k - 1 hours before the origin: the first lag is the origin's own hour."""
-    w = by_series("segment_id")
-    return segmented.select("series_id", "segment_id", F.col("ts").alias("origin_ts"), *[F.lag("kw", k - 1).over(w).alias(f"lag_{k}h") for k in lags])
+    w = by_series("segment_id", "chunk")
+    rows = with_halo(segmented, unit, max(lags), 0)
+    rows = rows.select("series_id", "segment_id", F.col("ts").alias("origin_ts"), "own", *[F.lag("kw", k - 1).over(w).alias(f"lag_{k}h") for k in lags])
+    return rows.where("own").drop("own")
 
 
-def rolling_features(segmented: DataFrame) -> DataFrame:
+def rolling_features(segmented: DataFrame, unit: str = "MONTH") -> DataFrame:
     """Mean and sample deviation of 24 hours and mean of 168, ending at the origin; NULL without a full window."""
-    w = by_series("segment_id")
+    w = by_series("segment_id", "chunk")
     over = lambda f, n: F.when(F.count("kw").over(w.rowsBetween(1 - n, 0)) == n, f("kw").over(w.rowsBetween(1 - n, 0)))
-    return segmented.select(
+    rows = with_halo(segmented, unit, 168, 0).select(
+        "own",
         "series_id",
         "segment_id",
         F.col("ts").alias("origin_ts"),
@@ -164,6 +204,7 @@ def rolling_features(segmented: DataFrame) -> DataFrame:
         over(F.stddev_samp, 24).alias("roll_std_24h"),
         over(F.avg, 168).alias("roll_mean_168h"),
     )
+    return rows.where("own").drop("own")
 
 
 def rolling_daily(daily: DataFrame, days: int = 30, least: int = 15) -> DataFrame:
@@ -171,12 +212,12 @@ def rolling_daily(daily: DataFrame, days: int = 30, least: int = 15) -> DataFram
     return daily.withColumn("roll", F.when(F.count("kw").over(w) >= least, F.avg("kw").over(w)))
 
 
-def feature_table(segmented: DataFrame, back: int = 168, ahead: int = 24) -> DataFrame:
+def feature_table(segmented: DataFrame, back: int = 168, ahead: int = 24, unit: str = "MONTH") -> DataFrame:
     """Calendar, lag and rolling features and targets of each origin, from the arrays of windows()."""
     from ..functions.columns import calendar_features
 
     at = lambda k: F.element_at("hist", -k)
-    rows = windows(segmented, back, ahead)
+    rows = windows(segmented, back, ahead, unit)
     rows = calendar_features(rows, "origin_ts")
     mean = lambda n: F.aggregate(F.slice("hist", -n, n), F.lit(0.0), lambda s, v: s + v) / n
     m24 = mean(24)

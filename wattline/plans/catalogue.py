@@ -48,7 +48,14 @@ PARTS = {
         CASE WHEN origin_ts < cut_val THEN 'train' WHEN origin_ts < cut_test THEN 'val' ELSE 'test' END AS split FROM origins o JOIN cuts c ON o.series_id = c.series_id""",
     "evals": "SELECT * FROM split WHERE split <> 'train'",
     "blocks": """SELECT *, min(origin_ts) OVER (PARTITION BY series_id, block) AS block_start FROM (SELECT *,
+        CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id), origin_ts) / 168.0) AS BIGINT) AS block FROM evals)""",
+    "dayblocks": """SELECT *, min(origin_ts) OVER (PARTITION BY series_id, block) AS block_start FROM (SELECT *,
         CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id), origin_ts) / 24.0) AS BIGINT) AS block FROM evals)""",
+    "chunks": """SELECT series_id, origin_ts, row_number() OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS rn,
+        ntile(4) OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS fold FROM split WHERE origin_ts < cut_test""",
+    "placed_in_fold": """SELECT *, min(rn) OVER (PARTITION BY series_id, fold) AS n_train, least(count(*) OVER (PARTITION BY series_id, fold), 720) AS n_val,
+        row_number() OVER (PARTITION BY series_id, fold ORDER BY origin_ts) AS place FROM chunks WHERE fold > 0""",
+    "folds": "SELECT * FROM placed_in_fold WHERE place <= 720 AND n_train >= 50 AND n_val >= 20",
     "targets": """SELECT series_id, segment_id, ts, kw AS y, lag(kw, 24) OVER (PARTITION BY series_id, segment_id ORDER BY ts) AS seasonal_naive,
         sum(kw) OVER (PARTITION BY series_id, segment_id, hour(ts) ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) / 7 AS same_hour_mean FROM segs""",
     "ahead": """SELECT o.series_id, o.segment_id, o.origin_ts, s.kw AS persistence, unnest(range(1, 25)) AS horizon
@@ -64,13 +71,31 @@ PARTS = {
     "byh": """SELECT model, horizon, count(*) AS n, avg(abs(y_hat - y)) AS mae, sqrt(avg((y_hat - y) * (y_hat - y))) AS rmse,
         avg(CASE WHEN abs(y) + abs(y_hat) > 1e-8 THEN 2 * abs(y_hat - y) / (abs(y) + abs(y_hat)) END) AS smape,
         1 - sum((y_hat - y) * (y_hat - y)) / (var_pop(y) * count(y)) AS r2 FROM pred GROUP BY 1, 2""",
+    # Inputs with planted faults.
+    "off_pred": "SELECT model, horizon, y, y_hat + CASE WHEN model = 'persistence' AND hour(origin_ts) = 5 THEN 0.5 ELSE 0 END AS y_hat FROM pred",
+    "off_pooled": """SELECT model, avg(abs(y_hat - y)) AS mae, sqrt(avg((y_hat - y) * (y_hat - y))) AS rmse,
+        avg(CASE WHEN abs(y) + abs(y_hat) > 1e-8 THEN 2 * abs(y_hat - y) / (abs(y) + abs(y_hat)) END) AS smape,
+        1 - sum((y_hat - y) * (y_hat - y)) / (var_pop(y) * count(y)) AS r2 FROM off_pred GROUP BY 1""",
+    "off_mean": "SELECT model, avg(m) AS hm FROM (SELECT model, horizon, avg(abs(y_hat - y)) AS m FROM off_pred GROUP BY 1, 2) GROUP BY 1",
+    "own_mean": "SELECT model, avg(mae) AS hm FROM byh GROUP BY 1",
+    "off_hourly": "SELECT series_id, ts, kwh * CASE WHEN series_id = 'click' THEN 1.01 WHEN hour(ts) = 5 THEN 1.002 ELSE 1 END AS kwh FROM hourly WHERE kwh IS NOT NULL",
+    "energy": "SELECT series_id, date_trunc('hour', ts) AS ts, sum(v) / 60 AS e FROM minute GROUP BY 1, 2",
+    "off_minute": """SELECT series_id, ts, CASE WHEN impute_flag = 1 AND minute(ts) = 7 THEN v + 100 ELSE v END AS v, impute_flag FROM minute
+        WHERE NOT (impute_flag = 0 AND minute(ts) = 3 AND hour(ts) = 4)""",
+    "off_hours": "SELECT series_id, ts, CASE WHEN hour(ts) = 5 THEN kw * 2 ELSE kw END AS kw, kwh, n_valid_min FROM hourly WHERE NOT (hour(ts) = 9 AND day(ts) = 3)",
+    "due": "SELECT series_id, ts + to_minutes(CAST(i AS INTEGER)) AS ts, lo, hi, length FROM fills",
+    "traced": """SELECT m.*, r.series_id IS NOT NULL AS is_raw, d.lo, d.hi, d.length FROM off_minute m LEFT JOIN readings r ON r.series_id = m.series_id AND r.ts = m.ts
+        LEFT JOIN due d ON d.series_id = m.series_id AND d.ts = m.ts""",
+    "reckoned": "SELECT series_id, date_trunc('hour', ts) AS ts, count(v) AS n, avg(v) AS kw, sum(v) / 60 AS kwh FROM off_minute GROUP BY 1, 2",
+    "held": "SELECT h.*, coalesce(m.n, 0) AS m_n, m.kw AS m_kw, m.kwh AS m_kwh FROM off_hours h LEFT JOIN reckoned m ON m.series_id = h.series_id AND m.ts = h.ts",
+    "lagged": """SELECT h.kw, lag(h.kw) OVER w AS b1, lag(h.kw, 2) OVER w AS b2, p.kw AS t1, q.kw AS t2 FROM off_hours h
+        LEFT JOIN off_hours p ON p.series_id = h.series_id AND p.ts = h.ts - INTERVAL 1 HOUR LEFT JOIN off_hours q ON q.series_id = h.series_id AND q.ts = h.ts - INTERVAL 2 HOUR
+        WINDOW w AS (PARTITION BY h.series_id ORDER BY h.ts)""",
+    "counted": """SELECT s.series_id, s.segment_id, s.length_hours, s.n_windows, count(h.ts) AS hours FROM stats s
+        LEFT JOIN off_hours h ON h.series_id = s.series_id AND h.kw IS NOT NULL AND h.ts BETWEEN s.start AND s."end" GROUP BY 1, 2, 3, 4""",
 }
 
 
-#: Added before rounding to four places on both sides, so that values halfway between two roundings fall alike.
-NUDGE = 3.14159265e-06
-
-
 def _uses(sql: str) -> list[str]:
     import re
 
@@ -86,7 +111,6 @@ def sql(body: str) -> str:
             need.add(p)
             todo += [q for q in _uses(PARTS[p]) if q != p]
     parts = [f"{p} AS MATERIALIZED ({PARTS[p]})" for p in PARTS if p in need]
-    body = body.replace(", 4) AS", f" + {NUDGE!r}, 4) + 0.0 AS").replace(", 4) END", f" + {NUDGE!r}, 4) + 0.0 END")
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
@@ -104,8 +128,9 @@ def query(name: str, body: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[F.round(F.col(c) + F.lit(NUDGE if digits == 4 else 0.0), digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+def plain(df: DataFrame) -> DataFrame:
+    """df with 64-bit integers for 32-bit ones, as the SQL twins have them."""
+    return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -116,12 +141,19 @@ def minutes(spark, d, key="event_type"):
     return T.readings(table(spark, d, "events"), key)
 
 
+def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written to the shared place and read again, as the steps of a series job pass on their tables."""
+    path = scratch(spark)
+    T.write_table(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hourly(spark, d):
-    return S.resample_hourly(S.impute(minutes(spark, d)))
+    return kept(spark, S.resample_hourly(S.impute(minutes(spark, d))))
 
 
 def segments(spark, d):
-    return S.assign_segments(hourly(spark, d))
+    return kept(spark, S.assign_segments(hourly(spark, d)))
 
 
 def windowed(spark, d):
@@ -133,7 +165,7 @@ def origins(spark, d):
 
 
 def split(spark, d):
-    return E.time_split(origins(spark, d))
+    return kept(spark, E.time_split(origins(spark, d)))
 
 
 def predictions(spark, d):
@@ -144,13 +176,13 @@ def scratch(spark: SparkSession) -> str:
     """A folder for what a query writes and reads again, in the shared place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/wattline-{uuid.uuid4().hex}"
 
 
-R4 = lambda *cols: ", ".join(f"round({c}, 4) AS {c}" for c in cols)
-
 
 # --- A: sources and sinks
 
@@ -158,12 +190,12 @@ R4 = lambda *cols: ", ".join(f"round({c}, 4) AS {c}" for c in cols)  # noqa: E73
 @query("a1_read_readings")
 def _(spark, d):
     path = scratch(spark)
-    rows = minutes(spark, d).select(F.date_format("ts", "d/M/yyyy").alias("Date"), F.date_format("ts", "H:mm:ss").alias("Time"), F.when(F.col("v") > 1, F.round("v", 3)).alias("v"), "series_id")
+    rows = minutes(spark, d).select(F.date_format("ts", "d/M/yyyy").alias("Date"), F.date_format("ts", "H:mm:ss").alias("Time"), F.when(F.col("v") > 1, F.col("v")).alias("v"), "series_id")
     rows.select("Date", "Time", "v").write.csv(path, sep=";", header=True, nullValue="?")
     return T.parse_ts(T.read_readings(spark, path, ["v"])).select("ts", "v")
 
 
-SQL["a1_read_readings"] = sql("SELECT ts, CASE WHEN v > 1 THEN round(v, 3) END AS v FROM readings")
+SQL["a1_read_readings"] = sql("SELECT ts, CASE WHEN v > 1 THEN v END AS v FROM readings")
 
 
 @query("a2_parse_ts", "SELECT ts, count(*) AS n FROM readings GROUP BY 1")
@@ -215,16 +247,16 @@ def _(spark, d):
     return C.calendar_features(table(spark, d, "events")).select("event_id", "hour", "dow", "is_weekend")
 
 
-@query("b2_power_factor", """SELECT l_orderkey, l_linenumber, round(l_discount / sqrt(l_discount * l_discount + l_tax * l_tax), 6) AS pf FROM lineitem WHERE l_discount > 0.01""")
+@query("b2_power_factor", """SELECT l_orderkey, l_linenumber, l_discount / sqrt(l_discount * l_discount + l_tax * l_tax) AS pf FROM lineitem WHERE l_discount > 0.01""")
 def _(spark, d):
     rows = C.power_factor(table(spark, d, "lineitem"), "l_discount", "l_tax")
-    return rows.select("l_orderkey", "l_linenumber", F.round("pf", 6).alias("pf"))
+    return rows.select("l_orderkey", "l_linenumber", "pf")
 
 
-@query("b3_units", "SELECT series_id, round(sum(v) / 60, 4) AS kwh, round(avg(v) * 60 * 24 / 1000, 4) AS wh_day, round(avg(v) * 24, 4) AS kw_day FROM readings GROUP BY 1")
+@query("b3_units", "SELECT series_id, sum(v) / 60 AS kwh, avg(v) * 60 * 24 / 1000 AS wh_day, avg(v) * 24 AS kw_day FROM readings GROUP BY 1")
 def _(spark, d):
     v = F.avg("v")
-    return rounded(minutes(spark, d).groupBy("series_id").agg(C.kwh_of_minutes(F.sum("v")).alias("kwh"), C.kwh_per_day_of_wh(v).alias("wh_day"), C.kwh_per_day_of_kw(v).alias("kw_day")))
+    return plain(minutes(spark, d).groupBy("series_id").agg(C.kwh_of_minutes(F.sum("v")).alias("kwh"), C.kwh_per_day_of_wh(v).alias("wh_day"), C.kwh_per_day_of_kw(v).alias("kw_day")))
 
 
 @query("b4_mask_agreement", """SELECT count(*) AS n_rows, CAST(count(*) FILTER ((kw IS NULL) <> (kwh IS NULL) OR (kw IS NULL) <> (impute_flag IS NULL)) AS BIGINT) AS n_disagree,
@@ -256,7 +288,8 @@ def _(spark, d):
 
 @query("c3_attach_truth", "SELECT model, count(*) AS n, count(y) AS matched FROM pred GROUP BY 1")
 def _(spark, d):
-    rows = E.attach_truth(predictions(spark, d), hourly(spark, d))
+    h = hourly(spark, d)
+    rows = E.attach_truth(E.predict_baselines(S.windows(S.assign_segments(h))), h)
     return rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("y")).alias("matched"))
 
 
@@ -265,27 +298,34 @@ def _(spark, d):
     return E.restrict_to(predictions(spark, d), split(spark, d).where("split <> 'train'")).groupBy("model").agg(F.count("*").alias("n"))
 
 
-@query("c5_train_before_block", """SELECT b.series_id, b.block, count(*) AS n_train FROM (SELECT DISTINCT series_id, block, block_start FROM blocks) b
-    JOIN origins o ON o.series_id = b.series_id AND o.origin_ts < b.block_start - INTERVAL 24 HOUR GROUP BY 1, 2""")
+@query("c5_train_before_block", """SELECT b.series_id, b.block, count(o.origin_ts) AS n_train FROM (SELECT DISTINCT series_id, block, block_start FROM dayblocks) b
+    LEFT JOIN origins o ON o.series_id = b.series_id AND o.origin_ts < b.block_start - INTERVAL 24 HOUR GROUP BY 1, 2""")
 def _(spark, d):
     s = split(spark, d)
     b = E.rolling_blocks(s.where("split <> 'train'"), hours=24).select("series_id", "block", "block_start").distinct()
-    return E.train_before_block(s, b).groupBy("series_id", "block").agg(F.count("*").alias("n_train"))
+    return E.train_counts(s, b)
 
 
-@query("c6_delta_vs", f"SELECT p.model, {R4('p.mae').replace('AS p.mae', 'AS mae')}, round(p.mae - b.mae, 4) AS delta_mae FROM pooled p, pooled b WHERE b.model = 'persistence'")
+@query("c6_delta_vs", f"SELECT p.model, p.mae, p.mae - b.mae AS delta_mae FROM pooled p, pooled b WHERE b.model = 'persistence'")
 def _(spark, d):
-    return rounded(E.delta_vs(E.metrics_pooled(predictions(spark, d)), "persistence"))
+    return plain(E.delta_vs(E.metrics_pooled(predictions(spark, d)), "persistence"))
+
 
+RECONCILED = ["mae", "rmse", "smape", "r2", "mae_horizon_mean"]
 
-@query("c7_reconcile", "SELECT model, unnest(['mae', 'rmse', 'smape', 'r2']) AS metric, true AS ok FROM pooled")
+
+@query("c7_reconcile", f"""SELECT model, metric, abs(a - b) / greatest(abs(a), 1e-12) < 1e-6 AS ok FROM (SELECT p.model, unnest({RECONCILED}) AS metric,
+    unnest([p.mae, p.rmse, p.smape, p.r2, m.hm]) AS a, unnest([o.mae, o.rmse, o.smape, o.r2, n.hm]) AS b
+    FROM pooled p JOIN off_pooled o ON o.model = p.model JOIN own_mean m ON m.model = p.model JOIN off_mean n ON n.model = p.model)""")
 def _(spark, d):
     pred = predictions(spark, d)
-    pred.createOrReplaceTempView("predictions_for_reconcile")
-    other = spark.sql("""SELECT model, avg(abs(y_hat - y)) AS mae, sqrt(avg(power(y_hat - y, 2))) AS rmse, avg(CASE WHEN abs(y) + abs(y_hat) > 1e-8
-        THEN 2 * abs(y_hat - y) / (abs(y) + abs(y_hat)) END) AS smape, 1 - try_divide(sum(power(y_hat - y, 2)), sum(y * y) - sum(y) * sum(y) / count(y)) AS r2
-        FROM predictions_for_reconcile GROUP BY model""")
-    return E.reconcile(E.metrics_pooled(pred), other, ["model"], ["mae", "rmse", "smape", "r2"]).select("model", "metric", "ok")
+    off = F.when((F.col("model") == "persistence") & (F.hour("origin_ts") == 5), 0.5).otherwise(0.0)  # a planted fault of one model
+    mean = E.metrics_horizon_mean(pred).select("model", F.col("mae").alias("mae_horizon_mean"))
+    other = spark.sql("""SELECT p.*, h.mae_horizon_mean FROM (SELECT model, avg(abs(y_hat - y)) AS mae, sqrt(avg(power(y_hat - y, 2))) AS rmse, avg(CASE WHEN abs(y) + abs(y_hat) > 1e-8
+        THEN 2 * abs(y_hat - y) / (abs(y) + abs(y_hat)) END) AS smape, 1 - try_divide(sum(power(y_hat - y, 2)), sum(y * y) - sum(y) * sum(y) / count(y)) AS r2 FROM {pred} GROUP BY model) p
+        JOIN (SELECT model, avg(mae) AS mae_horizon_mean FROM (SELECT model, horizon, avg(abs(y_hat - y)) AS mae FROM {pred} GROUP BY model, horizon) GROUP BY model) h ON p.model = h.model""",
+        pred=pred.withColumn("y_hat", F.col("y_hat") + off))
+    return E.reconcile(E.metrics_pooled(pred).join(mean, "model"), other, ["model"], RECONCILED).select("model", "metric", "ok")
 
 
 # --- D: aggregations
@@ -295,22 +335,22 @@ _LONG = " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM lineitem" fo
 
 
 @query("d1_profile_columns", f"""SELECT col, count(*) - count(value) AS missing, (count(*) - count(value)) / count(*) AS missing_rate, count(DISTINCT value) AS n_distinct,
-    count(*) FILTER (value = 0) AS zeros, round(count(*) FILTER (value = 0) / count(*), 4) AS zero_rate, round(avg(value), 4) AS mean, round(median(value), 4) AS median,
-    round(max(value), 4) AS max FROM ({_LONG}) GROUP BY 1""")
+    count(*) FILTER (value = 0) AS zeros, count(*) FILTER (value = 0) / count(*) AS zero_rate, avg(value) AS mean, median(value) AS median,
+    max(value) AS max FROM ({_LONG}) GROUP BY 1""")
 def _(spark, d):
-    return rounded(P.profile_columns(table(spark, d, "lineitem"), LI))
+    return plain(P.profile_columns(table(spark, d, "lineitem"), LI))
 
 
 @query("d2_quantiles", f"""SELECT col, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS q,
-    round(unnest(quantile_cont(value, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])), 4) AS value FROM ({_LONG}) GROUP BY col""")
+    unnest(quantile_cont(value, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])) AS value FROM ({_LONG}) GROUP BY col""")
 def _(spark, d):
-    return rounded(P.profile_quantiles(table(spark, d, "lineitem"), LI))
+    return plain(P.profile_quantiles(table(spark, d, "lineitem"), LI))
 
 
 @query("d3_top_values", f"""SELECT col, rank, value, n FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS rank FROM
     (SELECT col, value, count(*) AS n FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 3""")
 def _(spark, d):
-    return rounded(P.top_values(table(spark, d, "lineitem"), LI), 6)
+    return plain(P.top_values(table(spark, d, "lineitem"), LI))
 
 
 @query("d4_profile_time", """SELECT series_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, count(*) - count(DISTINCT ts) AS n_dup, count(*) FILTER (bad) = 0 AS increasing,
@@ -322,17 +362,25 @@ def _(spark, d):
     return P.profile_time(e, "event_id")
 
 
-@query("d5_gap_buckets", """SELECT g.series_id, bucket, count(*) AS n, round(sum(length) / any_value(total), 4) AS share FROM (SELECT *, CASE WHEN length >= 1440 THEN '24h+'
+@query("d5_gap_buckets", """SELECT g.series_id, bucket, count(*) AS n, sum(length) / any_value(total) AS share FROM (SELECT *, CASE WHEN length >= 1440 THEN '24h+'
     WHEN length >= 120 THEN '2-24h' WHEN length >= 60 THEN '1-2h' END AS bucket FROM ugaps) g JOIN (SELECT series_id, sum(length) AS total FROM ugaps GROUP BY 1) t
     ON g.series_id = t.series_id WHERE bucket IS NOT NULL GROUP BY 1, 2""")
 def _(spark, d):
-    return rounded(P.gap_buckets(S.gaps(minutes(spark, d, "user_id"))))
+    return plain(P.gap_buckets(S.gaps(minutes(spark, d, "user_id"))))
 
 
-@query("d5_gap_summary", """SELECT series_id, count(*) AS n, max(length) AS longest, min(length) AS shortest, count(*) FILTER (length > 1440) AS n_over_day,
-    round(coalesce(sum(length) FILTER (length > 1440), 0) / sum(length), 4) AS share_over_day FROM ugaps GROUP BY 1""")
+@query("d5_gap_summary", """SELECT g.series_id, count(*) AS n, max(length) AS longest, min(length) AS shortest, count(*) FILTER (length > 1440) AS n_over_day,
+    coalesce(sum(length) FILTER (length > 1440), 0) / sum(length) AS share_over_day, sum(length) / any_value(span) AS share_of_span
+    FROM ugaps g JOIN (SELECT series_id, date_diff('minute', min(ts), max(ts)) + 1 AS span FROM users GROUP BY 1) s ON s.series_id = g.series_id GROUP BY 1""")
 def _(spark, d):
-    return rounded(P.gap_summary(S.gaps(minutes(spark, d, "user_id"))))
+    rows = minutes(spark, d, "user_id")
+    spans = rows.groupBy("series_id").agg((C.minutes_between(F.min("ts"), F.max("ts")) + 1).alias("span"))
+    return plain(P.gap_summary(S.gaps(rows), spans))
+
+
+@query("d6_long_gaps", "SELECT series_id, ts, length / 60 AS hours FROM ugaps WHERE length > 1440")
+def _(spark, d):
+    return P.long_gaps(S.gaps(minutes(spark, d, "user_id")))
 
 
 _BINS = " ".join(f"WHEN length > {a * 60} AND length <= {b * 60} THEN '({a},{b}]'" for a, b in zip(P.HOUR_BINS[:-1], P.HOUR_BINS[1:]))
@@ -343,34 +391,43 @@ def _(spark, d):
     return P.gap_histogram(S.gaps(minutes(spark, d, "user_id")))
 
 
-@query("d7_resample_hourly", f"SELECT series_id, ts, {R4('kw', 'kwh')}, CAST(impute_flag AS BIGINT) AS impute_flag, n_valid_min FROM hourly")
+@query("d7_resample_hourly", f"SELECT series_id, ts, kw, kwh, CAST(impute_flag AS BIGINT) AS impute_flag, n_valid_min FROM hourly")
 def _(spark, d):
-    return rounded(hourly(spark, d))
+    return plain(S.resample_hourly(S.impute(minutes(spark, d))))
 
 
-@query("d8_resample_daily", f"SELECT series_id, ts, {R4('kw')} FROM daily")
+@query("d8_resample_daily", f"SELECT series_id, ts, kw FROM daily")
 def _(spark, d):
-    return rounded(S.resample_daily(hourly(spark, d)))
+    return plain(S.resample_daily(hourly(spark, d)))
 
 
-@query("d9_hour_profile", """SELECT hour(ts) AS hour, round(avg(kw), 4) AS all_days, round(avg(kw) FILTER (isodow(ts) < 6), 4) AS weekday,
-    round(avg(kw) FILTER (isodow(ts) >= 6), 4) AS weekend FROM hourly GROUP BY 1""")
+@query("d9_hour_profile", """SELECT hour(ts) AS hour, avg(kw) AS all_days, avg(kw) FILTER (isodow(ts) < 6) AS weekday,
+    avg(kw) FILTER (isodow(ts) >= 6) AS weekend FROM hourly GROUP BY 1""")
 def _(spark, d):
-    return rounded(P.hour_profile(hourly(spark, d)))
+    return plain(P.hour_profile(hourly(spark, d)))
 
 
-@query("d10_year_profile", "SELECT year(o_orderdate) AS year, round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS median FROM orders GROUP BY 1")
+@query("d10_year_profile", "SELECT year(o_orderdate) AS year, avg(o_totalprice) AS mean, median(o_totalprice) AS median FROM orders GROUP BY 1")
 def _(spark, d):
-    return rounded(P.year_profile(table(spark, d, "orders"), "o_totalprice", "o_orderdate"), 2)
+    return plain(P.year_profile(table(spark, d, "orders"), "o_totalprice", "o_orderdate"))
 
 
 _PF = "(SELECT l_discount / sqrt(l_discount * l_discount + l_tax * l_tax) AS pf FROM lineitem WHERE l_discount > 0.01)"
 
 
-@query("d11_power_factor_stats", f"""SELECT round(quantile_cont(pf, 0.5), 4) AS median, round(quantile_cont(pf, 0.001), 4) AS p0_1, round(quantile_cont(pf, 0.01), 4) AS p1,
-    round(quantile_cont(pf, 0.99), 4) AS p99, round(avg(CAST(pf < 0.9 AS DOUBLE)), 4) AS share_low, count(*) AS n FROM {_PF}""")
+@query("d11_power_factor_stats", f"""SELECT quantile_cont(pf, 0.5) AS p50, quantile_cont(pf, 0.001) AS p0_1, quantile_cont(pf, 0.01) AS p1,
+    quantile_cont(pf, 0.99) AS p99, avg(CAST(pf < 0.9 AS DOUBLE)) AS share_low, count(*) AS n FROM {_PF}""")
 def _(spark, d):
-    return rounded(P.power_factor_stats(C.power_factor(table(spark, d, "lineitem"), "l_discount", "l_tax")))
+    return plain(P.power_factor_stats(C.power_factor(table(spark, d, "lineitem"), "l_discount", "l_tax")))
+
+
+_HIGH = "(SELECT l_discount / sqrt(l_discount * l_discount + l_tax * l_tax) AS pf FROM lineitem WHERE l_discount > 0.05)"
+
+
+@query("d11_power_factor_high", f"""SELECT quantile_cont(pf, 0.5) AS p50, avg(CAST(pf < 0.9 AS DOUBLE)) AS share_low, count(*) AS n, count(*) / (SELECT count(*) FROM lineitem) AS share_of_all FROM {_HIGH}""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    return P.power_factor_stats(C.power_factor(li, "l_discount", "l_tax", 0.05), (0.5,), li)
 
 
 @query("d11_power_factor_hist", f"""SELECT bin, count(*) AS n FROM (SELECT CASE WHEN pf = 1 THEN 80 WHEN pf >= 0.85 AND pf < 1 THEN CAST(floor((pf - 0.85) / ((1.0::DOUBLE - 0.85::DOUBLE) / 80)) AS BIGINT) + 1 END AS bin
@@ -379,38 +436,38 @@ def _(spark, d):
     return P.power_factor_hist(C.power_factor(table(spark, d, "lineitem"), "l_discount", "l_tax"))
 
 
-@query("d12_submeter_share", """SELECT col, round(avg(value) * 60 * 24 / 1000, 3) AS kwh_day, round(round(avg(value) * 60 * 24 / 1000, 3) / (SELECT avg(l_quantity) * 24 FROM lineitem), 4) AS share
+@query("d12_submeter_share", """SELECT col, round(avg(value) * 60 * 24 / 1000, 3) AS kwh_day, round(avg(value) * 60 * 24 / 1000, 3) / (SELECT avg(l_quantity) * 24 FROM lineitem) AS share
     FROM (SELECT 'l_tax' AS col, l_tax AS value FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem) GROUP BY 1""")
 def _(spark, d):
     li = table(spark, d, "lineitem")
-    return rounded(P.submeter_share(li, li.agg(F.avg("l_quantity").alias("mean_kw")), ["l_tax", "l_discount"]))
+    return plain(P.submeter_share(li, li.agg(F.avg("l_quantity").alias("mean_kw")), ["l_tax", "l_discount"]))
 
 
-@query("d13_segment_stats", """SELECT series_id, segment_id, start, "end", length_hours, n_windows, round(n_windows / nullif(sum(n_windows) OVER (PARTITION BY series_id), 0), 4) AS window_share FROM stats""")
+@query("d13_segment_stats", """SELECT series_id, segment_id, start, "end", length_hours, n_windows, n_windows / nullif(sum(n_windows) OVER (PARTITION BY series_id), 0) AS window_share FROM stats""")
 def _(spark, d):
-    return rounded(S.segment_stats(segments(spark, d)))
+    return plain(S.segment_stats(segments(spark, d)))
 
 
-SCORES = R4("mae", "rmse", "smape", "r2")
+SCORES = "mae, rmse, smape, r2"
 
 
 @query("d14_metrics_pooled", f"SELECT model, n, {SCORES} FROM pooled")
 def _(spark, d):
-    return rounded(E.metrics_pooled(predictions(spark, d)))
+    return plain(E.metrics_pooled(predictions(spark, d)))
 
 
 @query("d15_metrics_by_horizon", f"SELECT model, horizon, n, {SCORES} FROM byh")
 def _(spark, d):
-    return rounded(E.metrics_by_horizon(predictions(spark, d)))
+    return plain(E.metrics_by_horizon(predictions(spark, d)))
 
 
-@query("d15_horizon_mean", "SELECT model, round(avg(mae), 4) AS mae, round(avg(rmse), 4) AS rmse, round(avg(smape), 4) AS smape, round(avg(r2), 4) AS r2 FROM byh GROUP BY 1")
+@query("d15_horizon_mean", "SELECT model, avg(mae) AS mae, avg(rmse) AS rmse, avg(smape) AS smape, avg(r2) AS r2 FROM byh GROUP BY 1")
 def _(spark, d):
-    return rounded(E.metrics_horizon_mean(predictions(spark, d)))
+    return plain(E.metrics_horizon_mean(predictions(spark, d)))
 
 
 _SLICES = """SELECT model, abs(y_hat - y) AS e, y, origin_ts, origin_ts + to_hours(CAST(horizon AS INTEGER)) AS t FROM pred"""
-_SLICE = "count(*) AS n, round(avg(e), 4) AS mae, round(avg(y), 4) AS mean_y, round(avg(e) / avg(y), 4) AS nmae"
+_SLICE = "count(*) AS n, avg(e) AS mae, avg(y) AS mean_y, avg(e) / avg(y) AS nmae"
 
 
 @query("d16_error_attribution", f"""SELECT model, 'overall' AS dimension, 'all' AS slice, {_SLICE} FROM ({_SLICES}) GROUP BY model
@@ -418,54 +475,92 @@ _SLICE = "count(*) AS n, round(avg(e), 4) AS mae, round(avg(y), 4) AS mean_y, ro
     UNION ALL SELECT model, 'kind_of_day', CASE WHEN isodow(t) >= 6 THEN 'weekend' ELSE 'weekday' END AS s, {_SLICE} FROM ({_SLICES}) GROUP BY model, s
     UNION ALL SELECT model, 'quarter', 'Q' || quarter(origin_ts) AS s, {_SLICE} FROM ({_SLICES}) GROUP BY model, s""")
 def _(spark, d):
-    return rounded(E.error_attribution(predictions(spark, d)))
+    return plain(E.error_attribution(predictions(spark, d)))
 
 
-@query("d17_granularity_bridge", """SELECT model, count(*) AS daily_n_days, round(avg(abs(p - y)), 4) AS daily_mae, round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)), 4) AS daily_r2
+@query("d17_granularity_bridge", """SELECT model, count(*) AS daily_n_days, avg(abs(p - y)) AS daily_mae, 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) AS daily_r2
     FROM (SELECT model, series_id, origin_ts, avg(y) AS y, avg(y_hat) AS p FROM pred WHERE hour(origin_ts) = 23 GROUP BY 1, 2, 3) GROUP BY 1""")
 def _(spark, d):
-    return rounded(E.granularity_bridge(predictions(spark, d)))
+    return plain(E.granularity_bridge(predictions(spark, d)))
 
 
 _VAR = "(SELECT s.split, var_pop(y) AS variance, count(*) AS n FROM split s JOIN truth t ON s.series_id = t.series_id AND s.origin_ts = t.origin_ts GROUP BY 1)"
 
 
-@query("d18_target_variance", f"SELECT v.split, v.n, round(v.variance, 4) AS variance, round(v.variance / b.variance, 4) AS ratio_to_val FROM {_VAR} v, (SELECT variance FROM {_VAR} WHERE split = 'val') b")
+@query("d18_target_variance", f"SELECT v.split, v.n, v.variance AS variance, v.variance / b.variance AS ratio_to_val FROM {_VAR} v, (SELECT variance FROM {_VAR} WHERE split = 'val') b")
 def _(spark, d):
     pred = predictions(spark, d).where("model = 'persistence'")
-    return rounded(E.target_variance(pred.join(split(spark, d).select("series_id", "origin_ts", "split"), ["series_id", "origin_ts"])))
+    return plain(E.target_variance(pred.join(split(spark, d).select("series_id", "origin_ts", "split"), ["series_id", "origin_ts"])))
+
+
+@query("d18_variance_by_period", """SELECT s.split, CAST(floor((day(s.origin_ts) - 1) / 10.0) AS BIGINT) AS period, count(*) AS n, var_pop(y) AS variance,
+    var_pop(y) / (SELECT var_pop(t.y) FROM split v JOIN truth t ON v.series_id = t.series_id AND v.origin_ts = t.origin_ts WHERE v.split = 'val') AS ratio_to_val
+    FROM split s JOIN truth t ON s.series_id = t.series_id AND s.origin_ts = t.origin_ts GROUP BY 1, 2""")
+def _(spark, d):
+    pred = predictions(spark, d).where("model = 'persistence'").join(split(spark, d).select("series_id", "origin_ts", "split"), ["series_id", "origin_ts"])
+    return E.target_variance(pred, F.floor((F.dayofmonth("origin_ts") - 1) / 10).cast("long"))
 
 
 @query("d19_coverage", """SELECT series_id, segment_id, CAST(sum(n) AS BIGINT) AS origins, CAST(sum(c) AS BIGINT) AS covered, CAST(sum(n - c) AS BIGINT) AS skipped, count(*) AS blocks,
-    count(*) FILTER (c = 0) AS skipped_blocks FROM (SELECT series_id, segment_id, block, count(*) AS n, count(*) FILTER (hour(origin_ts) < 12) AS c FROM blocks GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+    count(*) FILTER (c = 0) AS skipped_blocks FROM (SELECT series_id, segment_id, block, count(*) AS n, count(*) FILTER (hour(origin_ts) < 12) AS c FROM dayblocks GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def _(spark, d):
     s = split(spark, d).where("split <> 'train'")
     return E.coverage_report(E.rolling_blocks(s, hours=24), s.where(F.hour("origin_ts") < 12))
 
 
-@query("d20_cv_summary", "SELECT model, count(*) AS folds, round(avg(mae), 4) AS mean_mae, round(stddev_pop(mae), 4) AS std_mae FROM byh GROUP BY 1")
+@query("d20_cv_summary", """SELECT model, count(*) AS folds, avg(mae) AS mean_mae, stddev_pop(mae) AS std_mae FROM (SELECT model, fold, avg(abs(y_hat - y)) AS mae
+    FROM pred p JOIN folds f ON p.series_id = f.series_id AND p.origin_ts = f.origin_ts GROUP BY 1, 2) GROUP BY 1""")
 def _(spark, d):
-    return rounded(E.cv_summary(E.metrics_by_horizon(predictions(spark, d))))
+    folds = cv_folds(spark, d).select("series_id", "origin_ts", "fold")
+    return E.cv_summary(E.metrics_pooled(predictions(spark, d).join(folds, ["series_id", "origin_ts"]), ("model", "fold")))
 
 
-@query("d22_energy", """SELECT h.series_id, round(sum(m.e), 4) AS minute_kwh, round(sum(h.kwh), 4) AS hour_kwh, round(abs(sum(m.e) - sum(h.kwh)) / sum(m.e), 4) AS deviation, true AS ok
-    FROM hourly h JOIN (SELECT series_id, date_trunc('hour', ts) AS ts, sum(v) / 60 AS e FROM minute GROUP BY 1, 2) m ON h.series_id = m.series_id AND h.ts = m.ts
-    WHERE h.kwh IS NOT NULL GROUP BY 1""")
-def _(spark, d):
-    m = S.impute(minutes(spark, d))
-    return rounded(P.energy_conservation(m, S.resample_hourly(m)))
+def _off_hourly(m: DataFrame) -> DataFrame:
+    """The hours of these minutes with planted faults in their energy."""
+    off = F.when(F.col("series_id") == "click", 1.01).when(F.hour("ts") == 5, 1.002).otherwise(1.0)
+    return S.resample_hourly(m).withColumn("kwh", F.col("kwh") * off)
 
 
-CHECKS = ["raw_keys_unique", "raw_values_present", "minute_keys_unique", "originals_kept", "fills_present", "flags_known", "full_hours_valid", "partial_hours_null",
-          "minutes_in_range", "kw_equals_kwh", "segments_cover_valid_hours", "windows_not_negative", "segments_ordered"]
+@query("d22_energy", """SELECT h.series_id, sum(m.e) AS minute_kwh, sum(h.kwh) AS hour_kwh, abs(sum(m.e) - sum(h.kwh)) / sum(m.e) AS deviation,
+    abs(sum(m.e) - sum(h.kwh)) / sum(m.e) <= 0.005 AS ok FROM off_hourly h JOIN energy m ON h.series_id = m.series_id AND h.ts = m.ts GROUP BY 1""")
+def _(spark, d):
+    m = S.impute(minutes(spark, d))
+    return P.energy_conservation(m, _off_hourly(m))
+
+
+_MINUTES, _HOURS, _SEGS = "(SELECT count(*) FROM minute)", "(SELECT count(*) FROM off_hours)", "(SELECT count(*) FROM stats)"
+_MEANS = "(kw + b1 + b2) / 3", "(kw + t1 + t2) / 3"
+#: What each check counts, and of how many.
+CHECK_SQL = {
+    "rows_kept": ("abs((SELECT count(*) FROM readings) - (SELECT count(*) FROM off_minute WHERE impute_flag = 0))", _MINUTES),
+    "minute_keys_unique": ("(SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM off_minute GROUP BY series_id, ts))", _MINUTES),
+    "times_match_raw": ("(SELECT count(*) FROM readings r LEFT JOIN off_minute m ON m.series_id = r.series_id AND m.ts = r.ts AND m.impute_flag = 0 WHERE m.ts IS NULL)", _MINUTES),
+    "gap_classes_filled": ("""abs((SELECT count(*) FROM off_minute WHERE impute_flag = 1) - (SELECT coalesce(sum(length), 0) FROM gaps WHERE length <= 119))
+        + abs((SELECT count(*) FROM off_minute WHERE impute_flag = 2) - (SELECT coalesce(sum(length), 0) FROM gaps WHERE length > 119 AND length <= 1440))""", _MINUTES),
+    "long_gaps_empty": ("(SELECT count(*) FROM traced WHERE NOT is_raw AND length IS NULL)", _MINUTES),
+    "short_fills_between": ("(SELECT count(*) FROM traced WHERE impute_flag = 1 AND NOT coalesce(v BETWEEN least(lo, hi) - 1e-6 AND greatest(lo, hi) + 1e-6, false))", _MINUTES),
+    "mid_fills_constant": ("(SELECT count(*) FROM traced WHERE impute_flag = 2 AND NOT coalesce(abs(v - lo) <= 1e-6, false))", _MINUTES),
+    "flags_match": ("(SELECT count(*) FROM traced WHERE impute_flag <> CASE WHEN is_raw THEN 0 WHEN length <= 119 THEN 1 ELSE 2 END)", _MINUTES),
+    "full_hours_valid": ("(SELECT count(*) FROM held WHERE n_valid_min <> m_n OR (kw IS NOT NULL) <> (m_n = 60))", _HOURS),
+    "kw_is_mean": ("(SELECT count(*) FROM held WHERE kw IS NOT NULL AND NOT coalesce(abs(kw - m_kw) <= 1e-3, false))", _HOURS),
+    "kwh_is_sum": ("(SELECT count(*) FROM held WHERE kw IS NOT NULL AND NOT coalesce(abs(kwh - m_kwh) <= 1e-3, false))", _HOURS),
+    "energy_conserved": ("(SELECT CAST(coalesce(abs(sum(m_kwh) - sum(kwh)) > 0.005 * sum(m_kwh), false) AS BIGINT) FROM held WHERE kwh IS NOT NULL)", _HOURS),
+    "lags_match": (f"(SELECT count(*) FROM lagged WHERE b1 IS DISTINCT FROM t1 OR NOT coalesce(abs({_MEANS[0]} - {_MEANS[1]}) <= 1e-6, {_MEANS[0]} IS NOT DISTINCT FROM {_MEANS[1]}))", _HOURS),
+    "segments_match": ("(SELECT count(*) FROM counted WHERE hours <> length_hours OR n_windows <> greatest(0, hours - 191))", _SEGS),
+    "enough_windows": ("(SELECT CAST(coalesce(sum(n_windows), 0) < 30000 AS BIGINT) FROM stats)", _SEGS),
+}
 
 
-@query("d23_invariants", f"""SELECT unnest({CHECKS}) AS "check", (SELECT count(*) FROM hourly WHERE (n_valid_min = 60) <> (kw IS NOT NULL)) = 0 AS ok""")
+@query("d23_invariants", """SELECT "check", n_bad = 0 AS ok, n_bad, n, CAST(n_bad AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) AS detail FROM ("""
+       + " UNION ALL ".join(f"""SELECT '{k}' AS "check", CAST({bad} AS BIGINT) AS n_bad, {n} AS n""" for k, (bad, n) in CHECK_SQL.items()) + ")")
 def _(spark, d):
     raw = minutes(spark, d)
-    m = S.impute(raw)
-    h = S.resample_hourly(m)
-    return E.run_invariants(raw, m, h, S.segment_stats(S.assign_segments(h)))
+    m = kept(spark, S.impute(raw))
+    h = kept(spark, S.resample_hourly(m))
+    minute, hour = F.minute("ts"), F.hour("ts")
+    off_m = m.withColumn("v", F.when((F.col("impute_flag") == 1) & (minute == 7), F.col("v") + 100).otherwise(F.col("v"))).where(~((F.col("impute_flag") == 0) & (minute == 3) & (hour == 4)))
+    off_h = h.withColumn("kw", F.when(hour == 5, F.col("kw") * 2).otherwise(F.col("kw"))).where(~((hour == 9) & (F.dayofmonth("ts") == 3)))
+    return E.run_invariants(raw, off_m, off_h, S.segment_stats(S.assign_segments(h)))
 
 
 # --- E: windows
@@ -488,24 +583,24 @@ def _(spark, d):
     return S.classify_gaps(S.gaps(minutes(spark, d, "user_id")))
 
 
-@query("e4_interpolate_short", "SELECT series_id, ts + to_minutes(CAST(i AS INTEGER)) AS ts, round(lo + (hi - lo) * i / (length + 1), 4) AS v, CAST(1 AS BIGINT) AS impute_flag FROM fills WHERE length <= 119")
+@query("e4_interpolate_short", "SELECT series_id, ts + to_minutes(CAST(i AS INTEGER)) AS ts, lo + (hi - lo) * i / (length + 1) AS v, CAST(1 AS BIGINT) AS impute_flag FROM fills WHERE length <= 119")
 def _(spark, d):
-    return rounded(S.interpolate_short(minutes(spark, d)))
+    return plain(S.interpolate_short(minutes(spark, d)))
 
 
-@query("e5_ffill_mid", "SELECT series_id, ts + to_minutes(CAST(i AS INTEGER)) AS ts, round(lo, 4) AS v, CAST(2 AS BIGINT) AS impute_flag FROM fills WHERE length > 119")
+@query("e5_ffill_mid", "SELECT series_id, ts + to_minutes(CAST(i AS INTEGER)) AS ts, lo AS v, CAST(2 AS BIGINT) AS impute_flag FROM fills WHERE length > 119")
 def _(spark, d):
-    return rounded(S.ffill_mid(minutes(spark, d)))
+    return plain(S.ffill_mid(minutes(spark, d)))
 
 
-@query("e6_impute", "SELECT series_id, ts, round(v, 4) AS v, CAST(impute_flag AS BIGINT) AS impute_flag FROM minute")
+@query("e6_impute", "SELECT series_id, ts, v AS v, CAST(impute_flag AS BIGINT) AS impute_flag FROM minute")
 def _(spark, d):
-    return rounded(S.impute(minutes(spark, d)))
+    return plain(S.impute(minutes(spark, d)))
 
 
-@query("e7_segments", f"SELECT series_id, ts, segment_id, {R4('kw')} FROM segs")
+@query("e7_segments", f"SELECT series_id, ts, segment_id, kw FROM segs")
 def _(spark, d):
-    return rounded(segments(spark, d).select("series_id", "ts", "segment_id", "kw"))
+    return plain(segments(spark, d).select("series_id", "ts", "segment_id", "kw"))
 
 
 @query("e8_window_origins", "SELECT * FROM origins")
@@ -514,31 +609,31 @@ def _(spark, d):
 
 
 @query("e9_lag_features", "SELECT series_id, segment_id, ts AS origin_ts, " + ", ".join(
-    f"round(lag(kw, {k - 1}) OVER w, 4) AS lag_{k}h" for k in S.LAGS) + " FROM segs WINDOW w AS (PARTITION BY series_id, segment_id ORDER BY ts)")
+    f"lag(kw, {k - 1}) OVER w AS lag_{k}h" for k in S.LAGS) + " FROM segs WINDOW w AS (PARTITION BY series_id, segment_id ORDER BY ts)")
 def _(spark, d):
-    return rounded(S.lag_features(segments(spark, d)))
+    return plain(S.lag_features(segments(spark, d)))
 
 
 _W = "OVER (PARTITION BY series_id, segment_id ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 
 
-@query("e10_rolling_features", f"""SELECT series_id, segment_id, ts AS origin_ts, CASE WHEN count(*) {_W.format(23)} = 24 THEN round(avg(kw) {_W.format(23)}, 4) END AS roll_mean_24h,
-    CASE WHEN count(*) {_W.format(23)} = 24 THEN round(stddev_samp(kw) {_W.format(23)}, 4) END AS roll_std_24h,
-    CASE WHEN count(*) {_W.format(167)} = 168 THEN round(avg(kw) {_W.format(167)}, 4) END AS roll_mean_168h FROM segs""")
+@query("e10_rolling_features", f"""SELECT series_id, segment_id, ts AS origin_ts, CASE WHEN count(*) {_W.format(23)} = 24 THEN avg(kw) {_W.format(23)} END AS roll_mean_24h,
+    CASE WHEN count(*) {_W.format(23)} = 24 THEN stddev_samp(kw) {_W.format(23)} END AS roll_std_24h,
+    CASE WHEN count(*) {_W.format(167)} = 168 THEN avg(kw) {_W.format(167)} END AS roll_mean_168h FROM segs""")
 def _(spark, d):
-    return rounded(S.rolling_features(segments(spark, d)))
+    return plain(S.rolling_features(segments(spark, d)))
 
 
-@query("e11_targets", "SELECT series_id, origin_ts, horizon, round(y, 4) AS y FROM truth")
+@query("e11_targets", "SELECT series_id, origin_ts, horizon, y AS y FROM truth")
 def _(spark, d):
     rows = windowed(spark, d).select("series_id", "origin_ts", F.posexplode("y").alias("h", "y"))
-    return rounded(rows.select("series_id", "origin_ts", (F.col("h") + 1).cast("long").alias("horizon"), "y"))
+    return plain(rows.select("series_id", "origin_ts", (F.col("h") + 1).cast("long").alias("horizon"), "y"))
 
 
-@query("e12_rolling_daily", """SELECT series_id, ts, round(kw, 4) AS kw, CASE WHEN count(kw) OVER w >= 15 THEN round(avg(kw) OVER w, 4) END AS roll FROM daily
+@query("e12_rolling_daily", """SELECT series_id, ts, kw AS kw, CASE WHEN count(kw) OVER w >= 15 THEN avg(kw) OVER w END AS roll FROM daily
     WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def _(spark, d):
-    return rounded(S.rolling_daily(S.resample_daily(hourly(spark, d))))
+    return plain(S.rolling_daily(S.resample_daily(hourly(spark, d))))
 
 
 @query("e13_rank_models", "SELECT horizon, model, rank() OVER (PARTITION BY horizon ORDER BY round(mae, 9)) AS rank FROM byh")
@@ -553,26 +648,27 @@ def _(spark, d):
     return E.rank_flips(r.where("horizon = 1"), r.where("horizon = 24"))
 
 
-@query("e14_horizon_growth", "SELECT model, round(max(mae) FILTER (horizon = 24) / max(mae) FILTER (horizon = 1) - 1, 4) AS growth FROM byh GROUP BY 1")
+@query("e14_horizon_growth", "SELECT model, max(mae) FILTER (horizon = 24) / max(mae) FILTER (horizon = 1) - 1 AS growth FROM byh GROUP BY 1")
 def _(spark, d):
-    return rounded(E.horizon_growth(E.metrics_by_horizon(predictions(spark, d))))
+    return plain(E.horizon_growth(E.metrics_by_horizon(predictions(spark, d))))
 
 
 # --- F, G: order and sets
 
 
-@query("f1_leaderboard", f"SELECT model, n, {SCORES} FROM pooled")
+@query("f1_leaderboard", "SELECT model, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(smape, 4) AS smape, round(r2, 4) AS r2 FROM pooled")
 def _(spark, d):
-    return rounded(E.leaderboard(E.metrics_pooled(predictions(spark, d)), 12))
+    return plain(E.leaderboard(E.metrics_pooled(predictions(spark, d))))
 
 
 QUERIES["leaderboard"], SQL["leaderboard"] = QUERIES["f1_leaderboard"], SQL["f1_leaderboard"]
 
 
-@query("f2_worst_hours", "SELECT series_id, ts, 0.0::DOUBLE AS off FROM hourly WHERE kwh IS NOT NULL ORDER BY series_id, ts LIMIT 5")
+@query("f2_worst_hours", """SELECT h.series_id, h.ts, round(abs(h.kwh - m.e), 6) AS off FROM off_hourly h JOIN energy m ON h.series_id = m.series_id AND h.ts = m.ts
+    ORDER BY off DESC, h.series_id, h.ts LIMIT 5""")
 def _(spark, d):
     m = S.impute(minutes(spark, d))
-    return P.worst_hours(S.resample_hourly(m), m)
+    return P.worst_hours(_off_hourly(m), m)
 
 
 @query("f3_cap_per_group", """SELECT series_id, origin_ts FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY origin_ts DESC) AS r FROM origins) WHERE r <= 100""")
@@ -586,20 +682,26 @@ def _(spark, d):
     return E.common_origins(pred, 3)
 
 
-@query("g2_assemble", "SELECT model, n, round(mae, 4) AS mae, NULL::BIGINT AS horizon FROM pooled UNION ALL SELECT model, n, round(mae, 4), horizon FROM byh")
+#: Published results that stand in the comparison for reference: model and pooled MAE (kW).
+ANCHORS = (("published boosted trees", 0.4190), ("published same-hour mean", 0.4341), ("published persistence", 0.6797))
+
+
+@query("g2_assemble", "SELECT model, n, mae, NULL::BIGINT AS horizon, 0::BIGINT AS place FROM pooled UNION ALL SELECT model, n, mae, horizon, 1 FROM byh "
+       + " ".join(f"UNION ALL SELECT '{m}', NULL, {v}::DOUBLE, NULL, 2" for m, v in ANCHORS))
 def _(spark, d):
     pred = predictions(spark, d)
     parts = E.metrics_pooled(pred).select("model", "n", "mae"), E.metrics_by_horizon(pred).select("model", "n", "mae", "horizon")
-    return rounded(E.assemble_results(*parts))
+    rows = E.assemble_results(*parts, anchors=spark.createDataFrame(list(ANCHORS), "model string, mae double"))
+    return rows.orderBy("place", "horizon", "mae", "model")
 
 
 # --- H: functions
 
 
-@query("h1_smape_term", "SELECT l_orderkey, l_linenumber, round(CASE WHEN abs(l_tax) + abs(l_discount) > 1e-8 THEN 2 * abs(l_discount - l_tax) / (abs(l_tax) + abs(l_discount)) END, 6) AS term FROM lineitem")
+@query("h1_smape_term", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_tax) + abs(l_discount) > 1e-8 THEN 2 * abs(l_discount - l_tax) / (abs(l_tax) + abs(l_discount)) END AS term FROM lineitem")
 def _(spark, d):
     term = C.smape_term(F.col("l_tax"), F.col("l_discount"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(term, 6).alias("term"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", term.alias("term"))
 
 
 @query("h2_dates", """SELECT event_id, date_trunc('day', ts) AS day, date_diff('minute', date_trunc('day', ts), ts) // 60 AS hours, CAST(floor((date_diff('minute', date_trunc('day', ts), ts) // 60) / 6.0) AS BIGINT) AS block,
@@ -612,33 +714,33 @@ def _(spark, d):
     )
 
 
-@query("h3_pack_unpack", "SELECT series_id, origin_ts, model, horizon, round(y_hat, 4) AS y_hat FROM pred")
+@query("h3_pack_unpack", "SELECT series_id, origin_ts, model, horizon, y_hat AS y_hat FROM pred")
 def _(spark, d):
     keys = ["series_id", "origin_ts", "model"]
     packed = C.pack_horizons(predictions(spark, d), keys)
-    return rounded(C.unpack_horizons(packed, keys))
+    return plain(C.unpack_horizons(packed, keys))
 
 
-@query("h4_patchify", """SELECT vec_id, p AS patch, round(list_sum(list_transform(range(0, 16), lambda j: CAST(x[least(p * 8 + j, 63) + 1] AS DOUBLE))), 4) AS total
+@query("h4_patchify", """SELECT vec_id, p AS patch, list_sum(list_transform(range(0, 16), lambda j: CAST(x[least(p * 8 + j, 63) + 1] AS DOUBLE))) AS total
     FROM (SELECT vec_id, embedding AS x, unnest(range(0, 8)) AS p FROM embeddings)""")
 def _(spark, d):
     x = F.col("embedding").cast("array<double>")
     rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(C.patchify(x, 64, 16, 8)).alias("patch", "v"))
-    return rounded(rows.select("vec_id", F.col("patch").cast("long").alias("patch"), F.aggregate("v", F.lit(0.0), lambda s, y: s + y).alias("total")))
+    return plain(rows.select("vec_id", F.col("patch").cast("long").alias("patch"), F.aggregate("v", F.lit(0.0), lambda s, y: s + y).alias("total")))
 
 
-@query("h5_instance_norm", """SELECT vec_id, round(list_avg(x), 4) AS mu, round(list_stddev_pop(x), 4) AS sigma, round((x[1] - list_avg(x)) / list_stddev_pop(x), 4) AS z1, round(x[64], 4) AS back64
+@query("h5_instance_norm", """SELECT vec_id, list_avg(x) AS mu, list_stddev_pop(x) AS sigma, (x[1] - list_avg(x)) / list_stddev_pop(x) AS z1, x[64] AS back64
     FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)""")
 def _(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", C.instance_norm(F.col("embedding").cast("array<double>")).alias("n"))
-    return rounded(rows.select("vec_id", "n.mu", "n.sigma", F.col("n.z")[0].alias("z1"), F.element_at(C.instance_denorm(F.col("n")), 64).alias("back64")))
+    return plain(rows.select("vec_id", "n.mu", "n.sigma", F.col("n.z")[0].alias("z1"), F.element_at(C.instance_denorm(F.col("n")), 64).alias("back64")))
 
 
-@query("h6_scaler", """SELECT l_orderkey, l_linenumber, round((l_quantity - m) / s, 4) AS l_quantity FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')""")
+@query("h6_scaler", """SELECT l_orderkey, l_linenumber, (l_quantity - m) / s AS l_quantity FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')""")
 def _(spark, d):
     li = table(spark, d, "lineitem")
     stats = E.fit_scaler(li.where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")), ["l_quantity"])
-    return rounded(E.apply_scaler(li, stats, ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity"))
+    return plain(E.apply_scaler(li, stats, ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity"))
 
 
 # --- I: protocol
@@ -649,17 +751,20 @@ def _(spark, d):
     return split(spark, d).select("series_id", "origin_ts", "cut_val", "cut_test", "split")
 
 
-@query("i2_cv_folds", """SELECT series_id, fold, count(*) AS n_val, min(origin_ts) AS first_val, any_value(n_train) AS n_train FROM (SELECT *, min(rn) OVER (PARTITION BY series_id, fold) AS n_train,
-    row_number() OVER (PARTITION BY series_id, fold ORDER BY origin_ts) AS place FROM (SELECT series_id, origin_ts, row_number() OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS rn,
-    ntile(4) OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS fold FROM split WHERE origin_ts < cut_test)) WHERE fold > 0 AND place <= 100 AND n_train >= 50 GROUP BY 1, 2 HAVING count(*) >= 20""")
+def cv_folds(spark, d):
+    """Folds with the usual cap; the least sizes are lower than usual, as the series of these tables are short."""
+    return E.rolling_origin_folds(split(spark, d), min_train=50, min_val=20)
+
+
+@query("i2_cv_folds", "SELECT series_id, fold, count(*) AS n_val, min(origin_ts) AS first_val, max(n_train) AS n_train FROM folds GROUP BY 1, 2")
 def _(spark, d):
-    folds = E.rolling_origin_folds(split(spark, d), cap=100, min_train=50, min_val=20)
+    folds = cv_folds(spark, d)
     return folds.groupBy("series_id", "fold").agg(F.count("*").alias("n_val"), F.min("origin_ts").alias("first_val"), F.max("n_train").cast("long").alias("n_train"))
 
 
 @query("i3_rolling_blocks", "SELECT series_id, origin_ts, block, block_start FROM blocks")
 def _(spark, d):
-    return E.rolling_blocks(split(spark, d).where("split <> 'train'"), hours=24).select("series_id", "origin_ts", "block", "block_start")
+    return E.rolling_blocks(split(spark, d).where("split <> 'train'")).select("series_id", "origin_ts", "block", "block_start")
 
 
 @query("i4_block_plan", """SELECT b.series_id, b.segment_id, b.block, b.block_start, date_diff('hour', s.start, b.block_start) AS history, date_diff('hour', s.start, b.block_start) < 168 AS skip,
@@ -668,32 +773,39 @@ def _(spark, d):
     CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id, segment_id), origin_ts) / 24.0) AS BIGINT) AS block FROM evals)) b
     JOIN stats s ON s.series_id = b.series_id AND s.segment_id = b.segment_id""")
 def _(spark, d):
-    blocks = E.rolling_blocks(split(spark, d).where("split <> 'train'"), hours=24, anchor=("series_id", "segment_id"))
-    return E.block_plan(blocks, S.segment_stats(segments(spark, d)))
+    seg = segments(spark, d)
+    evals = kept(spark, E.time_split(S.window_origins(seg))).where("split <> 'train'")
+    return E.block_plan(E.rolling_blocks(evals, hours=24, anchor=("series_id", "segment_id")), S.segment_stats(seg))
 
 
-@query("i5_alignment", """SELECT unnest(['horizons', 'unasked', 'unpredicted']) AS "check", unnest([0, 0, (SELECT count(*) FROM origins WHERE hour(origin_ts) = 5)])::BIGINT AS n_bad""")
+@query("i5_alignment", """SELECT 'horizons' AS "check", count(*) AS n_bad FROM origins WHERE hour(origin_ts) = 7
+    UNION ALL SELECT 'unasked', count(*) FROM origins WHERE hour(origin_ts) = 9 UNION ALL SELECT 'unpredicted', count(*) FROM origins WHERE hour(origin_ts) = 5
+    UNION ALL SELECT 'span', count(*) FROM (SELECT o.series_id, o.segment_id, n, count(*) AS hours FROM (SELECT series_id, segment_id, min(origin_ts) AS lo, max(origin_ts) AS hi, count(*) AS n
+        FROM origins WHERE hour(origin_ts) <> 9 GROUP BY 1, 2) o JOIN segs s ON s.series_id = o.series_id AND s.segment_id = o.segment_id AND s.ts >= o.lo AND s.ts <= o.hi + INTERVAL 24 HOUR
+        GROUP BY 1, 2, 3) WHERE hours <> n + 24""")
 def _(spark, d):
-    pred = predictions(spark, d).where("model = 'persistence'").where(F.hour("origin_ts") != 5)
-    return E.check_alignment(pred, origins(spark, d))
+    hour = F.hour("origin_ts")  # planted: hour 5 is not predicted, hour 7 lacks a horizon, hour 9 is not asked for
+    pred = predictions(spark, d).where("model = 'persistence'").where((hour != 5) & ((hour != 7) | (F.col("horizon") != 24)))
+    seg = segments(spark, d)
+    return E.check_alignment(pred, S.window_origins(seg).where(hour != 9), hourly=seg)
 
 
 # --- J: forecasters
 
 
-@query("j1_persistence", "SELECT series_id, origin_ts, horizon, round(persistence, 4) AS y_hat FROM truth")
+@query("j1_persistence", "SELECT series_id, origin_ts, horizon, persistence AS y_hat FROM truth")
 def _(spark, d):
-    return rounded(E.predict_baselines(windowed(spark, d), ("persistence",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+    return plain(E.predict_baselines(windowed(spark, d), ("persistence",)).select("series_id", "origin_ts", "horizon", "y_hat"))
 
 
-@query("j2_seasonal_naive", "SELECT series_id, origin_ts, horizon, round(seasonal_naive, 4) AS y_hat FROM truth")
+@query("j2_seasonal_naive", "SELECT series_id, origin_ts, horizon, seasonal_naive AS y_hat FROM truth")
 def _(spark, d):
-    return rounded(E.predict_baselines(windowed(spark, d), ("seasonal_naive",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+    return plain(E.predict_baselines(windowed(spark, d), ("seasonal_naive",)).select("series_id", "origin_ts", "horizon", "y_hat"))
 
 
-@query("j3_same_hour_mean", "SELECT series_id, origin_ts, horizon, round(same_hour_mean, 4) AS y_hat FROM truth")
+@query("j3_same_hour_mean", "SELECT series_id, origin_ts, horizon, same_hour_mean AS y_hat FROM truth")
 def _(spark, d):
-    return rounded(E.predict_baselines(windowed(spark, d), ("same_hour_mean",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+    return plain(E.predict_baselines(windowed(spark, d), ("same_hour_mean",)).select("series_id", "origin_ts", "horizon", "y_hat"))
 
 
 def _train_test(spark, d, rows):
@@ -706,7 +818,7 @@ def _train_test(spark, d, rows):
 def _(spark, d):
     train, test = _train_test(spark, d, S.feature_table(segments(spark, d)))
     if train.isEmpty():
-        return M.predict_trees({}, test) or spark.createDataFrame([], "model string, horizon long, n long, mae double, rmse double, smape double, r2 double")
+        return spark.createDataFrame([], "model string, horizon long, n long, mae double, rmse double, smape double, r2 double")
     models = M.fit_trees(train, range(1, 25))
     return E.metrics_by_horizon(M.predict_trees(models, test))
 
@@ -734,6 +846,17 @@ def _(spark, d):
     return E.metrics_pooled(rows.select("model", (F.col("h") + 1).alias("horizon"), "v.y", "v.y_hat"))
 
 
+@query("j6_rolling_trees")
+def _(spark, d):
+    """All horizons, re-trained for each week; few trees, as each week of each horizon is a fit of its own."""
+    rows = S.feature_table(segments(spark, d))
+    s = split(spark, d).where("split = 'test'")
+    done = M.rolling_fit_predict(kept(spark, rows), E.rolling_blocks(s, anchor=()), M.trees_fitter(trees=10))
+    if done is None:
+        return spark.createDataFrame([], "model string, n long, mae double, rmse double, smape double, r2 double")
+    return E.metrics_pooled(done)
+
+
 def queries():
     return dict(QUERIES)
 
