@@ -66,6 +66,14 @@ NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 LETTERS = np.array([b >= 128 or 97 <= b <= 122 for b in range(256)])
 
 
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of binary texts one after the other, and where each begins; null is empty."""
+    column = column.fill_null(b"")
+    kind = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
+
+
 def hashed_words(column: pa.Array, lower: bool = True, word_bytes: np.ndarray = NOT_SPACE, heads: tuple[int, ...] = ()):
     """For slices of a column of texts (binary): (first row, starts, ends, bounds, hashes, places) of the runs of word_bytes.
 
@@ -73,9 +81,7 @@ def hashed_words(column: pa.Array, lower: bool = True, word_bytes: np.ndarray =
     words of row r are bounds[r] : bounds[r + 1]. Null is an empty text. With heads, a list follows: for each of these
     lengths the hash of so many first bytes of each word, 0 for words that are not longer.
     """
-    column = column.fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    data, offsets = raw_bytes(column)
     for lo, hi in slices(offsets, 1 << 18):
         raw = data[offsets[lo] : offsets[hi]]
         at = offsets[lo : hi + 1] - offsets[lo]
@@ -127,7 +133,10 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
-    """Arrow batches of at most so many rows and bytes from here on: what a task holds then doesn't depend on the texts' lengths."""
+    """Arrow batches of at most so many rows and bytes from here on: what a task holds then doesn't depend on the texts' lengths.
+
+    Frames read these settings when they run, after an operator has returned, so they stay; hashed_words() reads 32-bit offsets.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
@@ -135,9 +144,11 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine."""
+    """The folder in spark.checkpoint.dir; only where that is unset and Spark is local, as in tests, a folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/") + "/wattline"
@@ -155,6 +166,27 @@ def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows of one key that may meet in one task of a join.
+HOT = 50_000
+
+
+def hot_keys(spark: SparkSession, counted: DataFrame, key: str, n: str = "n", most: int = HOT) -> DataFrame:
+    """(key, _parts) of the keys with more than ``most`` rows, from a table of their counts: as many parts as keep each part below it."""
+    hot = counted.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("_parts"))
+    return sized(kept(spark, hot, "hot_keys"))
+
+
+def salted(rows: DataFrame, key: str, hot: DataFrame, by: list[str]) -> DataFrame:
+    """rows with _salt, which deals the rows of a hot key out by the columns ``by``."""
+    return rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), "_parts").cast("int"), F.lit(0))).drop("_parts")
+
+
+def spread(single: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """A table of one row a key with a copy for each _salt of a hot key: join it to salted() rows on key and _salt."""
+    last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
+    return single.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
+
+
 def whole_groups(batches, n_keys: int):
     """Batches sorted by their first n_keys columns as tables that cut no group in two; a group must be bounded."""
     rest = None
