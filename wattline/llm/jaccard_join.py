@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import bounded_batches, hashed_words, kept, mix, ngram_hashes, sized, whole_groups
+from .text import bounded_batches, hashed_words, hot_keys, kept, mix, ngram_hashes, salted, sized, spread, whole_groups
 
-#: Beyond so many blocks, so many of them are keys. A block of two sets at the largest difference is equal
-#: with a chance of 1 / e, so all 64 differ with a chance below (1 - 1 / e) ** 64 = 2e-13 a pair.
-KEYS = 64
-#: With so few blocks empty ones are keys too; with more, other equal blocks are all but certain.
-FEW = 16
+#: Pairs of a band that must share so many shingles need no empty blocks as keys: the block of a shared shingle is
+#: equal with a chance of 1 / e at least, so that none of 64 is has a chance below (1 - 1 / e) ** 64 = 2e-13.
+SURE = 64
 #: Members of a key compared in one go.
 TILE = 1024
 
@@ -43,11 +41,11 @@ def _bands() -> list[int]:
 
 
 def bands_of(n: int, percent: int) -> list[int]:
-    """The bands in which a set of n shingles meets others: its own, and that of the largest set it may link with."""
+    """The bands in which a set of n shingles meets others: from its own to that of the largest set it may link with."""
     starts = np.array(_bands())
     own = int(np.searchsorted(starts, n, "right")) - 1
     top = int(np.searchsorted(starts, n * 100 // percent, "right")) - 1
-    return [own] if own == top else [own, top]
+    return list(range(own, top + 1))
 
 
 def most_apart(band: int, percent: int) -> int:
@@ -55,6 +53,11 @@ def most_apart(band: int, percent: int) -> int:
     return 2 * (_bands()[band + 1] - 1) * (100 - percent) // (100 + percent)
 
 
+def needs_empty(band: int, percent: int) -> bool:
+    """Whether empty blocks must be keys too, so that similar sets are certain to meet."""
+    return most_apart(band, percent) * percent < SURE * (100 - percent)
+
+
 def shingle_sets(column: pa.Array, words: int):
     """The sorted distinct shingle hashes of each text of a column."""
     for _, _, _, bounds, hashes, _ in hashed_words(column):
@@ -81,12 +84,15 @@ def _of_class(words: int):
     return run
 
 
-def block_keys(sets: list[np.ndarray], bands: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(sets: list[np.ndarray], bands: np.ndarray, percent: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each set in its band, and the set each belongs to: the XOR of the shingle hashes of each block.
 
-    The band is the key's last seven bits. Sets whose band lets only equal ones be similar have no keys.
+    All blocks are keys; empty ones where needs_empty(), or with ``exact`` always. The band is the key's last seven
+    bits. Sets whose band lets only equal ones be similar have no keys.
     """
-    apart = np.array([most_apart(b, percent) for b in range(int(bands.max(initial=0)) + 1)], np.int64)
+    some = range(int(bands.max(initial=0)) + 1)
+    apart = np.array([most_apart(b, percent) for b in some], np.int64)
+    empty = np.array([exact or needs_empty(b, percent) for b in some], bool)
     blocks = np.where(apart[bands] > 0, apart[bands] + 1, 0)
     n = np.array(list(map(len, sets)), np.int64)
     n = np.where(blocks > 0, n, 0)
@@ -94,19 +100,16 @@ def block_keys(sets: list[np.ndarray], bands: np.ndarray, percent: int) -> tuple
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     of = np.repeat(np.arange(len(n)), n)
     block = ((every >> np.uint64(32)) % np.maximum(blocks[of], 1).astype(np.uint64)).astype(np.int64)
-    use = block < KEYS
-    of, block, value = of[use], block[use], every[use]
-    value = mix(value + bands[of].astype(np.uint64) + np.uint64(1))
-    kept_blocks = np.minimum(blocks, KEYS)
-    base = np.cumsum(kept_blocks) - kept_blocks
-    keys = np.zeros(int(kept_blocks.sum()), np.uint64)
+    value = mix(every + bands[of].astype(np.uint64) + np.uint64(1))
+    base = np.cumsum(blocks) - blocks
+    keys = np.zeros(int(blocks.sum()), np.uint64)
     np.bitwise_xor.at(keys, base[of] + block, value)
-    owner = np.repeat(np.arange(len(n)), kept_blocks)
+    owner = np.repeat(np.arange(len(n)), blocks)
     at = (np.arange(len(keys)) - base[owner]).astype(np.uint64)
     keys = mix(keys ^ mix(at + np.uint64(12345))) & ~np.uint64(127) | bands[owner].astype(np.uint64)
     filled = np.zeros(len(keys), bool)
     filled[base[of] + block] = True
-    good = filled | (blocks[owner] < FEW)
+    good = filled | empty[bands[owner]]
     return keys[good], owner[good]
 
 
@@ -117,7 +120,7 @@ def bit_sketch(shingles: np.ndarray, band: int) -> bytes:
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-def _sets(percent: int, words: int):
+def _sets(percent: int, words: int, exact: bool):
     """Batches of (doc_id, text) to rows: kind 0 (doc_id, set hash, set size), kind 1 (key, class), kind 2 (key, class,
     first class of that key in this task's batch)."""
 
@@ -129,12 +132,12 @@ def _sets(percent: int, words: int):
             hashes = np.array([set_hash(s) for s in sets], np.uint64)
             own = np.searchsorted(starts, np.maximum(sizes, 1), "right") - 1
             top = np.searchsorted(starts, np.maximum(sizes * 100 // percent, 1), "right") - 1
-            low, high = np.flatnonzero(sizes), np.flatnonzero((sizes > 0) & (top != own))
             key, owner = [], []
-            for rows, band in ((low, own), (high, top)):
+            for step in range(int((top - own).max(initial=0)) + 1):
+                rows, band = np.flatnonzero((sizes > 0) & (own + step <= top)), own + step
                 for i in range(0, len(rows), 1000):
                     r = rows[i : i + 1000]
-                    k, of = block_keys([sets[x] for x in r], band[r], percent)
+                    k, of = block_keys([sets[x] for x in r], band[r], percent, exact)
                     key.append(k.view(np.int64))
                     owner.append(hashes[r[of]].view(np.int64))
             key = np.concatenate(key) if key else np.zeros(0, np.int64)
@@ -256,6 +259,7 @@ def jaccard_classes(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
+    exact: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the group of each document under links of Jaccard >= percent / 100.
 
@@ -263,14 +267,17 @@ def jaccard_classes(
     shingle. Null, empty and blank texts have no shingles and link with nothing; they are their own component,
     as are rows without id (component null). Rows that repeat an id share its component if their texts link.
     Very long texts are one set each. Extra columns are ignored. Sets count as equal when their sizes and
-    64-bit hashes of all shingles agree.
+    64-bit hashes of all shingles agree. Large sets that link are missed with a chance below 2e-13 a pair; with
+    ``exact`` never, at the price of keys for empty blocks. Ids that are no whole numbers fail.
     """
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    made = kept(spark, rows.mapInArrow(_sets(percent, words), "kind byte, a long, b long, c long"), "sets")
+    made = kept(spark, rows.mapInArrow(_sets(percent, words, exact), "kind byte, a long, b long, c long"), "sets")
     sets = made.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("c").alias("n"))
     ids = sets.where("n > 0 and doc_id is not null")
-    classes = kept(spark, ids.groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = kept(spark, ids.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    copied = hot_keys(spark, classes, "class")
+    classes = classes.drop("n")
 
     firsts = made.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class"))
     across = firsts.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_shared, "key long, class long")
@@ -279,10 +286,13 @@ def jaccard_classes(
 
     # Hubs: the class that meets most others leads its keys.
     per_key = kept(spark, shared.groupBy("key").agg((F.count("*") - 1).alias("others")), "per_key")
-    score = kept(spark, shared.join(per_key, "key").groupBy("class").agg(F.sum("others").alias("score")), "score")
+    frequent = hot_keys(spark, per_key, "key", "others")
+    dealt = lambda rows: salted(rows, "key", frequent, ["class"])
+    score = dealt(shared).join(spread(per_key, "key", frequent), ["key", "_salt"]).groupBy("class").agg(F.sum("others").alias("score"))
+    score = kept(spark, score, "score")
     hubs = shared.join(score, "class").groupBy("key").agg(F.max_by("class", F.struct("score", "class")).alias("hub"))
     hubs = kept(spark, hubs, "hubs")
-    pairs = shared.join(hubs, "key").where("class <> hub")
+    pairs = dealt(shared).join(spread(hubs, "key", frequent), ["key", "_salt"]).where("class <> hub")
     pairs = pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"), "hub").distinct()
     pairs = kept(spark, pairs, "pairs")
 
@@ -309,7 +319,7 @@ def jaccard_classes(
     open_keys = kept(spark, open_keys.where("lo <> hi and size > 2").select("key", "size"), "open")  # hubs settle keys of two
     sketch = kept(spark, texts.select("class", "text").mapInArrow(_sketches(percent, words), "class long, band int, n long, sketch binary"), "sketches")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    tiled = member.join(open_keys, "key").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int"))
+    tiled = dealt(member).join(spread(open_keys, "key", frequent), ["key", "_salt"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select(
         "key",
@@ -331,13 +341,24 @@ def jaccard_classes(
     group = kept(spark, components(spark, by_rep), "groups")
     of_class = classes.join(group, classes.rep == group.node, "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     of_class = kept(spark, of_class, "of_class")
-    out = sets.join(of_class, "class", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one document of each group, the one of the smallest id; rows without id stay."""
-    classes = jaccard_classes(spark, docs, id_col=id_col, **options)
-    gone = kept(spark, classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(sized(gone), docs[id_col] == gone["_gone"], "left_anti")
+    some = salted(sets.where("n > 0"), "class", copied, ["doc_id"])
+    out = some.join(spread(of_class, "class", copied), ["class", "_salt"], "left").select("doc_id", "n", "component_id")
+    out = out.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group, that of the smallest id (of repeated ones any); rows without id stay, and link nothing."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_nr"))
+    rows = kept(spark, rows, "numbered")  # which fixes the numbers
+    own = rows.where(F.col("_row")[id_col].isNotNull()).select("_nr", F.col("_row")[id_col].alias("_id"), F.col("_row")[text_col].alias("_text"))
+    classes = jaccard_classes(spark, own, id_col="_nr", text_col="_text", **options).where("n_shingles > 0").select(F.col("doc_id").alias("_nr"), F.col("component_id").alias("_group"))
+    classes = kept(spark, classes, "row_groups")
+    many = classes.groupBy("_group").agg(F.count("*").alias("n")).where("n > 1")  # rows on their own need no second look
+    many = kept(spark, many, "large_groups")
+    hot = hot_keys(spark, many, "_group")
+    grouped = salted(classes, "_group", hot, ["_nr"]).join(spread(many.select("_group"), "_group", hot), ["_group", "_salt"]).select("_nr", "_group")
+    grouped = kept(spark, grouped.join(own.select("_nr", "_id"), "_nr"), "grouped")
+    first = grouped.groupBy("_group").agg(F.min(F.struct("_id", "_nr")).alias("_first")).select("_first._nr")
+    gone = kept(spark, grouped.select("_nr").join(first, "_nr", "left_anti"), "gone")
+    return rows.join(sized(gone), "_nr", "left_anti").select("_row.*")
