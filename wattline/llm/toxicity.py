@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import bounded_batches, hashed_words, kept, slices, LETTERS
+from .text import LETTERS, bounded_batches, hashed_words, kept, raw_bytes, slices
 
 #: Second person in the languages of the corpus.
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tus su sus ti"
@@ -93,9 +93,7 @@ def _look(lex, h: np.ndarray) -> np.ndarray:
 
 def _rates(column: pa.Array) -> np.ndarray:
     """Bytes, capitals, punctuation, shouts and masked letters of each text."""
-    column = column.fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    data, offsets = raw_bytes(column)
     out = np.zeros((len(column), 5))
     for lo, hi in slices(offsets, 1 << 18):  # so that what is held for each byte stays small
         raw = data[offsets[lo] : offsets[hi]]
@@ -166,7 +164,7 @@ def score(
     terms: int = 4_000,
     carry: bool = False,
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of docs; with carry, docs with those columns added.
+    """(doc_id, held_out, score, predicted) per row of docs; with carry, docs with those columns added (or replaced).
 
     Trained on at most ``sample`` labelled rows, those of the smallest hashes, whose crc32(id as text) mod 5
     is not 0; of these, remainder 1 calibrates, the rest grows the trees. ``terms`` bounds the lexicon. Every
@@ -192,7 +190,8 @@ def score(
     train = rows.select("_fold", F.col("_toxic").cast("double").alias("label"), _features(cross, F.col("_text"), F.col("half")).alias("x"))
     train = kept(spark, train, "features")
     seen = {(r["cal"], r["label"]): r["n"] for r in train.groupBy((F.col("_fold") == 1).alias("cal"), "label").agg(F.count("*").alias("n")).collect()}
-    out = docs.withColumn("_x", _features(both, F.col(text_col)))
+    # The rows as they are stand apart from what the models add, whatever their columns are called.
+    out = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), _features(both, F.col(text_col)).alias("_x"))
     if seen.get((False, 1.0), 0) and seen.get((False, 0.0), 0):
         train = train.select("_fold", "label", array_to_vector("x").alias("features")).repartition(4).cache()
         trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.25, minInstancesPerNode=5, seed=7).fit(train.where("_fold <> 1"))
@@ -208,7 +207,9 @@ def score(
     else:
         ones, all_ = sum(n for (_, y), n in seen.items() if y), sum(seen.values())
         out = out.withColumn("_score", F.lit(ones / all_ if all_ else 0.0))
-    held_out = F.coalesce(F.pmod(F.crc32(name.cast("string")), F.lit(5)) == 0, F.lit(False)).alias("held_out")
+    own_id = F.col("_row")[id_col]
+    held_out = F.coalesce(F.pmod(F.crc32(own_id.cast("string")), F.lit(5)) == 0, F.lit(False)).alias("held_out")
     result = F.least(F.greatest(F.col("_score"), F.lit(0.0)), F.lit(1.0))
-    own = [F.col(c) for c in docs.columns] if carry else [name.alias("doc_id")]
+    added = ("held_out", "score", "predicted")
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in added] if carry else [own_id.alias("doc_id")]
     return out.select(*own, held_out, result.alias("score"), (result >= 0.5).cast("int").alias("predicted"))
