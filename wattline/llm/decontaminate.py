@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import alnum_words, bounded_batches, kept
+from .text import alnum_words, bounded_batches, kept, sized
 
-INDEX = "doc_id long, n_words int, terms array<int>, counts array<int>, positions array<int>"
-MATCHES = "doc_id long, n_words int, starts array<int>, ends array<int>, items array<long>"
+INDEX = "doc_id long, row string, text_key long, n_words int, terms array<int>, counts array<int>, positions array<int>"
+MATCHES = "doc_id long, row string, text_key long, n_words int, starts array<int>, ends array<int>, items array<long>"
+#: Distinct terms of test items that one index may hold: they are broadcast.
+TERMS = 2_000_000
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -39,8 +41,19 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> Da
     return rows.where("item_id is not null").mapInArrow(windows, "item_id long, terms array<binary>")
 
 
-def build_index(spark: SparkSession, docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
-    """The posting lists of every document, restricted to the terms in ``vocabulary``, stored in the shared folder."""
+def text_key(text):
+    """Tells texts apart, so that rows can be found again by it."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, text_key, text): each row of docs under a key of its own; fixed once it is written."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr("uuid()").alias("row"), text_key(text).alias("text_key"), text.cast("binary").alias("text"))
+
+
+def build_index(spark: SparkSession, rows: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """The posting lists of every keyed() document, restricted to the terms in ``vocabulary``, stored in the shared folder."""
     known = spark.sparkContext.broadcast(vocabulary)
 
     def post(batches):
@@ -48,7 +61,7 @@ def build_index(spark: SparkSession, docs: DataFrame, vocabulary: dict[bytes, in
         for batch in batches:
             n_words, terms, counts, positions = [], [], [], []
             sizes, heads = [0], [0]
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(3).to_pylist():
                 words = alnum_words(text)
                 ids = np.fromiter((look(w, -1) for w in words), np.int32, len(words))
                 at = np.flatnonzero(ids >= 0)
@@ -63,11 +76,10 @@ def build_index(spark: SparkSession, docs: DataFrame, vocabulary: dict[bytes, in
             cat = lambda parts: pa.array(np.concatenate(parts).astype(np.int32) if parts else [], pa.int32())
             lists = lambda offsets, parts: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cat(parts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int32()), lists(heads, terms), lists(heads, counts), lists(sizes, positions)],
-                ["doc_id", "n_words", "terms", "counts", "positions"],
+                [*batch.columns[:3], pa.array(n_words, pa.int32()), lists(heads, terms), lists(heads, counts), lists(sizes, positions)],
+                ["doc_id", "row", "text_key", "n_words", "terms", "counts", "positions"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return kept(spark, rows.mapInArrow(post, INDEX), "postings")
 
 
@@ -80,10 +92,9 @@ def _intersect(order, size, offsets, terms, owner, by_rarest, first, slop):
 
     def run(batches):
         for batch in batches:
-            n_words = batch.column(1).to_numpy().astype(np.int64)
-            heads = batch.column(2).offsets.to_numpy().astype(np.int64)
-            sizes = batch.column(4).offsets.to_numpy().astype(np.int64)
-            term, count, at = _flat(batch.column(2)), _flat(batch.column(3)), _flat(batch.column(4))
+            n_words = batch.column(3).to_numpy().astype(np.int64)
+            sizes = batch.column(6).offsets.to_numpy().astype(np.int64)
+            term, count, at = _flat(batch.column(4)), _flat(batch.column(5)), _flat(batch.column(6))
             gap = terms.shape[1] + 1 if len(terms) else 1
             base = np.concatenate([[0], np.cumsum(n_words + gap)])
             doc_of = np.repeat(np.arange(len(n_words)), np.diff(sizes))
@@ -118,13 +129,12 @@ def _intersect(order, size, offsets, terms, owner, by_rarest, first, slop):
             local = lambda x: pa.array((x - base[spans[:, 0]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *batch.columns[:4],
                     pa.ListArray.from_arrays(cut(spans), local(spans[:, 1])),
                     pa.ListArray.from_arrays(cut(spans), local(spans[:, 2])),
                     pa.ListArray.from_arrays(cut(items), pa.array(items[:, 1])),
                 ],
-                ["doc_id", "n_words", "starts", "ends", "items"],
+                ["doc_id", "row", "text_key", "n_words", "starts", "ends", "items"],
             )
 
     return run
@@ -170,24 +180,34 @@ def find_matches(
     slop: int = 0,
     block: int = 200_000,
 ) -> DataFrame:
-    """(doc_id, n_words, starts, ends, items) per row of docs: where windows of the test items occur.
+    """(doc_id, row, text_key, n_words, starts, ends, items) per row of docs: where windows of the test items occur.
 
     slop 0 gives exact phrases; slop s gives the window's terms in order with at most s other words
     between. starts and ends are word positions (end exclusive), sorted, without repeats; items are the
-    ids whose windows occur, sorted. Items are taken in blocks of about ``block`` windows, the proven bound
-    of what is broadcast; each block meets all documents. Null or empty texts have no words and no
+    ids whose windows occur, sorted. Distinct windows are taken in blocks of about ``block``, dealt by their words, so that
+    a huge item is many blocks: the bound of what is broadcast. The documents are indexed once for all blocks while the
+    items have at most TERMS distinct terms, else once for each block. Null or empty texts have no words and no
     matches; items without words or without id never match; repeated items count once; repeated
-    documents give a row each (with several blocks, rows of one id are united). Extra columns are ignored.
+    documents, and those without id, give a row each. Ids are whole numbers, others fail. Extra columns are ignored.
     """
     bounded_batches(spark)
-    windows = kept(spark, item_windows(items, item_id, item_text, width), "windows")
+    windows = kept(spark, item_windows(items, item_id, item_text, width).distinct(), "windows")
     n = windows.count()
     blocks = max(1, -(-n // block))
+    terms_of = windows.select(F.explode("terms").alias("term")).distinct()
+    once = terms_of.limit(TERMS + 1).count() <= TERMS
+    keys = keyed(docs, doc_id, doc_text)
+    if once:
+        vocabulary = {t: i for i, t in enumerate(sorted(bytes(r.term) for r in terms_of.collect()))}
+        index = build_index(spark, keys, vocabulary)
+    else:
+        keys = kept(spark, keys, "keyed")
     parts = []
     for b in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct().collect()
-        vocabulary = {t: i for i, t in enumerate(sorted({bytes(t) for r in rows for t in r.terms}))}
-        index = build_index(spark, docs, vocabulary, doc_id, doc_text)
+        rows = windows.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == b).collect()
+        if not once:
+            vocabulary = {t: i for i, t in enumerate(sorted({bytes(t) for r in rows for t in r.terms}))}
+            index = build_index(spark, keys, vocabulary)
         seen = np.zeros(len(vocabulary), np.int64)
         df = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.*")
         for r in df.groupBy("terms").agg(F.sum("counts").alias("n")).collect():  # a row for each term of the block
@@ -212,10 +232,10 @@ def find_matches(
     for p in parts[1:]:
         every = every.unionByName(p)
     spans = F.array_distinct(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))))
-    every = every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), spans.alias("s"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items")
-    )
-    return every.select("doc_id", "n_words", "s.starts", "s.ends", "items")
+    firsts = [F.first(c).alias(c) for c in ("doc_id", "text_key", "n_words")]
+    items = F.array_distinct(F.array_sort(F.flatten(F.collect_list("items"))))
+    every = every.groupBy("row").agg(*firsts, spans.alias("s"), items.alias("items"))  # a row for each block
+    return every.select("doc_id", "row", "text_key", "n_words", "s.starts", "s.ends", "items")
 
 
 def hit_words(matches: DataFrame) -> DataFrame:
@@ -232,6 +252,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, **opti
     """Per document: n_words, n_hit, n_items, items and contaminated. Options as for find_matches."""
     return hit_words(find_matches(spark, docs, items, **options)).select(
         "doc_id",
+        "text_key",
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -240,3 +261,10 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, **opti
         "ends",
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, *, doc_text: str = "text", **options) -> DataFrame:
+    """docs without the rows in whose text a window of any item occurs, whatever their ids. Options as for find_matches."""
+    found = contamination(spark, docs, items, doc_text=doc_text, **options).where("contaminated")
+    gone = kept(spark, found.select("text_key").distinct(), "contaminated")
+    return docs.join(sized(gone), text_key(docs[doc_text]) == gone["text_key"], "left_anti")
