@@ -1,14 +1,17 @@
 """WARC archives as a Spark data source, and archives of pages in which equal payloads are revisits.
 
-Records are gzip members of their own that carry their length (the "sl" extra field of the WARC annex), so a
+Records are written as gzip members of their own that carry their length (the "sl" extra field of the WARC annex), so a
 reader can start anywhere in a file, inflate the head of a record alone, and step over the payloads it
 does not want. Filters on the record type and on header columns are pushed down to that first look.
+Other archives, plain ones (.warc) and gzip files without those lengths, are read too, each by one task from its
+start on: payloads that are not wanted are stepped over in plain files, and inflated but not kept in the others.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import struct
 import sys
@@ -90,10 +93,10 @@ def record(row: dict) -> bytes:
 
 def parse_head(block: bytes) -> dict:
     row = dict.fromkeys(NAMES)
-    for line in block.split(b"\r\n\r\n", 1)[0].decode("utf-8", "replace").split("\r\n")[1:]:
-        key, _, value = line.partition(": ")
-        if name := FIELDS.get(key.lower()):
-            row[name] = _plain(value)
+    for line in re.split(rb"\r?\n\r?\n", block, maxsplit=1)[0].decode("utf-8", "replace").splitlines()[1:]:
+        key, _, value = line.partition(":")
+        if name := FIELDS.get(key.strip().lower()):
+            row[name] = _plain(value.strip())
     row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
     row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
     return row
@@ -142,7 +145,9 @@ class WarcReader(DataSourceReader):
         fs, path = _filesystem(self.path)
         found = []
         for info in fs.get_file_info(pafs.FileSelector(path, recursive=False)):
-            if info.is_file and info.base_name.endswith(".warc.gz") and not info.base_name.startswith(("_", ".")):
+            if info.is_file and info.base_name.endswith(".warc") and not info.base_name.startswith(("_", ".")):
+                found.append(Range(info.path, 0, info.size))
+            elif info.is_file and info.base_name.endswith(".warc.gz") and not info.base_name.startswith(("_", ".")):
                 found += [Range(info.path, at, min(at + self.split, info.size)) for at in range(0, info.size, self.split)]
         return found or [Range("", 0, 0)]
 
@@ -151,32 +156,89 @@ class WarcReader(DataSourceReader):
             return
         fs, _ = _filesystem(self.path)
         rows, held = [], 0
-        with fs.open_input_file(part.path) as f:
-            size, at = f.size(), self._first(f, part)
-            while at is not None and at < part.stop:
-                f.seek(at)
-                data = f.read(min(4096, size - at))
-                length, _ = struct.unpack("<II", data[len(MAGIC) : len(MAGIC) + 8])
-                inflate = zlib.decompressobj(-15)
-                block = inflate.decompress(data[len(MAGIC) + 8 :], 1 << 14)
-                while b"\r\n\r\n" not in block and not inflate.eof:
-                    data += f.read(min(1 << 16, size - at - len(data))) if not inflate.unconsumed_tail else b""
-                    block += inflate.decompress(inflate.unconsumed_tail or data[-(1 << 16) :], 1 << 16)
-                row = parse_head(block)
-                if self._wanted(row):
-                    if self.payload and row["record_type"] != "revisit":
-                        f.seek(at)
-                        whole = zlib.decompress(f.read(length)[len(MAGIC) + 8 : length - 8], -15)
-                        row["payload"] = whole.split(b"\r\n\r\n", 2)[2].removesuffix(b"\r\n\r\n")
-                        held += len(row["payload"])
-                    rows.append(row)
+        with fs.open_input_file(part.path) as raw:
+            f = io.BufferedReader(raw, 1 << 20)  # reads ahead; steps inside what is read cost nothing
+            own = f.read(len(MAGIC)) == MAGIC
+            if not own and part.start:
+                return  # the task of the file's start reads it all
+            for row in self._members(f, part) if own else self._others(f, part.path):
+                rows.append(row)
+                held += len(row["payload"] or b"")
                 if len(rows) >= 1000 or held > 8 << 20:
                     yield _batch(rows)
                     rows, held = [], 0
-                at += length
         if rows:
             yield _batch(rows)
 
+    def _members(self, f, part: Range):
+        """The wanted records that start in the range, of a file whose members carry their lengths."""
+        at = self._first(f, part)
+        while at is not None and at < part.stop:
+            f.seek(at)
+            data = f.read(len(MAGIC) + 8)
+            if not data:
+                return
+            if not data.startswith(MAGIC):
+                raise ValueError(f"{part.path}: no record with its length at byte {at}")
+            length, _ = struct.unpack("<II", data[len(MAGIC) :])
+            left = length - len(data)
+            inflate, block = zlib.decompressobj(-15), b""
+            while b"\r\n\r\n" not in block and not inflate.eof:
+                piece = inflate.unconsumed_tail or f.read(min(4096, left))
+                left -= 0 if inflate.unconsumed_tail else len(piece)
+                if not piece:
+                    raise ValueError(f"{part.path}: the record at byte {at} ends in its head")
+                block += inflate.decompress(piece, 1 << 14)
+            row = parse_head(block)
+            if self._wanted(row):
+                if self.payload and row["record_type"] != "revisit":
+                    f.seek(at + len(MAGIC) + 8)
+                    whole = zlib.decompress(f.read(length - len(MAGIC) - 16), -15)
+                    row["payload"] = whole.split(b"\r\n\r\n", 2)[2].removesuffix(b"\r\n\r\n")
+                yield row
+            at += length
+
+    def _others(self, f, path: str):
+        """The wanted records of a plain file, or of one of ordinary gzip members, one after the other."""
+        f.seek(0)
+        zipped = f.read(2) == b"\x1f\x8b"
+        f.seek(0)
+        source = _Inflated(f) if zipped else f
+        while True:
+            line = source.readline()
+            while line in (b"\r\n", b"\n"):  # what ends the record before
+                line = source.readline()
+            if not line:
+                return
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"{path}: no WARC record begins with {line[:40]!r}")
+            head = [line]
+            while line not in (b"\r\n", b"\n", b""):
+                line = source.readline()
+                head.append(line)
+            row = parse_head(b"".join(head))
+            size = re.search(rb"(?im)^content-length:\s*(\d+)", b"".join(head))
+            if not size:
+                raise ValueError(f"{path}: a record without Content-Length")
+            size = int(size[1])
+            http = row["record_type"] in ("response", "revisit") and re.search(rb"(?im)^content-type:\s*application/http", b"".join(head)) is not None
+            if not self._wanted(row):
+                source.seek(size, io.SEEK_CUR)
+                continue
+            front, line = 0, b"-" if http and size else b""
+            while line not in (b"\r\n", b"\n", b"") and front < size:  # the HTTP head
+                line = source.readline(size - front)
+                front += len(line)
+            if row["payload_length"] is None:
+                row["payload_length"] = size - front
+            if self.payload and row["record_type"] != "revisit":
+                row["payload"] = source.read(size - front)
+                if len(row["payload"]) < size - front:
+                    raise ValueError(f"{path}: the last record ends early")
+            else:
+                source.seek(size - front, io.SEEK_CUR)
+            yield row
+
     @staticmethod
     def _first(f, part: Range):
         """The first record that starts in the range."""
@@ -194,6 +256,41 @@ class WarcReader(DataSourceReader):
         return None
 
 
+class _Inflated:
+    """The content of a file of gzip members one after the other, with the few ways of reading that are used here."""
+
+    def __init__(self, f):
+        self.f, self.inflate, self.buffer, self.at = f, zlib.decompressobj(31), b"", 0
+
+    def _more(self) -> bool:
+        if self.inflate.eof:
+            rest = self.inflate.unused_data
+            self.inflate = zlib.decompressobj(31)
+        else:
+            rest = self.inflate.unconsumed_tail
+        data = rest or self.f.read(1 << 18)
+        if not data:
+            return False
+        self.buffer, self.at = self.buffer[self.at :] + self.inflate.decompress(data, 1 << 20), 0
+        return True
+
+    def read(self, n: int) -> bytes:
+        while len(self.buffer) - self.at < n and self._more():
+            pass
+        out = self.buffer[self.at : self.at + n]
+        self.at += len(out)
+        return out
+
+    def readline(self, most: int = 1 << 20) -> bytes:
+        while (end := self.buffer.find(b"\n", self.at) + 1) == 0 and len(self.buffer) - self.at < most and self._more():
+            pass
+        return self.read(min(most, end - self.at if end else most))
+
+    def seek(self, n: int, whence: int) -> None:
+        while n > 0 and (step := len(self.read(min(n, 1 << 20)))):
+            n -= step
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     types = dict.fromkeys(NAMES, pa.string()) | {"payload_length": pa.int64(), "payload": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[n]) for n in NAMES], NAMES)
@@ -258,7 +355,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes format("warc") known, with filters pushed down; the source travels by value, for Spark's planning processes."""
+    """Makes format("warc") known, with filters pushed down (a setting of the session, which frames read when they run)."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
@@ -271,14 +368,16 @@ def records(spark: SparkSession, pages: DataFrame, *, id_col="page_id", url_col=
     response with its payload, are responses. Extra columns are ignored. Equal payloads meet by their digest
     alone; payloads are not shuffled unless very many rows are revisits.
     """
-    from .text import kept, sized
+    from .text import hot_keys, kept, salted, sized, spread
 
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), payload.alias("payload"), F.sha1(payload).alias("sha"))
     ids = kept(spark, rows.where((F.length("payload") >= least) & F.col("id").isNotNull()).select("id", "sha"), "payload_ids")
     lead = ids.groupBy("sha").agg(F.max("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    lead = kept(spark, lead.select("sha", "lead"), "payload_leads")
-    again = kept(spark, ids.join(lead, "sha").where("id <> lead").distinct(), "revisits")
+    lead = kept(spark, lead, "payload_leads")
+    common = hot_keys(spark, lead, "sha")
+    again = salted(ids, "sha", common, ["id"]).join(spread(lead.select("sha", "lead"), "sha", common), ["sha", "_salt"])
+    again = kept(spark, again.where("id <> lead").select("id", "sha", "lead").distinct(), "revisits")
     full = rows.join(sized(again, 200_000), ["id", "sha"], "left")
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return full.select(
