@@ -149,6 +149,28 @@ def _bounds(pattern: str, size: int, overlap: int):
     return run
 
 
+def _cut(ends_of, most: int = 1 << 20):
+    """(row, text, more) to (row, chunk, text): each text cut once, in slices from a to b of ends_of(text, more); few at a time are held."""
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["row", "chunk", "text"])
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for row, text, more in zip(*[c.to_pylist() for c in batch.columns]):
+                for nr, (a, b) in enumerate(ends_of(text, more)):
+                    rows.append((row, nr, text[a:b]))
+                    held += b - a
+                    if held >= most:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    return run
+
+
 def _encode(pattern: str, ranks):
     """(row, chunk, text) to (row, chunk, ids)."""
 
@@ -223,20 +245,17 @@ def encode(
 
     long = rows.where(F.length("text") > chunk).withColumn("place", F.struct("row", F.expr("uuid()").alias("nr")))
     long = kept(spark, long.select("place", "text"), "long_texts")  # a key of its own for each row, fixed by writing it
-    n = F.ceil(F.length("text") / chunk).cast("int")
-    parts = long.select("place", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("chunk", "_"), "text")
-    parts = parts.select(F.to_json("place").alias("row"), "chunk", F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
+    named = long.select(F.to_json("place").alias("row"), "place", "text")
+    overlapping = _cut(lambda text, _: [(a, a + chunk + overlap) for a in range(0, len(text), chunk)])
+    parts = named.select("row", "text", F.lit(0)).mapInArrow(overlapping, "row string, chunk int, text string")
     found = parts.mapInArrow(_bounds(pattern, chunk, overlap), "row string, chunk int, head array<long>, tail array<long>")
     found = kept(spark, found, "bounds")
     tails = found.select("row", (F.col("chunk") + 1).alias("chunk"), "tail")
     stitch = found.where("chunk > 0").drop("tail").join(tails, ["row", "chunk"])
     stitch = stitch.select("row", F.array_min(F.array_intersect("tail", "head")).alias("cut")).where("cut is not null")
     cuts = stitch.groupBy("row").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))  # a place for each chunk of a text
-    named = long.select(F.to_json("place").alias("row"), "place", "text")
-    pieces = named.join(cuts, "row", "left").select("row", "place", "text", F.coalesce("cuts", F.array().cast("array<long>")).alias("cuts"))
-    ends = F.concat(F.array(F.lit(0).cast("long")), "cuts", F.array(F.length("text").cast("long")))
-    pieces = pieces.select("row", "text", F.posexplode(F.arrays_zip(F.slice(ends, 1, F.size(ends) - 1).alias("a"), F.slice(ends, 2, F.size(ends) - 1).alias("b"))).alias("chunk", "x"))
-    pieces = pieces.select("row", "chunk", F.substring("text", (F.col("x.a") + 1).cast("int"), (F.col("x.b") - F.col("x.a")).cast("int")).alias("text"))
+    stitched = _cut(lambda text, cuts: list(zip([0, *(cuts or ())], [*(cuts or ()), len(text)])))
+    pieces = named.join(cuts, "row", "left").select("row", "text", "cuts").mapInArrow(stitched, "row string, chunk int, text string")
     pieces = pieces.repartition("row", "chunk")
     coded = pieces.mapInArrow(_encode(pattern, known), f"row string, {ids}")
     whole = coded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias("ids"))
