@@ -1,7 +1,7 @@
 """Transcript parsing: a hidden Markov model over speaker markers and line features recovers roles before rendering.
 
-States are roles. A turn's symbols are its speaker marker and features of its lines; emission and
-transition counts come from the turns whose role is known. Viterbi runs over chunks of turns: each chunk
+States are roles. A text is parted where a line starts with a speaker marker. A part's symbols are its marker and
+features of its lines; emission and transition counts come from turns of known role in other conversations. Viterbi runs over chunks of turns: each chunk
 gives the best score from every state before it to every state at its end, these are chained per
 conversation, and then every chunk is traced back between its two known states, so that a conversation of any
 length is never in one task as a whole.
@@ -19,47 +19,58 @@ from .text import kept, whole_groups
 ROLES = ("system", "user", "assistant", "tool")
 #: Speaker markers at the start of a turn, and the role that each stands for.
 MARKERS = (
-    ("system", r"(?i)^\s*(?:<\|?system\|?>|\[system\]|#+ *system|system) *[:\n>]?"),
+    ("system", r"(?i)^\s*(?:<\|?system\|?>|\[system\]|#+ *system *:?|system *:)"),
     ("user", r"(?i)^\s*(?:<\|?user\|?>|\[inst\]|#+ *(?:instruction|human|user|question)|user|human|question|q|me|customer) *:"),
     ("assistant", r"(?i)^\s*(?:<\|?assistant\|?>|\[/inst\]|#+ *(?:response|assistant|answer)|assistant|ai|bot|chatbot|model|answer|a|agent|gpt) *:"),
     ("tool", r"(?i)^\s*(?:<\|?tool\|?>|#+ *(?:observation|tool)|tool|function|observation) *:"),
 )
 SYMBOLS = ("marker", "opening", "chars", "lines", "question", "address", "code", "parity")
+#: What all markers begin with.
+LEAD = r"^\s*"
+#: Where a text goes on with another speaker: before a line that starts with a marker.
+_NEXT = r"\n\s*(?=" + "|".join(f"(?:{p.replace(LEAD, '')})" for _, p in MARKERS) + ")"
 
 
-def symbols(text, turn):
-    """The symbols of a turn, one small string for each feature."""
+def symbols(text, turn, part):
+    """The symbols of a step, one small string for each feature."""
     marker = F.lit("none")
     for role, pattern in reversed(MARKERS):
         marker = F.when(text.rlike(pattern), F.lit(role)).otherwise(marker)
     size = lambda n: F.least(F.lit(12), F.floor(F.log2(n + 1))).cast("string")
     return {
         "marker": marker,
-        "opening": (turn == 0).cast("string"),
+        "opening": ((turn == 0) & (part == 0)).cast("string"),
         "chars": size(F.length(text)),
         "lines": size(F.size(F.split(text, "\n"))),
         "question": text.rlike(r"\?\s*$").cast("string"),
         "address": text.rlike(r"(?i)^\s*(?:you are|act as|always|never|please|can you|how|what|why)\b").cast("string"),
         "code": text.contains("```").cast("string"),
-        "parity": F.pmod(turn, F.lit(2)).cast("string"),
+        "parity": F.pmod(turn + part, F.lit(2)).cast("string"),
     }
 
 
-def train(spark: SparkSession, rows: DataFrame) -> dict:
-    """Log-probabilities of starts, steps and symbols from rows (key, turn, role, symbols...) whose role is known."""
-    known = rows.where(F.col("role").isin(*ROLES))
+def train(rows: DataFrame, folds: int) -> list[dict]:
+    """For each fold the log-probabilities of starts, steps and symbols from the conversations of all other folds.
+
+    rows: (key, fold, turn, part, parts, role, symbols...); steps of known role whose text is one part teach.
+    """
+    known = rows.where(F.col("role").isin(*ROLES) & (F.col("parts") == 1))
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("feature"), F.col(s).alias("value")) for s in SYMBOLS])).alias("x")
-    seen = known.select("role", pairs).groupBy("role", "x.feature", "x.value").count().collect()  # roles by symbols: a small table
-    one = known.groupBy("key", "turn").agg(F.min("role").alias("role"))
+    seen = known.select("fold", "role", pairs).groupBy("fold", "role", "x.feature", "x.value").count().collect()  # folds by roles by symbols: a small table
+    one = known.groupBy("key", "fold", "turn").agg(F.min("role").alias("role"))
     ahead = one.select("key", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
-    steps = one.join(ahead, ["key", "turn"], "left").groupBy("before", "role").count().collect()
+    steps = one.join(ahead, ["key", "turn"], "left").groupBy("fold", "before", "role").count().collect()
+    return [fitted([r for r in seen if r.fold != f], [r for r in steps if r.fold != f]) for f in range(folds)]
+
+
+def fitted(seen, steps) -> dict:
+    """The model of counts of symbols (role, feature, value, count) and of steps (before, role, count)."""
     at = {r: i for i, r in enumerate(ROLES)}
     move = np.full((len(ROLES) + 1, len(ROLES)), 0.1)
     for r in steps:
         move[at[r.before] if r.before else len(ROLES), at[r.role]] += r["count"]
     log = np.log(move / move.sum(1, keepdims=True))
     emit = {s: {} for s in SYMBOLS}
-    total = np.zeros(len(ROLES))
     for r in seen:
         emit[r.feature].setdefault(r.value, np.full(len(ROLES), 0.5))[at[r.role]] += r["count"]
     for s, values in emit.items():
@@ -71,18 +82,18 @@ def train(spark: SparkSession, rows: DataFrame) -> dict:
 
 
 def _emissions(model):
-    """(key, turn, symbols...) to (key, turn, one log-probability for each role)."""
+    """(key, fold, turn, part, symbols...) to (key, fold, turn, part, one log-probability for each role)."""
 
     def run(batches):
-        emit = model.value["emit"]
         for batch in batches:
             score = np.zeros((batch.num_rows, len(ROLES)))
+            fold = batch.column(1).to_pylist()
             for i, s in enumerate(SYMBOLS):
-                look, other = emit[s], emit[s][None]
                 if batch.num_rows:
-                    score += np.stack([look.get(v, other) for v in batch.column(i + 2).to_pylist()])
+                    looks = [m["emit"][s] for m in model.value]
+                    score += np.stack([looks[f].get(v, looks[f][None]) for f, v in zip(fold, batch.column(i + 4).to_pylist())])
             columns = [pa.array(score[:, j].copy()) for j in range(len(ROLES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "turn", *ROLES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["key", "fold", "turn", "part", *ROLES])
 
     return run
 
@@ -100,15 +111,13 @@ def _matrix(t: pa.Table, first: int) -> np.ndarray:
 
 
 def _through(model):
-    """Sorted (key, chunk, turn, scores) to (key, chunk, best scores from the state before to the last state, row by row)."""
+    """Sorted (key, chunk, fold, turn, part, scores) to (key, chunk, best scores from the state before to the last state, row by row)."""
 
     def run(batches):
-        move = model.value["move"]
         for t in _groups(batches, 2):
-            e = _matrix(t, 3)
-            best = move + e[0]  # rows: state before the chunk
-            start = model.value["start"] + e[0]
-            best = np.vstack([best, start])
+            m = model.value[t.column(2)[0].as_py()]
+            move, e = m["move"], _matrix(t, 5)
+            best = np.vstack([move + e[0], m["start"] + e[0]])  # rows: state before the chunk, then none
             for row in e[1:]:
                 best = (best[:, :, None] + move[None]).max(1) + row
             arrays = [t.column(0).slice(0, 1).combine_chunks(), t.column(1).slice(0, 1).combine_chunks(), pa.array([best.ravel().tolist()], pa.list_(pa.float64()))]
@@ -136,14 +145,15 @@ def _chain(batches):
 
 
 def _trace(model):
-    """Sorted (key, chunk, turn, scores, before, last) to (key, turn, role)."""
+    """Sorted (key, chunk, fold, turn, part, scores, before, last) to (key, turn, part, role)."""
 
     def run(batches):
-        move, start, n = model.value["move"], model.value["start"], len(ROLES)
+        n = len(ROLES)
         for t in _groups(batches, 2):
-            e = _matrix(t, 3)
-            before, last = t.column(3 + n)[0].as_py(), t.column(4 + n)[0].as_py()
-            score, back = (start if before == n else move[before]) + e[0], []
+            m, e = model.value[t.column(2)[0].as_py()], _matrix(t, 5)
+            move = m["move"]
+            before, last = t.column(5 + n)[0].as_py(), t.column(6 + n)[0].as_py()
+            score, back = (m["start"] if before == n else move[before]) + e[0], []
             for row in e[1:]:
                 paths = score[:, None] + move
                 back.append(paths.argmax(0))
@@ -151,50 +161,56 @@ def _trace(model):
             states = [last]
             for b in reversed(back):
                 states.append(int(b[states[-1]]))
-            yield pa.RecordBatch.from_arrays(
-                [t.column(0).combine_chunks(), t.column(2).combine_chunks(), pa.array([ROLES[s] for s in states[::-1]])], ["key", "turn", "recovered"]
-            )
+            roles = pa.array([ROLES[s] for s in states[::-1]])
+            yield pa.RecordBatch.from_arrays([t.column(i).combine_chunks() for i in (0, 3, 4)] + [roles], ["key", "turn", "part", "recovered"])
 
     return run
 
 
 def format_chats(
-    spark: SparkSession, turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", chunk: int = 4096, trust: bool = True
+    spark: SparkSession, turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", chunk: int = 4096, folds: int = 5, trust: bool = False
 ) -> DataFrame:
-    """(conv_id, turn, role, recovered, rendered) per row: the role of each turn and its canonical rendering.
-
-    recovered is what the model says from the text and its place alone. role is the given one where it is known
-    (lower-cased and trimmed, with trust), else the recovered one. rendered is <|role|>, the text without its speaker marker
-    and <|end|>, on lines of their own. Turns of one conversation and number are one step of the model. Null texts
-    are empty, null turns stand before all others, null conversations are one; unknown roles teach nothing; without
-    any known role all are recovered from even odds. Very long texts are one row; extra columns are ignored.
+    """(conv_id, turn, part, role, given, rendered) per part of each row: the recovered role and the canonical rendering.
+
+    A text is one part, or several where lines inside start with speaker markers. role is what the model says from
+    the text and its place; no conversation's own roles teach the model that labels it (conversations are dealt to
+    ``folds`` folds, each labelled by what the others teach). given is the role of the row, lower-cased and
+    trimmed; with trust a known one decides over the model where the text is one part. rendered is <|role|>, the text without
+    its speaker marker, and <|end|>, on lines of their own. Turns of one conversation and number are one step of the
+    model. Null texts are empty, null turns stand before all others, null conversations are one, apart from all others;
+    unknown roles teach nothing; without any known role all are recovered from even odds and markers. Very long texts are one row; extra
+    columns are ignored; empty tables give no rows.
     """
     role = F.lower(F.trim(F.col(role_col)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(-1))
-    key = F.coalesce(F.col(conv_col).cast("string"), F.lit(""))
-    marks = symbols(F.col("text"), F.col("turn"))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("given_turn"), key.alias("key"), turn.alias("turn"), role.alias("role"), text.alias("text"))
-    marked = rows.select("key", "turn", "role", *[c.alias(n) for n, c in marks.items()])
+    turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 62)))
+    key = F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit(""))
+    fold = F.pmod(F.crc32(key), F.lit(folds)).cast("int")
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("given_turn"), key.alias("key"), fold.alias("fold"), turn.alias("turn"), role.alias("given"), F.split(text, _NEXT).alias("texts"))
+    rows = rows.select("conv_id", "given_turn", "key", "fold", "turn", "given", F.size("texts").alias("parts"), F.posexplode("texts").alias("part", "text"))
+    marks = symbols(F.col("text"), F.col("turn"), F.col("part"))
+    marked = rows.select("key", "fold", "turn", "part", "parts", F.col("given").alias("role"), *[c.alias(n) for n, c in marks.items()])
     marked = kept(spark, marked, "turn_symbols")
-    model = spark.sparkContext.broadcast(train(spark, marked))
+    model = spark.sparkContext.broadcast(train(marked, folds))
     scores = ", ".join(f"{r} double" for r in ROLES)
-    emitted = marked.select("key", "turn", *SYMBOLS).mapInArrow(_emissions(model), f"key string, turn long, {scores}")
-    emitted = emitted.groupBy("key", "turn").agg(*[F.sum(r).alias(r) for r in ROLES])
-    emitted = emitted.select("key", F.floor(F.col("turn") / chunk).alias("chunk"), "turn", *ROLES)
+    place = ["key", "fold", "turn", "part"]
+    emitted = marked.select(*place, *SYMBOLS).mapInArrow(_emissions(model), f"key string, fold int, turn long, part int, {scores}")
+    emitted = emitted.groupBy(*place).agg(*[F.sum(r).alias(r) for r in ROLES])
+    emitted = emitted.select("key", F.floor(F.col("turn") / chunk).alias("chunk"), "fold", "turn", "part", *ROLES)
     emitted = kept(spark, emitted, "turn_scores")
-    by_chunk = emitted.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "turn")
+    order = ["key", "chunk", "turn", "part"]
+    by_chunk = emitted.repartition("key", "chunk").sortWithinPartitions(*order)
     through = kept(spark, by_chunk.mapInArrow(_through(model), "key string, chunk long, best array<double>"), "chunk_paths")
     chained = through.repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(_chain, "key string, chunk long, before int, last int")
     chained = kept(spark, chained, "chunk_ends")
-    both = emitted.join(chained, ["key", "chunk"]).select("key", "chunk", "turn", *ROLES, "before", "last")
-    traced = both.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "turn").mapInArrow(_trace(model), "key string, turn long, recovered string")
+    both = emitted.join(chained, ["key", "chunk"]).select("key", "chunk", "fold", "turn", "part", *ROLES, "before", "last")
+    traced = both.repartition("key", "chunk").sortWithinPartitions(*order).mapInArrow(_trace(model), "key string, turn long, part int, recovered string")
     traced = kept(spark, traced, "turn_roles")
-    out = rows.join(traced, ["key", "turn"])
-    final = F.when(F.col("role").isin(*ROLES) & F.lit(trust), F.col("role")).otherwise(F.col("recovered"))
+    out = rows.join(traced, ["key", "turn", "part"])
+    final = F.when(F.col("given").isin(*ROLES) & (F.col("parts") == 1) & F.lit(trust), F.col("given")).otherwise(F.col("recovered"))
     bare = F.col("text")
     for _, pattern in MARKERS[1:]:
         bare = F.regexp_replace(bare, pattern.replace("(?i)^", "(?i)\\A"), "")
     bare = F.regexp_replace(bare, r"(?i)\A\s*(?:<\|?system\|?>|\[system\]|#+ *system *:?|system *:)", "")
     rendered = F.concat(F.lit("<|"), final, F.lit("|>\n"), F.trim(bare), F.lit("\n<|end|>"))
-    return out.select("conv_id", F.col("given_turn").alias("turn"), final.alias("role"), "recovered", rendered.alias("rendered"))
+    return out.select("conv_id", F.col("given_turn").alias("turn"), F.col("part").cast("long").alias("part"), final.alias("role"), "given", rendered.alias("rendered"))
