@@ -31,7 +31,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = html_extract.extract(spark, table(spark, sf_dir, "pages"))
-    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_words", "n_repeated", "n_dropped")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
