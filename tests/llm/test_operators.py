@@ -170,8 +170,8 @@ def test_chat_recovers_roles_across_chunks(spark):
     turns += [(99, 0, None, "User: what is this?"), (99, 1, None, "It is a long answer. " * 9), (99, 2, None, None), (None, None, "user", "x")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     one = {(r.conv_id, r.turn): r for r in chat.format_chats(spark, df).collect()}
-    two = {(r.conv_id, r.turn): r.recovered for r in chat.format_chats(spark, df, chunk=2).collect()}
-    assert {k: r.recovered for k, r in one.items()} == two and len(one) == len(turns)
+    two = {(r.conv_id, r.turn): r.role for r in chat.format_chats(spark, df, chunk=2).collect()}
+    assert {k: r.role for k, r in one.items()} == two and len(one) == len(turns)
     assert one[99, 0].role == "user" and one[99, 1].role == "assistant" and one[99, 0].rendered == "<|user|>\nwhat is this?\n<|end|>"
 
 
