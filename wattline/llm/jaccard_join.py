@@ -27,6 +27,9 @@ from .text import bounded_batches, hashed_words, hot_keys, kept, mix, ngram_hash
 #: Pairs of a band that must share so many shingles need no empty blocks as keys: the block of a shared shingle is
 #: equal with a chance of 1 / e at least, so that none of 64 is has a chance below (1 - 1 / e) ** 64 = 2e-13.
 SURE = 64
+#: From similarities of so many percent on, so many blocks are keys of sets that have more, with the same chance; below,
+#: or if asked for exactly, all are.
+CAPPED = 80
 #: Members of a key compared in one go.
 TILE = 1024
 
@@ -87,12 +90,12 @@ def _of_class(words: int):
 def block_keys(sets: list[np.ndarray], bands: np.ndarray, percent: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each set in its band, and the set each belongs to: the XOR of the shingle hashes of each block.
 
-    All blocks are keys; empty ones where needs_empty(), or with ``exact`` always. The band is the key's last seven
-    bits. Sets whose band lets only equal ones be similar have no keys.
+    With ``exact``, or below CAPPED percent, all blocks are keys, else SURE of them; empty ones where needs_empty(), or with
+    ``exact`` always. The band is the key's last seven bits. Sets whose band lets only equal ones be similar have no keys.
     """
-    some = range(int(bands.max(initial=0)) + 1)
-    apart = np.array([most_apart(b, percent) for b in some], np.int64)
-    empty = np.array([exact or needs_empty(b, percent) for b in some], bool)
+    every_band = range(int(bands.max(initial=0)) + 1)
+    apart = np.array([most_apart(b, percent) for b in every_band], np.int64)
+    empty = np.array([exact or needs_empty(b, percent) for b in every_band], bool)
     blocks = np.where(apart[bands] > 0, apart[bands] + 1, 0)
     n = np.array(list(map(len, sets)), np.int64)
     n = np.where(blocks > 0, n, 0)
@@ -100,11 +103,14 @@ def block_keys(sets: list[np.ndarray], bands: np.ndarray, percent: int, exact: b
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     of = np.repeat(np.arange(len(n)), n)
     block = ((every >> np.uint64(32)) % np.maximum(blocks[of], 1).astype(np.uint64)).astype(np.int64)
+    some = blocks if exact or percent < CAPPED else np.minimum(blocks, SURE)
+    use = block < some[of]
+    of, block, every = of[use], block[use], every[use]
     value = mix(every + bands[of].astype(np.uint64) + np.uint64(1))
-    base = np.cumsum(blocks) - blocks
-    keys = np.zeros(int(blocks.sum()), np.uint64)
+    base = np.cumsum(some) - some
+    keys = np.zeros(int(some.sum()), np.uint64)
     np.bitwise_xor.at(keys, base[of] + block, value)
-    owner = np.repeat(np.arange(len(n)), blocks)
+    owner = np.repeat(np.arange(len(n)), some)
     at = (np.arange(len(keys)) - base[owner]).astype(np.uint64)
     keys = mix(keys ^ mix(at + np.uint64(12345))) & ~np.uint64(127) | bands[owner].astype(np.uint64)
     filled = np.zeros(len(keys), bool)
@@ -348,17 +354,26 @@ def jaccard_classes(
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each group, that of the smallest id (of repeated ones any); rows without id stay, and link nothing."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_nr"))
-    rows = kept(spark, rows, "numbered")  # which fixes the numbers
-    own = rows.where(F.col("_row")[id_col].isNotNull()).select("_nr", F.col("_row")[id_col].alias("_id"), F.col("_row")[text_col].alias("_text"))
+    """docs with one row of each group, that of the smallest id; rows without id stay, and link nothing.
+
+    Rows are told apart by a 64-bit hash of id and text, so that a repeated id stands for each of its texts; of rows
+    with one id and one text (not blank) one stays.
+    """
+    key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text_col)))
+    own = docs.where(F.col(id_col).isNotNull()).select(key.alias("_nr"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     classes = jaccard_classes(spark, own, id_col="_nr", text_col="_text", **options).where("n_shingles > 0").select(F.col("doc_id").alias("_nr"), F.col("component_id").alias("_group"))
     classes = kept(spark, classes, "row_groups")
-    many = classes.groupBy("_group").agg(F.count("*").alias("n")).where("n > 1")  # rows on their own need no second look
+    again = classes.groupBy("_nr").agg(F.count("*").alias("n"), F.first("_group").alias("_group"))
+    many = again.groupBy("_group").agg(F.count("*").alias("n")).where("n > 1")  # texts on their own need no second look
     many = kept(spark, many, "large_groups")
     hot = hot_keys(spark, many, "_group")
-    grouped = salted(classes, "_group", hot, ["_nr"]).join(spread(many.select("_group"), "_group", hot), ["_group", "_salt"]).select("_nr", "_group")
-    grouped = kept(spark, grouped.join(own.select("_nr", "_id"), "_nr"), "grouped")
+    grouped = salted(again.select("_nr", "_group"), "_group", hot, ["_nr"]).join(spread(many.select("_group"), "_group", hot), ["_group", "_salt"])
+    grouped = kept(spark, grouped.select("_nr", "_group").join(own.select("_nr", "_id").distinct(), "_nr"), "grouped")
     first = grouped.groupBy("_group").agg(F.min(F.struct("_id", "_nr")).alias("_first")).select("_first._nr")
     gone = kept(spark, grouped.select("_nr").join(first, "_nr", "left_anti"), "gone")
-    return rows.join(sized(gone), "_nr", "left_anti").select("_row.*")
+    twice = kept(spark, again.where("n > 1").select("_nr"), "twice")
+    left = docs.join(sized(gone), key == gone["_nr"], "left_anti")
+    if twice.isEmpty():
+        return left
+    single = left.join(sized(twice), key == twice["_nr"], "left_semi").withColumn("_nr", key).dropDuplicates(["_nr"]).select(*docs.columns)
+    return left.join(sized(twice), key == twice["_nr"], "left_anti").unionByName(single)
