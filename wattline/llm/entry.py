@@ -146,5 +146,19 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN
 """
 
 
+EMBEDDING_SQL = """
+WITH RECURSIVE vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+link AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+    WHERE list_sum(list_transform(a.x, lambda v: v * v)) > 0 AND list_sum(list_transform(b.x, lambda v: v * v)) > 0 AND list_cosine_similarity(a.x, b.x) >= 0.98
+),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM vec UNION SELECT x, b FROM reach JOIN link ON y = a),
+least_of AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM vec JOIN least_of USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE_SQL, "op5_jaccard_join": JACCARD_SQL}
+    return {"op1_decontaminate": DECONTAMINATE_SQL, "op5_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
