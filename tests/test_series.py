@@ -8,6 +8,7 @@ from wattline.functions import columns as C
 from wattline.operators import evaluate as E
 from wattline.operators import models as M
 from wattline.operators import series as S
+from wattline.plans import catalogue
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "series_id string, ts timestamp_ntz, v double"
@@ -156,6 +157,7 @@ def test_tree_queries_fit_every_horizon_in_full(spark, monkeypatch, name):
 
     real = M.fit_trees
     monkeypatch.setattr(M, "fit_trees", fit)
+    monkeypatch.setattr(catalogue, "_TREES", {})
     assert library.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
     assert asked == [(list(range(1, 25)), {})]
 

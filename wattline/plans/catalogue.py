@@ -814,20 +814,30 @@ def _train_test(spark, d, rows):
     return both.where((F.col("split") == "train") & (F.col("origin_ts") < C.plus_hours(F.col("cut_val"), -24))), both.where("split = 'test'")
 
 
+_TREES: dict = {}
+
+
+def tree_models(spark, d, train):
+    """The models of all horizons on a table's training rows, fitted once in a session."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _TREES:
+        _TREES[at] = {} if train.isEmpty() else M.fit_trees(train, range(1, 25))
+    return _TREES[at]
+
+
 @query("j4_trees")
 def _(spark, d):
     train, test = _train_test(spark, d, S.feature_table(segments(spark, d)))
-    if train.isEmpty():
+    models = tree_models(spark, d, train)
+    if not models:
         return spark.createDataFrame([], "model string, horizon long, n long, mae double, rmse double, smape double, r2 double")
-    models = M.fit_trees(train, range(1, 25))
     return E.metrics_by_horizon(M.predict_trees(models, test))
 
 
 @query("d21_mean_importance")
 def _(spark, d):
     train, _ = _train_test(spark, d, S.feature_table(segments(spark, d)))
-    models = {} if train.isEmpty() else M.fit_trees(train, range(1, 25))
-    return M.mean_importance(spark, models)
+    return M.mean_importance(spark, tree_models(spark, d, train))
 
 
 @query("j5_linear")
