@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, itq, jaccard_join, suffix_dedup, toxicity, url_filter, warc
+from . import align, bpe, chat, decontaminate, html_extract, itq, jaccard_join, lm, merkle, suffix_dedup, toxicity, url_filter, warc
 from .text import shared_folder
 
 
@@ -87,6 +87,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    done, _ = align.align(spark, table(spark, sf_dir, "documents"), *paths, groups=False)
+    return done.drop("groups")
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -99,6 +113,9 @@ def queries():
         "op8_url_filter": op8_url_filter,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
@@ -160,5 +177,42 @@ FROM vec JOIN least_of USING (vec_id) LEFT JOIN degree USING (vec_id)
 """
 
 
+#: crc32 of ASCII text, bit by bit.
+_CRC32 = """list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """Levels of the trees over nodes (g, i, h), and each first node's siblings from below to the top."""
+    return f"""
+{name} AS (SELECT g, i, h, 0 AS level, count(*) OVER (PARTITION BY g) AS n FROM ({nodes})
+    UNION ALL SELECT g, k AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, level + 1 AS level, (n + 1) // 2 AS n FROM (SELECT *, i // 2 AS k FROM {name} WHERE n > 1) GROUP BY g, k, level, n),
+{name}_path AS (SELECT f.g, f.i AS leaf, s.level, s.n, s.i AS at FROM {name} f JOIN {name} s ON s.g = f.g AND s.i = f.i >> s.level WHERE f.level = 0),
+{name}_proof AS (SELECT p.g, p.leaf, list({{'l': CASE WHEN p.at % 2 = 1 THEN coalesce(t.h, '') ELSE '' END, 'r': CASE WHEN p.at % 2 = 0 THEN coalesce(t.h, '') ELSE '' END}} ORDER BY p.level) FILTER (p.n > 1) AS proof
+    FROM {name}_path p LEFT JOIN {name} t ON t.g = p.g AND t.level = p.level AND t.i = p.at + 1 - 2 * (p.at % 2) GROUP BY p.g, p.leaf)"""
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE base AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS h,
+        CASE WHEN (4294967295 - ({_CRC32})) % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS changed FROM documents),
+leaf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM base),
+{_tree("node", "SELECT g, i, h FROM leaf")},
+sub AS MATERIALIZED (SELECT '' AS g, g AS lang, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h FROM node WHERE n = 1),
+{_tree("top", "SELECT g, i, h FROM sub")},
+proved AS (SELECT f.doc_id, f.h AS leaf, f.changed, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(d.proof, []) || coalesce(l.proof, []) AS beside
+    FROM leaf f JOIN node_proof d ON d.g = f.g AND d.leaf = f.i JOIN sub s ON s.lang = f.g JOIN top_proof l ON l.leaf = s.i),
+done AS (SELECT *, list_reduce(list_concat([{{'l': changed, 'r': ''}}], beside), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM proved)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(beside, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE_SQL, "op5_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
+    return {"op11_merkle_manifest": MERKLE_SQL, "op1_decontaminate": DECONTAMINATE_SQL, "op5_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
