@@ -18,24 +18,47 @@ from .text import kept, whole_groups
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Speaker markers at the start of a turn, and the role that each stands for.
-MARKERS = (
+MARKERS = (  # fixed values
     ("system", r"(?i)^\s*(?:<\|?system\|?>|\[system\]|#+ *system *:?|system *:)"),
-    ("user", r"(?i)^\s*(?:<\|?user\|?>|\[inst\]|#+ *(?:instruction|human|user|question)|user|human|question|q|me|customer) *:"),
-    ("assistant", r"(?i)^\s*(?:<\|?assistant\|?>|\[/inst\]|#+ *(?:response|assistant|answer)|assistant|ai|bot|chatbot|model|answer|a|agent|gpt) *:"),
+    ("user", r"(?i)^\s*(?:<\|?user\|?>|\[inst\]|#+ *(?:instruction|human|user|question)|user|human|question|customer) *:"),
+    ("assistant", r"(?i)^\s*(?:<\|?assistant\|?>|\[/inst\]|#+ *(?:response|assistant|answer)|assistant|ai|bot|chatbot|model|answer|agent|gpt) *:"),
     ("tool", r"(?i)^\s*(?:<\|?tool\|?>|#+ *(?:observation|tool)|tool|function|observation) *:"),
 )
+#: Short markers; they may as well be the letters of a list.
+WEAK = (("user", r"(?i)^\s*(?:q|me) *:"), ("assistant", r"(?i)^\s*a *:"))
+#: A line of a list: a letter or two that are no marker.
+_LISTED = r"(?im)^\s*(?!(?:q|me|a) *:)[a-z]{1,2} *:"
 SYMBOLS = ("marker", "opening", "chars", "lines", "question", "address", "code", "parity")
 #: What all markers begin with.
 LEAD = r"^\s*"
-#: Where a text goes on with another speaker: before a line that starts with a marker.
-_NEXT = r"\n\s*(?=" + "|".join(f"(?:{p.replace(LEAD, '')})" for _, p in MARKERS) + ")"
+
+
+def _next(markers) -> str:
+    return r"\n\s*(?=" + "|".join(f"(?:{p.replace(LEAD, '')})" for _, p in markers) + ")"
+
+
+def parted(text):
+    """A text's parts: it goes on with another speaker before a line that starts with a marker.
+
+    Short markers count only in a text that has those of both speakers at the start of lines, and no other letters there.
+    """
+    q, a = (text.rlike(p.replace("(?i)", "(?im)")) for _, p in WEAK)
+    return F.when(q & a & ~text.rlike(_LISTED), F.split(text, _next(MARKERS + WEAK))).otherwise(F.split(text, _next(MARKERS)))
+
+
+def marker_of(text, values: dict):
+    """Of the first marker that a text starts with: values[(role, pattern)], else values[None]."""
+    found = F.lit(values[None]) if isinstance(values[None], str) else values[None]
+    for role, pattern in reversed(WEAK):
+        found = F.when(text.rlike(pattern) & ~text.rlike(_LISTED), values[role, pattern]).otherwise(found)
+    for role, pattern in reversed(MARKERS):
+        found = F.when(text.rlike(pattern), values[role, pattern]).otherwise(found)
+    return found
 
 
 def symbols(text, turn, part):
     """The symbols of a step, one small string for each feature."""
-    marker = F.lit("none")
-    for role, pattern in reversed(MARKERS):
-        marker = F.when(text.rlike(pattern), F.lit(role)).otherwise(marker)
+    marker = marker_of(text, {(r, p): F.lit(r) for r, p in MARKERS + WEAK} | {None: "none"})
     size = lambda n: F.least(F.lit(12), F.floor(F.log2(n + 1))).cast("string")
     return {
         "marker": marker,
@@ -186,7 +209,7 @@ def format_chats(
     turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 62)))
     key = F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit(""))
     fold = F.pmod(F.crc32(key), F.lit(folds)).cast("int")
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("given_turn"), key.alias("key"), fold.alias("fold"), turn.alias("turn"), role.alias("given"), F.split(text, _NEXT).alias("texts"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("given_turn"), key.alias("key"), fold.alias("fold"), turn.alias("turn"), role.alias("given"), parted(text).alias("texts"))
     rows = rows.select("conv_id", "given_turn", "key", "fold", "turn", "given", F.size("texts").alias("parts"), F.posexplode("texts").alias("part", "text"))
     marks = symbols(F.col("text"), F.col("turn"), F.col("part"))
     marked = rows.select("key", "fold", "turn", "part", "parts", F.col("given").alias("role"), *[c.alias(n) for n, c in marks.items()])
@@ -208,9 +231,7 @@ def format_chats(
     traced = kept(spark, traced, "turn_roles")
     out = rows.join(traced, ["key", "turn", "part"])
     final = F.when(F.col("given").isin(*ROLES) & (F.col("parts") == 1) & F.lit(trust), F.col("given")).otherwise(F.col("recovered"))
-    bare = F.col("text")
-    for _, pattern in MARKERS[1:]:
-        bare = F.regexp_replace(bare, pattern.replace("(?i)^", "(?i)\\A"), "")
-    bare = F.regexp_replace(bare, r"(?i)\A\s*(?:<\|?system\|?>|\[system\]|#+ *system *:?|system *:)", "")
+    bare = F.col("text")  # without the marker that it starts with; a second one is what was said
+    bare = marker_of(bare, {(r, p): F.regexp_replace(bare, p, "") for r, p in MARKERS + WEAK} | {None: bare})
     rendered = F.concat(F.lit("<|"), final, F.lit("|>\n"), F.trim(bare), F.lit("\n<|end|>"))
     return out.select("conv_id", F.col("given_turn").alias("turn"), F.col("part").cast("long").alias("part"), final.alias("role"), "given", rendered.alias("rendered"))
