@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import bounded_batches, hashed_words, hot_keys, kept, mix, ngram_hashes, salted, sized, spread, whole_groups
+from .text import bounded_batches, hashed_words, hot_keys, kept, mix, ngram_hashes, salted, sized, spread, unused, whole_groups
 
 #: Pairs of a band that must share so many shingles need no empty blocks as keys: the block of a shared shingle is
 #: equal with a chance of 1 / e at least, so that none of 64 is has a chance below (1 - 1 / e) ** 64 = 2e-13.
@@ -32,6 +32,8 @@ SURE = 64
 CAPPED = 80
 #: Members of a key compared in one go.
 TILE = 1024
+#: Texts that one task holds against a hub's.
+MET = 5_000
 
 
 @lru_cache
@@ -190,19 +192,20 @@ def _shared(batches):
 
 
 def _verify(percent: int, words: int):
-    """Batches of (a, b, text_a, text_b) to the (a, b) whose sets are similar enough. Rows come sorted by a."""
+    """Batches of (hub, salt, side, far, text), each hub's own text (side 0) before the far ones, to the (a, b) whose sets are similar enough."""
 
     def run(batches):
-        last, left = None, None
+        left = np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            a = batch.column(0).to_pylist()
-            for i, right in enumerate(shingle_sets(batch.column(3), words)):
-                if a[i] != last:
-                    last, left = a[i], next(shingle_sets(batch.column(2).slice(i, 1), words))
+            hub, side, far = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            ok = np.zeros(batch.num_rows, bool)
+            for i, right in enumerate(shingle_sets(batch.column(4), words)):
+                if side[i] == 0:
+                    left = right
+                    continue
                 both = len(np.intersect1d(left, right, assume_unique=True))
-                ok.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                ok[i] = 100 * both >= percent * (len(left) + len(right) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hub, far)[ok]), pa.array(np.maximum(hub, far)[ok])], ["a", "b"])
 
     return run
 
@@ -309,11 +312,19 @@ def jaccard_classes(
     texts = kept(spark, own_text, "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The (a, b) of pairs of classes that link, by their whole texts; hub is the side with many pairs."""
+        """The (a, b) of pairs of classes that link, by their whole texts; hub is the side with many pairs.
+
+        A hub's text goes once to each task that compares with it, and a far side's text once for each of its hubs.
+        """
         far = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-        p = pairs.select("hub", far.alias("far")).join(texts.select(F.col("class").alias("far"), F.col("text").alias("text_far")), "far")
-        p = p.join(texts.select(F.col("class").alias("hub"), F.col("text").alias("text_hub")), "hub")
-        return p.select("hub", "far", "text_hub", "text_far").mapInArrow(_verify(percent, words), "a long, b long").distinct()
+        p = pairs.select("hub", far.alias("far"))
+        per_hub = kept(spark, p.groupBy("hub").agg(F.count("*").alias("n")), "per_hub")
+        busy = hot_keys(spark, per_hub, "hub", most=MET)
+        p = salted(p, "hub", busy, ["far"]).join(texts.withColumnsRenamed({"class": "far"}), "far").select("hub", "_salt", F.lit(1).alias("side"), "far", "text")
+        own = per_hub.join(texts.withColumnsRenamed({"class": "hub"}), "hub").select("hub", "text")
+        own = spread(own, "hub", busy).select("hub", "_salt", F.lit(0).alias("side"), F.col("hub").alias("far"), "text")
+        both = own.union(p).repartition("hub", "_salt").sortWithinPartitions("hub", "_salt", "side")
+        return both.mapInArrow(_verify(percent, words), "a long, b long").distinct()
 
     links = kept(spark, linked(pairs), "found")
     group = kept(spark, components(spark, links).withColumnsRenamed({"node": "class"}), "group")
@@ -372,8 +383,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str =
     first = grouped.groupBy("_group").agg(F.min(F.struct("_id", "_nr")).alias("_first")).select("_first._nr")
     gone = kept(spark, grouped.select("_nr").join(first, "_nr", "left_anti"), "gone")
     twice = kept(spark, again.where("n > 1").select("_nr"), "twice")
-    left = docs.join(sized(gone), key == gone["_nr"], "left_anti")
+    (nr,) = unused(docs, "_nr")
+    gone, twice = gone.withColumnRenamed("_nr", nr), twice.withColumnRenamed("_nr", nr)
+    left = docs.join(sized(gone), key == gone[nr], "left_anti")
     if twice.isEmpty():
         return left
-    single = left.join(sized(twice), key == twice["_nr"], "left_semi").withColumn("_nr", key).dropDuplicates(["_nr"]).select(*docs.columns)
-    return left.join(sized(twice), key == twice["_nr"], "left_anti").unionByName(single)
+    single = left.join(sized(twice), key == twice[nr], "left_semi").withColumn(nr, key).dropDuplicates([nr]).select(*docs.columns)
+    return left.join(sized(twice), key == twice[nr], "left_anti").unionByName(single)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import GOLDEN, bounded_batches, hashed_words, hot_keys, kept, mix, ngram_hashes, salted, sized, spread
+from .text import GOLDEN, bounded_batches, hashed_words, hot_keys, kept, mix, ngram_hashes, salted, sized, spread, unused
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -203,9 +203,10 @@ def remove_repeats(
     source = alike.join(sized(late), "stretch", "left").where("top > src or mask is not null").select("stretch", "src", F.coalesce("mask", F.lit(0)).alias("some"), "n_rows")
     source = kept(spark, source, "source")
     found = _with_each(spark, shared, source, "stretch", ["doc", "start"]).select("doc", "start", "n", "stretch", F.expr("if(doc > src, -1L, some)").alias("mask")).where("mask <> 0")
-    per_doc = found.groupBy(F.col("doc").alias("_repeat_doc")).agg(F.collect_list(F.struct("start", "n", "stretch", "mask")).alias("_repeat_found"))
+    of, spans = unused(docs, "_repeat_doc", "_repeat_found")
+    per_doc = found.groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("start", "n", "stretch", "mask")).alias(spans))
     per_doc = kept(spark, per_doc, "per_doc")
-    joined = docs.join(per_doc, docs[id_col].cast("long") == per_doc["_repeat_doc"], "left").drop("_repeat_doc")
+    joined = docs.join(per_doc, docs[id_col].cast("long") == per_doc[of], "left").drop(of)
     text_at, found_at = joined.columns.index(text_col), len(joined.columns) - 1
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("repeat_n_words", T.IntegerType()),

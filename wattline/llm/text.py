@@ -161,6 +161,16 @@ def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that df has as columns (in upper or lower case)."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
     """df with a broadcast hint if it has at most ``most`` (narrow) rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
