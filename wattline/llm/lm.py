@@ -103,14 +103,14 @@ def _counted(shards: int):
 class Shard:
     """The bits of some grams and levels."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, probes: int = PROBES):
+        self.bits, self.probes = bits, probes
         self.size = np.uint64(len(bits) * 8)
 
     @classmethod
-    def of(cls, keys: np.ndarray, times: np.ndarray) -> Shard:
+    def of(cls, keys: np.ndarray, times: np.ndarray, bits: int = BITS, probes: int = PROBES) -> Shard:
         levels = np.searchsorted(THRESHOLDS, times, "right")
-        made = cls(np.zeros(-(-int(levels.sum()) * BITS // 64) * 8 + 8, np.uint8))
+        made = cls(np.zeros(-(-int(levels.sum()) * bits // 64) * 8 + 8, np.uint8), probes)
         level = 1
         while len(keys):
             for at in made.places(keys, level):
@@ -124,7 +124,7 @@ class Shard:
         with np.errstate(over="ignore"):
             at = mix(keys + np.uint64(level) * GOLDEN)
             step = mix(at) | np.uint64(1)
-            for _ in range(PROBES):
+            for _ in range(self.probes):
                 yield at % self.size
                 at = at + step
 
@@ -144,7 +144,7 @@ class Shard:
         with np.errstate(over="ignore"):
             at = mix(keys + np.uint64(level) * GOLDEN)
             step = mix(at) | np.uint64(1)
-            for _ in range(PROBES):
+            for _ in range(self.probes):
                 place = at % self.size
                 yes = (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 here, at, step = here[yes], (at + step)[yes], step[yes]
@@ -171,20 +171,24 @@ class Filter:
         return out
 
 
-def _filled(key, rows):
+def _filled(bits: int, probes: int):
     """The packed counts of a shard to its words with their exact counts, and its filter."""
-    words, every = None, []
-    for kind in (1, 2):
-        own = rows.filter(pc.equal(rows["kind"], kind))
-        keys = np.frombuffer(b"".join(own["keys"].to_pylist()), np.uint64)
-        times = np.frombuffer(b"".join(map(zlib.decompress, own["times"].to_pylist())), "<i8")
-        every.append(_summed(keys, times))
-        if kind == 1:
-            words = every[0]
-    own = words[0] != BEGIN
-    bits = Shard.of(*[np.concatenate(x) for x in zip(*every)]).bits
-    lists = [pa.array([x[own].view(np.int64) if i == 0 else x[own]], pa.list_(pa.int64())) for i, x in enumerate(words)]
-    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary()), *lists], ["shard", "bits", "words", "times"])
+
+    def run(key, rows):
+        words, every = None, []
+        for kind in (1, 2):
+            own = rows.filter(pc.equal(rows["kind"], kind))
+            keys = np.frombuffer(b"".join(own["keys"].to_pylist()), np.uint64)
+            times = np.frombuffer(b"".join(map(zlib.decompress, own["times"].to_pylist())), "<i8")
+            every.append(_summed(keys, times))
+            if kind == 1:
+                words = every[0]
+        own = words[0] != BEGIN
+        filled = Shard.of(*[np.concatenate(x) for x in zip(*every)], bits, probes).bits
+        lists = [pa.array([x[own].view(np.int64) if i == 0 else x[own]], pa.list_(pa.int64())) for i, x in enumerate(words)]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([filled.tobytes()], pa.binary()), *lists], ["shard", "bits", "words", "times"])
+
+    return run
 
 
 def _log(history: np.ndarray, both: np.ndarray, share: np.ndarray, weight: float) -> np.ndarray:
@@ -245,30 +249,31 @@ def _scored(known, frequent, n_tokens: int, n_words: int, weight: float, ask: bo
     return run
 
 
-def _answered(name: str):
+def _answered(name: str, probes: int):
     """Questions of a shard (nr, key, ...) and its bits to the questions with their level; a shard without bits has seen nothing."""
 
     def run(rows, bits):
         keys = rows["key"].combine_chunks().to_numpy().view(np.uint64)
-        levels = Shard(np.frombuffer(bits["bits"][0].as_py(), np.uint8)).levels(keys) if bits.num_rows else np.zeros(len(keys), np.int64)
+        levels = Shard(np.frombuffer(bits["bits"][0].as_py(), np.uint8), probes).levels(keys) if bits.num_rows else np.zeros(len(keys), np.int64)
         return rows.drop_columns(["shard", "_salt"]).append_column(name, pa.array(levels, pa.int64()))
 
     return run
 
 
-def fit(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def fit(spark: SparkSession, texts: DataFrame, bits: int = BITS, probes: int = PROBES) -> tuple[DataFrame, DataFrame, int]:
     """(words, filter, shards) of a column of training texts (binary): exact counts (key, n) of its tokens, and (shard, bits) of its grams."""
     size = texts.agg(F.sum(F.octet_length(texts.columns[0])).alias("n")).first().n or 0
     shards = max(1, -(-size // SHARD))
     counts = texts.mapInArrow(_counted(shards), "shard int, kind byte, keys binary, times binary")
-    made = kept(spark, counts.groupBy("shard").applyInArrow(_filled, "shard int, bits binary, words array<long>, times array<long>"), "lm_shards")
+    made = kept(spark, counts.groupBy("shard").applyInArrow(_filled(bits, probes), "shard int, bits binary, words array<long>, times array<long>"), "lm_shards")
     words = made.select(F.explode(F.arrays_zip("words", "times")).alias("x")).select(F.col("x.words").alias("key"), F.col("x.times").alias("n"))
     return kept(spark, words, "lm_words"), made.select("shard", "bits"), shards
 
 
 def score(
-    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weight: float = 4.0, most_bytes: int = 256 << 20, most_words: int = 1_000_000
-) -> DataFrame:
+    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weight: float = 4.0, most_bytes: int = 256 << 20, most_words: int = 1_000_000,
+    bits: int = BITS, probes: int = PROBES,
+) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Rows whose crc32 of the id as text is divisible by ten are held out, the others teach. Tokens are the words between
@@ -286,7 +291,7 @@ def score(
     own = F.col(id_col)
     held = F.coalesce(F.crc32(own.cast("string")) % 10 == 0, F.lit(True))
     rows = docs.select(own.cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    words, filter_, shards = fit(spark, rows.where("not held_out").select("text"))
+    words, filter_, shards = fit(spark, rows.where("not held_out").select("text"), bits, probes)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = max(1, total.n // most_words)
     top = words.where(F.col("n") >= least).toPandas()  # at most most_words rows
@@ -295,7 +300,7 @@ def score(
     size = filter_.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first().n
     known, ask = None, size > most_bytes
     if not ask:
-        known = spark.sparkContext.broadcast(Filter({r.shard: Shard(np.frombuffer(r.bits, np.uint8)) for r in filter_.toLocalIterator()}, shards))
+        known = spark.sparkContext.broadcast(Filter({r.shard: Shard(np.frombuffer(r.bits, np.uint8), probes) for r in filter_.toLocalIterator()}, shards))
     schema = "nr long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, before array<long>, words array<long>"
     done = kept(spark, rows.mapInArrow(_scored(known, frequent, total.n, total.v, weight, ask), schema), "lm_scored")
 
@@ -305,7 +310,7 @@ def score(
     out = done.join(rare, "nr", "left")
     score_ = F.col("score")
     if ask:
-        out = out.drop("score").join(_asked(spark, done, filter_, shards, total.n, total.v, weight), "nr")
+        out = out.drop("score").join(_asked(spark, done, filter_, shards, total.n, total.v, weight, probes), "nr")
     zero = F.lit(0)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", zero)).alias("n_known"), F.lit(total.n).cast("long").alias("train_tokens"),
@@ -313,7 +318,7 @@ def score(
     )
 
 
-def _asked(spark: SparkSession, done: DataFrame, filter_: DataFrame, shards: int, n_tokens: int, n_words: int, weight: float) -> DataFrame:
+def _asked(spark: SparkSession, done: DataFrame, filter_: DataFrame, shards: int, n_tokens: int, n_words: int, weight: float, probes: int) -> DataFrame:
     """(nr, score) by questions dealt out to the filter's shards: the levels of each bigram's history, word and both."""
 
     @F.arrow_udf("long")
@@ -339,5 +344,5 @@ def _asked(spark: SparkSession, done: DataFrame, filter_: DataFrame, shards: int
         schema = ", ".join(f"{c} {t}" for c, t in rows.drop("shard").dtypes) + f", {name} long"
         dealt, sent = salted(rows, "shard", hot, ["nr", "key"]), spread(filter_, "shard", hot)
         dealt = dealt.select("shard", "_salt", *[c for c in rows.columns if c != "shard"])
-        rows = dealt.groupBy("shard", "_salt").cogroup(sent.groupBy("shard", "_salt")).applyInArrow(_answered(name), schema).drop("key")
+        rows = dealt.groupBy("shard", "_salt").cogroup(sent.groupBy("shard", "_salt")).applyInArrow(_answered(name, probes), schema).drop("key")
     return rows.groupBy("nr").agg(F.sum(F.col("times") * log("top", "both", "level")).alias("score"))
