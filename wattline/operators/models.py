@@ -1,63 +1,21 @@
-"""Fitted forecasters: boosted trees per horizon (MLlib), ridge regression by Gram matrices, rolling re-training with any fitter."""
+"""Fitted forecasters: ridge regression by Gram matrices, rolling re-training of it, of boosted trees and of any fitter."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import plus_hours
+from .boosting import fit_boosters, predict_boosters
 
 FEATURES = ["hour", "dow", "is_weekend", *[f"lag_{k}h" for k in (1, 2, 3, 6, 12, 24, 48, 72, 96, 120, 144, 168)], "roll_mean_24h", "roll_std_24h", "roll_mean_168h"]
 
 
-def fit_trees(
-    train: DataFrame, horizons, features=FEATURES, trees: int = 300, rate: float = 0.05, depth: int = 6, rows: float = 0.8, cols: str = "0.8", seed: int = 42, task_rows: int = 50_000, at_once: int = 8
-):
-    """{horizon: model}: one boosted model for each horizon, on feature_table() rows.
-
-    The features are kept once for all horizons, in partitions of about ``task_rows`` rows (a tree is many short jobs,
-    so small tables want few tasks); ``at_once`` horizons are fitted side by side.
-    """
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(train).select("features", "y").persist()
-    many = max(1, -(-data.count() // task_rows))
-    data, wide = data.repartition(many).persist(), data
-    data.count()
-    wide.unpersist()
-
-    def fit(h):
-        gbt = GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, subsamplingRate=rows, featureSubsetStrategy=cols, seed=seed, labelCol="target")
-        return h, gbt.fit(data.select("features", F.element_at("y", h).alias("target")))
-
-    with ThreadPool(at_once) as pool:
-        models = dict(pool.map(fit, list(horizons), chunksize=1))
-    data.unpersist()
-    return models
-
-
-def predict_trees(models: dict, rows: DataFrame, features=FEATURES) -> DataFrame:
-    """Long predictions of all horizons' models, from one pass over the rows."""
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-    for h, model in models.items():
-        data = model.setPredictionCol(f"_h{h}").transform(data)
-    each = F.array(*[F.struct(F.lit(h).cast("long").alias("horizon"), F.element_at("y", h).alias("y"), F.col(f"_h{h}").alias("y_hat")) for h in models])
-    return data.select("series_id", "origin_ts", F.lit("trees").alias("model"), F.explode(each).alias("x")).select("series_id", "origin_ts", "model", "x.*")
-
-
-def mean_importance(spark: SparkSession, models: dict, features=FEATURES) -> DataFrame:
-    """Importance of each feature, averaged over the models of all horizons."""
-    rows = [(f, h, float(v)) for h, m in models.items() for f, v in zip(features, m.featureImportances.toArray())]
-    long = spark.createDataFrame(rows, "feature string, horizon int, value double")
-    return long.groupBy("feature").agg(F.avg("value").alias("value")).orderBy(F.desc("value"), "feature")
-
-
 #: Cells of a Gram matrix that travel as one array.
 SLICE = 512
 
@@ -186,11 +144,27 @@ def rolling_fit_predict(rows: DataFrame, blocks: DataFrame, fitter: Callable[[Da
     return out
 
 
-def trees_fitter(horizons=range(1, 25), **settings) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
+def rolling_trees(spark: SparkSession, rows: DataFrame, blocks: DataFrame, horizons=range(1, 25), features=FEATURES, embargo_hours: int = 24, **settings) -> DataFrame:
+    """Boosted trees re-trained before each block on all earlier rows of all series, and their predictions of the block's rows.
+
+    rows are of feature_table(), blocks as for rolling_fit_predict(), anchored over all series. All blocks' models grow
+    in one fit, in which a row counts for the blocks that begin after it: no loop over blocks, no copies of rows. Blocks
+    without earlier rows give nothing.
+    """
+    cut = plus_hours(F.col("block_start"), -embargo_hours)
+    cuts = sorted(r.cut for r in blocks.select(cut.alias("cut")).distinct().collect())  # one for each week
+    todo = rows.join(blocks.select("series_id", "origin_ts", "block", cut.alias("cut")), ["series_id", "origin_ts"])
+    fitted = fit_boosters(spark, rows.where(F.col("origin_ts") < F.lit(cuts[-1]).cast("timestamp_ntz")), horizons, features, cuts, **settings) if cuts else None
+    if fitted is None:
+        return spark.createDataFrame([], "series_id string, origin_ts timestamp_ntz, model string, horizon long, y double, y_hat double")
+    return predict_boosters(spark, fitted, todo, "cut")
+
+
+def boosters_fitter(spark: SparkSession, horizons=range(1, 25), features=FEATURES, **settings) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
     """A fitter of boosted trees for rolling_fit_predict(), over feature_table() rows."""
 
     def fit(train: DataFrame):
-        models = fit_trees(train, horizons, **settings)
-        return lambda rows: predict_trees(models, rows)
+        fitted = fit_boosters(spark, train, horizons, features, **settings)
+        return lambda rows: predict_boosters(spark, fitted, rows)
 
     return fit

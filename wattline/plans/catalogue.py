@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import boosting as B
 from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators import profile as P
@@ -143,9 +141,7 @@ def minutes(spark, d, key="event_type"):
 
 def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written to the shared place and read again, as the steps of a series job pass on their tables."""
-    path = scratch(spark)
-    T.write_table(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return T.keep(spark, df)[0]
 
 
 def hourly(spark, d):
@@ -172,24 +168,12 @@ def predictions(spark, d):
     return E.predict_baselines(windowed(spark, d))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder for what a query writes and reads again, in the shared place."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/wattline-{uuid.uuid4().hex}"
-
-
-
 # --- A: sources and sinks
 
 
 @query("a1_read_readings")
 def _(spark, d):
-    path = scratch(spark)
+    path = T.scratch(spark)
     rows = minutes(spark, d).select(F.date_format("ts", "d/M/yyyy").alias("Date"), F.date_format("ts", "H:mm:ss").alias("Time"), F.when(F.col("v") > 1, F.col("v")).alias("v"), "series_id")
     rows.select("Date", "Time", "v").write.csv(path, sep=";", header=True, nullValue="?")
     return T.parse_ts(T.read_readings(spark, path, ["v"])).select("ts", "v")
@@ -211,21 +195,21 @@ def _(spark, d):
 
 @query("a4_write_table", "SELECT series_id, count(*) AS n FROM readings GROUP BY 1")
 def _(spark, d):
-    path = scratch(spark)
+    path = T.scratch(spark)
     T.write_table(minutes(spark, d).withColumn("day", F.to_date("ts")), path, ["day"])
     return T.read_table(spark, path).groupBy("series_id").agg(F.count("*").alias("n"))
 
 
 @query("a5_report", "SELECT series_id, segment_id, length_hours, n_windows FROM stats")
 def _(spark, d):
-    path = scratch(spark)
+    path = T.scratch(spark)
     T.write_report(S.segment_stats(segments(spark, d)).select("series_id", "segment_id", "length_hours", "n_windows"), path)
     return T.read_report(spark, path, "series_id string, segment_id long, length_hours long, n_windows long")
 
 
 @query("a6_prediction_store", "SELECT model AS run_id, count(*) AS n FROM pred WHERE model <> 'seasonal_naive' GROUP BY 1")
 def _(spark, d):
-    path, pred = scratch(spark), predictions(spark, d)
+    path, pred = T.scratch(spark), predictions(spark, d)
     for run in ("persistence", "same_hour_mean"):
         T.save_predictions(pred.where(F.col("model") == run), path, run, "test")
     T.save_predictions(pred.where("model = 'seasonal_naive'"), path, "seasonal_naive", "val")
@@ -234,7 +218,7 @@ def _(spark, d):
 
 @query("a7_run_summary", "SELECT model, n FROM pooled")
 def _(spark, d):
-    path = scratch(spark)
+    path = T.scratch(spark)
     T.append_run_summary(E.metrics_pooled(predictions(spark, d)), path)
     return spark.read.schema("model string, n long").json(path)
 
@@ -814,30 +798,25 @@ def _train_test(spark, d, rows):
     return both.where((F.col("split") == "train") & (F.col("origin_ts") < C.plus_hours(F.col("cut_val"), -24))), both.where("split = 'test'")
 
 
-_TREES: dict = {}
-
-
-def tree_models(spark, d, train):
-    """The models of all horizons on a table's training rows, fitted once in a session."""
-    at = spark.sparkContext.applicationId, d
-    if at not in _TREES:
-        _TREES[at] = {} if train.isEmpty() else M.fit_trees(train, range(1, 25))
-    return _TREES[at]
+_NO_SCORES = "n long, mae double, rmse double, smape double, r2 double"
 
 
 @query("j4_trees")
 def _(spark, d):
     train, test = _train_test(spark, d, S.feature_table(segments(spark, d)))
-    models = tree_models(spark, d, train)
-    if not models:
-        return spark.createDataFrame([], "model string, horizon long, n long, mae double, rmse double, smape double, r2 double")
-    return E.metrics_by_horizon(M.predict_trees(models, test))
+    fitted = B.fit_boosters(spark, train, range(1, 25), M.FEATURES)
+    if fitted is None:
+        return spark.createDataFrame([], f"model string, horizon long, {_NO_SCORES}")
+    return E.metrics_by_horizon(B.predict_boosters(spark, fitted, test))
 
 
 @query("d21_mean_importance")
 def _(spark, d):
     train, _ = _train_test(spark, d, S.feature_table(segments(spark, d)))
-    return M.mean_importance(spark, tree_models(spark, d, train))
+    fitted = B.fit_boosters(spark, train, range(1, 25), M.FEATURES)
+    if fitted is None:
+        return spark.createDataFrame([], "feature string, value double")
+    return B.mean_importance(spark, fitted)
 
 
 @query("j5_linear")
@@ -848,23 +827,26 @@ def _(spark, d):
     return E.metrics_pooled(rows)
 
 
+def _by_split(done: DataFrame, s: DataFrame) -> DataFrame:
+    """Pooled scores of val and of test."""
+    return E.metrics_pooled(done.join(s.select("series_id", "origin_ts", "split"), ["series_id", "origin_ts"]), ("model", "split"))
+
+
 @query("j6_rolling")
 def _(spark, d):
-    s = split(spark, d).where("split = 'test'")
-    done = M.rolling_linear(windowed(spark, d), E.rolling_blocks(s), ridge=10.0)
-    rows = done.withColumn("model", F.lit("linear")).select("model", F.posexplode(F.arrays_zip("y", "y_hat")).alias("h", "v"))
-    return E.metrics_pooled(rows.select("model", (F.col("h") + 1).alias("horizon"), "v.y", "v.y_hat"))
+    seg = segments(spark, d)
+    s = kept(spark, E.time_split(S.window_origins(seg)).where("split <> 'train'"))
+    done = M.rolling_linear(S.windows(seg), E.rolling_blocks(s, anchor=("series_id",)), ridge=10.0)
+    rows = done.withColumn("model", F.lit("linear")).select("series_id", "origin_ts", "model", F.posexplode(F.arrays_zip("y", "y_hat")).alias("h", "v"))
+    return _by_split(rows.select("series_id", "origin_ts", "model", "v.y", "v.y_hat"), s)
 
 
 @query("j6_rolling_trees")
 def _(spark, d):
-    """All horizons, re-trained for each week; few trees, as each week of each horizon is a fit of its own."""
-    rows = S.feature_table(segments(spark, d))
-    s = split(spark, d).where("split = 'test'")
-    done = M.rolling_fit_predict(kept(spark, rows), E.rolling_blocks(s, anchor=()), M.trees_fitter(trees=10))
-    if done is None:
-        return spark.createDataFrame([], "model string, n long, mae double, rmse double, smape double, r2 double")
-    return E.metrics_pooled(done)
+    """All horizons, re-trained for each week of val and test with all trees."""
+    seg = segments(spark, d)
+    s = kept(spark, E.time_split(S.window_origins(seg)).where("split <> 'train'"))
+    return _by_split(M.rolling_trees(spark, kept(spark, S.feature_table(seg)), E.rolling_blocks(s, anchor=())), s)
 
 
 def queries():

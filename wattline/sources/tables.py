@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,3 +71,27 @@ def readings(events: DataFrame, key: str) -> DataFrame:
     minute = F.date_trunc("MINUTE", "ts").cast("timestamp_ntz")
     rows = events.select(F.col(key).cast("string").alias("series_id"), minute.alias("ts"), F.col("value"))
     return rows.groupBy("series_id", "ts").agg(F.avg("value").alias("v"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for what a job writes and reads again, in the place that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/wattline-{uuid.uuid4().hex}"
+
+
+def keep(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the shared place and read again, and where."""
+    path = scratch(spark)
+    write_table(df, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that keep() has written, when nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
