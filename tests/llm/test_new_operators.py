@@ -187,7 +187,7 @@ def test_bloom_filter_errs_rarely_and_never_low():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 1 << 63, 40_000).astype(np.uint64))
     times = rng.zipf(1.6, len(keys)).clip(1, 10**6)
-    shard = lm.Shard.of(keys, times)
+    shard = lm.Filter.of(keys, times)
     level = np.searchsorted(lm.THRESHOLDS, times, "right")
     found = shard.levels(keys)
     assert (found >= level).all() and (found == level).mean() > 0.98

@@ -59,6 +59,12 @@ def histories(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return before
 
 
+def _joined(slices):
+    """Slices of tokens() as one."""
+    starts = np.cumsum([0, *[b[-1] for *_, b in slices]])
+    return slices[0][0], np.concatenate([w for _, w, _ in slices]), np.concatenate([b[:-1] + s for (*_, b), s in zip(slices, starts)] + [starts[-1:]])
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -100,75 +106,63 @@ def _counted(shards: int):
     return run
 
 
-class Shard:
-    """The bits of some grams and levels."""
+class Filter:
+    """The bits of the grams and levels of some shards, one shard after the other."""
 
-    def __init__(self, bits: np.ndarray, probes: int = PROBES):
-        self.bits, self.probes = bits, probes
-        self.size = np.uint64(len(bits) * 8)
+    def __init__(self, bits: list[np.ndarray], probes: int = PROBES):
+        sizes = [len(b) for b in bits]
+        self.bits = np.concatenate([*bits, np.zeros(1, np.uint8)])  # the last byte stands in for shards without any
+        self.base = np.append(0, np.cumsum(sizes))[: len(sizes)].astype(np.uint64) * np.uint64(8)
+        self.size = np.array(sizes, np.uint64) * np.uint64(8)
+        self.probes = probes
 
     @classmethod
-    def of(cls, keys: np.ndarray, times: np.ndarray, bits: int = BITS, probes: int = PROBES) -> Shard:
+    def of(cls, keys: np.ndarray, times: np.ndarray, bits: int = BITS, probes: int = PROBES) -> Filter:
+        """A shard's filter from its grams and their counts."""
         levels = np.searchsorted(THRESHOLDS, times, "right")
-        made = cls(np.zeros(-(-int(levels.sum()) * bits // 64) * 8 + 8, np.uint8), probes)
+        made = cls([np.zeros(-(-int(levels.sum()) * bits // 64) * 8 + 8, np.uint8)], probes)
         level = 1
         while len(keys):
-            for at in made.places(keys, level):
-                np.bitwise_or.at(made.bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7), dtype=np.uint64).astype(np.uint8))
+            at, step = _probe(keys, level)
+            with np.errstate(over="ignore"):
+                for _ in range(probes):
+                    place = at % made.size[0]
+                    np.bitwise_or.at(made.bits, (place >> np.uint64(3)).astype(np.int64), np.left_shift(1, place & np.uint64(7), dtype=np.uint64).astype(np.uint8))
+                    at = at + step
             keys, levels = keys[levels > level], levels[levels > level]
             level += 1
         return made
 
-    def places(self, keys: np.ndarray, level: int):
-        """One after the other the bits of these keys at a level."""
-        with np.errstate(over="ignore"):
-            at = mix(keys + np.uint64(level) * GOLDEN)
-            step = mix(at) | np.uint64(1)
-            for _ in range(self.probes):
-                yield at % self.size
-                at = at + step
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Of each gram the level below the first one that is absent."""
         found = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
+        own = shard_of(keys, len(self.size))
+        live = np.flatnonzero(self.size[own])
+        size, base, keys = self.size[own[live]], self.base[own[live]], keys[live]
         level = 1
         while len(live):
-            asked = self._present(keys[live], level)
-            live = live[asked]
+            yes = self._present(keys, level, size, base)
+            live, keys, size, base = live[yes], keys[yes], size[yes], base[yes]
             found[live] = level
             level += 1
         return found
 
-    def _present(self, keys: np.ndarray, level: int) -> np.ndarray:
+    def _present(self, keys, level: int, size, base) -> np.ndarray:
         here = np.arange(len(keys))
+        at, step = _probe(keys, level)
         with np.errstate(over="ignore"):
-            at = mix(keys + np.uint64(level) * GOLDEN)
-            step = mix(at) | np.uint64(1)
             for _ in range(self.probes):
-                place = at % self.size
-                yes = (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                here, at, step = here[yes], (at + step)[yes], step[yes]
-        out = np.zeros(len(keys), bool)
-        out[here] = True
-        return out
+                place = at % size + base
+                yes = np.flatnonzero(self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                here, at, step, size, base = here[yes], (at + step)[yes], step[yes], size[yes], base[yes]
+        return here
 
 
-class Filter:
-    """All shards in one piece, for those that have it whole."""
-
-    def __init__(self, shards: dict[int, Shard], many: int):
-        self.shards, self.many = shards, many
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        own = shard_of(keys, self.many)
-        order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(self.many + 1))
-        for i, shard in self.shards.items():
-            at = order[cut[i] : cut[i + 1]]
-            if len(at):
-                out[at] = shard.levels(keys[at])
-        return out
+def _probe(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first bit of each key at a level is looked for, and how far apart the others are."""
+    with np.errstate(over="ignore"):
+        at = mix(keys + np.uint64(level) * GOLDEN)
+        return at, mix(at) | np.uint64(1)
 
 
 def _filled(bits: int, probes: int):
@@ -184,7 +178,7 @@ def _filled(bits: int, probes: int):
             if kind == 1:
                 words = every[0]
         own = words[0] != BEGIN
-        filled = Shard.of(*[np.concatenate(x) for x in zip(*every)], bits, probes).bits
+        filled = Filter.of(*[np.concatenate(x) for x in zip(*every)], bits, probes).bits[:-1]
         lists = [pa.array([x[own].view(np.int64) if i == 0 else x[own]], pa.list_(pa.int64())) for i, x in enumerate(words)]
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([filled.tobytes()], pa.binary()), *lists], ["shard", "bits", "words", "times"])
 
@@ -212,7 +206,8 @@ def _scored(known, frequent, n_tokens: int, n_words: int, weight: float, ask: bo
         filter_, (keys, times) = (None if ask else known.value), frequent.value
         for batch in batches:
             docs, held = batch.column(0), batch.column(1)
-            for lo, words, bounds in tokens(batch.column(2)):
+            slices = list(tokens(batch.column(2)))
+            for lo, words, bounds in [_joined(slices)] if slices else []:
                 many = len(bounds) - 1
                 row = np.repeat(np.arange(many), np.diff(bounds))
                 before = histories(words, bounds)
@@ -254,7 +249,7 @@ def _answered(name: str, probes: int):
 
     def run(rows, bits):
         keys = rows["key"].combine_chunks().to_numpy().view(np.uint64)
-        levels = Shard(np.frombuffer(bits["bits"][0].as_py(), np.uint8), probes).levels(keys) if bits.num_rows else np.zeros(len(keys), np.int64)
+        levels = Filter([np.frombuffer(bits["bits"][0].as_py(), np.uint8)], probes).levels(keys) if bits.num_rows else np.zeros(len(keys), np.int64)
         return rows.drop_columns(["shard", "_salt"]).append_column(name, pa.array(levels, pa.int64()))
 
     return run
@@ -300,7 +295,8 @@ def score(
     size = filter_.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first().n
     known, ask = None, size > most_bytes
     if not ask:
-        known = spark.sparkContext.broadcast(Filter({r.shard: Shard(np.frombuffer(r.bits, np.uint8), probes) for r in filter_.toLocalIterator()}, shards))
+        parts = {r.shard: np.frombuffer(r.bits, np.uint8) for r in filter_.toLocalIterator()}
+        known = spark.sparkContext.broadcast(Filter([parts.pop(i, np.zeros(0, np.uint8)) for i in range(shards)], probes))
     schema = "nr long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, before array<long>, words array<long>"
     done = kept(spark, rows.mapInArrow(_scored(known, frequent, total.n, total.v, weight, ask), schema), "lm_scored")
 
