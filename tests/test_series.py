@@ -88,7 +88,7 @@ def test_halo_gives_the_same_lags(spark):
 
 
 def test_baselines(spark):
-    pred = E.predict_baselines(S.windows(S.assign_segments(hours(spark, [(0, 192)]))))
+    pred = E.predict_baselines(S.assign_segments(hours(spark, [(0, 192)])))
     got = {(r.model, r.horizon): (r.y, r.y_hat) for r in pred.collect()}
     assert got["persistence", 24] == (191.0, 167.0)
     assert got["seasonal_naive", 1] == (168.0, 144.0)
@@ -111,23 +111,6 @@ def test_patchify_and_pack(spark):
     assert sorted(r.horizon for r in C.unpack_horizons(packed, ["k"]).collect()) == [1, 2, 3]
 
 
-def test_calendar_of_the_published_segments(spark):
-    segments = [("2006-12-16 18", 3174), ("2007-04-30 15", 18585), ("2009-06-15 08", 5070), ("2010-01-14 20", 1543), ("2010-03-21 14", 3583), ("2010-08-22 22", 797), ("2010-09-28 20", 1417)]
-    rows = []
-    for start, n in segments:
-        at = datetime.strptime(start, "%Y-%m-%d %H")
-        rows += [("a", at + timedelta(hours=i), 1.0) for i in range(n)]
-    seg = S.assign_segments(spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, kw double"))
-    stats = S.segment_stats(seg).orderBy("segment_id").collect()
-    assert [r.n_windows for r in stats] == [2983, 18394, 4879, 1352, 3392, 606, 1226]
-    split = E.time_split(S.window_origins(seg)).cache()
-    first = split.first()
-    assert (first.cut_val, first.cut_test) == (datetime(2009, 8, 28), datetime(2010, 4, 10))
-    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 22978, "val": 4929, "test": 4925}
-    plan = lambda part, anchor: E.rolling_blocks(split.where(F.col("split") == part), anchor=anchor).select(*anchor, "block").distinct().count()
-    assert plan("val", ("series_id",)) == 33 and plan("test", ("series_id",)) == 31
-
-
 def test_rolling_linear_equals_refits(spark):
     import numpy as np
 
@@ -147,21 +130,6 @@ def test_rolling_linear_equals_refits(spark):
             assert np.allclose(r.y_hat, got[r.origin_ts])
 
 
-@pytest.mark.parametrize("name", ["j4_trees", "d21_mean_importance"])
-def test_tree_queries_fit_every_horizon_in_full(spark, monkeypatch, name):
-    asked = []
-
-    def fit(train, horizons, **settings):
-        asked.append((list(horizons), settings))
-        return real(train, (1,), trees=1, depth=1)
-
-    real = M.fit_trees
-    monkeypatch.setattr(M, "fit_trees", fit)
-    monkeypatch.setattr(catalogue, "_TREES", {})
-    assert library.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
-    assert asked == [(list(range(1, 25)), {})]
-
-
 def test_rolling_query_retrains_each_week(spark, monkeypatch):
     seen = []
     real = M.rolling_linear
@@ -247,5 +215,5 @@ def test_rolling_trees_see_only_what_is_before_the_block(spark):
     starts = sorted(r.block_start for r in blocks.select("block_start").distinct().collect())
     assert len(starts) == 2 and [s[0] for s in seen] == [b - timedelta(hours=25) for b in starts]
     assert got.count() == evals.count() and got.select("block").distinct().count() == 2
-    done = M.rolling_fit_predict(rows, blocks.where("block = 1"), M.trees_fitter(horizons=(1, 24), trees=2, depth=2))
+    done = M.rolling_fit_predict(rows, blocks.where("block = 1"), M.boosters_fitter(spark, horizons=(1, 24), trees=2, depth=2))
     assert {r.horizon for r in done.select("horizon").distinct().collect()} == {1, 24} and done.where("y_hat is null").isEmpty()

@@ -161,6 +161,8 @@ def _descended(x, row, model, gradient, grown: _Tree, depth: int):
 def _slots(hist: np.ndarray, depth: int, tree: int, horizon: np.ndarray, s: Settings, grown: _Tree, scale: float) -> None:
     """Adds the level's splits from the histograms (models * nodes of the level, ...) to the trees."""
     used = np.flatnonzero(hist[:, 0, :, 1].sum(1))
+    if not len(used):
+        return
     model, place = used >> depth, used & ((1 << depth) - 1)
     allowed = _columns(s, tree, horizon, hist.shape[1])[model]
     grown.add(model, place + (1 << depth) - 1, _splits(hist[used], allowed, s), scale)

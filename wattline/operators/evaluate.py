@@ -2,40 +2,46 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import block_no, floor_day, hours_between, minutes_between, plus_hours, smape_term, trunc
-from .series import neighbour, running_sum
+from .series import by_series, neighbour, running_sum, with_halo
 
-# --- stateless forecasters over windows(): arrays of the next hours
+# --- stateless forecasters: what is forecast for an hour depends on that hour alone, but for persistence
 
 
-def persistence(hist: Column, ahead: int = 24) -> Column:
-    return F.array_repeat(F.element_at(hist, -1), ahead)
+def seasonal_naive(w, season: int = 24) -> Column:
+    return F.lag("kw", season).over(w)
 
 
-def seasonal_naive(hist: Column, ahead: int = 24, season: int = 24) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda k: F.element_at(hist, (k - season - 1).cast("int")))
+def same_hour_mean(w, days: int = 7) -> Column:
+    return reduce(lambda a, b: a + b, [F.lag("kw", 24 * j).over(w) for j in range(1, days + 1)]) / days
 
 
-def same_hour_mean(hist: Column, ahead: int = 24, days: int = 7) -> Column:
-    def mean(k):
-        return reduce(lambda a, b: a + b, [F.element_at(hist, (k - 24 * j - 1).cast("int")) for j in range(1, days + 1)]) / days
+BASELINES = ("persistence", "seasonal_naive", "same_hour_mean")
 
-    return F.transform(F.sequence(F.lit(1), F.lit(ahead)), mean)
 
+def predict_baselines(segmented: DataFrame, models: tuple[str, ...] = BASELINES, back: int = 168, ahead: int = 24, unit: str = "MONTH") -> DataFrame:
+    """(series_id, segment_id, origin_ts, model, horizon, y, y_hat) of all origins with ``back`` hours up to them and ``ahead`` after.
 
-BASELINES = {"persistence": persistence, "seasonal_naive": seasonal_naive, "same_hour_mean": same_hour_mean}
-
-
-def predict_baselines(windowed: DataFrame, models=tuple(BASELINES)) -> DataFrame:
-    """(series_id, segment_id, origin_ts, model, horizon, y, y_hat): arrays until here, long rows for the scores."""
-    both = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), BASELINES[m](F.col("hist")).alias("p")) for m in models])).alias("x")
-    rows = windowed.select("series_id", "segment_id", "origin_ts", "y", both).select("series_id", "segment_id", "origin_ts", "x.model", F.posexplode(F.arrays_zip("y", "x.p")).alias("h", "v"))
-    return rows.select("series_id", "segment_id", "origin_ts", "model", (F.col("h") + 1).cast("long").alias("horizon"), F.col("v.y").alias("y"), F.col("v.p").alias("y_hat"))
+    The forecasts for an hour are worked out once, at that hour; an origin then has those of its next hours from the
+    same window, and its own value for persistence. Long segments are chunks with a halo; rows grow with horizons only
+    here, below the aggregates of the scores.
+    """
+    w = by_series("segment_id", "chunk")
+    at = {"seasonal_naive": seasonal_naive(w), "same_hour_mean": same_hour_mean(w)}
+    rows = with_halo(segmented, unit, back, ahead).select("own", "series_id", "segment_id", "chunk", "ts", "kw", F.count("*").over(w.rowsBetween(1 - back, 0)).alias("_n"), *[at[m].alias(m) for m in models if m in at])
+    hour = F.struct(F.col("kw").alias("y"), *[m for m in models if m in at])
+    rows = rows.select("own", "series_id", "segment_id", F.col("ts").alias("origin_ts"), F.col("kw").alias("persistence"), "_n", F.collect_list(hour).over(w.rowsBetween(1, ahead)).alias("x"))
+    rows = rows.where(F.col("own") & (F.col("_n") == back) & (F.size("x") == ahead))
+    rows = rows.select("series_id", "segment_id", "origin_ts", "persistence", F.posexplode("x").alias("h", "x"))
+    every = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col("x")[m] if m in at else F.col(m)).alias("y_hat")) for m in models])).alias("m")
+    rows = rows.select("series_id", "segment_id", "origin_ts", (F.col("h") + 1).cast("long").alias("horizon"), F.col("x.y").alias("y"), every)
+    return rows.select("series_id", "segment_id", "origin_ts", "m.model", "horizon", "y", "m.y_hat")
 
 
 # --- splits
@@ -91,19 +97,42 @@ def block_plan(blocks: DataFrame, stats: DataFrame, back: int = 168) -> DataFram
     return rows.withColumn("skip", F.col("history") < back).withColumn("val_size", tail.cast("long")).drop("start")
 
 
-def train_before_block(rows: DataFrame, starts: DataFrame, embargo_hours: int = 24) -> DataFrame:
-    """Training counts per block: origins before its start, less the embargo. starts has a row for each (series_id, block)."""
-    b = starts.select("series_id", "block", "block_start")
-    return rows.join(b, "series_id").where(F.col("origin_ts") < plus_hours(F.col("block_start"), -embargo_hours))
+def train_states(rows: DataFrame, starts: DataFrame, cols: tuple[str, ...] = (), embargo_hours: int = 24) -> DataFrame:
+    """(series_id, block, n_train, {col}_mean, {col}_std): of the rows that may teach each block, those with origin_ts before its start less the embargo.
+
+    starts has a row for each (series_id, block). A row is counted once, in the first block that it teaches, by the
+    number of cut-offs before it; sums of deviations from the series' mean are prefix-merged over the blocks of a series
+    (one row for each week), so no row is copied for a block. Nulls are left out of a column's figures.
+    """
+    nothing = F.lit(None)
+    own = ["series_id", "origin_ts"]
+    by_time = Window.partitionBy("series_id").orderBy("block_start", "block")  # one row for each block of a series
+    plan = starts.select("series_id", "block", "block_start").withColumn("place", F.row_number().over(by_time))
+    each = rows.select("series_id", F.col("origin_ts").alias("ts"), F.lit(0).alias("cut"), *[F.col(c).cast("double").alias(c) for c in cols])
+    cuts = plan.select("series_id", plus_hours(F.col("block_start"), -embargo_hours).alias("ts"), F.lit(1).alias("cut"), *[nothing.cast("double").alias(c) for c in cols])
+    placed = running_sum(each.union(cuts), F.col("cut"), "passed", unit="MONTH", then="-cut").where("cut = 0")  # at one time the cut comes first
+    middle = rows.groupBy("series_id").agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_{c}") for c in cols])
+    off = lambda c: F.col(c) - F.col(f"_{c}")
+    sums = placed.join(middle, "series_id").groupBy("series_id", (F.col("passed") + 1).alias("place"), *[f"_{c}" for c in cols]).agg(
+        F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in cols for k, f in (("n", F.count), ("s", lambda c: F.sum(off(c))), ("q", lambda c: F.sum(off(c) * off(c))))]
+    )
+    upto = Window.partitionBy("series_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = ["n", *[f"{c}_{k}" for c in cols for k in "nsq"]]
+    both = plan.join(sums, ["series_id", "place"], "left").join(middle.select("series_id", *[F.col(f"_{c}").alias(f"{c}_m") for c in cols]), "series_id", "left")
+    both = both.select("series_id", "block", *[f"{c}_m" for c in cols], *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in names])
+    spread = lambda c: F.col(f"{c}_q") - F.try_divide(F.col(f"{c}_s") * F.col(f"{c}_s"), F.col(f"{c}_n"))
+    figures = [x for c in cols for x in (
+        (F.col(f"{c}_m") + F.try_divide(f"{c}_s", f"{c}_n")).alias(f"{c}_mean"),
+        F.when(F.col(f"{c}_n") > 1, F.sqrt(F.greatest(F.lit(0.0), spread(c)) / (F.col(f"{c}_n") - 1))).alias(f"{c}_std"),
+    )]
+    return both.select("series_id", F.col("block").cast("long").alias("block"), F.col("n").cast("long").alias("n_train"), *figures)
 
 
-def train_counts(rows: DataFrame, starts: DataFrame, embargo_hours: int = 24) -> DataFrame:
-    """(series_id, block, n_train): how many rows train_before_block() gives each block, by running counts instead of copies."""
-    nothing = F.lit(None).cast("long")
-    each = rows.select("series_id", F.col("origin_ts").alias("ts"), F.lit(1).alias("n"), nothing.alias("block"))
-    cuts = starts.select("series_id", plus_hours(F.col("block_start"), -embargo_hours).alias("ts"), F.lit(0).alias("n"), F.col("block").cast("long").alias("block"))
-    upto = running_sum(each.union(cuts), F.col("n"), "n_train", unit="MONTH", then="n")  # at one time the cut comes first
-    return upto.where("block is not null").select("series_id", "block", F.col("n_train").cast("long").alias("n_train"))
+def apply_states(rows: DataFrame, states: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """rows (series_id, block, ...) with each of cols scaled by what could teach its block; null where that tells nothing."""
+    scaled = {c: F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std")) for c in cols}
+    both = rows.join(states.select("series_id", "block", *[f"{c}_{k}" for c in cols for k in ("mean", "std")]), ["series_id", "block"], "left")
+    return both.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in rows.columns])
 
 
 def check_alignment(pred: DataFrame, origins: DataFrame, ahead: int = 24, hourly: DataFrame | None = None) -> DataFrame:
@@ -129,11 +158,34 @@ def check_alignment(pred: DataFrame, origins: DataFrame, ahead: int = 24, hourly
 # --- joins
 
 
+#: Hours of the smallest cell, how much larger each next size is, and how many cells of its size an interval may touch.
+CELL, GROWTH, TOUCHED = 6, 16, 17
+
+
+def _cell(ts: Column, level: Column) -> Column:
+    hours = F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+    return F.floor(hours / (CELL * F.pow(F.lit(GROWTH), level))).cast("long")
+
+
 def assign_interval(df: DataFrame, intervals: DataFrame, name: str = "segment_id") -> DataFrame:
-    """The interval (start, end, both inside) that each row's ts is in; intervals are few per series and keyed by it."""
-    i = intervals.select(F.col("series_id").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"), name)
-    on = (F.col("series_id") == F.col("_s")) & F.col("ts").between(F.col("_a"), F.col("_b"))
-    return df.join(i, on, "left").drop("_s", "_a", "_b")
+    """df with the interval (series_id, start, end, name; both ends inside) that each row's ts is in: a row for each if there are several, null if there is none.
+
+    Intervals are cut into cells of time, of a size that grows with their length, so that each touches few; rows and
+    intervals meet by series, size and cell and are then held against the ends. So a series may have any number of
+    intervals, as long as few overlap. Intervals without start, end or length are never met.
+    """
+    good = intervals.where(F.col("start") <= F.col("end")).select(F.col("series_id").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.col(name).alias("_i"))
+    steps = (F.timestamp_diff("HOUR", F.col("_a"), F.col("_b")) + 1) / (CELL * (TOUCHED - 1))
+    level = reduce(lambda a, b: a + b, [(steps > GROWTH**k).cast("int") for k in range(6)])
+    good = good.withColumn("_level", level)
+    cells = good.withColumn("_cell", F.explode(F.sequence(_cell(F.col("_a"), F.col("_level")), _cell(F.col("_b"), F.col("_level")))))
+    levels = sorted(r["_level"] for r in good.select("_level").distinct().collect())  # a handful: sizes grow by GROWTH
+    keys = df.select(F.col("series_id").alias("_k"), F.col("ts").alias("_t")).where("_t is not null").distinct()
+    asked = keys.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", _cell(F.col("_t"), F.col("_level")))
+    on = (F.col("_k") == F.col("_s")) & (asked["_level"] == cells["_level"]) & (asked["_cell"] == cells["_cell"]) & F.col("_t").between(F.col("_a"), F.col("_b"))
+    met = asked.join(cells, on).select("_k", "_t", "_i")
+    both = df.join(met, (F.col("series_id") == F.col("_k")) & (F.col("ts") == F.col("_t")), "left")
+    return both.select(*df.columns, F.col("_i").alias(name))
 
 
 def attach_truth(pred: DataFrame, hourly: DataFrame) -> DataFrame:
@@ -266,6 +318,12 @@ def leaderboard(metrics: DataFrame, digits: int = 4) -> DataFrame:
     return metrics.select("model", "n", *[F.round(c, digits).alias(c) for c in cols]).orderBy("mae", "model")
 
 
+def date_range(df: DataFrame, start: datetime, end: datetime, col: str = "ts") -> DataFrame:
+    """The rows of start <= col <= end, as bounds that a Parquet scan skips row groups by; an end at midnight has of its day that instant alone."""
+    bound = lambda t: F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(df.schema[col].dataType)
+    return df.where((F.col(col) >= bound(start)) & (F.col(col) <= bound(end)))
+
+
 def fit_scaler(train: DataFrame, cols: list[str]) -> DataFrame:
     """One row of means and sample deviations of the training rows."""
     return train.agg(*[F.avg(c).alias(f"{c}_mean") for c in cols], *[F.stddev_samp(c).alias(f"{c}_std") for c in cols])

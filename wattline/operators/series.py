@@ -39,10 +39,10 @@ def neighbour(df: DataFrame, cols: dict[str, str], ahead: bool = True, order: st
 
 
 def running_sum(df: DataFrame, value: Column, name: str, order: str = "ts", unit: str | int = "DAY", keys: tuple[str, ...] = ("series_id",), then: str | None = None) -> DataFrame:
-    """df with the sum of value up to each row: sums inside chunks, and before them the sums of all earlier chunks. ``then`` orders ties."""
+    """df with the sum of value up to each row: sums inside chunks, and before them the sums of all earlier chunks. ``then`` orders ties, with a minus downwards."""
     rows, inner = _chunked(df.withColumn("_value", value), order, unit, keys)
     upto = Window.unboundedPreceding, Window.currentRow
-    ordering = [order, *([then] if then else [])]
+    ordering = [order, *([F.col(then[1:]).desc() if then.startswith("-") else then] if then else [])]
     own = rows.withColumn("_own", F.sum("_value").over(Window.partitionBy(*inner).orderBy(*ordering).rowsBetween(*upto)))
     sums = rows.groupBy(*inner).agg(F.sum("_value").alias("_all"))
     before = F.coalesce(F.sum("_all").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

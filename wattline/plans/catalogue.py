@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,7 +167,7 @@ def split(spark, d):
 
 
 def predictions(spark, d):
-    return E.predict_baselines(windowed(spark, d))
+    return E.predict_baselines(segments(spark, d))
 
 
 # --- A: sources and sinks
@@ -252,8 +254,8 @@ def _(spark, d):
 @query("b5_date_range", "SELECT event_id, ts FROM events WHERE ts BETWEEN (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY FROM events) AND (SELECT date_trunc('day', min(ts)) + INTERVAL 4 DAY FROM events)")
 def _(spark, d):
     e = table(spark, d, "events")
-    lo = e.agg(C.floor_day(F.min("ts")).alias("lo"))
-    return e.crossJoin(F.broadcast(lo)).where(F.col("ts").between(C.plus_hours(F.col("lo"), 24), C.plus_hours(F.col("lo"), 96))).select("event_id", "ts")
+    lo = e.agg(C.floor_day(F.min("ts")).alias("lo")).first().lo
+    return e.limit(0).select("event_id", "ts") if lo is None else E.date_range(e, lo + timedelta(hours=24), lo + timedelta(hours=96)).select("event_id", "ts")
 
 
 # --- C: joins
@@ -273,7 +275,7 @@ def _(spark, d):
 @query("c3_attach_truth", "SELECT model, count(*) AS n, count(y) AS matched FROM pred GROUP BY 1")
 def _(spark, d):
     h = hourly(spark, d)
-    rows = E.attach_truth(E.predict_baselines(S.windows(S.assign_segments(h))), h)
+    rows = E.attach_truth(E.predict_baselines(kept(spark, S.assign_segments(h))), h)
     return rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("y")).alias("matched"))
 
 
@@ -282,12 +284,42 @@ def _(spark, d):
     return E.restrict_to(predictions(spark, d), split(spark, d).where("split <> 'train'")).groupBy("model").agg(F.count("*").alias("n"))
 
 
-@query("c5_train_before_block", """SELECT b.series_id, b.block, count(o.origin_ts) AS n_train FROM (SELECT DISTINCT series_id, block, block_start FROM dayblocks) b
-    LEFT JOIN origins o ON o.series_id = b.series_id AND o.origin_ts < b.block_start - INTERVAL 24 HOUR GROUP BY 1, 2""")
+_TAUGHT = "FROM (SELECT DISTINCT series_id, block, block_start FROM blocks) b LEFT JOIN origins o ON o.series_id = b.series_id AND o.origin_ts < b.block_start - INTERVAL 24 HOUR"
+
+
+def week_starts(s: DataFrame) -> DataFrame:
+    return E.rolling_blocks(s.where("split <> 'train'")).select("series_id", "block", "block_start").distinct()
+
+
+@query("c5_train_before_block", f"SELECT b.series_id, b.block, count(o.origin_ts) AS n_train {_TAUGHT} GROUP BY 1, 2")
 def _(spark, d):
     s = split(spark, d)
-    b = E.rolling_blocks(s.where("split <> 'train'"), hours=24).select("series_id", "block", "block_start").distinct()
-    return E.train_counts(s, b)
+    return E.train_states(s, week_starts(s))
+
+
+@query("c5_block_scaler", f"""SELECT b.series_id, b.block, count(o.origin_ts) AS n_train, avg(h.kw) AS kw_mean, stddev_samp(h.kw) AS kw_std {_TAUGHT}
+    LEFT JOIN segs h ON h.series_id = o.series_id AND h.ts = o.origin_ts GROUP BY 1, 2""")
+def _(spark, d):
+    rows, s = _with_load(spark, d)
+    return E.train_states(rows, week_starts(s), ("kw",))
+
+
+@query("h6_scaled_blocks", f"""SELECT r.series_id, r.origin_ts, r.block, (h.kw - t.m) / nullif(t.s, 0) AS kw FROM blocks r JOIN segs h ON h.series_id = r.series_id AND h.ts = r.origin_ts
+    JOIN (SELECT b.series_id, b.block, avg(h.kw) AS m, stddev_samp(h.kw) AS s {_TAUGHT} LEFT JOIN segs h ON h.series_id = o.series_id AND h.ts = o.origin_ts GROUP BY 1, 2) t
+    ON t.series_id = r.series_id AND t.block = r.block""")
+def _(spark, d):
+    rows, s = _with_load(spark, d)
+    states = E.train_states(rows, week_starts(s), ("kw",))
+    blocks = E.rolling_blocks(s.where("split <> 'train'")).select("series_id", "origin_ts", "block")
+    return E.apply_states(rows.join(blocks, ["series_id", "origin_ts"]).select("series_id", "origin_ts", "block", "kw"), states, ("kw",))
+
+
+def _with_load(spark, d):
+    """The origins with their own hour's load, and their split."""
+    seg = segments(spark, d)
+    s = kept(spark, E.time_split(S.window_origins(seg)))
+    rows = s.select("series_id", "origin_ts").join(seg.select("series_id", F.col("ts").alias("origin_ts"), "kw"), ["series_id", "origin_ts"])
+    return kept(spark, rows), s
 
 
 @query("c6_delta_vs", f"SELECT p.model, p.mae, p.mae - b.mae AS delta_mae FROM pooled p, pooled b WHERE b.model = 'persistence'")
@@ -779,17 +811,17 @@ def _(spark, d):
 
 @query("j1_persistence", "SELECT series_id, origin_ts, horizon, persistence AS y_hat FROM truth")
 def _(spark, d):
-    return plain(E.predict_baselines(windowed(spark, d), ("persistence",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+    return plain(E.predict_baselines(segments(spark, d), ("persistence",)).select("series_id", "origin_ts", "horizon", "y_hat"))
 
 
 @query("j2_seasonal_naive", "SELECT series_id, origin_ts, horizon, seasonal_naive AS y_hat FROM truth")
 def _(spark, d):
-    return plain(E.predict_baselines(windowed(spark, d), ("seasonal_naive",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+    return plain(E.predict_baselines(segments(spark, d), ("seasonal_naive",)).select("series_id", "origin_ts", "horizon", "y_hat"))
 
 
 @query("j3_same_hour_mean", "SELECT series_id, origin_ts, horizon, same_hour_mean AS y_hat FROM truth")
 def _(spark, d):
-    return plain(E.predict_baselines(windowed(spark, d), ("same_hour_mean",)).select("series_id", "origin_ts", "horizon", "y_hat"))
+    return plain(E.predict_baselines(segments(spark, d), ("same_hour_mean",)).select("series_id", "origin_ts", "horizon", "y_hat"))
 
 
 def _train_test(spark, d, rows):
