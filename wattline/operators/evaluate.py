@@ -188,21 +188,32 @@ def assign_interval(df: DataFrame, intervals: DataFrame, name: str = "segment_id
     return both.select(*df.columns, F.col("_i").alias(name))
 
 
-def attach_truth(pred: DataFrame, hourly: DataFrame) -> DataFrame:
-    truth = hourly.select("series_id", F.col("ts").alias("target_ts"), F.col("kw").alias("truth"))
-    return pred.withColumn("target_ts", plus_hours(F.col("origin_ts"), F.col("horizon"))).join(truth, ["series_id", "target_ts"], "left")
+def attach_truth(pred: DataFrame, hourly: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """pred with target_ts and the load there (truth); keys are what both tables are laid out by."""
+    truth = hourly.select(*keys, F.col("ts").alias("target_ts"), F.col("kw").alias("truth"))
+    return pred.withColumn("target_ts", plus_hours(F.col("origin_ts"), F.col("horizon"))).join(truth, [*keys, "target_ts"], "left")
 
 
-def restrict_to(pred: DataFrame, origins: DataFrame) -> DataFrame:
-    return pred.join(origins.select("series_id", "origin_ts"), ["series_id", "origin_ts"], "left_semi")
+def restrict_to(pred: DataFrame, origins: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    return pred.join(origins.select(*keys, "origin_ts"), [*keys, "origin_ts"], "left_semi")
 
 
-def common_origins(pred: DataFrame, n_models: int) -> DataFrame:
+def common_origins(pred: DataFrame, n_models: int, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """Origins that all models predict: one aggregation for any number of models."""
-    rows = pred.groupBy("series_id", "origin_ts").agg(F.count_distinct("model").alias("n"))
+    rows = pred.groupBy(*keys, "origin_ts").agg(F.count_distinct("model").alias("n"))
     return rows.where(F.col("n") == n_models).drop("n")
 
 
+def laid_out(pred: DataFrame, hourly: DataFrame, origins: DataFrame, unit: str = "MONTH", ahead: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three with ``chunk``, the unit of time of an origin; hours are in the chunk of every origin that looks ahead at them.
+
+    Written with write_bucketed() by (series_id, chunk), attach_truth, restrict_to and common_origins with these keys
+    need no exchange, and a long series is many buckets.
+    """
+    chunk = trunc(unit, "origin_ts").alias("chunk")
+    return pred.select("*", chunk), with_halo(hourly, unit, 0, ahead).drop("own"), origins.select("series_id", "origin_ts", chunk)
+
+
 def assemble_results(*parts: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """The rows of all parts, and of anchors (results from elsewhere), with ``place``: the order of the parts; missing columns are NULL."""
     every = [*parts, *([] if anchors is None else [anchors])]

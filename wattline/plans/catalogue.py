@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators import profile as P
 from ..operators import series as S
+from ..operators import sketches as K
 from ..sources import tables as T
 
 #: Parts of the SQL twins, in order; each may use those before it.
@@ -218,6 +219,43 @@ def _(spark, d):
     return T.load_predictions(spark, path, "test").groupBy("run_id").agg(F.count("*").alias("n"))
 
 
+LAYOUT = ("series_id", "chunk")
+
+
+def stored_layout(spark, d, buckets: int = 8):
+    """Predictions, hours and evaluated origins as bucketed tables."""
+    seg = segments(spark, d)
+    evals = kept(spark, E.time_split(S.window_origins(seg)).where("split <> 'train'"))
+    names = []
+    for what, df, order in zip(("pred", "hours", "origins"), E.laid_out(E.predict_baselines(seg), seg, evals), (("origin_ts",), ("ts",), ("origin_ts",))):
+        path = T.scratch(spark)
+        names.append(f"{what}_{path[-32:]}")
+        T.write_bucketed(df, names[-1], path, buckets, LAYOUT, order)
+    return T.read_bucketed(spark, *names)
+
+
+@query("a6_bucketed_layout", """SELECT p.model, count(*) AS n, count(p.y) AS matched FROM pred p JOIN evals e ON p.series_id = e.series_id AND p.origin_ts = e.origin_ts
+    WHERE hour(p.origin_ts) < 20 GROUP BY 1""")
+def _(spark, d):
+    pred, hours, evals = stored_layout(spark, d)
+    pred = pred.where((F.col("model") != "persistence") | (F.hour("origin_ts") < 20))
+    rows = E.restrict_to(E.restrict_to(pred, evals, LAYOUT), E.common_origins(pred, 3, LAYOUT), LAYOUT)
+    rows = E.attach_truth(rows, hours, LAYOUT)
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("y")).alias("matched"))
+
+
+@query("a1_quarantine", """SELECT 'readings' AS kind, count(*) AS n, sum(coalesce(v, 0)) AS total FROM readings WHERE minute(ts) <> 7
+    UNION ALL SELECT 'quarantine', count(*), NULL FROM readings WHERE minute(ts) = 7""")
+def _(spark, d):
+    path = T.scratch(spark)  # planted: each hour's minute 7 is a broken line, one of four kinds
+    rows = minutes(spark, d).select(F.date_format("ts", "d/M/yyyy").alias("Date"), F.date_format("ts", "H:mm:ss").alias("Time"), F.col("v").cast("string").alias("v"), F.minute("ts").alias("m"), F.hour("ts").alias("h"))
+    whole = F.concat_ws(";", "Date", "Time", "v")
+    broken = F.element_at(F.array(F.concat_ws(";", "Date", "Time"), F.concat(whole, F.lit(";9;9")), F.concat_ws(";", "Date", "Time", F.lit("abc")), F.lit("garbage")), F.col("h") % 4 + 1)
+    rows.select(F.when(F.col("m") == 7, broken).otherwise(whole).alias("Date;Time;v")).write.option("header", True).option("quote", "\u0000").csv(path, sep="\u0001")
+    good, bad = T.read_rescued(spark, path, ["v"])
+    return good.agg(F.lit("readings").alias("kind"), F.count("*").alias("n"), F.sum("v").alias("total")).union(bad.agg(F.lit("quarantine"), F.count("*"), F.lit(None).cast("double")))
+
+
 @query("a7_run_summary", "SELECT model, n FROM pooled")
 def _(spark, d):
     path = T.scratch(spark)
@@ -369,6 +407,34 @@ def _(spark, d):
     return plain(P.top_values(table(spark, d, "lineitem"), LI))
 
 
+@query("d3_frequent_values", SQL["d3_top_values"])
+def _(spark, d):
+    return plain(K.top_values(table(spark, d, "lineitem"), LI))
+
+
+@query("d2_sketched_quantiles", "SELECT series_id, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS q, count(*) AS n, true AS within FROM readings WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 2 DAY FROM readings) GROUP BY series_id")
+def _(spark, d):
+    """Quantiles of all but the first two days from stored sketches of days, and whether their true ranks are within 1.5 percent."""
+    rows, path = kept(spark, minutes(spark, d)), T.scratch(spark)
+    K.save_sketches(K.day_sketches(rows), path)
+    start = rows.agg(F.to_timestamp_ntz(F.date_add(F.min("ts"), 2)).alias("t")).first().t
+    found = kept(spark, K.sketched_quantiles(K.merged(K.load_sketches(spark, path, start))))
+    true = rows.where(F.col("ts") >= F.lit(start)).select("series_id", "v").join(F.broadcast(found), "series_id").groupBy("series_id", "q", "n").agg(
+        F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto")
+    )
+    slack = 0.015 * F.col("n") + 1
+    return true.select("series_id", "q", "n", ((F.col("below") - slack <= F.col("q") * F.col("n")) & (F.col("q") * F.col("n") <= F.col("upto") + slack)).alias("within"))
+
+
+@query("d1_sketched_distinct", "SELECT event_type AS series_id, count(user_id) AS n, min(user_id)::DOUBLE AS low, max(user_id)::DOUBLE AS high, true AS within FROM events GROUP BY 1")
+def _(spark, d):
+    e, path = table(spark, d, "events").select(F.col("event_type").alias("series_id"), "ts", "user_id"), T.scratch(spark)
+    K.save_sketches(K.day_sketches(e, "user_id"), path)
+    found = K.sketched_distinct(K.merged(K.load_sketches(spark, path)))
+    true = e.groupBy("series_id").agg(F.count_distinct("user_id").alias("d"))
+    return found.join(true, "series_id").select("series_id", "n", "low", "high", (F.abs(F.col("n_distinct") - F.col("d")) <= 0.05 * F.col("d") + 1).alias("within"))
+
+
 @query("d4_profile_time", """SELECT series_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, count(*) - count(DISTINCT ts) AS n_dup, count(*) FILTER (bad) = 0 AS increasing,
     date_diff('minute', min(ts), max(ts)) + 1 AS expected, date_diff('minute', min(ts), max(ts)) + 1 - count(DISTINCT ts) AS absent
     FROM (SELECT series_id, ts, ts <= lag(ts) OVER (PARTITION BY series_id ORDER BY event_id) AS bad FROM

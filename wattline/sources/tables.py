@@ -20,6 +20,35 @@ def read_readings(spark: SparkSession, path: str, measures: list[str], sep: str
     return spark.read.schema(readings_schema(measures)).csv(path, sep=sep, header=True, nullValue=null, enforceSchema=True)
 
 
+def read_rescued(spark: SparkSession, path: str, measures: list[str], sep: str = ";", null: str = "?") -> tuple[DataFrame, DataFrame]:
+    """Delimited text as read_readings() has it, and the lines that are none: (readings, quarantine).
+
+    Readings have file and place besides: the file, and a number that rises with the line in it. A line with too few
+    or too many fields, or with a measure that is no number, is in the quarantine as it is: (file, place, line).
+    """
+    fields = [*readings_schema(measures).fields, T.StructField("_line", T.StringType())]
+    head = sep.join(f.name for f in fields[:-1])
+    options = {"sep": sep, "nullValue": null, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}
+    # Ranges of a file are partitions, lines in order inside them; places rise with the range and the line.
+    place = F.shiftleft("_metadata.file_block_start", 24) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value").where(F.col("value") != head)
+    rows = lines.select("file", "place", "value", F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), options).alias("x"))
+    bad = F.col("x._line").isNotNull()
+    return rows.where(~bad).select(*[f"x.{f.name}" for f in fields[:-1]], "file", "place"), rows.where(bad).select("file", "place", F.col("value").alias("line"))
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, keys: tuple[str, ...] = ("series_id", "chunk"), order: tuple[str, ...] = ()) -> None:
+    """Parquet as a table of the session, rows dealt by hash of keys to so many buckets and sorted inside: tables of the same keys and buckets join without a shuffle."""
+    rows = df.repartition(buckets, *keys)  # a file for each bucket
+    rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys, *order).option("path", path).saveAsTable(table)
+
+
+def read_bucketed(spark: SparkSession, *tables: str) -> list[DataFrame]:
+    """Bucketed tables for joins and groups on their keys and any further columns; lets the session join by a part of the keys."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return [spark.read.table(t) for t in tables]
+
+
 def parse_ts(df: DataFrame, date_col: str = "Date", time_col: str = "Time", out: str = "ts") -> DataFrame:
     """One wall-clock timestamp of day-first date and time texts."""
     text = F.concat_ws(" ", date_col, time_col)
