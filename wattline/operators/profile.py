@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import kwh_per_day_of_kw, kwh_per_day_of_wh, minutes_between, trunc
+from ..sources.tables import keep
 from .series import neighbour
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -24,6 +25,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs, parts: int =
     tell which buckets hold the wanted ranks, and only their values are put in order. Keys are few (columns, years).
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts, _ = keep(df.sparkSession, counts)  # bounds, buckets and values are all of these
     bounds = counts.groupBy(*keys).agg(F.approx_percentile("_v", [i / parts for i in range(1, parts)]).alias("_bounds"))
     bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
     placed = counts.join(F.broadcast(bounds), keys).select(*keys, "_v", "_n", bucket.alias("_bucket"))  # one row of ``parts`` numbers for each key

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import minutes_between, plus_hours, plus_minutes, trunc
+from ..sources.tables import keep
 
 LAGS = (1, 2, 3, 6, 12, 24, 48, 72, 96, 120, 144, 168)
 
@@ -128,6 +129,7 @@ def resample_hourly(minute: DataFrame, points: int = 60) -> DataFrame:
     rows = minute.withColumn("ts", trunc("HOUR", "ts")).groupBy("series_id", "ts")
     rows = rows.agg(F.avg("v").alias("kw"), (F.sum("v") / 60).alias("kwh"), F.max("impute_flag").alias("impute_flag"), F.count("v").alias("n_valid_min"))
     full = F.col("n_valid_min") == points
+    rows, _ = keep(minute.sparkSession, rows)  # a sixtieth of the minutes; the spine reads them again
     return with_spine(rows).select(
         "series_id", "ts", *[F.when(full, F.col(c)).alias(c) for c in ("kw", "kwh", "impute_flag")], F.coalesce("n_valid_min", F.lit(0)).alias("n_valid_min")
     )
@@ -139,11 +141,24 @@ def resample_daily(hourly: DataFrame) -> DataFrame:
     return with_spine(rows, "DAY")
 
 
-def assign_segments(hourly: DataFrame, min_len: int | None = None) -> DataFrame:
-    """The valid hours with segment_id 1..n: maximal runs without a missing hour; runs below min_len go."""
-    valid = neighbour(hourly.where("kw is not null"), {"before": "ts"}, ahead=False, unit="MONTH")
-    new = F.when(F.col("before").isNull() | (F.timestamp_diff("HOUR", F.col("before"), F.col("ts")) > 1), 1).otherwise(0)
-    rows = running_sum(valid, new, "segment_id", unit="MONTH").drop("before")
+def assign_segments(hourly: DataFrame, min_len: int | None = None, unit: str = "MONTH") -> DataFrame:
+    """The valid hours with segment_id 1..n: maximal runs without a missing hour; runs below min_len go.
+
+    Runs are numbered inside chunks of time; one row for each chunk tells whether its first hour goes on with the chunk
+    before, and how many runs there are before it.
+    """
+    apart = lambda a, b: F.timestamp_diff("HOUR", a, b) > 1
+    rows, inner = _chunked(hourly.where("kw is not null"), "ts", unit, ("series_id",))
+    w = Window.partitionBy(*inner).orderBy("ts")
+    before = F.lag("ts").over(w)
+    own = rows.withColumn("_new", F.when(before.isNotNull() & apart(before, F.col("ts")), 1).otherwise(0)).withColumn("_own", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = own.groupBy(*inner).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.sum("_new").alias("n"))
+    along = Window.partitionBy("series_id").orderBy("_chunk")
+    last = F.lag("hi").over(along)
+    ends = ends.withColumn("_new", F.when(last.isNull() | apart(last, F.col("lo")), 1).otherwise(0))
+    upto = F.sum(F.col("_new") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.select(*inner, (upto - F.col("n")).alias("_before"))
+    rows = own.join(ends, inner).select(*hourly.columns, (F.col("_own") + F.col("_before")).alias("segment_id"))
     if min_len:
         long = rows.groupBy("series_id", "segment_id").agg(F.count("*").alias("size")).where(F.col("size") >= min_len).select("series_id", "segment_id")
         rows = rows.join(long, ["series_id", "segment_id"], "left_semi")
@@ -212,18 +227,29 @@ def rolling_daily(daily: DataFrame, days: int = 30, least: int = 15) -> DataFram
     return daily.withColumn("roll", F.when(F.count("kw").over(w) >= least, F.avg("kw").over(w)))
 
 
+def build_targets(segmented: DataFrame, back: int = 168, ahead: int = 24, unit: str = "MONTH") -> DataFrame:
+    """(series_id, segment_id, origin_ts, y): the next ``ahead`` hours of each origin, without its history."""
+    return _origins(segmented, back, ahead, unit, {}).select("series_id", "segment_id", "origin_ts", "y")
+
+
+def _origins(segmented: DataFrame, back: int, ahead: int, unit: str, more: dict[str, Column]) -> DataFrame:
+    """Origins with y and the columns ``more`` over the window of a segment's chunk."""
+    w = by_series("segment_id", "chunk")
+    rows = with_halo(segmented, unit, back, ahead).select(
+        "own", "series_id", "segment_id", F.col("ts").alias("origin_ts"), F.count("kw").over(w.rowsBetween(1 - back, 0)).alias("_n"), F.collect_list("kw").over(w.rowsBetween(1, ahead)).alias("y"),
+        *[c.alias(n) for n, c in more.items()],
+    )
+    return rows.where(F.col("own") & (F.col("_n") == back) & (F.size("y") == ahead)).drop("own", "_n")
+
+
 def feature_table(segmented: DataFrame, back: int = 168, ahead: int = 24, unit: str = "MONTH") -> DataFrame:
-    """Calendar, lag and rolling features and targets of each origin, from the arrays of windows()."""
+    """Calendar, lag and rolling features and targets of each origin, all from one window."""
     from ..functions.columns import calendar_features
 
-    at = lambda k: F.element_at("hist", -k)
-    rows = windows(segmented, back, ahead, unit)
-    rows = calendar_features(rows, "origin_ts")
-    mean = lambda n: F.aggregate(F.slice("hist", -n, n), F.lit(0.0), lambda s, v: s + v) / n
-    m24 = mean(24)
-    std = F.sqrt(F.aggregate(F.slice("hist", -24, 24), F.lit(0.0), lambda s, v: s + (v - F.col("roll_mean_24h")) * (v - F.col("roll_mean_24h"))) / 23)
-    rows = rows.withColumns({f"lag_{k}h": at(k) for k in LAGS} | {"roll_mean_24h": m24, "roll_mean_168h": mean(168)})
-    return rows.withColumn("roll_std_24h", std)
+    w = by_series("segment_id", "chunk")
+    over = lambda f, n: f("kw").over(w.rowsBetween(1 - n, 0))
+    more = {f"lag_{k}h": F.lag("kw", k - 1).over(w) for k in LAGS} | {"roll_mean_24h": over(F.avg, 24), "roll_mean_168h": over(F.avg, 168), "roll_std_24h": over(F.stddev_samp, 24)}
+    return calendar_features(_origins(segmented, back, ahead, unit, more), "origin_ts")
 
 
 def cap_per_group(df: DataFrame, keys: list[str], order: str, n: int, side: str = "first") -> DataFrame:

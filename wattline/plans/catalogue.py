@@ -15,6 +15,7 @@ from ..operators import profile as P
 from ..operators import series as S
 from ..operators import sketches as K
 from ..sources import tables as T
+from ..streaming import rollup as R
 
 #: Parts of the SQL twins, in order; each may use those before it.
 PARTS = {
@@ -50,8 +51,6 @@ PARTS = {
     "evals": "SELECT * FROM split WHERE split <> 'train'",
     "blocks": """SELECT *, min(origin_ts) OVER (PARTITION BY series_id, block) AS block_start FROM (SELECT *,
         CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id), origin_ts) / 168.0) AS BIGINT) AS block FROM evals)""",
-    "dayblocks": """SELECT *, min(origin_ts) OVER (PARTITION BY series_id, block) AS block_start FROM (SELECT *,
-        CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id), origin_ts) / 24.0) AS BIGINT) AS block FROM evals)""",
     "chunks": """SELECT series_id, origin_ts, row_number() OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS rn,
         ntile(4) OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS fold FROM split WHERE origin_ts < cut_test""",
     "placed_in_fold": """SELECT *, min(rn) OVER (PARTITION BY series_id, fold) AS n_train, least(count(*) OVER (PARTITION BY series_id, fold), 720) AS n_val,
@@ -148,17 +147,13 @@ def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def hourly(spark, d):
-    return kept(spark, S.resample_hourly(S.impute(minutes(spark, d))))
+    return S.resample_hourly(S.impute(minutes(spark, d)))
 
 
 def segments(spark, d):
     return kept(spark, S.assign_segments(hourly(spark, d)))
 
 
-def windowed(spark, d):
-    return S.windows(segments(spark, d))
-
-
 def origins(spark, d):
     return S.window_origins(segments(spark, d))
 
@@ -167,6 +162,12 @@ def split(spark, d):
     return kept(spark, E.time_split(origins(spark, d)))
 
 
+def predictions_and_split(spark, d):
+    """The baselines' predictions and the split of their origins, from one table of segments."""
+    seg = segments(spark, d)
+    return E.predict_baselines(seg), kept(spark, E.time_split(S.window_origins(seg)))
+
+
 def predictions(spark, d):
     return E.predict_baselines(segments(spark, d))
 
@@ -319,7 +320,8 @@ def _(spark, d):
 
 @query("c4_restrict_to", """SELECT p.model, count(*) AS n FROM pred p JOIN evals e ON p.series_id = e.series_id AND p.origin_ts = e.origin_ts GROUP BY 1""")
 def _(spark, d):
-    return E.restrict_to(predictions(spark, d), split(spark, d).where("split <> 'train'")).groupBy("model").agg(F.count("*").alias("n"))
+    pred, s = predictions_and_split(spark, d)
+    return E.restrict_to(pred, s.where("split <> 'train'")).groupBy("model").agg(F.count("*").alias("n"))
 
 
 _TAUGHT = "FROM (SELECT DISTINCT series_id, block, block_start FROM blocks) b LEFT JOIN origins o ON o.series_id = b.series_id AND o.origin_ts < b.block_start - INTERVAL 24 HOUR"
@@ -478,6 +480,17 @@ def _(spark, d):
     return plain(S.resample_hourly(S.impute(minutes(spark, d))))
 
 
+@query("d7_streamed_hours", "SELECT series_id, ts, kw, kwh, CAST(impute_flag AS BIGINT) AS impute_flag, n_valid_min FROM hourly WHERE n_valid_min > 0")
+def _(spark, d):
+    """The minutes of each ten days come as a file, and hours are rolled up as they come."""
+    m, source, out = kept(spark, S.impute(minutes(spark, d)).withColumn("impute_flag", F.col("impute_flag").cast("int"))), T.scratch(spark), T.scratch(spark)
+    part = F.floor((F.dayofmonth("ts") - 1) / 10)
+    for r in m.select(F.year("ts").alias("y"), F.month("ts").alias("m"), part.alias("p")).distinct().orderBy("y", "m", "p").collect():  # a row for each ten days
+        m.where((F.year("ts") == r.y) & (F.month("ts") == r.m) & (part == r.p)).coalesce(1).write.mode("append").parquet(source)
+    R.write_hours(R.hours(R.read_minutes(spark, source)), f"{out}/hours", f"{out}/checkpoint")
+    return plain(R.latest_hours(spark, f"{out}/hours"))
+
+
 @query("d8_resample_daily", f"SELECT series_id, ts, kw FROM daily")
 def _(spark, d):
     return plain(S.resample_daily(hourly(spark, d)))
@@ -571,30 +584,35 @@ _VAR = "(SELECT s.split, var_pop(y) AS variance, count(*) AS n FROM split s JOIN
 
 @query("d18_target_variance", f"SELECT v.split, v.n, v.variance AS variance, v.variance / b.variance AS ratio_to_val FROM {_VAR} v, (SELECT variance FROM {_VAR} WHERE split = 'val') b")
 def _(spark, d):
-    pred = predictions(spark, d).where("model = 'persistence'")
-    return plain(E.target_variance(pred.join(split(spark, d).select("series_id", "origin_ts", "split"), ["series_id", "origin_ts"])))
+    return plain(E.target_variance(_split_targets(spark, d)))
+
+
+def _split_targets(spark, d):
+    """Each target of each origin once, with its split."""
+    pred, s = predictions_and_split(spark, d)
+    return pred.where("model = 'persistence'").join(s.select("series_id", "origin_ts", "split"), ["series_id", "origin_ts"])
 
 
 @query("d18_variance_by_period", """SELECT s.split, CAST(floor((day(s.origin_ts) - 1) / 10.0) AS BIGINT) AS period, count(*) AS n, var_pop(y) AS variance,
     var_pop(y) / (SELECT var_pop(t.y) FROM split v JOIN truth t ON v.series_id = t.series_id AND v.origin_ts = t.origin_ts WHERE v.split = 'val') AS ratio_to_val
     FROM split s JOIN truth t ON s.series_id = t.series_id AND s.origin_ts = t.origin_ts GROUP BY 1, 2""")
 def _(spark, d):
-    pred = predictions(spark, d).where("model = 'persistence'").join(split(spark, d).select("series_id", "origin_ts", "split"), ["series_id", "origin_ts"])
-    return E.target_variance(pred, F.floor((F.dayofmonth("origin_ts") - 1) / 10).cast("long"))
+    return E.target_variance(_split_targets(spark, d), F.floor((F.dayofmonth("origin_ts") - 1) / 10).cast("long"))
 
 
 @query("d19_coverage", """SELECT series_id, segment_id, CAST(sum(n) AS BIGINT) AS origins, CAST(sum(c) AS BIGINT) AS covered, CAST(sum(n - c) AS BIGINT) AS skipped, count(*) AS blocks,
-    count(*) FILTER (c = 0) AS skipped_blocks FROM (SELECT series_id, segment_id, block, count(*) AS n, count(*) FILTER (hour(origin_ts) < 12) AS c FROM dayblocks GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+    count(*) FILTER (c = 0) AS skipped_blocks FROM (SELECT series_id, segment_id, block, count(*) AS n, count(*) FILTER (hour(origin_ts) < 12) AS c FROM blocks GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def _(spark, d):
     s = split(spark, d).where("split <> 'train'")
-    return E.coverage_report(E.rolling_blocks(s, hours=24), s.where(F.hour("origin_ts") < 12))
+    return E.coverage_report(E.rolling_blocks(s), s.where(F.hour("origin_ts") < 12))
 
 
 @query("d20_cv_summary", """SELECT model, count(*) AS folds, avg(mae) AS mean_mae, stddev_pop(mae) AS std_mae FROM (SELECT model, fold, avg(abs(y_hat - y)) AS mae
     FROM pred p JOIN folds f ON p.series_id = f.series_id AND p.origin_ts = f.origin_ts GROUP BY 1, 2) GROUP BY 1""")
 def _(spark, d):
-    folds = cv_folds(spark, d).select("series_id", "origin_ts", "fold")
-    return E.cv_summary(E.metrics_pooled(predictions(spark, d).join(folds, ["series_id", "origin_ts"]), ("model", "fold")))
+    pred, s = predictions_and_split(spark, d)
+    folds = cv_folds(s).select("series_id", "origin_ts", "fold")
+    return E.cv_summary(E.metrics_pooled(pred.join(folds, ["series_id", "origin_ts"]), ("model", "fold")))
 
 
 def _off_hourly(m: DataFrame) -> DataFrame:
@@ -708,7 +726,7 @@ def _(spark, d):
 
 @query("e11_targets", "SELECT series_id, origin_ts, horizon, y AS y FROM truth")
 def _(spark, d):
-    rows = windowed(spark, d).select("series_id", "origin_ts", F.posexplode("y").alias("h", "y"))
+    rows = S.build_targets(segments(spark, d)).select("series_id", "origin_ts", F.posexplode("y").alias("h", "y"))
     return plain(rows.select("series_id", "origin_ts", (F.col("h") + 1).cast("long").alias("horizon"), "y"))
 
 
@@ -833,14 +851,14 @@ def _(spark, d):
     return split(spark, d).select("series_id", "origin_ts", "cut_val", "cut_test", "split")
 
 
-def cv_folds(spark, d):
+def cv_folds(s: DataFrame) -> DataFrame:
     """Folds with the usual cap; the least sizes are lower than usual, as the series of these tables are short."""
-    return E.rolling_origin_folds(split(spark, d), min_train=50, min_val=20)
+    return E.rolling_origin_folds(s, min_train=50, min_val=20)
 
 
 @query("i2_cv_folds", "SELECT series_id, fold, count(*) AS n_val, min(origin_ts) AS first_val, max(n_train) AS n_train FROM folds GROUP BY 1, 2")
 def _(spark, d):
-    folds = cv_folds(spark, d)
+    folds = cv_folds(split(spark, d))
     return folds.groupBy("series_id", "fold").agg(F.count("*").alias("n_val"), F.min("origin_ts").alias("first_val"), F.max("n_train").cast("long").alias("n_train"))
 
 
@@ -852,12 +870,12 @@ def _(spark, d):
 @query("i4_block_plan", """SELECT b.series_id, b.segment_id, b.block, b.block_start, date_diff('hour', s.start, b.block_start) AS history, date_diff('hour', s.start, b.block_start) < 168 AS skip,
     CASE WHEN date_diff('hour', s.start, b.block_start) - 168 >= 24 THEN least((date_diff('hour', s.start, b.block_start) - 168) // 4, 720) ELSE 0 END AS val_size
     FROM (SELECT DISTINCT series_id, segment_id, block, min(origin_ts) OVER (PARTITION BY series_id, segment_id, block) AS block_start FROM (SELECT *,
-    CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id, segment_id), origin_ts) / 24.0) AS BIGINT) AS block FROM evals)) b
+    CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id, segment_id), origin_ts) / 168.0) AS BIGINT) AS block FROM evals)) b
     JOIN stats s ON s.series_id = b.series_id AND s.segment_id = b.segment_id""")
 def _(spark, d):
     seg = segments(spark, d)
     evals = kept(spark, E.time_split(S.window_origins(seg))).where("split <> 'train'")
-    return E.block_plan(E.rolling_blocks(evals, hours=24, anchor=("series_id", "segment_id")), S.segment_stats(seg))
+    return E.block_plan(E.rolling_blocks(evals, anchor=("series_id", "segment_id")), S.segment_stats(seg))
 
 
 @query("i5_alignment", """SELECT 'horizons' AS "check", count(*) AS n_bad FROM origins WHERE hour(origin_ts) = 7
@@ -890,9 +908,11 @@ def _(spark, d):
     return plain(E.predict_baselines(segments(spark, d), ("same_hour_mean",)).select("series_id", "origin_ts", "horizon", "y_hat"))
 
 
-def _train_test(spark, d, rows):
-    s = split(spark, d).select("series_id", "origin_ts", "split", "cut_val")
-    both = rows.join(s, ["series_id", "origin_ts"])
+def _train_test(spark, d, table_of):
+    """Training and test rows of a table of the segments' origins."""
+    seg = segments(spark, d)
+    s = kept(spark, E.time_split(S.window_origins(seg))).select("series_id", "origin_ts", "split", "cut_val")
+    both = table_of(seg).join(s, ["series_id", "origin_ts"])
     return both.where((F.col("split") == "train") & (F.col("origin_ts") < C.plus_hours(F.col("cut_val"), -24))), both.where("split = 'test'")
 
 
@@ -901,7 +921,7 @@ _NO_SCORES = "n long, mae double, rmse double, smape double, r2 double"
 
 @query("j4_trees")
 def _(spark, d):
-    train, test = _train_test(spark, d, S.feature_table(segments(spark, d)))
+    train, test = _train_test(spark, d, S.feature_table)
     fitted = B.fit_boosters(spark, train, range(1, 25), M.FEATURES)
     if fitted is None:
         return spark.createDataFrame([], f"model string, horizon long, {_NO_SCORES}")
@@ -910,7 +930,7 @@ def _(spark, d):
 
 @query("d21_mean_importance")
 def _(spark, d):
-    train, _ = _train_test(spark, d, S.feature_table(segments(spark, d)))
+    train, _ = _train_test(spark, d, S.feature_table)
     fitted = B.fit_boosters(spark, train, range(1, 25), M.FEATURES)
     if fitted is None:
         return spark.createDataFrame([], "feature string, value double")
@@ -919,7 +939,7 @@ def _(spark, d):
 
 @query("j5_linear")
 def _(spark, d):
-    train, test = _train_test(spark, d, windowed(spark, d))
+    train, test = _train_test(spark, d, S.windows)
     done = M.linear_direct(spark, train, test).withColumn("model", F.lit("linear"))
     rows = done.select("model", F.posexplode(F.arrays_zip("y", "y_hat")).alias("h", "v")).select("model", (F.col("h") + 1).alias("horizon"), "v.y", "v.y_hat")
     return E.metrics_pooled(rows)
