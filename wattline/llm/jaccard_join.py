@@ -33,7 +33,7 @@ CAPPED = 80
 #: Members of a key compared in one go.
 TILE = 1024
 #: Texts that one task holds against a hub's.
-MET = 5_000
+MET = 500
 
 
 @lru_cache
