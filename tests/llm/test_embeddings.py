@@ -35,15 +35,17 @@ def _clouds():
     return {"off_centre": off_centre, "centred": centred, "dense": dense}
 
 
+@pytest.mark.parametrize("exact", [False, True])
 @pytest.mark.parametrize("name", ["off_centre", "centred", "dense"])
-def test_links_equal_brute_force(spark, name):
+def test_links_equal_brute_force(spark, name, exact):
     x = _clouds()[name]
     labels = np.arange(len(x)) % 2 if name == "dense" else np.zeros(len(x), int)
     rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels))]
-    got = {r.vec_id: r for r in itq.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=64).collect()}
+    got = {r.vec_id: r for r in itq.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=64, exact=exact).collect()}
     n, component = _brute(x, labels)
     found = np.array([got[i].n_links for i in range(len(x))])
     assert (found <= n).all() and found.sum() >= 0.99 * n.sum() and n.sum() > 100
+    assert not exact or (found == n).all()
     if (found == n).all():
         assert [got[i].component_id for i in range(len(x))] == component.tolist()
 

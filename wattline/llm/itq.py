@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import bounded_batches, hot_keys, kept, salted, sized, spread, whole_groups
+from .text import GOLDEN, bounded_batches, hot_keys, kept, mix, salted, sized, spread, whole_groups
 
 #: Vectors of a bucket that are paired by a join; larger buckets are compared in tiles of so many inside tasks.
 TILE = 256
@@ -61,6 +61,34 @@ class Codes:
         return code, _packed(signs[:, : self.tables * self.width], self.width)
 
 
+class Slabs:
+    """Cells in which every pair at least so similar meets: no code, all certain.
+
+    Unit vectors of a cosine c are at most sqrt(2 - 2c) apart, and no farther along any direction. Along each of some
+    directions two grids of twice that width, one moved by half a cell, hold each such pair in a cell of one of them at
+    least; the tables are all choices of a grid for each direction.
+    """
+
+    within = 64
+
+    def __init__(self, x: np.ndarray, cosine: float, directions: int = 3):
+        self.mean = x.mean(0)
+        _, axes = np.linalg.eigh(np.cov(x - self.mean, rowvar=False, bias=True).reshape(x.shape[1], x.shape[1]))
+        self.axes = axes[:, ::-1][:, :directions]
+        self.width = 2 * (np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9)
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (x - self.mean) @ self.axes / self.width
+        grids = np.stack([np.floor(at), np.floor(at + 0.5)]).astype(np.int64)  # (grid, vector, direction)
+        k = at.shape[1]
+        chunks = np.zeros((len(x), 1 << k), np.uint64)
+        for table in range(1 << k):
+            for d in range(k):  # at most 2 / 1e-9 cells a direction; a hash of all of them
+                with np.errstate(over="ignore"):
+                    chunks[:, table] = mix(chunks[:, table] * GOLDEN + grids[table >> d & 1, :, d].astype(np.uint64) + np.uint64(1))
+        return np.zeros(len(x), np.uint64), chunks
+
+
 def at_bound(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
     """A unit vector at the cosine of each of x, moved half the time towards where another vector lies, else anywhere."""
     away = np.where(rng.random((len(x), 1)) < 0.5, x[rng.permutation(len(x))] - x, rng.normal(size=x.shape))
@@ -167,6 +195,7 @@ def near_duplicates(
     cosine: float = 0.98,
     sample: int = 20_000,
     tile: int = TILE,
+    exact: bool = False,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row. Rows link if their labels are equal and not null and their cosine >= ``cosine``.
 
@@ -174,7 +203,8 @@ def near_duplicates(
     another dimension than each other, and rows without id. Equal vectors of a label are one class from the start: their
     links are counted, not listed. The codes are fitted on the ``sample`` valid vectors of the smallest id hashes; every vector
     is indexed. A pair at the bound meets in no table with a chance of about 0.4 % (learn_codes), closer ones more
-    rarely. Repeated ids are rows that link like others (ids are whole numbers); empty tables give no rows; extra columns are ignored.
+    rarely; with ``exact`` cells that no such pair can miss (Slabs) stand in for the codes, at the price of larger
+    buckets. Repeated ids are rows that link like others (ids are whole numbers); empty tables give no rows; extra columns are ignored.
     """
     bounded_batches(spark)
     v = F.col("v")
@@ -194,7 +224,7 @@ def near_duplicates(
     for r in classes.groupBy("dim").count().collect():  # one model for each dimension that occurs
         some = classes.where(F.col("dim") == r.dim).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow()
         x = some.column("v").combine_chunks().flatten().to_numpy().reshape(-1, r.dim)
-        learned[r.dim] = learn_codes(x, r["count"], cosine)
+        learned[r.dim] = Slabs(x, cosine) if exact else learn_codes(x, r["count"], cosine)
     model = spark.sparkContext.broadcast(learned)  # some rotations of dim by dim numbers for each dimension
 
     @F.pandas_udf("struct<code: long, chunks: array<long>>")
