@@ -18,19 +18,17 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.selectExpr(f"stack({len(cols)}, {pairs}) as (col, value)")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs, parts: int = 100) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs) -> DataFrame:
     """(keys, n_distinct, qs): exact quantiles of each key by linear interpolation, nulls ignored, without a key's rows in one task.
 
-    Values are counted first; approximate bounds cut each key's values into ``parts`` buckets, running counts of these
-    tell which buckets hold the wanted ranks, and only their values are put in order. Keys are few (columns, years).
+    Values are counted first and dealt out by ranges of key and value; running counts of the ranges tell which hold the
+    wanted ranks, and only the values of these are counted through. Keys are few (columns, years).
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    counts, _ = keep(df.sparkSession, counts)  # bounds, buckets and values are all of these
-    bounds = counts.groupBy(*keys).agg(F.approx_percentile("_v", [i / parts for i in range(1, parts)]).alias("_bounds"))
-    bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
-    placed = counts.join(F.broadcast(bounds), keys).select(*keys, "_v", "_n", bucket.alias("_bucket"))  # one row of ``parts`` numbers for each key
+    ranged = counts.repartitionByRange(*keys, "_v").withColumn("_bucket", F.spark_partition_id())
+    placed, _ = keep(df.sparkSession, ranged)
     w = Window.partitionBy(*keys)
-    cells = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_m"), F.count("*").alias("_d"))  # at most ``parts`` rows for each key
+    cells = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_m"), F.count("*").alias("_d"))  # a row for each key and range
     cells = cells.withColumn("_upto", F.sum("_m").over(w.orderBy("_bucket"))).withColumn("_total", F.sum("_m").over(w)).withColumn("n_distinct", F.sum("_d").over(w))
     spots = F.array(*[F.lit(float(q)) * (F.col("_total") - 1) for q in qs])
     cells = cells.withColumn("_spots", spots)
