@@ -18,6 +18,15 @@ http://click-bait-news.example/you-wont-believe http://free-download-crack.examp
 http://weight-loss-miracle.example/diet-pills http://discount-meds.example/no-prescription http://bet-spin-win.example/casino http://escort-ads.example/girls http://fake-ids.example/order
 http://phish-login.example/verify-account http://malware-host.example/setup.exe http://doorway-pages.example/spam http://spam-blog.example/spam-post http://cheap-tabs.example/pharmacy
 http://porn-tube.example/video http://casino-farm.example/free-spins http://crypto-doubler.example/invest http://pills-shop.example/cheap http://auto-spam.example/farm
+http://ads.pixel-serve.example/click http://track.adnet.example/pixel.gif http://m.ad-banner.example/pop http://popunder-ads.example/redirect http://adserver.click-through.example/banner
+http://live-betting-odds.example/bet http://slots-jackpot.example/spin http://free-bingo-bonus.example/join http://roulette-online.example/vegas http://sport-bets-win.example/odds
+http://nude-webcams.example/girls http://sexy-dates.example/chat http://hardcore-tube.example/xxx http://erotic-videos.example/free http://hot-escorts.example/city
+http://generic-viagra-pharmacy.example/buy http://no-prescription-pills.example/order http://slim-fast-pills.example/diet http://steroids-cheap.example/shop http://canadian-meds-discount.example/viagra
+http://fake-rolex-watches.example/replica http://luxury-replica-bags.example/cheap http://buy-fake-passport.example/id http://counterfeit-shop.example/sale http://cheap-essay-writers.example/order
+http://instant-cash-loans.example/payday http://double-your-bitcoin.example/profit http://make-money-fast.example/join http://forex-easy-profit.example/signal http://free-gift-cards.example/claim
+http://secure-bank-login.example/verify http://account-update-verify.example/login.php http://paypa1-support.example/confirm http://free-iphone-winner.example/claim http://your-prize-waiting.example/win
+http://keygen-serial-crack.example/download http://torrent-free-movies.example/full http://cracked-software.example/setup.exe http://mp3-download-free.example/warez http://codec-update.example/install.exe
+http://buy-backlinks-cheap.example/seo http://auto-blog-spam.example/post http://link-exchange-seo.example/links http://shocking-trick.example/doctors-hate http://spam-directory.example/submit
 """.split()
 ALLOWED = """
 http://www.city-library.example/catalogue http://news.daily-post.example/world/2019 http://blog.gardening.example/roses http://en.wiki.example/wiki/History http://docs.project.example/guide
@@ -27,6 +36,15 @@ http://radio.example/programmes http://shop.books.example/novels http://static.m
 http://blog.history.example/en/960 http://open-data.example/sets http://www.orchestra.example/concerts http://kids.zoo.example/animals http://www.theatre.example/plays
 http://law.example/cases/1998 http://www.astronomy.example/planets http://gov.example/services http://blog.cooking.example/soup http://www.hiking.example/trails
 http://chess.example/openings http://language.example/grammar http://www.railway.example/timetable http://art.example/painters http://www.bakery.example/about
+http://www.city-council.example/minutes http://blog.birdwatching.example/owls http://physics.institute.example/papers/quantum http://www.daily-herald.example/politics/election http://news.valley-times.example/local
+http://docs.database.example/manual/joins http://wiki.mathematics.example/wiki/Theorem http://www.botanic-garden.example/plants http://archive.letters.example/1890 http://m.news-radio.example/morning
+http://www.high-school.example/timetable http://college.example/admissions http://forum.woodwork.example/thread/42 http://blog.photography.example/lenses http://shop.tools.example/hammers
+http://www.ministry.example/health/report http://statistics.example/population http://court.example/judgments/2004 http://www.embassy.example/visa http://tax.example/forms
+http://en.encyclopedia.example/wiki/Volcano http://dictionary.example/words http://poetry.example/sonnets http://www.film-festival.example/programme http://music.conservatory.example/lessons
+http://www.cycling-club.example/routes http://swimming.example/results/2012 http://www.rugby.example/fixtures http://blog.running.example/marathon http://www.sailing.example/races
+http://kitchen.example/recipes/pasta http://www.vineyard.example/visits http://farm.example/vegetables http://www.cheese-maker.example/cheddar http://blog.baking.example/sourdough
+http://www.airport.example/departures http://bus.example/lines/7 http://ferry.example/crossings http://www.campsite.example/map http://hotel.lakes.example/rooms
+http://astronomy.club.example/telescopes http://geology.example/rocks/granite http://www.weather-office.example/warnings http://open-source.example/releases http://lectures.example/biology/cells
 """.split()
 #: Default rules of the query: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
