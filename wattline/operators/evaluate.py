@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import block_no, floor_day, hours_between, minutes_between, plus_hours, smape_term, trunc
+from ..sources.tables import keep
 from .series import by_series, neighbour, running_sum, with_halo
 
 # --- stateless forecasters: what is forecast for an hour depends on that hour alone, but for persistence
@@ -357,8 +358,8 @@ def run_invariants(
 ) -> DataFrame:
     """(check, ok, n_bad, n, detail) of 15 invariants of the chain from readings (series_id, ts, v) to segments.
 
-    n_bad of n rows break a check. Everything is worked out anew from the readings and the table before; each table
-    gives one aggregate. Use demand() to make a job fail on any of them.
+    n_bad of n rows break a check. Everything is worked out anew from the readings and the table before; the roll-up of
+    the minutes, and the hours beside it, are written once for all checks of hours. Use demand() to make a job fail on any of them.
     """
     keys = ["series_id", "ts"]
     bad = lambda c: F.count_if(F.coalesce(c, F.lit(True)))  # noqa: E731  what can't be told is bad
@@ -385,10 +386,13 @@ def run_invariants(
         F.count_if((F.col("impute_flag") == 2) & ~F.coalesce(F.abs(F.col("v") - lo) <= 1e-6, F.lit(False))).alias("mid_fills_constant"),
         F.count_if(here & ~F.coalesce(F.col("impute_flag") == flag, F.lit(False))).alias("flags_match"), n.alias("m_n"),
     )
-    twice = minute.groupBy(*keys).agg(n.alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("minute_keys_unique"))
 
-    mine = minute.groupBy("series_id", trunc("HOUR", "ts").alias("ts")).agg(F.count("v").alias("_n"), F.avg("v").alias("_kw"), (F.sum("v") / 60).alias("_kwh"))
-    h = hourly.join(mine, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    # One roll-up of the minutes serves all checks of hours, and tells of repeated minutes; hours are joined with it once, and written.
+    own_hour = minute.groupBy("series_id", trunc("HOUR", "ts").alias("ts"))
+    mine = own_hour.agg(F.count("v").alias("_n"), F.avg("v").alias("_kw"), (F.sum("v") / 60).alias("_kwh"), (n - F.count_distinct("ts")).alias("_twice"))
+    mine, _ = keep(minute.sparkSession, mine)
+    twice = mine.agg(F.coalesce(F.sum("_twice"), F.lit(0)).alias("minute_keys_unique"))
+    h, _ = keep(minute.sparkSession, hourly.join(mine, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
     far = lambda a, b: F.col("kw").isNotNull() & ~F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1e-3, F.lit(False))
     e = F.when(F.col("kwh").isNotNull(), F.col("_kwh"))
     off = F.abs(F.sum(e) - F.sum("kwh")) > tol * F.sum(e)
@@ -398,7 +402,7 @@ def run_invariants(
     )
 
     # Lag 1, lag 24 and the mean of three hours: by place in the series, and by time.
-    by_time = hourly.select("series_id", "ts", "kw")
+    by_time = h.select("series_id", "ts", "kw")
     placed = neighbour(neighbour(by_time, {"b1": "kw"}, ahead=False, unit="MONTH"), {"b2": "b1"}, ahead=False, unit="MONTH")
     at = lambda k: by_time.select("series_id", plus_hours(F.col("ts"), k).alias("ts"), F.col("kw").alias(f"t{k}"))
     both = placed.join(at(1), keys, "left").join(at(2), keys, "left")
