@@ -81,3 +81,12 @@ def test_broken_lines_are_kept_apart_in_order(spark, tmp_path):
 
     per_file = T.parse_ts(good).select(F.col("file").alias("series_id"), "ts", "place")
     assert all(r.increasing for r in P.profile_time(per_file, "place").collect())
+
+
+def test_what_was_kept_is_deleted(spark):
+    import os
+
+    rows, path = T.keep(spark, spark.range(3))
+    local = path.removeprefix("file://")
+    assert rows.count() == 3 and os.path.isdir(local)
+    assert T.clear(spark) >= 1 and not os.path.exists(local) and T.clear(spark) == 0

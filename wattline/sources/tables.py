@@ -102,6 +102,10 @@ def readings(events: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("series_id", "ts").agg(F.avg("value").alias("v"))
 
 
+#: What each application has written to the shared place and not deleted yet.
+_written: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder for what a job writes and reads again, in the place that the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -110,7 +114,9 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/wattline-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/wattline-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def keep(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
@@ -124,3 +130,11 @@ def drop(spark: SparkSession, path: str) -> None:
     """Deletes a folder that keep() has written, when nothing reads it any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all that this application has in the shared place, and tells how many folders: for when the results of its jobs are stored."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop(spark, path)
+    return len(paths)
