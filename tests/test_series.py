@@ -217,3 +217,12 @@ def test_rolling_trees_see_only_what_is_before_the_block(spark):
     assert got.count() == evals.count() and got.select("block").distinct().count() == 2
     done = M.rolling_fit_predict(rows, blocks.where("block = 1"), M.boosters_fitter(spark, horizons=(1, 24), trees=2, depth=2))
     assert {r.horizon for r in done.select("horizon").distinct().collect()} == {1, 24} and done.where("y_hat is null").isEmpty()
+
+
+def test_rolling_days_cross_years(spark):
+    rows = [("a", datetime(2023, 11, 20) + timedelta(days=i), None if i % 5 == 0 else float(i)) for i in range(90)]
+    daily = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, kw double")
+    got = {r.ts: r.roll for r in S.rolling_daily(daily).collect()}
+    for i, (_, ts, _) in enumerate(rows):
+        last = [v for _, _, v in rows[max(0, i - 29) : i + 1] if v is not None]
+        assert got[ts] == (pytest.approx(sum(last) / len(last)) if len(last) >= 15 else None)

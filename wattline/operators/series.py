@@ -223,8 +223,10 @@ def rolling_features(segmented: DataFrame, unit: str = "MONTH") -> DataFrame:
 
 
 def rolling_daily(daily: DataFrame, days: int = 30, least: int = 15) -> DataFrame:
-    w = by_series().rowsBetween(1 - days, 0)
-    return daily.withColumn("roll", F.when(F.count("kw").over(w) >= least, F.avg("kw").over(w)))
+    """Mean of the last ``days`` daily means with at least ``least`` of them; every day of a series must be there (resample_daily). Years with a halo, so that a long series is many tasks."""
+    w = by_series("chunk").rowsBetween(1 - days, 0)
+    rows = with_halo(daily, "YEAR", 24 * (days - 1), 0).withColumn("roll", F.when(F.count("kw").over(w) >= least, F.avg("kw").over(w)))
+    return rows.where("own").drop("own", "chunk")
 
 
 def build_targets(segmented: DataFrame, back: int = 168, ahead: int = 24, unit: str = "MONTH") -> DataFrame:
