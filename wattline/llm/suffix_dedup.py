@@ -165,6 +165,8 @@ def _with_each(spark: SparkSession, rows: DataFrame, single: DataFrame, key: str
     if small is not single:
         return rows.join(small, key).drop("n_rows")
     hot = hot_keys(spark, single, key, "n_rows")
+    if hot.isEmpty():
+        return rows.join(single, key).drop("n_rows")
     return salted(rows, key, hot, by).join(spread(single, key, hot), [key, "_salt"]).drop("_salt", "n_rows")
 
 
