@@ -160,13 +160,8 @@ def _cut(text_at: int, found_at: int, least: int, window: int):
 
 
 def _with_each(spark: SparkSession, rows: DataFrame, single: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """rows joined with the row of their key in single, which counts the key's rows in n_rows; hot keys are dealt out."""
-    small = sized(single)
-    if small is not single:
-        return rows.join(small, key).drop("n_rows")
+    """rows joined with the row of their key in single, which counts the key's rows in n_rows; hot keys are dealt out, at every size."""
     hot = hot_keys(spark, single, key, "n_rows")
-    if hot.isEmpty():
-        return rows.join(single, key).drop("n_rows")
     return salted(rows, key, hot, by).join(spread(single, key, hot), [key, "_salt"]).drop("_salt", "n_rows")
 
 
