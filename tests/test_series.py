@@ -130,6 +130,22 @@ def test_rolling_linear_equals_refits(spark):
             assert np.allclose(r.y_hat, got[r.origin_ts])
 
 
+def _day_blocks(spark, *anchor):
+    """Keys of anchor and block for blocks of a day from the first evaluated origin of each, counted in plain Python."""
+    evals = catalogue.split(spark, "/root/testdata/sf0.01").where("split <> 'train'").collect()
+    first = {}
+    for r in evals:
+        k = tuple(r[c] for c in anchor)
+        first[k] = min(r.origin_ts, first.get(k, r.origin_ts))
+    return {(*k, (r.origin_ts - first[k]) // timedelta(hours=24)) for r in evals for k in [tuple(r[c] for c in anchor)]}
+
+
+def test_training_rows_are_counted_for_each_day(spark):
+    got = library.queries()["c5_train_before_block"](spark, "/root/testdata/sf0.01").collect()
+    want = _day_blocks(spark, "series_id")
+    assert {(r.series_id, r.block) for r in got} == want and len(got) == len(want) > 30
+
+
 def test_rolling_query_retrains_each_week(spark, monkeypatch):
     seen = []
     real = M.rolling_linear

@@ -51,6 +51,8 @@ PARTS = {
     "evals": "SELECT * FROM split WHERE split <> 'train'",
     "blocks": """SELECT *, min(origin_ts) OVER (PARTITION BY series_id, block) AS block_start FROM (SELECT *,
         CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id), origin_ts) / 168.0) AS BIGINT) AS block FROM evals)""",
+    "dayblocks": """SELECT *, min(origin_ts) OVER (PARTITION BY series_id, block) AS block_start FROM (SELECT *,
+        CAST(floor(date_diff('hour', min(origin_ts) OVER (PARTITION BY series_id), origin_ts) / 24.0) AS BIGINT) AS block FROM evals)""",
     "chunks": """SELECT series_id, origin_ts, row_number() OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS rn,
         ntile(4) OVER (PARTITION BY series_id ORDER BY origin_ts) - 1 AS fold FROM split WHERE origin_ts < cut_test""",
     "placed_in_fold": """SELECT *, min(rn) OVER (PARTITION BY series_id, fold) AS n_train, least(count(*) OVER (PARTITION BY series_id, fold), 720) AS n_val,
@@ -327,21 +329,22 @@ def _(spark, d):
 _TAUGHT = "FROM (SELECT DISTINCT series_id, block, block_start FROM blocks) b LEFT JOIN origins o ON o.series_id = b.series_id AND o.origin_ts < b.block_start - INTERVAL 24 HOUR"
 
 
-def week_starts(s: DataFrame) -> DataFrame:
-    return E.rolling_blocks(s.where("split <> 'train'")).select("series_id", "block", "block_start").distinct()
+def block_starts(s: DataFrame, hours: int = 168) -> DataFrame:
+    return E.rolling_blocks(s.where("split <> 'train'"), hours=hours).select("series_id", "block", "block_start").distinct()
 
 
-@query("c5_train_before_block", f"SELECT b.series_id, b.block, count(o.origin_ts) AS n_train {_TAUGHT} GROUP BY 1, 2")
+@query("c5_train_before_block", """SELECT b.series_id, b.block, count(o.origin_ts) AS n_train FROM (SELECT DISTINCT series_id, block, block_start FROM dayblocks) b
+    LEFT JOIN origins o ON o.series_id = b.series_id AND o.origin_ts < b.block_start - INTERVAL 24 HOUR GROUP BY 1, 2""")
 def _(spark, d):
     s = split(spark, d)
-    return E.train_states(s, week_starts(s))
+    return E.train_states(s, block_starts(s, hours=24))
 
 
 @query("c5_block_scaler", f"""SELECT b.series_id, b.block, count(o.origin_ts) AS n_train, avg(h.kw) AS kw_mean, stddev_samp(h.kw) AS kw_std {_TAUGHT}
     LEFT JOIN segs h ON h.series_id = o.series_id AND h.ts = o.origin_ts GROUP BY 1, 2""")
 def _(spark, d):
     rows, s = _with_load(spark, d)
-    return E.train_states(rows, week_starts(s), ("kw",))
+    return E.train_states(rows, block_starts(s), ("kw",))
 
 
 @query("h6_scaled_blocks", f"""SELECT r.series_id, r.origin_ts, r.block, (h.kw - t.m) / nullif(t.s, 0) AS kw FROM blocks r JOIN segs h ON h.series_id = r.series_id AND h.ts = r.origin_ts
@@ -349,7 +352,7 @@ def _(spark, d):
     ON t.series_id = r.series_id AND t.block = r.block""")
 def _(spark, d):
     rows, s = _with_load(spark, d)
-    states = E.train_states(rows, week_starts(s), ("kw",))
+    states = E.train_states(rows, block_starts(s), ("kw",))
     blocks = E.rolling_blocks(s.where("split <> 'train'")).select("series_id", "origin_ts", "block")
     return E.apply_states(rows.join(blocks, ["series_id", "origin_ts"]).select("series_id", "origin_ts", "block", "kw"), states, ("kw",))
 
