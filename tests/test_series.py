@@ -146,6 +146,12 @@ def test_training_rows_are_counted_for_each_day(spark):
     assert {(r.series_id, r.block) for r in got} == want and len(got) == len(want) > 30
 
 
+def test_blocks_are_planned_for_each_day(spark):
+    got = library.queries()["i4_block_plan"](spark, "/root/testdata/sf0.01").collect()
+    want = _day_blocks(spark, "series_id", "segment_id")
+    assert {(r.series_id, r.segment_id, r.block) for r in got} == want and len(got) == len(want) > 30
+
+
 def test_rolling_query_retrains_each_week(spark, monkeypatch):
     seen = []
     real = M.rolling_linear
