@@ -97,6 +97,14 @@ def test_html_template_runs_go_even_inside_articles(spark):
     assert sorted(len(r.text) for r in html_extract.extract(spark, long).collect()) == [1, len(new("l", 100_000))]
 
 
+def test_suffixes_meet_their_keys_in_one_join(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2500, 7, id) AS key", "id AS doc")
+    met = suffix_dedup._with_each(rows, spark.range(2600).selectExpr("id AS key", "true AS mixed"), "key")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == plan.count("SortMergeJoin") == 1 and "LeftOuter" not in plan  # no row is looked up in a table of hot keys
+    assert met.count() == 2600 and met.where("key = 7").count() == 2500
+
+
 def test_warc_reads_other_archives(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     head = lambda kind, i, size, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}:{i}>\r\n{more}Content-Length: {size}\r\n\r\n".encode()

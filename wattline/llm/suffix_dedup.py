@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import GOLDEN, bounded_batches, hashed_words, hot_keys, kept, mix, ngram_hashes, salted, sized, spread, unused
+from .text import GOLDEN, bounded_batches, hashed_words, kept, mix, ngram_hashes, sized, unused
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -159,10 +159,9 @@ def _cut(text_at: int, found_at: int, least: int, window: int):
     return run
 
 
-def _with_each(spark: SparkSession, rows: DataFrame, single: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """rows joined with the row of their key in single, which counts the key's rows in n_rows; hot keys are dealt out, at every size."""
-    hot = hot_keys(spark, single, key, "n_rows")
-    return salted(rows, key, hot, by).join(spread(single, key, hot), [key, "_salt"]).drop("_salt", "n_rows")
+def _with_each(rows: DataFrame, single: DataFrame, key: str) -> DataFrame:
+    """rows joined with the row of their key in single, by one way at every size: a sort-merge join, of which Spark splits the large partitions."""
+    return rows.join(single.hint("merge"), key)
 
 
 def remove_repeats(
@@ -182,11 +181,11 @@ def remove_repeats(
     window = least - gram + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).where("doc is not null")
     suffixes = kept(spark, rows.mapInArrow(_suffixes(gram, window), "key long, stretch long, doc long, start int, n int"), "suffixes")
-    keys = suffixes.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("stretch") < F.max("stretch")).alias("mixed"), F.count("*").alias("n_rows"))
-    keys = kept(spark, keys.where("lo < hi").select("key", "mixed", "n_rows"), "keys")
-    shared = kept(spark, _with_each(spark, suffixes, keys, "key", ["doc", "start"]), "shared")
-    alike = shared.groupBy("stretch", "mixed").agg(F.min(F.struct("doc", "start", "n")).alias("least"), F.max("doc").alias("top"), F.count("*").alias("n_rows"))
-    alike = kept(spark, alike.select("stretch", "mixed", F.col("least.doc").alias("src"), "least.start", "least.n", "top", "n_rows"), "alike")
+    keys = suffixes.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("stretch") < F.max("stretch")).alias("mixed"))
+    keys = kept(spark, keys.where("lo < hi").select("key", "mixed"), "keys")
+    shared = kept(spark, _with_each(suffixes, keys, "key"), "shared")
+    alike = shared.groupBy("stretch", "mixed").agg(F.min(F.struct("doc", "start", "n")).alias("least"), F.max("doc").alias("top"))
+    alike = kept(spark, alike.select("stretch", "mixed", F.col("least.doc").alias("src"), "least.start", "least.n", "top"), "alike")
     # Stretches that share a k-gram but not all words: their passages one by one, each stretch once.
     todo = alike.where("mixed").groupBy("src").agg(F.collect_list(F.struct("start", "n", "stretch")).alias("places"))  # bounded by the document's length
     todo = kept(spark, todo, "todo")
@@ -197,9 +196,9 @@ def remove_repeats(
     late = passages.join(sized(first), "passage").where("src > lo").groupBy("stretch").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
     late = kept(spark, late, "late")
     # The first document of a stretch loses the passages that stand in a smaller one by another stretch; later ones lose it all.
-    source = alike.join(sized(late), "stretch", "left").where("top > src or mask is not null").select("stretch", "src", F.coalesce("mask", F.lit(0)).alias("some"), "n_rows")
+    source = alike.join(sized(late), "stretch", "left").where("top > src or mask is not null").select("stretch", "src", F.coalesce("mask", F.lit(0)).alias("some"))
     source = kept(spark, source, "source")
-    found = _with_each(spark, shared, source, "stretch", ["doc", "start"]).select("doc", "start", "n", "stretch", F.expr("if(doc > src, -1L, some)").alias("mask")).where("mask <> 0")
+    found = _with_each(shared, source, "stretch").select("doc", "start", "n", "stretch", F.expr("if(doc > src, -1L, some)").alias("mask")).where("mask <> 0")
     of, spans = unused(docs, "_repeat_doc", "_repeat_found")
     per_doc = found.groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("start", "n", "stretch", "mask")).alias(spans))
     per_doc = kept(spark, per_doc, "per_doc")
