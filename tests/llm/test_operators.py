@@ -135,6 +135,21 @@ def test_html_drops_only_runs_that_other_pages_have(spark):
     assert got == {1: f"one two {phrase} three", 2: rows[1][2][3:], 3: article, 4: article, 5: "own five", 6: "own six", 7: run}
 
 
+def test_html_looks_at_every_place_of_articles(spark):
+    new = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    notices = [new(f"n{k}w", 8 + k) for k in range(5)]  # short runs between texts that differ
+    often = new("often", 7)  # frequent words, but no run of eight
+    page = lambda i: f"<p>{often}</p>" + "".join(f"<p>{t}</p>" for k, n in enumerate(notices) for t in (new(f"p{i}k{k}x", 25), n))
+    rows = [(i, f"http://a.org/{i}", f"<article>{page(i)}</article>") for i in range(10)]
+    rows += [(20 + i, f"http://b.org/{i}", f"<article><p>{notices[0]}</p><p>{new(f'q{i}x', 30)}</p></article>") for i in range(7)]  # too few pages
+    rows += [(30, "http://c.org/1", f"<article><p>{new('left', 30)}</p><p>{notices[4]}</p><p>{new('right', 30)}</p></article>"), (31, "http://c.org/2", f"<p>{notices[4]}</p><p>own text")]
+    got = {r.page_id: r for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i].text == "\n".join([often, *(new(f"p{i}k{k}x", 25) for k in range(5))]) and (got[i].n_dropped, got[i].n_repeated) == (5, 50)
+    assert all(got[20 + i].text.startswith(notices[0]) for i in range(7))
+    assert got[31].text == "own text" and got[30].n_repeated == 12  # pages beside one without an article send all their places
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/%0d\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 100_000), (None, "u", "same")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -133,36 +133,50 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 
 def _split(batches):
-    """(page_id, url, host, html) to (..., marked, texts): the blocks that may be text; marked pages have an article."""
+    """(page_id, url, host, html) to (..., marked, texts, n_words): the blocks that may be text; marked pages have an article."""
     for batch in batches:
-        marked, texts = [], []
+        marked, texts, n_words = [], [], []
         for page in batch.column(3).to_pylist():
             found = blocks(page or "")
             marked.append(any(k == MAIN for k, _ in found))
             texts.append([t for k, t in found if k == (MAIN if marked[-1] else OPEN)])
-        arrays = [*batch.columns[:3], pa.array(marked, pa.bool_()), pa.array(texts, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "marked", "texts"])
+            n_words.append(sum(len(t.encode().split()) for t in texts[-1]))
+        arrays = [*batch.columns[:3], pa.array(marked, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(n_words, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "marked", "texts", "n_words"])
+
+
+def _words(batches):
+    """(host, text) to (host, word): the hashes of the distinct words of each page."""
+    for batch in batches:
+        hosts = batch.column(0).to_numpy()
+        for lo, _, _, bounds, hashes, _ in hashed_words(batch.column(1), lower=False):
+            got = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            owner = np.repeat(hosts[lo : lo + len(got)], [len(x) for x in got])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(got).view(np.int64))], ["host", "word"])
 
 
 def _suffixes(least: int):
-    """(page, host, marked, text) to (key, page, host, pos, open): the hash of host and the ``least`` words from each retained place.
+    """(page, host, open, words, text) to (key, page, host, pos, open): the hash of host and the ``least`` words from each place.
 
-    Of marked pages only minimisers are retained, places chosen by their own words, at most 2 * ``least`` words apart.
+    Where words are given, places with another word among their ``least`` are left out: no run that counts stands there.
     """
 
     def run(batches):
         for batch in batches:
-            pages, hosts, marked = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, _, _, bounds, hashes, _ in hashed_words(batch.column(3), lower=False):
+            pages, hosts, is_open = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            for lo, _, _, bounds, hashes, _ in hashed_words(batch.column(4), lower=False):
                 got = []
                 for i in np.flatnonzero(np.diff(bounds) >= least):
-                    runs = ngram_hashes(hashes[bounds[i] : bounds[i + 1]], least)
-                    at = np.arange(len(runs))
-                    if marked[lo + i] and len(runs) > 2 * least:
-                        views = np.lib.stride_tricks.sliding_window_view(runs, 2 * least)
-                        at = np.unique(views.argmin(1) + np.arange(len(views)))
-                    keys = mix(runs[at] ^ mix(hosts[lo + i : lo + i + 1].view(np.uint64)))
-                    got.append((keys.view(np.int64), np.full(len(at), pages[lo + i], np.int64), np.full(len(at), hosts[lo + i], np.int64), at.astype(np.int32), np.full(len(at), not marked[lo + i])))
+                    own = hashes[bounds[i] : bounds[i + 1]]
+                    at = np.arange(len(own) - least + 1)
+                    if not is_open[lo + i]:
+                        common = batch.column(3)[lo + i].values.to_numpy().view(np.uint64)
+                        passed = np.concatenate([[0], np.cumsum(np.isin(own, common))])
+                        at = np.flatnonzero(passed[least:] - passed[:-least] == least)
+                        if not len(at):
+                            continue
+                    keys = mix(ngram_hashes(own, least)[at] ^ mix(hosts[lo + i : lo + i + 1].view(np.uint64)))
+                    got.append((keys.view(np.int64), np.full(len(at), pages[lo + i], np.int64), np.full(len(at), hosts[lo + i], np.int64), at.astype(np.int32), np.full(len(at), is_open[lo + i])))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["key", "page", "host", "pos", "open"])
 
@@ -176,10 +190,7 @@ def boilerplate(n_words: int, marked: bool, covered: np.ndarray, shared: np.ndar
 
 
 def _keep(least: int):
-    """(page_id, url, marked, texts, pages of the host, places (pos, pages, open)) to (page_id, url, text, n_words, n_repeated, n_dropped).
-
-    A retained place of a marked page stands for the words of its block half way to the places beside it, ``least`` words either way.
-    """
+    """(page_id, url, marked, texts, pages of the host, places (pos, pages)) to (page_id, url, text, n_words, n_repeated, n_dropped)."""
 
     def run(batches):
         for batch in batches:
@@ -190,9 +201,6 @@ def _keep(least: int):
                 ends = np.cumsum([0, *n])
                 for p in places or ():
                     several, start, stop = p["pages"], p["pos"], p["pos"] + least
-                    if marked:
-                        i = int(np.searchsorted(ends, start, "right"))
-                        start, stop = max(start - least, ends[i - 1]), min(stop + least, ends[i])
                     levels[0, start:stop] = True
                     levels[1, start:stop] |= several >= max(LONG_PAGES, LONG_SHARE * total)
                     levels[2, start:stop] |= several >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * total)
@@ -214,9 +222,10 @@ def extract(
     """(page_id, url, text, n_words, n_repeated, n_dropped) per page: its main text, blocks in page order joined by a line feed, '' if there is none.
 
     n_words are the words of all blocks that may be text, n_repeated those in runs of ``least`` words that other pages
-    of the host have too (of TEMPLATE_PAGES places, on pages that mark an article: fewer decide nothing there), n_dropped the blocks
-    that went for it (boilerplate()). Pages of one text are one page there; on pages that mark an article, runs of
-    3 * ``least`` - 1 words or more are certain to be found, shorter ones in part. Pages are parsed twice rather than kept.
+    of the host have too (on hosts whose pages all mark an article: those that so many pages have that they decide), n_dropped
+    the blocks that went for it (boilerplate()). Pages of one text are one page there. Every place of every page is looked at.
+    On hosts whose pages all mark an article a run counts only if TEMPLATE_PAGES and TEMPLATE_SHARE of the pages have it, and so
+    each of its words; other runs are never sent. Hosts are told apart by their hash.
     Null and empty pages give ''. Pages of one id are rows of their own; pages without host share nothing. Hosts
     are lower-cased. Broken markup is read on; very long pages are one row. Extra columns are ignored.
     """
@@ -225,10 +234,20 @@ def extract(
     own_host = F.when(host == "", F.xxhash64(html_col, url_col, F.lit(""))).otherwise(F.xxhash64(host))  # a page without host is a host
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), own_host.alias("host"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()
-    split = rows.mapInArrow(_split, f"page_id {kind}, url string, host long, marked boolean, texts array<string>")
+    split = rows.mapInArrow(_split, f"page_id {kind}, url string, host long, marked boolean, texts array<string>, n_words int")
     text = F.array_join("texts", "\n")
-    split = split.withColumn("page", F.xxhash64(text))
-    stream = split.select("page", "host", "marked", text.cast("binary"))
+    split = kept(spark, split.withColumn("page", F.xxhash64(text)), "host_split")
+    own = split.where(f"n_words >= {least}")
+    hosts = own.groupBy("host", "page").agg((~F.min("marked")).alias("open")).groupBy("host").agg(F.count("*").alias("total"), F.max("open").alias("open"))
+    hosts = kept(spark, hosts, "hosts")
+    enough = F.greatest(F.lit(TEMPLATE_PAGES), TEMPLATE_SHARE * F.col("total"))
+    closed = hosts.where(f"not open and total >= {TEMPLATE_PAGES}").select("host", enough.alias("enough"))
+    words = own.join(sized(closed), "host").select("host", text.cast("binary")).mapInArrow(_words, "host long, word long")
+    words = words.groupBy("host", "word").agg(F.count("*").alias("n")).join(sized(closed), "host").where("n >= enough")
+    words = words.groupBy("host").agg(F.collect_list("word").alias("words"))  # no more than 1 / TEMPLATE_SHARE times those of a page
+    asked = hosts.where("open").select("host", "open", F.lit(None).cast("array<bigint>").alias("words")).union(words.select("host", F.lit(False), "words"))
+    asked = kept(spark, asked, "host_words")
+    stream = own.join(sized(asked, 20_000), "host").select("page", "host", "open", "words", text.cast("binary"))
     suffixes = kept(spark, stream.mapInArrow(_suffixes(least), "key long, page long, host long, pos int, open boolean"), "host_suffixes")
     common = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("open")).where(f"n >= 2 and (open or n >= {TEMPLATE_PAGES})")
     common = kept(spark, common.select("key", "n"), "host_common")
@@ -238,8 +257,8 @@ def extract(
     several = found.select("key", "page").distinct().groupBy("key").agg(F.count("*").alias("pages"))
     several = kept(spark, several.where("pages > 1"), "host_counts")
     places = salted(found, "key", frequent, ["page", "pos"]).join(spread(several, "key", frequent), ["key", "_salt"])
-    places = places.groupBy("host", "page").agg(F.collect_list(F.struct("pos", "pages")).alias("places"))  # bounded by a page's words
-    total = suffixes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))  # pages of some words
-    places = kept(spark, places.join(total, "host"), "host_places")
+    places = places.join(sized(hosts.select("host", "total", F.col("open").alias("any"), enough.alias("enough"))), "host").where("any or pages >= enough")
+    places = places.groupBy("host", "page", "total").agg(F.collect_list(F.struct("pos", "pages")).alias("places"))  # bounded by a page's words
+    places = kept(spark, places, "host_places")
     rest = split.join(sized(places), ["host", "page"], "left").select("page_id", "url", "marked", "texts", "total", "places")
     return rest.mapInArrow(_keep(least), f"page_id {kind}, url string, text string, n_words long, n_repeated long, n_dropped long")
