@@ -50,6 +50,8 @@ MAIN, FURNISHED, OPEN = 2, 1, 0
 LONG, LONG_PAGES, LONG_SHARE = 40, 3, 1 / 3
 #: Pages, and their share of the host's, that must have the runs of an article's block.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 8, 0.8
+#: Words of a host are counted in 2 to the power of so many classes: a class has at least the pages of each of its words.
+WORD_BITS = 12
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -145,14 +147,18 @@ def _split(batches):
         yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "marked", "texts", "n_words"])
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+
+
 def _words(batches):
-    """(host, text) to (host, word): the hashes of the distinct words of each page."""
+    """(host, text) to (host, word): the distinct words of each page, as the WORD_BITS first bits of their hashes."""
     for batch in batches:
         hosts = batch.column(0).to_numpy()
         for lo, _, _, bounds, hashes, _ in hashed_words(batch.column(1), lower=False):
-            got = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            got = [np.unique(_short(hashes[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
             owner = np.repeat(hosts[lo : lo + len(got)], [len(x) for x in got])
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(got).view(np.int64))], ["host", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(got))], ["host", "word"])
 
 
 def _suffixes(least: int):
@@ -170,8 +176,8 @@ def _suffixes(least: int):
                     own = hashes[bounds[i] : bounds[i + 1]]
                     at = np.arange(len(own) - least + 1)
                     if not is_open[lo + i]:
-                        common = batch.column(3)[lo + i].values.to_numpy().view(np.uint64)
-                        passed = np.concatenate([[0], np.cumsum(np.isin(own, common))])
+                        common = batch.column(3)[lo + i].values.to_numpy()
+                        passed = np.concatenate([[0], np.cumsum(np.isin(_short(own), common))])
                         at = np.flatnonzero(passed[least:] - passed[:-least] == least)
                         if not len(at):
                             continue
@@ -236,16 +242,16 @@ def extract(
     kind = pages.schema[id_col].dataType.simpleString()
     split = rows.mapInArrow(_split, f"page_id {kind}, url string, host long, marked boolean, texts array<string>, n_words int")
     text = F.array_join("texts", "\n")
-    split = kept(spark, split.withColumn("page", F.xxhash64(text)), "host_split")
+    split = kept(spark, split.withColumn("page", F.xxhash64(text)), "host_split", "zstd")
     own = split.where(f"n_words >= {least}")
     hosts = own.groupBy("host", "page").agg((~F.min("marked")).alias("open")).groupBy("host").agg(F.count("*").alias("total"), F.max("open").alias("open"))
     hosts = kept(spark, hosts, "hosts")
     enough = F.greatest(F.lit(TEMPLATE_PAGES), TEMPLATE_SHARE * F.col("total"))
     closed = hosts.where(f"not open and total >= {TEMPLATE_PAGES}").select("host", enough.alias("enough"))
-    words = own.join(sized(closed), "host").select("host", text.cast("binary")).mapInArrow(_words, "host long, word long")
+    words = own.join(sized(closed), "host").select("host", text.cast("binary")).mapInArrow(_words, "host long, word int")
     words = words.groupBy("host", "word").agg(F.count("*").alias("n")).join(sized(closed), "host").where("n >= enough")
-    words = words.groupBy("host").agg(F.collect_list("word").alias("words"))  # no more than 1 / TEMPLATE_SHARE times those of a page
-    asked = hosts.where("open").select("host", "open", F.lit(None).cast("array<bigint>").alias("words")).union(words.select("host", F.lit(False), "words"))
+    words = words.groupBy("host").agg(F.collect_list("word").alias("words"))  # 2 to the power of WORD_BITS at most
+    asked = hosts.where("open").select("host", "open", F.lit(None).cast("array<int>").alias("words")).union(words.select("host", F.lit(False), "words"))
     asked = kept(spark, asked, "host_words")
     stream = own.join(sized(asked, 20_000), "host").select("page", "host", "open", "words", text.cast("binary"))
     suffixes = kept(spark, stream.mapInArrow(_suffixes(least), "key long, page long, host long, pos int, open boolean"), "host_suffixes")

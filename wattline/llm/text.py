@@ -154,10 +154,10 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/") + "/wattline"
 
 
-def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def kept(spark: SparkSession, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and any executor can read it."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
