@@ -1,8 +1,11 @@
 """Manifests, token alignment and language-model scores against brute force, and helper names that clash."""
 
 import collections
+import gc
 import hashlib
 import math
+import pathlib
+import time
 import zlib
 
 import numpy as np
@@ -183,6 +186,38 @@ def test_lm_scores_equal_brute_force(spark):
     assert lm.score(spark, df.limit(0)).count() == 0
 
 
+def test_lm_scores_are_the_same_in_any_chunks_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.4, int(rng.integers(0, 200))) % 900) for _ in range(300)] + [None, "", " \t", "x" * 40_000]
+    df = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    scored = lambda: sorted((tuple(r) for r in lm.score(spark, df, bits=200, probes=30).collect()), key=str)
+    want = scored()
+    monkeypatch.setattr(lm, "SHARD", 500)  # about 450 shards, more than some chunks have words
+    monkeypatch.setattr(lm, "HELD", 2_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got = scored()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want])
+
+
+def test_lm_takes_little_disk_whatever_the_filter_is(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    path = str(tmp_path / "documents")
+    rows = [(i, " ".join(f"word{int(k)}" for k in rng.zipf(1.3, 2_000) % 40_000)) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    held = lambda folder: sum(f.stat().st_size for f in pathlib.Path(folder).rglob("*") if f.is_file())
+    folder = spark.conf.get("spark.local.dir")  # the session's shuffle files and shared folder
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(3)  # shuffle files of earlier tests go now, not meanwhile
+    before = held(folder)
+    assert lm.score(spark, spark.read.parquet(path), most_bytes=0).count() == len(rows)
+    assert held(folder) - before < 6 * held(path)
+
+
 def test_bloom_filter_errs_rarely_and_never_low():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 1 << 63, 40_000).astype(np.uint64))

@@ -3,23 +3,24 @@
 A count c is quantised to the number of thresholds (1, 2, 3, 4, 6, 8, 12, ...) that it reaches, and a gram of
 level q is put into a Bloom filter q times, as (gram, 1) to (gram, q). Asking for (gram, 1), (gram, 2), ...
 until one is absent gives the level back, never too small; a gram that was never seen passes each question
-with the filter's small error rate. Counts are summed, quantised and put in by shards of grams, each with
-its own range of bits, as large as its grams need, so the filter grows with the corpus. It is broadcast
-while it is at most so many bytes; beyond that, the questions go to the shards, and give the same levels.
+with the filter's small error rate.
+
+Texts are kept in chunks of some three million tokens. A chunk sends the grams of its texts, each once and with
+the times that training texts have it, to shards of grams: that counts them and asks for them at once. A shard
+sums the counts, quantises them, fills its filter, asks it for the grams of each chunk and sends back levels
+in the order of the grams, so that neither grams nor filter travel again. Shards grow in number with the text;
+nothing is broadcast, and no row is made for a token.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import GOLDEN, bounded_batches, give_back, hashed_words, hot_keys, kept, mix, salted, spread
+from .text import GOLDEN, NOT_SPACE, bounded_batches, give_back, hashed_words, kept, mix, raw_bytes
 
 #: Filter bits for each gram and level, and how many of them are set.
 BITS, PROBES = 10, 7
@@ -31,8 +32,10 @@ MEANS = np.concatenate([[0.0], (THRESHOLDS[:-1] + THRESHOLDS[1:] - 1) / 2, [floa
 SHARD = 8 << 20
 #: The end of a text as a token, and its begin as a history.
 END, BEGIN = (mix(np.array([n], np.uint64))[0] for n in (0x656E64, 0x626567))
-#: Grams that a task sums before it sends them on.
-HELD = 1 << 21
+#: Tokens of a chunk of texts, and a 16th of its bytes, unless a batch has more.
+HELD = 3 << 20
+#: What packs texts and numbers.
+ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def gram(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -69,64 +72,130 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(times, first) if len(keys) else times
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    return np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
 
 
-def _counted(shards: int):
-    """(text) of training rows to (shard, kind, keys, times): words (kind 1; the begin is one too) and bigrams (2) with their numbers, packed."""
+def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each key among them."""
+    order = np.argsort(keys)
+    first = _firsts(keys[order])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return keys[order][first], place
 
-    def rows_of(parts):
-        out = []
-        for kind, held in ((1, parts[0]), (2, parts[1])):
-            keys, times = _summed(*[np.concatenate(x) for x in zip(*held)])
-            cut = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))  # keys are sorted, and so are their shards
-            out += [(i, kind, keys[a:b].tobytes(), zlib.compress(times[a:b].astype("<i8").tobytes(), 1)) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
-        for at in range(0, len(out), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1000]), (pa.int32(), pa.int8(), pa.binary(), pa.binary()))], ["shard", "kind", "keys", "times"])
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, packed: their lowest bytes first, then the next ones."""
+    return ZSTD.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(ZSTD.decompress(packed, 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, of which the five lowest bytes are noise and stay as they are."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return planes[:5].tobytes() + ZSTD.compress(planes[5:].tobytes(), asbytes=True)
+
+
+def _unpack_keys(packed: bytes, n: int) -> np.ndarray:
+    low, high = packed[: 5 * n], ZSTD.decompress(packed[5 * n :], 3 * n, asbytes=True)
+    planes = np.frombuffer(low + high, np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _chunk(chunk: int, held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=ZSTD)) as out:
+        for batch in held:
+            out.write_batch(batch)
+    values = (chunk, pa.int64()), (size, pa.int64()), (sink.getvalue().to_pybytes(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in values], ["chunk", "size", "docs"])
+
+
+def _chunked(most: int):
+    """(doc_id, held_out, text) to (chunk, size, docs): the rows of a chunk as a stream of batches, and the bytes of their texts."""
+
+    def run(batches):
+        chunk, held, n, size = TaskContext.get().partitionId() << 40, [], 0, 0
+        for batch in batches:
+            data, offsets = raw_bytes(batch.column(2))
+            word = NOT_SPACE[data[offsets[0] : offsets[-1]]]
+            more = max(2 * batch.num_rows + int(np.count_nonzero(word[1:] & ~word[:-1])), len(word) // 16)  # no fewer than its tokens
+            if held and n + more > most:
+                yield _chunk(chunk, held, size)
+                chunk, held, n, size = chunk + 1, [], 0, 0
+            if batch.num_rows:
+                held, n, size = [*held, batch], n + more, size + len(word)
+        if held:
+            yield _chunk(chunk, held, size)
+        give_back()
+
+    return run
+
+
+def _read(docs: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A chunk's rows, their tokens and the tokens' bounds."""
+    rows = pa.ipc.open_stream(docs).read_all()
+    _, words, bounds = _joined(list(tokens(rows["text"].combine_chunks())))
+    return rows, words, bounds
+
+
+def _questions(shards: int):
+    """(chunk, docs) to (chunk, shard, ...): the words (the begin is one too) and bigrams of its texts, how many, and how often training texts have them, packed."""
+
+    def counted(keys, teach):
+        ordered = np.sort(keys)
+        unique = ordered[_firsts(ordered)]
+        taught, n = np.unique(keys[teach], return_counts=True)
+        times = np.zeros(len(unique), np.int64)
+        times[np.searchsorted(unique, taught)] = n
+        return unique, times, np.searchsorted(shard_of(unique, shards), np.arange(shards + 1))  # keys are sorted, and so are their shards
 
     def run(batches):
-        parts, n = ([], []), 0
+        kinds = pa.int64(), pa.int32(), *[pa.int32(), pa.binary(), pa.binary()] * 2
         for batch in batches:
-            for _, words, bounds in tokens(batch.column(0)):
-                begins = np.full(len(bounds) - 1, BEGIN, np.uint64)
-                for held, keys in zip(parts, (np.concatenate([words, begins]), gram(histories(words, bounds), words))):
-                    held.append(np.unique(keys, return_counts=True))
-                n += len(words)
-                if n >= HELD:
-                    yield from rows_of(parts)
-                    parts, n = ([], []), 0
-        if n:
-            yield from rows_of(parts)
+            for chunk, docs in zip(*[c.to_pylist() for c in batch.columns]):
+                rows, words, bounds = _read(docs)
+                teach = ~rows["held_out"].to_numpy()
+                of_token = np.repeat(teach, np.diff(bounds))
+                begins = np.full(len(teach), BEGIN, np.uint64)
+                both = counted(np.append(words, begins), np.append(of_token, teach)), counted(gram(histories(words, bounds), words), of_token)
+                out = []
+                for shard in range(shards):
+                    spans = [slice(cut[shard], cut[shard + 1]) for *_, cut in both]
+                    if any(s.start < s.stop for s in spans):
+                        out.append((chunk, shard, *[x for (keys, times, _), s in zip(both, spans) for x in (s.stop - s.start, _pack_keys(keys[s]), _pack(times[s]))]))
+                for at in range(0, len(out), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1000]), kinds)], ["chunk", "shard", "n_words", "words", "word_times", "n_grams", "grams", "gram_times"])
         give_back()
 
     return run
 
 
 class Filter:
-    """The bits of the grams and levels of some shards, one shard after the other."""
+    """The bits of the grams and levels of a shard."""
 
-    def __init__(self, bits: list[np.ndarray], probes: int = PROBES):
-        sizes = [len(b) for b in bits]
-        self.bits = np.concatenate([*bits, np.zeros(1, np.uint8)])  # the last byte stands in for shards without any
-        self.base = np.append(0, np.cumsum(sizes))[: len(sizes)].astype(np.uint64) * np.uint64(8)
-        self.size = np.array(sizes, np.uint64) * np.uint64(8)
+    def __init__(self, n_bytes: int, probes: int = PROBES):
+        self.bits = np.zeros(n_bytes, np.uint8)
+        self.size = np.uint64(8 * n_bytes)
         self.probes = probes
 
     @classmethod
     def of(cls, keys: np.ndarray, times: np.ndarray, bits: int = BITS, probes: int = PROBES) -> Filter:
         """A shard's filter from its grams and their counts."""
         levels = np.searchsorted(THRESHOLDS, times, "right")
-        made = cls([np.zeros(-(-int(levels.sum()) * bits // 64) * 8 + 8, np.uint8)], probes)
+        made = cls(-(-int(levels.sum()) * bits // 64) * 8 + 8, probes)
         level = 1
         while len(keys):
             at, step = _probe(keys, level)
             with np.errstate(over="ignore"):
                 for _ in range(probes):
-                    place = at % made.size[0]
+                    place = at % made.size
                     np.bitwise_or.at(made.bits, (place >> np.uint64(3)).astype(np.int64), np.left_shift(1, place & np.uint64(7), dtype=np.uint64).astype(np.uint8))
                     at = at + step
             keys, levels = keys[levels > level], levels[levels > level]
@@ -136,25 +205,23 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Of each gram the level below the first one that is absent."""
         found = np.zeros(len(keys), np.int64)
-        own = shard_of(keys, len(self.size))
-        live = np.flatnonzero(self.size[own])
-        size, base, keys = self.size[own[live]], self.base[own[live]], keys[live]
+        live = np.arange(len(keys))
         level = 1
         while len(live):
-            yes = self._present(keys, level, size, base)
-            live, keys, size, base = live[yes], keys[yes], size[yes], base[yes]
+            yes = self._present(keys, level)
+            live, keys = live[yes], keys[yes]
             found[live] = level
             level += 1
         return found
 
-    def _present(self, keys, level: int, size, base) -> np.ndarray:
+    def _present(self, keys: np.ndarray, level: int) -> np.ndarray:
         here = np.arange(len(keys))
         at, step = _probe(keys, level)
         with np.errstate(over="ignore"):
             for _ in range(self.probes):
-                place = at % size + base
+                place = at % self.size
                 yes = np.flatnonzero(self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                here, at, step, size, base = here[yes], (at + step)[yes], step[yes], size[yes], base[yes]
+                here, at, step = here[yes], (at + step)[yes], step[yes]
         return here
 
 
@@ -165,22 +232,31 @@ def _probe(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         return at, mix(at) | np.uint64(1)
 
 
-def _filled(bits: int, probes: int):
-    """The packed counts of a shard to its words with their exact counts, and its filter."""
-
-    def run(key, rows):
-        words, every = None, []
-        for kind in (1, 2):
-            own = rows.filter(pc.equal(rows["kind"], kind))
-            keys = np.frombuffer(b"".join(own["keys"].to_pylist()), np.uint64)
-            times = np.frombuffer(b"".join(map(zlib.decompress, own["times"].to_pylist())), "<i8")
-            every.append(_summed(keys, times))
-            if kind == 1:
-                words = every[0]
-        own = words[0] != BEGIN
-        filled = Filter.of(*[np.concatenate(x) for x in zip(*every)], bits, probes).bits[:-1]
-        lists = [pa.array([x[own].view(np.int64) if i == 0 else x[own]], pa.list_(pa.int64())) for i, x in enumerate(words)]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([filled.tobytes()], pa.binary()), *lists], ["shard", "bits", "words", "times"])
+def _answered(bits: int, probes: int):
+    """The questions of a shard to (chunk, shard, counts, levels): the exact counts of each chunk's words, and the levels of its words and bigrams; the first row has the shard's tokens and distinct words."""
+
+    def run(rows):
+        columns = rows.to_pydict()
+        found = []
+        for kind in ("word", "gram"):
+            sizes = columns[f"n_{kind}s"]
+            keys = np.concatenate([_unpack_keys(x, n) for x, n in zip(columns[f"{kind}s"], sizes)])
+            times = np.concatenate([_unpack(x, n) for x, n in zip(columns[f"{kind}_times"], sizes)])
+            unique, place = _placed(keys)
+            sums = np.zeros(len(unique), np.int64)
+            np.add.at(sums, place, times.astype(np.int64))
+            found.append((unique, sums, place, np.cumsum([0, *sizes])))
+        (words, n, of_word, word_at), (grams, m, of_gram, gram_at) = found
+        keys, sums = np.append(words, grams), np.append(n, m)
+        levels = Filter.of(keys[sums > 0], sums[sums > 0], bits, probes).levels(keys)
+        out = []
+        for i in range(rows.num_rows):
+            own, both = of_word[word_at[i] : word_at[i + 1]], of_gram[gram_at[i] : gram_at[i + 1]]
+            out.append((columns["chunk"][i], columns["shard"][i], len(own), len(both), _pack(n[own]), _pack(levels[np.append(own, len(words) + both)])))
+        totals = [[int(x), *[0] * (len(out) - 1)] for x in (n[words != BEGIN].sum(), np.count_nonzero(n[words != BEGIN]))]
+        kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+        give_back()
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip([*zip(*out), *totals], kinds)], ["chunk", "shard", "n_words", "n_grams", "counts", "levels", "tokens", "kinds"])
 
     return run
 
@@ -195,76 +271,36 @@ def _base(c, n_tokens: int, n_words: int):
     return (c + 0.1) / (n_tokens + 0.1 * (n_words + 1))
 
 
-def _scored(known, frequent, n_tokens: int, n_words: int, weight: float, ask: bool):
-    """(doc_id, held_out, text) to rows with the sums of what is known here, and the words that are not among the frequent ones.
-
-    With ``ask`` nothing is scored: the row has all its words and histories instead, and how often it has them.
-    """
-
-    def run(batches):
-        nr = TaskContext.get().partitionId() << 40
-        filter_, (keys, times) = (None if ask else known.value), frequent.value
-        for batch in batches:
-            docs, held = batch.column(0), batch.column(1)
-            slices = list(tokens(batch.column(2)))
-            for lo, words, bounds in [_joined(slices)] if slices else []:
-                many = len(bounds) - 1
-                row = np.repeat(np.arange(many), np.diff(bounds))
-                before = histories(words, bounds)
-                unique, place = np.unique(words, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
-                found = keys[at] == unique if len(keys) else np.zeros(len(unique), bool)
-                count = np.where(found, times[at], 0) if len(keys) else np.zeros(len(unique), np.int64)
-                log = np.where(found, np.log10(_base(count, n_tokens, n_words)), 0.0)
-                cut = bounds[:-1]
-                base = np.add.reduceat(log[place], cut)
-                known_here = np.add.reduceat((found & (count > 0))[place].astype(np.int64), cut)
-                if ask:
-                    score, asked = np.zeros(many), [before.view(np.int64), words.view(np.int64)]
-                else:
-                    words_level = filter_.levels(unique)
-                    share = _base(MEANS[words_level], n_tokens, n_words)[place]
-                    pairs, pair = np.unique(gram(before, words), return_inverse=True)
-                    first = filter_.levels(np.array([BEGIN]))[0]
-                    top = np.where(before == BEGIN, first, np.roll(words_level[place], 1))
-                    both = np.where(np.minimum(top, words_level[place]) > 0, filter_.levels(pairs)[pair], 0)  # a bigram is never without its words
-                    score, asked = np.add.reduceat(_log(top, both, share, weight), cut), [np.zeros(0, np.int64)] * 2
-                rare = ~found[place]
-                stops = np.append(0, np.cumsum(np.add.reduceat(rare.astype(np.int64), cut)))
-                lists = lambda x, s: pa.ListArray.from_arrays(pa.array(s, pa.int32()), pa.array(x, pa.int64()))
-                all_stops = bounds if ask else np.zeros(many + 1, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nr + np.arange(many)), docs.slice(lo, many), held.slice(lo, many), pa.array(np.diff(bounds)), pa.array(known_here), pa.array(base), pa.array(score),
-                     lists(words.view(np.int64)[rare], stops), *[lists(x, all_stops) for x in asked]],
-                    ["nr", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "before", "words"],
-                )
-                nr += many
+def _scored(n_tokens: int, n_words: int, weight: float):
+    """A chunk (chunk, docs) and what the shards answered for it to its rows with their sums."""
+
+    def run(docs, answers):
+        rows, words, bounds = _read(docs["docs"][0].as_py())
+        before = histories(words, bounds)
+        keys, place = _placed(np.append(words, BEGIN))
+        grams, pair = _placed(gram(before, words))
+        parts = answers.sort_by("shard").to_pydict()  # shards are ranges of keys, so their answers are in the order of the keys
+        sizes = list(zip(parts["n_words"], parts["n_grams"]))
+        count = np.concatenate([_unpack(x, n) for x, (n, _) in zip(parts["counts"], sizes)])
+        split = [np.split(_unpack(x, n + m).astype(np.int64), [n]) for x, (n, m) in zip(parts["levels"], sizes)]
+        level, gram_level = [np.concatenate(x) for x in zip(*split)]
+        if (len(count), len(gram_level)) != (len(keys), len(grams)):
+            raise ValueError(f"chunk {docs['chunk'][0]} asked for {len(keys)} words and {len(grams)} bigrams, but has answers for {len(count)} and {len(gram_level)}")
+        place, first = place[:-1], level[place[-1]]
+        own = level[place]
+        top = np.where(before == BEGIN, first, np.roll(own, 1))
+        both = np.where(np.minimum(top, own) > 0, gram_level[pair], 0)  # a bigram is never without its words
+        share = _base(MEANS[level], n_tokens, n_words)[place]
+        cut = bounds[:-1]
+        score = np.add.reduceat(_log(top, both, share, weight), cut)
+        base = np.add.reduceat(np.log10(_base(count, n_tokens, n_words))[place], cut)
+        known = np.add.reduceat((count > 0).astype(np.int64)[place], cut)
         give_back()
+        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": np.diff(bounds), "n_known": known, "base_score": base, "score": score})
 
     return run
 
 
-def _answered(name: str, probes: int):
-    """Questions of a shard (nr, key, ...) and its bits to the questions with their level; a shard without bits has seen nothing."""
-
-    def run(rows, bits):
-        keys = rows["key"].combine_chunks().to_numpy().view(np.uint64)
-        levels = Filter([np.frombuffer(bits["bits"][0].as_py(), np.uint8)], probes).levels(keys) if bits.num_rows else np.zeros(len(keys), np.int64)
-        return rows.drop_columns(["shard", "_salt"]).append_column(name, pa.array(levels, pa.int64()))
-
-    return run
-
-
-def fit(spark: SparkSession, texts: DataFrame, bits: int = BITS, probes: int = PROBES) -> tuple[DataFrame, DataFrame, int]:
-    """(words, filter, shards) of a column of training texts (binary): exact counts (key, n) of its tokens, and (shard, bits) of its grams."""
-    size = texts.agg(F.sum(F.octet_length(texts.columns[0])).alias("n")).first().n or 0
-    shards = max(1, -(-size // SHARD))
-    counts = texts.mapInArrow(_counted(shards), "shard int, kind byte, keys binary, times binary")
-    made = kept(spark, counts.groupBy("shard").applyInArrow(_filled(bits, probes), "shard int, bits binary, words array<long>, times array<long>"), "lm_shards")
-    words = made.select(F.explode(F.arrays_zip("words", "times")).alias("x")).select(F.col("x.words").alias("key"), F.col("x.times").alias("n"))
-    return kept(spark, words, "lm_words"), made.select("shard", "bits"), shards
-
-
 def score(
     spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weight: float = 4.0, most_bytes: int = 256 << 20, most_words: int = 1_000_000,
     bits: int = BITS, probes: int = PROBES,
@@ -276,69 +312,22 @@ def score(
     score that of bigrams: count of the bigram, and ``weight`` pseudo-counts dealt out as the single tokens are, over
     count of the history and weight, all by quantised counts from the filter. Null and empty texts have the end only;
     rows without id are held out; repeated ids keep their rows; extra columns are ignored. Without training rows every
-    token is unknown.
+    token is unknown. Tokens are told apart by 64-bit hashes.
 
-    The filter grows with the corpus; it is broadcast up to ``most_bytes``, else questions are dealt out to its shards.
-    Exact counts of tokens that make at least 1 / most_words of all are broadcast (so at most most_words), those of
-    others are joined. Tokens are told apart by 64-bit hashes.
+    The filter grows with the corpus; it is filled and asked shard by shard. ``most_bytes`` and ``most_words`` bounded
+    what of filter and counts was broadcast; nothing is any more, so they change nothing.
     """
     bounded_batches(spark)
     own = F.col(id_col)
     held = F.coalesce(F.crc32(own.cast("string")) % 10 == 0, F.lit(True))
     rows = docs.select(own.cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    words, filter_, shards = fit(spark, rows.where("not held_out").select("text"), bits, probes)
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = max(1, total.n // most_words)
-    top = words.where(F.col("n") >= least).toPandas()  # at most most_words rows
-    order = np.argsort(top["key"].to_numpy().view(np.uint64))
-    frequent = spark.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64)[order], top["n"].to_numpy()[order]))
-    size = filter_.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first().n
-    known, ask = None, size > most_bytes
-    if not ask:
-        parts = {r.shard: np.frombuffer(r.bits, np.uint8) for r in filter_.toLocalIterator()}
-        known = spark.sparkContext.broadcast(Filter([parts.pop(i, np.zeros(0, np.uint8)) for i in range(shards)], probes))
-    schema = "nr long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, before array<long>, words array<long>"
-    done = kept(spark, rows.mapInArrow(_scored(known, frequent, total.n, total.v, weight, ask), schema), "lm_scored")
-
-    rare = done.select("nr", F.explode("rare").alias("key")).groupBy("nr", "key").agg(F.count("*").alias("times")).join(words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    log = lambda c: F.log10(_base(c, total.n, total.v))
-    rare = rare.groupBy("nr").agg(F.sum(F.col("times") * log(F.col("n"))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"))
-    out = done.join(rare, "nr", "left")
-    score_ = F.col("score")
-    if ask:
-        out = out.drop("score").join(_asked(spark, done, filter_, shards, total.n, total.v, weight, probes), "nr")
-    zero = F.lit(0)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", zero)).alias("n_known"), F.lit(total.n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score_.alias("score"),
-    )
-
-
-def _asked(spark: SparkSession, done: DataFrame, filter_: DataFrame, shards: int, n_tokens: int, n_words: int, weight: float, probes: int) -> DataFrame:
-    """(nr, score) by questions dealt out to the filter's shards: the levels of each bigram's history, word and both."""
-
-    @F.arrow_udf("long")
-    def joined(before: pa.Array, word: pa.Array) -> pa.Array:
-        return pa.array(gram(before.to_numpy().view(np.uint64), word.to_numpy().view(np.uint64)).view(np.int64))
-
-    @F.arrow_udf("int")
-    def shard(key: pa.Array) -> pa.Array:
-        return pa.array(shard_of(key.to_numpy().view(np.uint64), shards), pa.int32())
-
-    @F.arrow_udf("double")
-    def log(top: pa.Array, both: pa.Array, word: pa.Array) -> pa.Array:
-        levels = [x.to_numpy() for x in (top, both, word)]
-        share = _base(MEANS[levels[2]], n_tokens, n_words)
-        return pa.array(_log(levels[0], np.where(np.minimum(levels[0], levels[2]) > 0, levels[1], 0), share, weight))
-
-    rows = done.select("nr", F.explode(F.arrays_zip("before", "words")).alias("x")).select("nr", F.col("x.before").alias("before"), F.col("x.words").alias("word"))
-    rows = kept(spark, rows.groupBy("nr", "before", "word").agg(F.count("*").alias("times")), "lm_asked")
-    for name, key in (("top", F.col("before")), ("level", F.col("word")), ("both", joined("before", "word"))):
-        rows = rows.withColumn("key", key).withColumn("shard", shard("key"))
-        rows = kept(spark, rows, "lm_questions")
-        hot = hot_keys(spark, rows.groupBy("shard").agg(F.count("*").alias("n")), "shard")
-        schema = ", ".join(f"{c} {t}" for c, t in rows.drop("shard").dtypes) + f", {name} long"
-        dealt, sent = salted(rows, "shard", hot, ["nr", "key"]), spread(filter_, "shard", hot)
-        dealt = dealt.select("shard", "_salt", *[c for c in rows.columns if c != "shard"])
-        rows = dealt.groupBy("shard", "_salt").cogroup(sent.groupBy("shard", "_salt")).applyInArrow(_answered(name, probes), schema).drop("key")
-    return rows.groupBy("nr").agg(F.sum(F.col("times") * log("top", "both", "level")).alias("score"))
+    chunks = kept(spark, rows.mapInArrow(_chunked(HELD), "chunk long, size long, docs binary"), "lm_chunks")
+    shards = max(1, -(-(chunks.agg(F.sum("size").alias("n")).first().n or 0) // SHARD))
+    chunks = chunks.select("chunk", "docs")
+    asked = chunks.mapInArrow(_questions(shards), "chunk long, shard int, n_words int, words binary, word_times binary, n_grams int, grams binary, gram_times binary")
+    answers = asked.groupBy("shard").applyInArrow(_answered(bits, probes), "chunk long, shard int, n_words int, n_grams int, counts binary, levels binary, tokens long, kinds long")
+    answers = kept(spark, answers, "lm_answers")
+    total = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    done = chunks.groupBy("chunk").cogroup(answers.drop("tokens", "kinds").groupBy("chunk")).applyInArrow(_scored(total.n, total.v, weight), schema)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score")
